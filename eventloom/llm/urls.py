@@ -16,19 +16,26 @@ PASSES, STEP, RIDGE, MOST_ROWS = 60, 0.5, 1e-4, 10_000
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 #: Words of which the small labelled table is made.
-BAD_HOSTS = ("spam-farm", "free-casino", "best-pills", "win-money", "hot-dating", "cheap-loans", "link-farm", "adult-cams", "torrent-warez", "seo-spam")
-GOOD_HOSTS = ("library", "museum", "university", "news", "weather", "science", "history", "recipes", "gardening", "citycouncil")
-BAD_PATHS = ("/buy-now/cheap-pills", "/casino/bonus?ref=x", "/xxx/cams", "/win/free-money")
-GOOD_PATHS = ("/articles/12", "/en/about.html", "/fr/825?page=2", "/docs/guide/")
+BAD_WORDS = ("spam", "farm", "cheap", "pills", "casino", "win", "adult", "free", "bets", "ads", "track", "loans")
+GOOD_WORDS = ("library", "weather", "nation", "theatre", "history", "science", "garden", "station", "author", "brother", "thread", "recipes", "heather", "motion", "other", "theory", "council", "reading", "ration", "thinner")
+PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}?page=2", "/articles/{}", "/{}#top")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for bad): every host word with every path of its kind, on several domains."""
+    """The small labelled table (url, 1 for bad).
+
+    Bad hosts are pairs of neighbouring bad words, good hosts single words and pairs joined without a
+    hyphen; both get the same subdomains, domains and paths, so that hosts tell them apart.
+    """
+    n = len(GOOD_WORDS)
+    bad = [f"{w}-{BAD_WORDS[(i + step) % len(BAD_WORDS)]}" for step in (1, 5) for i, w in enumerate(BAD_WORDS)]
+    good = [*GOOD_WORDS, *[w + GOOD_WORDS[(i + 7) % n] for i, w in enumerate(GOOD_WORDS)]]
     out = []
-    for label, hosts, paths in ((1, BAD_HOSTS, BAD_PATHS), (0, GOOD_HOSTS, GOOD_PATHS)):
+    for label, hosts in ((1, bad), (0, good)):
         for i, host in enumerate(hosts):
-            for j, path in enumerate((*paths, *GOOD_PATHS[:2])):
-                out.append((f"http{'s' * (j % 2)}://{('www.', '', 'm.')[(i + j) % 3]}{host}.example.{('com', 'net', 'org')[(i + 2 * j) % 3]}{path}", label))
+            for j, path in enumerate(PATHS):
+                sub, domain = ("www.", "", "m.", "blog.")[(i + j) % 4], ("com", "net", "org")[(i + 2 * j) % 3]
+                out.append((f"http{'s' * (j % 2)}://{sub}{host}.example.{domain}{path.format(37 * i + j)}", label))
     return out
 
 
@@ -97,7 +104,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(labelled_urls(), "url string, bad int")
 
 
-def filter_urls(pages: DataFrame, model: tuple[list[float], float], *, rules=RULES, limit: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, model: tuple[list[float], float], *, rules=RULES, limit: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, bad: allow or block for every url.
 
     The longest fitting rule decides; without one, the model does: block where the probability `bad`
