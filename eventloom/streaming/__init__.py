@@ -1,0 +1 @@
+"""Reserved: every source here is a batch table; the operators are plain DataFrame functions."""
