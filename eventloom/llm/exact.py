@@ -14,13 +14,16 @@ BLOCK = 8192
 PART = 33
 
 
-def named(rows: DataFrame, key: list[str], ids: list[str]) -> DataFrame:
+def named(rows: DataFrame, key: list[str], ids: list[str], first: list[str] | None = None) -> DataFrame:
     """(ids, name): name is a long that rows share if and only if they agree in every key column.
 
     A global sort by (key, ids): a key's rows may fill several partitions, so no task holds a hot key.
     Each task numbers the runs of equal keys it streams over. A key that goes on from one partition to
     the next would get two numbers there, so each task also gives the first and the last key it saw;
     there are two such rows a partition, from which later partitions learn their true first number.
+
+    first: short columns that follow from the key, to deal the ranges by instead of a long key, whose
+    samples would fill the driver. Rows are still told apart by the key itself.
     """
     spark = rows.sparkSession
     n_ids = len(ids)
@@ -45,18 +48,19 @@ def named(rows: DataFrame, key: list[str], ids: list[str]) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = rows.select(*ids, *key)
+    first = first or key
     kinds = {f.name: f.type for f in to_arrow_schema(rows.schema)}
     spec = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in ids], "name long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in key], "edge int"])
     path = scratch(spark, "names")
-    rows.repartitionByRange(*key, *ids).sortWithinPartitions(*key, *ids).mapInArrow(number, spec).write.parquet(path)
+    order = list(dict.fromkeys([*first, *key, *ids]))
+    rows.repartitionByRange(*first, *ids).sortWithinPartitions(*order).select(*ids, *key).mapInArrow(number, spec).write.parquet(path)
     table = spark.read.schema(spec).parquet(path)
     # two rows a partition: bounded by the number of partitions
     ends = sorted(table.filter("edge is not null").select("name", "edge", *key).collect(), key=lambda r: (r["name"] >> PART, r["edge"]))
     moved: dict[int, int] = {}
-    for (_, last), (first, _) in zip(zip(ends[::2], ends[1::2], strict=True), zip(ends[2::2], ends[3::2], strict=True), strict=False):
-        if tuple(last[2:]) == tuple(first[2:]):
-            moved[first["name"]] = moved.get(last["name"], last["name"])
+    for (_, last), (head, _) in zip(zip(ends[::2], ends[1::2], strict=True), zip(ends[2::2], ends[3::2], strict=True), strict=False):
+        if tuple(last[2:]) == tuple(head[2:]):
+            moved[head["name"]] = moved.get(last["name"], last["name"])
     own = table.filter("edge is null").select(*ids, "name")
     if not moved:
         return own
@@ -68,7 +72,7 @@ def identities(docs: DataFrame, *, id_col: str, text_col: str, block: int = BLOC
     """The rows (doc_id, rk, chars, blocks, text_sha256), and (doc_id, rk, blocks, name) of each distinct row.
 
     A normalised text is cut into blocks of `block` characters; equal blocks get one integer by
-    sorting, then adjacent pairs of integers, level by level, until one is left. Texts of as many
+    sorting (by two hashes of a block, then the block: unequal blocks never share an integer), then adjacent pairs of integers, level by level, until one is left. Texts of as many
     blocks go through the same levels, so (blocks, name) is equal exactly for equal texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,7 +81,8 @@ def identities(docs: DataFrame, *, id_col: str, text_col: str, block: int = BLOC
     meta = written(rows.select("doc_id", "rk", "chars", blocks.alias("blocks"), F.sha2("t", 256).alias("text_sha256")), "texts")
     ids = ["doc_id", "rk", "blocks", "at"]
     cut = rows.select("doc_id", "rk", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"), "t")
-    names = named(cut.withColumn("b", F.substring("t", F.col("at") * block + 1, F.lit(block))), ["b"], ids)
+    cut = cut.select(*ids, F.substring("t", F.col("at") * block + 1, F.lit(block)).alias("b"))
+    names = named(cut.withColumns({"h1": F.xxhash64("b"), "h2": F.xxhash64(F.lit(1), "b")}), ["b"], ids, ["h1", "h2"])
     most = meta.agg(F.max("blocks")).first()[0] or 1
     done = names.filter("blocks = 1").select("doc_id", "rk", "blocks", "name")
     width = 1
