@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, stripped
+from .common import ascii_lower, group_facts, row_key, stripped, written
 
 WORD_BITS = 64
 
@@ -29,7 +29,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     """
     lines = docs.select(*_id(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
-    hashed = keyed.select("_doc", "_rk", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "pos")
+    # written, so that texts are split and hashed once: ranges are sampled before rows are dealt
+    hashed = written(keyed.select("_doc", "_rk", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "pos"), "lines")
     ranged = hashed.repartitionByRange("h1", "h2", "_doc", "_rk").sortWithinPartitions("h1", "h2", "_doc", "_rk", "pos")
     return ranged.groupBy("h1", "h2", "_doc", "_rk").agg(F.array_sort(F.collect_list("pos")).alias("at"))
 
@@ -42,9 +43,9 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     from word number to 64 bits, without the words that drop nothing.
     """
     found = occurrences(docs, id_col, text_col, min_chars)
-    first = F.min(F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))).alias("first")
-    common = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs)
-    lost = found.join(common, ["h1", "h2"])
+    first = F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))
+    counted = group_facts(found, ["h1", "h2"], [F.col("_doc"), F.col("_rk")], [F.count("*").alias("n"), F.min(first).alias("first")], [F.sum("n").alias("n"), F.min("first").alias("first")], F.col("n") >= min_docs)
+    lost = counted.filter("n is not null")
     if keep_first:
         is_first = F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_rk") == F.col("first._rk"))
         lost = lost.withColumn("at", F.when(is_first, F.filter("at", lambda p: p != F.col("first.pos"))).otherwise(F.col("at")))
@@ -67,9 +68,8 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
     """docs with n_lines, n_dropped and kept: the text without the lines that keep_bitmaps names.
 
     A text is split at every \\n, so null and empty texts have one (empty) line; blank lines have an
-    empty key and stay under min_chars >= 1. Null texts come out as empty `kept`. Repeated rows count
-    as documents if their line hashes are counted per row key: rows that agree in id and text are one document and lose the same
-    lines. Null ids are ids like any other. An empty table gives no rows. Columns named n_lines,
+    empty key and stay under min_chars >= 1. Null texts come out as empty `kept`. Rows that agree in id
+    and text count as one document and lose the same lines. Null ids are ids like any other. An empty table gives no rows. Columns named n_lines,
     n_dropped or kept are replaced, all others stay.
     """
     maps = keep_bitmaps(docs, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first, id_col=id_col, text_col=text_col)
