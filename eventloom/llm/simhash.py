@@ -35,26 +35,39 @@ def _chunks(text: bytes, words: int):
         yield [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash: a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
-    total, bits = 0, np.zeros(64, dtype=np.int64)
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits from the same hashes; k = 0: the hashes themselves."""
+    if not k:
+        return hashes
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(2 * (0x5851F42D4C957F2D + 0x14057B7EF767814F * k) % 2**64 | 1)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: str | None, words: int = 3, n: int = 1) -> tuple[int, ...]:
+    """n 64-bit SimHashes: a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
+    total, bits = 0, np.zeros((n, 64), dtype=np.int64)
     for some in _chunks((text or "").encode("utf-8", "surrogatepass"), words):
         hashes = np.array(some, dtype=np.uint64)
         total += len(hashes)
-        bits += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > total).view(np.uint64)[0])
+        for k in range(n):
+            bits[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * bits > total, axis=1).view(np.int64).ravel().tolist())
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, fp): rk tells rows of one id apart."""
+def fingerprints(docs: DataFrame, kinds: dict[str, tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, and a long column for each fingerprint): kinds gives for a name the words of a shingle and the number of 64-bit parts.
+
+    rk tells rows of one id apart. Parts are named name, name1, name2, ...
+    """
+    names = [f"{name}{k or ''}" for name, (_, n) in kinds.items() for k in range(n)]
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b["doc_id"], b["rk"], pa.array(fps)], names=["doc_id", "rk", "fp"])
+            fps = [sum((fingerprint(t.as_py(), words, n) for words, n in kinds.values()), ()) for t in b["text"]]
+            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in fps], pa.int64()) for i in range(len(names))]], names=["doc_id", "rk", *names])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names))
 
 
 def positions(max_bits: int) -> list[tuple[int, ...]]:
@@ -72,76 +85,87 @@ def positions(max_bits: int) -> list[tuple[int, ...]]:
     return [c for group in groups for c in combinations(group, size)]
 
 
-def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among distinct fingerprints of a posting: a spanning forest.
+def _forest(rows: np.ndarray, max_bits: int, shared: int, max_apart: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the rows (node, fp, sketch parts) of a posting: a spanning forest.
 
-    Count filter first: pairs must share the guaranteed number of bytes; then their bits are compared.
+    Count filter first: pairs must share `shared` bytes of fp at their positions; then bits are
+    compared, those of fp and those of the sketch. A row is linked to the nearest of those that reach it first.
     """
-    rest, links = np.arange(len(fps)), []
+    rest, links, fps = np.arange(len(rows)), [], rows[:, 1]
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            near = np.zeros(len(rest), dtype=bool)
+            least = np.full(len(rest), 1 << 20)
             by = np.zeros(len(rest), dtype=np.int64)
-            step = max(1, 2_000_000 // len(rest))
+            step = max(1, 1_000_000 // len(rest))
             for at in range(0, len(front), step):
-                apart = fps[front[at : at + step], None] ^ fps[rest][None, :]
-                shared = (apart.view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=2)
-                ok = shared >= BYTES - max_bits
-                ok[ok] = np.bitwise_count(apart[ok]) <= max_bits
-                new = ok.any(axis=0) & ~near
-                by[new] = front[at : at + step][ok.argmax(axis=0)[new]]
-                near |= new
-            links += zip(fps[by[near]].tolist(), fps[rest[near]].tolist(), strict=True)
+                some = front[at : at + step]
+                apart = fps[some, None] ^ fps[rest][None, :]
+                ok = (apart.view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=2) >= shared
+                far = np.full(apart.shape, 1 << 20)
+                x, y = np.nonzero(ok)
+                bits = np.bitwise_count(apart[x, y]).astype(np.int64)
+                sketch = np.bitwise_count(rows[some[x], 2:] ^ rows[rest[y], 2:]).sum(axis=1, dtype=np.int64)
+                far[x, y] = np.where((bits <= max_bits) & (sketch <= max_apart), 64 * sketch + bits, 1 << 20)
+                best = far.argmin(axis=0)
+                value = far[best, np.arange(len(rest))]
+                better = value < least
+                by[better], least[better] = some[best[better]], value[better]
+            near = least < 1 << 20
+            links += zip(rows[by[near], 0].tolist(), rows[rest[near], 0].tolist(), strict=True)
             front, rest = rest[near], rest[~near]
     return links
 
 
-def _linker(max_bits: int):
+def _linker(columns: list[str], *limits: int):
     def run(batches):
         key, held = None, []
+
+        def batch(links):
+            a = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+
         for b in batches:
             keys = np.stack([np.asarray(b[c]) for c in ("slot", "bytes", "i", "j")], axis=1)
-            fps = np.asarray(b["fp"]).view(np.uint64)
+            rows = np.stack([np.asarray(b[c]) for c in columns], axis=1).view(np.uint64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             links: list[tuple[int, int]] = []
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True):
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
                 if z == a:
                     continue
                 if key is not None and (keys[a] == key).all():
-                    held.append(fps[a:z])
+                    held.append(rows[a:z])
                     continue
-                if held:
-                    links += _forest(np.concatenate(held), max_bits)
-                key, held = keys[a], [fps[a:z]]
-            yield _batch(links)
+                if sum(map(len, held)) > 1:
+                    links += _forest(np.concatenate(held), *limits)
+                key, held = keys[a], [rows[a:z]]
+            yield batch(links)
         if held:
-            yield _batch(_forest(np.concatenate(held), max_bits))
-
-    def _batch(links):
-        a = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+            yield batch(_forest(np.concatenate(held), *limits))
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all within max_bits.
+def links(nodes: DataFrame, sure_bits: int, *, max_bits: int | None = None, sketch: tuple[str, ...] = (), max_apart: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links (a, b) between nodes (node, fp, sketch columns) that connect all within sure_bits of fp.
 
-    Postings list the fingerprints that share the bytes at one set of positions. A posting of n
-    rows is dealt into ceil(n / tile_rows) blocks and linked block against block, so that no task
-    holds a hot posting; each tile returns a spanning forest, at most as many links as it has rows.
+    Postings list the nodes that share the bytes at one set of positions. A posting of n rows is
+    dealt into ceil(n / tile_rows) blocks and linked block against block, so that no task holds a hot
+    posting; each tile returns a spanning forest, at most as many links as it has rows. Pairs
+    beyond sure_bits but within max_bits are linked too where they share as many bytes. With a
+    sketch, its parts may differ in max_apart bits at most.
     """
-    slots = positions(max_bits)
+    columns = ["node", "fp", *sketch]
+    slots = positions(sure_bits)
     parts = [F.struct(F.lit(k).alias("slot"), sum((F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)), 8 * i) for i, p in enumerate(slot)), F.lit(0).cast("long")).alias("bytes")) for k, slot in enumerate(slots)]
-    postings = distinct.select("fp", F.explode(F.array(*parts)).alias("k")).select("k.slot", "k.bytes", "fp")
+    postings = nodes.select(*columns, F.explode(F.array(*parts)).alias("k")).select("k.slot", "k.bytes", *columns)
     counts = postings.groupBy("slot", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / tile_rows).cast("int")
-    dealt = postings.join(counts, ["slot", "bytes"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = postings.join(counts, ["slot", "bytes"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("slot", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    tiles = tiles.repartition("slot", "bytes", "i", "j").sortWithinPartitions("slot", "bytes", "i", "j", "fp")
-    return tiles.mapInArrow(_linker(max_bits), "a long, b long").distinct()
+    tiles = tiles.select("slot", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+    tiles = tiles.repartition("slot", "bytes", "i", "j").sortWithinPartitions("slot", "bytes", "i", "j", "node")
+    return tiles.mapInArrow(_linker(columns, sure_bits if max_bits is None else max_bits, BYTES - sure_bits, max_apart), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,9 +199,9 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
     component id unless all of a component's ids are null. Repeated rows come out as often as they
     went in. An empty table gives no rows. Other columns are ignored; join on (doc_id, rk) for them.
     """
-    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = written(fingerprints(docs, {"fp": (words, 1)}, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(nodes.select("fp"), max_bits))
+    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits))
     found = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
     merged = found.join(least, "root").select("fp", "component_id")
@@ -185,3 +209,56 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
     out = group_facts(rows, ["fp"], [F.col("doc_id"), F.col("rk")], [F.min("doc_id").alias("m")], [F.min("m").alias("own")])
     out = out.join(merged, "fp", "left")
     return out.select("doc_id", "rk", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "own").alias("component_id"))
+
+
+#: Fingerprints of similar_groups: of pairs of words, indexed, and a sketch of SKETCH * 64 bits of whole shingles.
+PAIR, SKETCH = 2, 4
+SURE_BITS, MAX_BITS = 6, 9
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, set): sorted distinct shingle hashes of docs (node, text)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.concatenate([np.array(c, dtype=np.uint64) for c in _chunks((t.as_py() or "").encode("utf-8", "surrogatepass"), words)] or [np.empty(0, np.uint64)])).view(np.int64) for t in b["text"]]
+            yield pa.record_batch([b["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return docs.mapInArrow(run, "node long, set array<long>")
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id: documents linked, directly or over others, at a Jaccard similarity of word shingles.
+
+    Candidates come from SimHash: fingerprints of word pairs, which change little where few words
+    do, are indexed by byte positions (pairs within SURE_BITS can't be missed; those within MAX_BITS
+    are found if they share two bytes), and a sketch of SimHashes of the shingles sets most
+    candidates aside. Links that remain are held against the shingle sets themselves. Texts with equal
+    fingerprints and sketch are one node.
+
+    Texts of fewer words are one shingle; null, empty and blank ones are equal. Rows that share an
+    id are one document, and the smallest row key speaks for it; rows of null id stay alone
+    (component_id null). An empty table gives no rows; other columns are ignored.
+    """
+    sketch = tuple(f"s{k or ''}" for k in range(SKETCH))
+    rows = written(fingerprints(docs, {"fp": (PAIR, 1), "s": (words, SKETCH)}, id_col, text_col), "fingerprints")
+    once = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("rk", "fp", *sketch), "rk").alias("f")).select("doc_id", "f.*")
+    nodes = once.groupBy("fp", *sketch).agg(F.min(F.struct("doc_id", "rk")).alias("d")).select(F.col("d.doc_id").cast("long").alias("node"), "d.rk", "fp", *sketch)
+    nodes = written(nodes, "nodes")
+    # two texts of that similarity share 2 s / (1 + s) of their shingles; an angle of this cosine, and three deviations
+    cosine = 2 * similarity / (1 + similarity)
+    apart = np.arccos(cosine) / np.pi
+    limit = int(64 * SKETCH * apart + 3 * np.sqrt(64 * SKETCH * apart * (1 - apart)))
+    maybe = written(links(nodes.select("node", "fp", *sketch), SURE_BITS, max_bits=MAX_BITS, sketch=sketch, max_apart=limit), "links")
+    ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.select("node", "rk").join(ends, "node")
+    texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+    texts = texts.join(asked, (texts["_id"] == asked["node"]) & (texts["rk"] == asked["rk"])).select("node", "text")
+    sets = written(_shingle_sets(texts, words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
+    # every b has a few links, an a may have very many: b's set goes along to where a's is
+    pairs = maybe.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "set"), "a")
+    common = F.size(F.array_intersect("set", "t"))
+    near = pairs.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b")
+    joined = components(near)
+    spread = group_facts(once, ["fp", *sketch], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
+    return spread.join(joined, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
