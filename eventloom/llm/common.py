@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: The white space of all text contracts here: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -68,5 +68,5 @@ def widened(df: DataFrame, **columns: str) -> StructType:
     """df's schema and further columns (name=type)."""
     out = StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out

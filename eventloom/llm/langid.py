@@ -61,7 +61,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         def counted(held):
             for lang, parts in held.items():
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         held, room = {}, 4 * SPAN
         for b in batches:
