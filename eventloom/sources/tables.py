@@ -75,7 +75,7 @@ def sync_columns(timestamp: Column, video: Column) -> list[Column]:
 
 def sync(spark: SparkSession, path: str) -> DataFrame:
     """(exp, row_pos, start_us, end_us, file_num) of sync files under folders named by experiment; row_pos is the line's place in its file."""
-    lines = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     each = lines.select(F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/[^/]*$", 1).try_cast("int").alias("exp"), F.posexplode(F.split("value", "\r?\n")).alias("row_pos", "line"))
     rows = each.filter((F.col("row_pos") > 0) & (F.trim("line") != "")).withColumn("c", F.from_csv("line", F.lit("timestamp string, video string"), {"quote": '"'}))
     return rows.select("exp", F.col("row_pos").cast("long").alias("row_pos"), *sync_columns(F.col("c.timestamp"), F.col("c.video")))
@@ -97,7 +97,7 @@ def log_lines(text: DataFrame, text_col: str = "value", keep: tuple[str, ...] =
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
     """log_lines of all log files of a month folder, with exp and the start time of their names."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).withColumn("source_log_file", _name())
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).withColumn("source_log_file", _name())
     files = files.filter(F.rlike("source_log_file", F.lit(LOG_NAME)))
     rows = log_lines(files, keep=("source_log_file",))
     named = rows.withColumn("exp", F.regexp_extract("source_log_file", LOG_NAME, 1).cast("int")).withColumn("experiment_start_us", parsed_micros(F.regexp_extract("source_log_file", LOG_NAME, 2), LOG_TIME))
