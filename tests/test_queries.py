@@ -13,6 +13,8 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+#: Queries that find nothing in the smallest tables.
+NO_ROWS_HERE = {"bout_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +43,7 @@ def test_same_as_sql(spark, sf, duck, name):
     names = [x[0] for x in res.description]
     assert sorted(names) == cols
     want = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall())
-    assert got == want and got
+    assert got == want and (got or name in NO_ROWS_HERE)
 
 
 def test_rows_only(spark, sf):
