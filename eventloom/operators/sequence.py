@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import signed_log
+from .ordered import neighbour
 
 #: Bands of gaps in seconds, (name, lower strict or None for >= 0, upper inclusive).
 BANDS = (("right", None, 0.05), ("mid", 0.05, 2.0), ("left", 2.0, 300.0))
 SEQUENCE = ("exp", "channel")
 
 
-def in_order(*keys: str):
-    return Window.partitionBy(*keys).orderBy("start_us", "stop_us", "event_type", "call_id")
+#: Order of a sequence: time first, ties by stop, type and id.
+ORDER = ("start_us", "stop_us", "event_type", "call_id")
 
 
 def drop_noise(calls: DataFrame, label: str = "noise") -> DataFrame:
@@ -35,19 +36,19 @@ def gaps(calls: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:
 
     With event_type among the keys these are the gaps within one type, whatever comes between.
     """
-    gap = F.lead("start_us").over(in_order(*keys)) - F.col("stop_us")
-    return calls.withColumn("gap_us", gap).filter("gap_us >= 0")
+    rows = neighbour(calls, keys, ORDER, ["start_us"])
+    return rows.withColumn("gap_us", F.col("_next.start_us") - F.col("stop_us")).drop("_next").filter("gap_us >= 0")
 
 
 def start_intervals(calls: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:
     """Microseconds from each start to the next; null at a sequence's end."""
-    return calls.withColumn("interval_us", F.lead("start_us").over(in_order(*keys)) - F.col("start_us"))
+    return neighbour(calls, keys, ORDER, ["start_us"]).withColumn("interval_us", F.col("_next.start_us") - F.col("start_us")).drop("_next")
 
 
 def pairs(calls: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:
     """(keys, from_type, to_type, gap_us) of consecutive calls; filters go before this. A null stop makes no pair."""
-    w = in_order(*keys)
-    out = calls.select(*calls.columns, F.col("event_type").alias("from_type"), F.lead("event_type").over(w).alias("to_type"), (F.lead("start_us").over(w) - F.col("stop_us")).alias("gap_us"))
+    rows = neighbour(calls, keys, ORDER, ["event_type", "start_us"])
+    out = rows.select(*calls.columns, F.col("event_type").alias("from_type"), F.col("_next.event_type").alias("to_type"), (F.col("_next.start_us") - F.col("stop_us")).alias("gap_us"))
     return out.filter("to_type is not null and gap_us is not null")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import neighbour, running_sum
+
 ORDER = ("start_us", "stop_us", "call_id")
 
 
@@ -17,14 +19,16 @@ def bouts(calls: DataFrame, *, gap_us: int = 10_000_000, min_events: int = 5, ke
     min_events or more are numbered 1, 2, ... in time order within the key; order ends in a
     unique column so that ties can't change the result.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    since = F.col("start_us") - F.lag("start_us").over(w)
-    chained = calls.withColumn("_new", F.when(since < gap_us, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy(*keys, "_chain")
-    sized = chained.withColumn("_n", F.count("*").over(chain)).withColumn("_at", F.row_number().over(chain.orderBy(*order)))
-    big = F.col("_n") >= min_events
-    number = F.sum(F.when(big & (F.col("_at") == 1), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("bout_id", F.when(big, number).cast("long")).withColumn("position_in_bout", F.when(big, F.col("_at")).cast("long")).drop("_new", "_chain", "_n", "_at")
+    rows = neighbour(calls, keys, order, ["start_us"], after=False)
+    new = F.when(F.col("start_us") - F.col("_prev.start_us") < gap_us, 0).otherwise(1)
+    rows = running_sum(rows.withColumn("_new", new).drop("_prev"), keys, order, {"_chain": F.col("_new"), "_at": F.lit(1)}).drop("_new")
+    chains = rows.groupBy(*keys, "_chain").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).filter(F.col("_n") >= min_events)
+    # numbers count the chains that are long enough, again piece by piece
+    numbered = running_sum(chains, keys, ["_chain"], {"bout_id": F.lit(1)}, step=1_000_000).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chain").alias("_c"), "_first", "bout_id")
+    same = rows["_chain"] == numbered["_c"]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(numbered[f"_k_{k}"])
+    return rows.join(numbered, same, "left").select(*calls.columns, "bout_id", (F.col("_at") - F.col("_first") + 1).alias("position_in_bout"))
 
 
 def with_bouts(calls: DataFrame, bouts_: DataFrame, on: Sequence[str] = ("call_id",)) -> DataFrame:

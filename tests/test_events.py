@@ -290,8 +290,19 @@ def test_invariants(spark, sf):
     assert hours["day"] + hours["night"] == pytest.approx(hours["all"], abs=1e-3)
 
 
-def test_one_window_exchange_for_transitions(spark, sf):
-    from eventloom.plans.views import calls
-
-    plan = sequence.pairs(calls(spark, sf))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_long_sequences_in_pieces(spark, step):
+    """Neighbours and running sums over cuts are those of one window."""
+    from pyspark.sql import Window
+
+    from eventloom.operators import ordered
+
+    rng = random.Random(step)
+    data = [(rng.choice([1, 2, None]), rng.choice([None, rng.randint(0, 60)]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, t long, id long")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.lead("id").over(w).alias("next"), F.lag("id").over(w).alias("prev"), F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    got = ordered.neighbour(df, ["k"], ["t", "id"], ["id"], step=step)
+    got = ordered.neighbour(got, ["k"], ["t", "id"], ["id"], after=False, step=step)
+    got = ordered.running_sum(got, ["k"], ["t", "id"], {"s": F.col("id")}, step=step).select("id", F.col("_next.id").alias("next"), F.col("_prev.id").alias("prev"), "s")
+    assert rows(got, "id", "next", "prev", "s") == rows(want, "id", "next", "prev", "s")
