@@ -66,3 +66,8 @@ def trailing_number(names: Column) -> Column:
 def trailing_digits(text: Column) -> Column:
     """A text as a number: the whole of it or else its last digits; null without any."""
     return F.coalesce(text.try_cast("long"), F.regexp_extract(text, r"(\d+)\D*$", 1).try_cast("long"))
+
+
+def rounded(x: Column, digits: int = 3) -> Column:
+    """Half-even rounding."""
+    return F.bround(x, digits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,28 @@ def terminal_chunks(chunks: DataFrame, most: int = 2**32 - 1) -> DataFrame:
     last = chunks.groupBy("exp").agg(F.max("file_num").alias("_last"))
     big = F.col("size") > most
     return chunks.join(last, "exp").withColumn("status", F.when(~big, "ok").when(F.col("file_num") == F.col("_last"), "excluded").otherwise("error")).drop("_last")
+
+
+def inventory(calls: DataFrame, places: dict[int, str]) -> DataFrame:
+    """(event_type, n, n_channels, n_unmapped): calls of each label, its channels, and calls whose channel has no place."""
+    from ..functions.labels import location
+
+    return calls.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("n_channels"), F.count_if(location(F.col("channel"), places).isNull()).alias("n_unmapped"))
+
+
+def distinct_labels(calls: DataFrame, label: str = "event_type") -> DataFrame:
+    """Sorted distinct labels."""
+    return calls.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label)
+
+
+def examples(calls: DataFrame, k: int, by: str = "event_type", order: tuple = ("call_id",)) -> DataFrame:
+    """At most k rows of each label."""
+    return calls.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+
+
+def all_ids(*tables: DataFrame, key: str = "exp") -> DataFrame:
+    """Sorted distinct ids of several tables."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.union(t.select(key))
+    return out.distinct().orderBy(key)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Id ranges (inclusive) and the month folder of each.
-#: Filled by callers from their own configuration; ranges must not overlap.
+#: Fixed value: the playback channel of experiments that aren't listed.
 PLAYBACK_DEFAULT = 6
 
 
@@ -67,3 +66,8 @@ def expanded(selection: DataFrame, column: str = "sel") -> DataFrame:
 def playback_channel(rows: DataFrame, table: DataFrame, default: int = PLAYBACK_DEFAULT) -> DataFrame:
     """rows with the playback channel of their experiment, or the default."""
     return rows.join(F.broadcast(table.select("exp", F.col("channel").alias("_c"))), "exp", "left").withColumn("playback_channel", F.coalesce("_c", F.lit(default))).drop("_c")
+
+
+def with_channel(calls: DataFrame) -> DataFrame:
+    """assigned_channel under the name channel, unless there is a channel already."""
+    return calls if "channel" in calls.columns else calls.withColumnRenamed("assigned_channel", "channel")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import loudest
+from .ordered import neighbour, running_sum
 
 
 def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[str] = ("exp", "file_num"), onset: str = "onset_us", ties: Sequence[str] = ("call_id",)) -> DataFrame:
@@ -17,8 +18,9 @@ def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[
     so the fold runs over such runs, not over whole files: a run is a burst of overlapping
     detections, and its fold only needs the anchor and the group number.
     """
-    w = Window.partitionBy(*keys).orderBy(onset, *ties)
-    runs = calls.withColumn("_new", F.when(F.col(onset) - F.lag(onset).over(w) <= window_us, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = neighbour(calls, keys, (onset, *ties), [onset], after=False)
+    rows = rows.withColumn("_new", F.when(F.col(onset) - F.col(f"_prev.{onset}") <= window_us, 0).otherwise(1)).drop("_prev")
+    runs = running_sum(rows, keys, (onset, *ties), {"_run": F.col("_new")}).drop("_new")
     rest = [c for c in calls.columns if c not in keys]
     row = F.struct(F.col(onset).alias("_o"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)], F.struct(*rest).alias("_row"))
     folded = F.aggregate(
@@ -27,9 +29,9 @@ def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[
         lambda a, x: F.when(x["_o"] - a["anchor"] <= window_us, F.struct(a["anchor"].alias("anchor"), a["n"].alias("n"), F.array_append(a["groups"], a["n"]).alias("groups"))).otherwise(F.struct(x["_o"].cast("long").alias("anchor"), (a["n"] + 1).alias("n"), F.array_append(a["groups"], a["n"] + 1).alias("groups"))),
     )
     grouped = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(row)).alias("_rows"), folded["groups"].alias("_groups"))
-    flat = grouped.select(*keys, "_run", F.explode(F.arrays_zip("_rows", "_groups")).alias("z")).select(*keys, "_run", "z._rows._row.*", F.col("z._groups").alias("_g"))
-    starts = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_run", "_g"))
-    return flat.withColumn("group_no", starts.cast("long")).drop("_run", "_g")
+    grouped = running_sum(grouped, keys, ["_run"], {"_upto": F.array_max("_groups")}, step=1_000_000)
+    flat = grouped.select(*keys, (F.col("_upto") - F.array_max("_groups")).alias("_before"), F.explode(F.arrays_zip("_rows", "_groups")).alias("z"))
+    return flat.select(*keys, "z._rows._row.*", (F.col("_before") + F.col("z._groups")).alias("group_no"))
 
 
 def choose_loudest(grouped: DataFrame, levels: Sequence[str], *, keys: Sequence[str] = ("exp", "file_num"), order: Sequence[str] = ("onset_us", "call_id"), compat: bool = False) -> DataFrame:

@@ -605,8 +605,27 @@ def spectral_features(spark, d) -> DataFrame:
 
 @query("c", "SELECT event_type, call_id, value FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, call_id) <= 3")
 def top_examples(spark, d) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy(F.desc("value"), "call_id")
-    return calls(spark, d).withColumn("_r", F.row_number().over(w)).filter("_r <= 3").select("event_type", "call_id", "value")
+    return audit.examples(calls(spark, d), 3, order=(F.desc("value"), "call_id")).select("event_type", "call_id", "value")
+
+
+@query("c", "SELECT event_type, count(*) AS n, count(DISTINCT channel) AS n_channels, count(*) FILTER (WHERE channel = 30) AS n_unmapped FROM c GROUP BY event_type")
+def label_inventory(spark, d) -> DataFrame:
+    return audit.inventory(calls(spark, d), {10: "arena_1", 20: "arena_2"})
+
+
+@query("c", "SELECT DISTINCT event_type FROM c")
+def distinct_labels(spark, d) -> DataFrame:
+    return audit.distinct_labels(calls(spark, d))
+
+
+@query("c", "SELECT DISTINCT exp FROM (SELECT exp FROM c UNION SELECT o_custkey AS exp FROM orders)")
+def all_experiments(spark, d) -> DataFrame:
+    return audit.all_ids(calls(spark, d), table(spark, d, "orders").select(F.col("o_custkey").alias("exp")))
+
+
+@query("c", "SELECT call_id, round_even(value / 7, 3) AS value FROM c")
+def half_even(spark, d) -> DataFrame:
+    return calls(spark, d).select("call_id", clock.rounded(F.col("value") / 7).alias("value"))
 
 
 @query("", """SELECT l_orderkey AS file_num, l_returnflag AS event_type, CAST(l_linenumber AS DOUBLE) AS start_time_file_sec, l_linenumber + l_quantity AS stop_time_file_sec, round(l_quantity, 6) AS duration_sec,

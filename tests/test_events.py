@@ -306,3 +306,21 @@ def test_long_sequences_in_pieces(spark, step):
     got = ordered.neighbour(got, ["k"], ["t", "id"], ["id"], after=False, step=step)
     got = ordered.running_sum(got, ["k"], ["t", "id"], {"s": F.col("id")}, step=step).select("id", F.col("_next.id").alias("next"), F.col("_prev.id").alias("prev"), "s")
     assert rows(got, "id", "next", "prev", "s") == rows(want, "id", "next", "prev", "s")
+
+
+def test_analyses(spark):
+    from eventloom.plans import analyses
+
+    sync = spark.createDataFrame([(1, 0, 1, 9 * 3600 * S, 9 * 3600 * S + 60 * S)], "exp int, row_pos int, file_num long, start_us long, end_us long")
+    calls = spark.createDataFrame([(1, 1, 1, 10, " Tild ", 0, S // 100), (2, 1, 1, 10, "noise", S // 50, S // 40), (3, 1, 1, 10, "tilda", S // 25, S), (4, 1, 9, 10, "x", 0, 1)], "call_id long, exp int, file_num long, assigned_channel int, event_type string, start_file_us long, stop_file_us long")
+    out = analyses.transition_analysis(calls, sync, order=["tilda"], places={10: "arena"})
+    assert rows(out["transitions"].filter("n > 0"), "variant", "band", "n") == [("all", "right", 1), ("day", "right", 1)]
+    assert rows(out["missing_files"], "file_num") == [(9,)] and out["gaps"].count() == 1 and out["hours"].count() == 3 and out["self_gaps"].count() == 2
+    r = analyses.rate_analysis(calls, sync, spark.createDataFrame([(1, "f", 2)], "exp int, folder string, animals int"), ["f"])
+    assert rows(r["per_experiment"], "n", "rate") == [(4, 2.0)] and r["wide"].columns == ["event_type", "f_mean", "f_std"] and r["rejects"].count() == 0
+    chunks = spark.createDataFrame([(1, 1, c, 100, [float(v)] * 200) for c, v in ((10, 0.1), (20, 0.9))], "exp int, file_num long, channel int, rate int, samples array<float>")
+    det = spark.createDataFrame([(1, 1, 1, "a", 0.1, 0.2), (1, 1, 2, "a", 0.11, 0.3), (1, 1, 3, "b", 1.0, 1.5)], "exp int, file_num long, call_id long, label string, onset_s double, offset_s double")
+    s = analyses.source_assignment(det, chunks, {"arena_1": 10, "arena_2": 20}, {10: "arena_1", 20: "arena_2"})
+    assert rows(s["calls"], "event_type", "start_time_file_sec", "assigned_channel") == [("a", 0.1, 20), ("b", 1.0, 20)] and s["log"].count() == 2
+    b = analyses.bout_analysis(spark.createDataFrame([(i, 1, 10, "alarm", i * S, i * S) for i in range(6)] + [(9, 1, 10, "other", 0, 0)], CALL))
+    assert b["calls"].count() == 7 and rows(b["bouts"], "n_calls") == [(6,)]
