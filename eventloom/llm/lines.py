@@ -27,7 +27,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     ranges, and sorted by position within these: the first of a document's positions is the line's
     first occurrence there.
     """
-    lines = docs.select(*_id(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    lines = docs.select(*_id(docs, id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
     # written, so that texts are split and hashed once: ranges are sampled before rows are dealt
     hashed = written(keyed.select("_doc", "_rk", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "pos"), "lines")
