@@ -17,16 +17,19 @@ DAY_US = 86_400_000_000
 FIRST = -(2**62)
 
 
-def pieces(df: DataFrame, by: str, step: int) -> DataFrame:
-    """df with _piece: which piece of its sequence a row belongs to."""
-    return df.withColumn("_piece", F.coalesce(F.floor(F.col(by) / step).cast("long"), F.lit(FIRST)))
+def pieces(df: DataFrame, keys: Sequence[str], by: str, step: int) -> DataFrame:
+    """df with _seq: the sequence and the piece of it that a row belongs to.
+
+    One struct, never null itself, so that the window's partitioning also serves the join: rows are shuffled once.
+    """
+    piece = F.coalesce(F.floor(F.col(by) / step).cast("long"), F.lit(FIRST))
+    return df.withColumn("_seq", F.struct(*keys, piece.alias("_piece")))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    out = a["_piece"] == b["_piece"]
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+def _over_cuts(ends: DataFrame, keys: Sequence[str], carried: dict[str, Column]) -> DataFrame:
+    """(_seq, carried): window columns over the pieces of each sequence."""
+    flat = ends.select("*", *[F.col(f"_seq.{k}").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_seq._piece").alias("_piece"))
+    return flat.select("_seq", *[c.alias(n) for n, c in carried.items()])
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], *, after: bool = True, step: int = DAY_US) -> DataFrame:
@@ -35,24 +38,25 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     order begins with the time column that pieces are cut by.
     """
     name, row = "_next" if after else "_prev", F.struct(*columns)
-    cut = pieces(df, order[0], step)
-    w = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    inner = cut.withColumn("_in", (F.lead if after else F.lag)(row).over(w))
-    key = F.struct(*[F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("v")).alias(f"o{i}") for i, c in enumerate(order)])
-    ends = cut.groupBy(*keys, "_piece").agg((F.min_by if after else F.max_by)(row, key).alias("_end"))
-    over = (F.lead if after else F.lag)("_end").over(Window.partitionBy(*keys).orderBy("_piece"))
-    ends = ends.select(*keys, "_piece", over.alias("_over"))
-    return inner.join(ends, _same(inner, ends, keys), "left").select(*[inner[c] for c in df.columns], F.coalesce("_in", "_over").alias(name))
+    cut = pieces(df, keys, order[0], step)
+    inner = cut.withColumn("_in", (F.lead if after else F.lag)(row).over(Window.partitionBy("_seq").orderBy(*order)))
+    if list(columns) == [order[0]]:
+        # a piece's end is a minimum or maximum, which hashes before the shuffle
+        ends = cut.groupBy("_seq").agg((F.min if after else F.max)(order[0]).alias("_t")).select("_seq", F.struct(F.col("_t").alias(order[0])).alias("_end"))
+    else:
+        key = F.struct(*[F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("v")).alias(f"o{i}") for i, c in enumerate(order)])
+        ends = cut.groupBy("_seq").agg((F.min_by if after else F.max_by)(row, key).alias("_end"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_piece")
+    ends = _over_cuts(ends, keys, {"_over": (F.lead if after else F.lag)("_end").over(w)})
+    return inner.join(ends, "_seq", "left").select(*df.columns, F.coalesce("_in", "_over").alias(name))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], *, step: int = DAY_US) -> DataFrame:
     """df with running sums (name: summed column), the row itself included."""
-    cut = pieces(df, order[0], step)
-    cut = cut.withColumns({f"_x_{n}": c.cast("long") for n, c in sums.items()})
-    w = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = pieces(df, keys, order[0], step).withColumns({f"_x_{n}": c.cast("long") for n, c in sums.items()})
+    w = Window.partitionBy("_seq").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = cut.withColumns({f"_in_{n}": F.sum(f"_x_{n}").over(w) for n in sums})
-    totals = cut.groupBy(*keys, "_piece").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_piece", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    out = inner.join(totals, _same(inner, totals, keys), "left")
-    return out.select(*[inner[c] for c in df.columns], *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+    totals = cut.groupBy("_seq").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = _over_cuts(totals, keys, {f"_b_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in sums})
+    return inner.join(totals, "_seq", "left").select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
