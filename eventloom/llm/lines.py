@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, group_facts, row_key, stripped, written
+from .common import ascii_lower, group_facts, stripped, written
 
 WORD_BITS = 64
 
@@ -16,13 +16,14 @@ def line_key(line: Column) -> Column:
 
 
 def _id(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("_doc"), row_key(F.col(id_col), F.col(text_col)).alias("_rk")]
+    # 32 bits are enough to tell texts of one id apart
+    return [F.col(id_col).alias("_doc"), F.hash(F.col(id_col), F.col(text_col)).alias("_rk")]
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(_doc, _rk, h1, h2, at): the positions of each distinct line key in each document.
 
-    Keys shorter than min_chars code points are left out. Two 64-bit hashes stand for a key. Rows are
+    Keys shorter than min_chars code points are left out. Two hashes, 96 bits, stand for a key. Rows are
     dealt by ranges of (hash, document), so that a line found in very many documents fills several
     ranges, and sorted by position within these: the first of a document's positions is the line's
     first occurrence there.
@@ -30,7 +31,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     lines = docs.select(*_id(docs, id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
     # written, so that texts are split and hashed once: ranges are sampled before rows are dealt
-    hashed = written(keyed.select("_doc", "_rk", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "pos"), "lines")
+    hashed = written(keyed.select("_doc", "_rk", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "pos"), "lines")
     ranged = hashed.repartitionByRange("h1", "h2", "_doc", "_rk").sortWithinPartitions("h1", "h2", "_doc", "_rk", "pos")
     return ranged.groupBy("h1", "h2", "_doc", "_rk").agg(F.array_sort(F.collect_list("pos")).alias("at"))
 
@@ -42,7 +43,7 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     keep_first, all but the first one by document id (nulls first) and position. A bitmap is compressed: a map
     from word number to 64 bits, without the words that drop nothing.
     """
-    found = occurrences(docs, id_col, text_col, min_chars)
+    found = written(occurrences(docs, id_col, text_col, min_chars), "occurrences")
     first = F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))
     counted = group_facts(found, ["h1", "h2"], [F.col("_doc"), F.col("_rk")], [F.count("*").alias("n"), F.min(first).alias("first")], [F.sum("n").alias("n"), F.min("first").alias("first")], F.col("n") >= min_docs)
     lost = counted.filter("n is not null")
