@@ -14,8 +14,8 @@ from .common import group_facts, row_key, written
 
 SEED = 42
 BYTES = 8
-#: Rows of one tile side of a hot posting, and shingles hashed at once.
-TILE_ROWS, CHUNK = 2048, 1 << 16
+#: Rows of one tile side of a hot posting, rows of postings whose pairs are compared all at once, and shingles hashed at once.
+TILE_ROWS, SMALL, CHUNK = 2048, 16, 1 << 16
 ONE = np.uint64(1)
 
 
@@ -117,6 +117,21 @@ def _forest(rows: np.ndarray, max_bits: int, shared: int, max_apart: int) -> lis
     return links
 
 
+def _small_links(rows: np.ndarray, run: np.ndarray, small: np.ndarray, max_bits: int, shared: int, max_apart: int) -> np.ndarray:
+    """Links of all postings of up to SMALL rows in a batch, compared at one distance in the batch after the other."""
+    found = [np.empty((0, 2), dtype=np.uint64)]
+    for d in range(1, SMALL):
+        i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+        if not len(i):
+            break
+        apart = rows[i, 1] ^ rows[i + d, 1]
+        ok = ((apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(apart) <= max_bits)
+        i = i[ok]
+        i = i[np.bitwise_count(rows[i, 2:] ^ rows[i + d, 2:]).sum(axis=1, dtype=np.int64) <= max_apart]
+        found.append(np.stack([rows[i, 0], rows[i + d, 0]], axis=1))
+    return np.concatenate(found)
+
+
 def _linker(columns: list[str], *limits: int):
     def run(batches):
         key, held = None, []
@@ -126,20 +141,24 @@ def _linker(columns: list[str], *limits: int):
             return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for b in batches:
+            if not b.num_rows:
+                continue
             keys = np.stack([np.asarray(b[c]) for c in ("slot", "bytes", "i", "j")], axis=1)
             rows = np.stack([np.asarray(b[c]) for c in columns], axis=1).view(np.uint64)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            links: list[tuple[int, int]] = []
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-                if z == a:
-                    continue
-                if key is not None and (keys[a] == key).all():
-                    held.append(rows[a:z])
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            sizes = np.diff(np.append(starts, len(rows)))
+            # the first posting may go on from the batch before, the last one into the next
+            inner = (sizes <= SMALL) & (np.arange(len(sizes)) > 0) & (np.arange(len(sizes)) < len(sizes) - 1)
+            links = [_small_links(rows, np.repeat(np.arange(len(sizes)), sizes), np.repeat(inner, sizes), *limits)]
+            for k in np.flatnonzero(~inner).tolist():
+                part = rows[starts[k] : starts[k] + sizes[k]]
+                if key is not None and (keys[starts[k]] == key).all():
+                    held.append(part)
                     continue
                 if sum(map(len, held)) > 1:
-                    links += _forest(np.concatenate(held), *limits)
-                key, held = keys[a], [rows[a:z]]
-            yield batch(links)
+                    links.append(_forest(np.concatenate(held), *limits))
+                key, held = keys[starts[k]], [part]
+            yield from (batch(x) for x in links if len(x))
         if held:
             yield batch(_forest(np.concatenate(held), *limits))
 
@@ -151,7 +170,8 @@ def links(nodes: DataFrame, sure_bits: int, *, max_bits: int | None = None, sket
 
     Postings list the nodes that share the bytes at one set of positions. A posting of n rows is
     dealt into ceil(n / tile_rows) blocks and linked block against block, so that no task holds a hot
-    posting; each tile returns a spanning forest, at most as many links as it has rows. Pairs
+    posting; each tile returns a spanning forest, at most as many links as it has rows, and a posting
+    of up to SMALL rows all its links. Pairs
     beyond sure_bits but within max_bits are linked too where they share as many bytes. With a
     sketch, its parts may differ in max_apart bits at most.
     """
