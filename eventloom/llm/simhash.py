@@ -43,10 +43,9 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: str | None, words: int = 3, n: int = 1) -> tuple[int, ...]:
-    """n 64-bit SimHashes: a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
+def _simhash(chunks, n: int) -> tuple[int, ...]:
     total, bits = 0, np.zeros((n, 64), dtype=np.int64)
-    for some in _chunks((text or "").encode("utf-8", "surrogatepass"), words):
+    for some in chunks:
         hashes = np.array(some, dtype=np.uint64)
         total += len(hashes)
         for k in range(n):
@@ -54,6 +53,11 @@ def fingerprint(text: str | None, words: int = 3, n: int = 1) -> tuple[int, ...]
     return tuple(np.packbits(2 * bits > total, axis=1).view(np.int64).ravel().tolist())
 
 
+def fingerprint(text: str | None, words: int = 3, n: int = 1) -> tuple[int, ...]:
+    """n 64-bit SimHashes: a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
+    return _simhash(_chunks((text or "").encode("utf-8", "surrogatepass"), words), n)
+
+
 def fingerprints(docs: DataFrame, kinds: dict[str, tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, rk, and a long column for each fingerprint): kinds gives for a name the words of a shingle and the number of 64-bit parts.
 
@@ -236,17 +240,40 @@ PAIR, SKETCH = 2, 4
 SURE_BITS, MAX_BITS = 6, 9
 
 
+def _distinct(chunks: list) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(np.concatenate([np.array(c, dtype=np.uint64) for c in chunks] or [np.empty(0, np.uint64)]))
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, set): sorted distinct shingle hashes of docs (node, text)."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.concatenate([np.array(c, dtype=np.uint64) for c in _chunks((t.as_py() or "").encode("utf-8", "surrogatepass"), words)] or [np.empty(0, np.uint64)])).view(np.int64) for t in b["text"]]
+            sets = [_distinct(list(_chunks((t.as_py() or "").encode("utf-8", "surrogatepass"), words))).view(np.int64) for t in b["text"]]
             yield pa.record_batch([b["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return docs.mapInArrow(run, "node long, set array<long>")
 
 
+def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, fp, sketch parts, same0, same1): what similar_groups knows of a text; same is 128 bits of its shingle set."""
+    names = ["fp", *sketch, "same0", "same1"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                text = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                chunks = list(_chunks(text, words))
+                same = np.frombuffer(xxhash.xxh3_128_digest(_distinct(chunks).tobytes(), SEED), dtype=np.int64)
+                rows.append((*_simhash(_chunks(text, PAIR), 1), *_simhash(chunks, len(sketch)), *same.tolist()))
+            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]], names=["doc_id", "rk", *names])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names))
+
+
 def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id: documents linked, directly or over others, at a Jaccard similarity of word shingles.
 
@@ -254,16 +281,16 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     do, are indexed by byte positions (pairs within SURE_BITS can't be missed; those within MAX_BITS
     are found if they share two bytes), and a sketch of SimHashes of the shingles sets most
     candidates aside. Links that remain are held against the shingle sets themselves. Texts with equal
-    fingerprints and sketch are one node.
+    shingle sets (128 bits of the sorted distinct hashes) are one node.
 
     Texts of fewer words are one shingle; null, empty and blank ones are equal. Rows that share an
     id are one document, and the smallest row key speaks for it; rows of null id stay alone
     (component_id null). An empty table gives no rows; other columns are ignored.
     """
     sketch = tuple(f"s{k or ''}" for k in range(SKETCH))
-    rows = written(fingerprints(docs, {"fp": (PAIR, 1), "s": (words, SKETCH)}, id_col, text_col), "fingerprints")
-    once = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("rk", "fp", *sketch), "rk").alias("f")).select("doc_id", "f.*")
-    nodes = once.groupBy("fp", *sketch).agg(F.min(F.struct("doc_id", "rk")).alias("d")).select(F.col("d.doc_id").cast("long").alias("node"), "d.rk", "fp", *sketch)
+    rows = written(_profiles(docs, words, sketch, id_col, text_col), "fingerprints")
+    once = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rk", "fp", *sketch, "same0", "same1")).alias("f")).select("doc_id", "f.*")
+    nodes = once.groupBy("same0", "same1").agg(F.min(F.struct("doc_id", "rk", "fp", *sketch)).alias("d")).select(F.col("d.doc_id").cast("long").alias("node"), "d.rk", "d.fp", *[f"d.{c}" for c in sketch])
     nodes = written(nodes, "nodes")
     # two texts of that similarity share 2 s / (1 + s) of their shingles; an angle of this cosine, and three deviations
     cosine = 2 * similarity / (1 + similarity)
@@ -280,5 +307,5 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     common = F.size(F.array_intersect("set", "t"))
     near = pairs.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b")
     joined = components(near)
-    spread = group_facts(once, ["fp", *sketch], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
+    spread = group_facts(once, ["same0", "same1"], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
     return spread.join(joined, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

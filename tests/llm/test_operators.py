@@ -199,6 +199,14 @@ def test_similar_groups_brute(spark, sf):
     assert got == want and got[10_001] == 10_000 and got[10_002] == 10_002
 
 
+def test_similar_groups_filler(spark):
+    """A shingle that makes up over half of a text sets its whole fingerprint and sketch, whatever the rest says."""
+    texts = [" ".join(["."] * 310 + [f"{side}{i}" for i in range(200)]) for side in "ab"]
+    assert len({simhash.fingerprint(t, 5, 4) + simhash.fingerprint(t, 2) for t in texts}) == 1
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1}
+
+
 def test_similar_groups_odd(odd, none):
     got = simhash.similar_groups(odd).collect()
     assert simhash.similar_groups(none).collect() == []
