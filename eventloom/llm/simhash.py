@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import group_facts, row_key, written
@@ -238,6 +238,8 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
 #: Fingerprints of similar_groups: of pairs of words, indexed, and a sketch of SKETCH * 64 bits of whole shingles.
 PAIR, SKETCH = 2, 4
 SURE_BITS, MAX_BITS = 6, 9
+#: One text in SAMPLE is read for the common shingles, of which at most COMMON are ordered last; distances within postings at which rounds end.
+SAMPLE, COMMON, ROUNDS = 16, 16_384, (16, 256)
 
 
 def _distinct(chunks: list) -> np.ndarray:
@@ -256,56 +258,171 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, set array<long>")
 
 
-def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, fp, sketch parts, same0, same1): what similar_groups knows of a text; same is 128 bits of its shingle set."""
-    names = ["fp", *sketch, "same0", "same1"]
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the shingles that very many texts have, and their ranks by frequency: from a sample, as they only order shingles."""
+    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.lit(0).cast("long").alias("node"), "text")
+    counts = _shingle_sets(sample, words).select(F.explode("set").alias("h")).groupBy("h").count().filter(F.col("count") > SAMPLE)
+    top = [r["h"] for r in counts.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()]
+    hashes = np.array(top, dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - order).astype(np.int64)
+
+
+def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a text's shingles, common ones last: two texts of that similarity share one of these."""
+    n = len(hashes)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        hot = common[0][at] == hashes
+        hashes = np.concatenate([hashes[~hot], hashes[hot][np.argsort(common[1][at[hot]])]])
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, fp, sketch parts, same0, same1, size, least): what similar_groups knows of a text.
+
+    same is 128 bits of its shingle set, size the set's, least its prefix.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+    common = _common(rows, words)
+    names = ["fp", *sketch, "same0", "same1", "size"]
 
     def run(batches):
         for b in batches:
-            rows = []
+            found, least = [], []
             for t in b["text"]:
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 chunks = list(_chunks(text, words))
-                same = np.frombuffer(xxhash.xxh3_128_digest(_distinct(chunks).tobytes(), SEED), dtype=np.int64)
-                rows.append((*_simhash(_chunks(text, PAIR), 1), *_simhash(chunks, len(sketch)), *same.tolist()))
-            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]], names=["doc_id", "rk", *names])
+                hashes = _distinct(chunks)
+                same = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), SEED), dtype=np.int64)
+                found.append((*_simhash(_chunks(text, PAIR), 1), *_simhash(chunks, len(sketch)), *same.tolist(), len(hashes)))
+                least.append(_prefix(hashes, common, similarity).view(np.int64))
+            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))], pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "rk", *names, "least"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names) + ", least array<long>")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names))
 
+def _candidates(similarity: float, low: int, high: int | None):
+    """Pairs (a, b) of the rows of each tile (h, i, j) that can reach that similarity and are in different components.
+
+    In a tile of a block with itself, rows at a distance of low to under high (null: any) in order of
+    size; in a tile of two blocks, all pairs between them. Sizes must fit, and so must the places of the
+    shingle: what follows it bounds what can be in common. A tile goes on over Arrow batches.
+    """
 
-def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def pairs(rows):
+        run = np.cumsum(np.append(0, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        inner, own, node, comp, size, pos = rows[:, 1] == rows[:, 2], *rows[:, 3:].T
+        at, found, n, d = np.arange(len(rows)), [], 0, 0
+        while high is None or d + 1 < high:
+            d += 1
+            at = at[at + d < len(rows)]
+            at = at[run[at] == run[at + d]]
+            at = at[size[at] >= similarity * size[at + d] - 1e-9]
+            if not len(at):
+                break
+            x = at[np.where(inner[at], d >= low, own[at] != own[at + d])]
+            y = x + d
+            need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9)
+            ok = (comp[x] != comp[y]) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need)
+            a, b = node[x[ok]], node[y[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            n += len(a)
+            if n > 1 << 16:
+                yield found
+                found, n = [], 0
+        if n:
+            yield found
+
+    def batch(found):
+        u = np.unique(np.concatenate(found), axis=0)
+        return pa.record_batch([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held = np.empty((0, 8), dtype=np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([np.asarray(b[c]) for c in ("h", "i", "j", "own", "node", "comp", "size", "pos")], axis=1)])
+            last = len(rows) - int(np.argmin(np.append((rows[::-1, :3] == rows[-1, :3]).all(axis=1), False)))
+            held = rows[last:]
+            for found in pairs(rows[:last]):
+                yield batch(found)
+        for found in pairs(held):
+            yield batch(found)
+
+    return run
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """(h, node, size, pos, n) of texts (node, comp, size, least): the shingles that nodes of different components share in their prefixes."""
+    w = Window.partitionBy("h")
+    rows = texts.select("node", "comp", "size", F.posexplode("least").alias("pos", "h"))
+    rows = rows.withColumns({"_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w), "n": F.count("*").over(w)})
+    return rows.filter("_lo <> _hi").select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), "n")
+
+
+def _exact_candidates(postings: DataFrame, comps: DataFrame, similarity: float, low: int, high: int | None, tile_rows: int) -> DataFrame:
+    """Pairs (a, b) of a round over postings (h, node, size, pos, n), without those in one component of comps (node, root) by now."""
+    rows = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    open_ = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("h")
+    rows = rows.filter(F.col("n") > (low if high else min(low, tile_rows))).join(open_, "h")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
+    other = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1) if high is None else F.array("own")
+    tiles = rows.withColumn("other", F.explode(other)).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "pos")
+    tiles = tiles.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "size", "node")
+    return tiles.mapInArrow(_candidates(similarity, low, high), "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """doc_id and component_id: documents linked, directly or over others, at a Jaccard similarity of word shingles.
 
-    Candidates come from SimHash: fingerprints of word pairs, which change little where few words
-    do, are indexed by byte positions (pairs within SURE_BITS can't be missed; those within MAX_BITS
-    are found if they share two bytes), and a sketch of SimHashes of the shingles sets most
-    candidates aside. Links that remain are held against the shingle sets themselves. Texts with equal
-    shingle sets (128 bits of the sorted distinct hashes) are one node.
+    First candidates come from SimHash: fingerprints of word pairs, which change little where few words
+    do, are indexed by byte positions, and a sketch of SimHashes of the shingles sets most candidates
+    aside. That finds most links cheaply, but not all. The rest comes from an exact index: two texts
+    of the similarity share a shingle of their prefixes (the first 1 - similarity of their shingles,
+    common ones last), so all pairs of a posting that sizes and places allow are candidates unless one
+    component has both by now. A posting's close rows are compared first (rounds: distances in order of
+    size), then all of its tiles, so that a group of near copies is one component before all its pairs
+    would be. Every candidate is held against the shingle sets themselves, and only links that hold
+    join. Texts with equal shingle sets (128 bits of the sorted distinct hashes) are one node.
 
     Texts of fewer words are one shingle; null, empty and blank ones are equal. Rows that share an
     id are one document, and the smallest row key speaks for it; rows of null id stay alone
     (component_id null). An empty table gives no rows; other columns are ignored.
     """
     sketch = tuple(f"s{k or ''}" for k in range(SKETCH))
-    rows = written(_profiles(docs, words, sketch, id_col, text_col), "fingerprints")
+    rows = written(_profiles(docs, words, sketch, similarity, id_col, text_col), "fingerprints")
     once = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rk", "fp", *sketch, "same0", "same1")).alias("f")).select("doc_id", "f.*")
     nodes = once.groupBy("same0", "same1").agg(F.min(F.struct("doc_id", "rk", "fp", *sketch)).alias("d")).select(F.col("d.doc_id").cast("long").alias("node"), "d.rk", "d.fp", *[f"d.{c}" for c in sketch])
     nodes = written(nodes, "nodes")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose shingle sets are as similar."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = nodes.select("node", "rk").join(ends, "node")
+        texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
+        texts = texts.join(asked, (texts["_id"] == asked["node"]) & (texts["rk"] == asked["rk"])).select("node", "text")
+        sets = written(_shingle_sets(texts, words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
+        # every b has a few links, an a may have very many: b's set goes along to where a's is
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "set"), "a")
+        common = F.size(F.array_intersect("set", "t"))
+        return both.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b")
+
     # two texts of that similarity share 2 s / (1 + s) of their shingles; an angle of this cosine, and three deviations
     cosine = 2 * similarity / (1 + similarity)
     apart = np.arccos(cosine) / np.pi
     limit = int(64 * SKETCH * apart + 3 * np.sqrt(64 * SKETCH * apart * (1 - apart)))
-    maybe = written(links(nodes.select("node", "fp", *sketch), SURE_BITS, max_bits=MAX_BITS, sketch=sketch, max_apart=limit), "links")
-    ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = nodes.select("node", "rk").join(ends, "node")
-    texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    texts = texts.join(asked, (texts["_id"] == asked["node"]) & (texts["rk"] == asked["rk"])).select("node", "text")
-    sets = written(_shingle_sets(texts, words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
-    # every b has a few links, an a may have very many: b's set goes along to where a's is
-    pairs = maybe.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "set"), "a")
-    common = F.size(F.array_intersect("set", "t"))
-    near = pairs.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b")
-    joined = components(near)
+    joined = components(held(written(links(nodes.select("node", "fp", *sketch), SURE_BITS, max_bits=MAX_BITS, sketch=sketch, max_apart=limit, tile_rows=tile_rows), "links")))
+
+    texts = rows.select("doc_id", "rk", "size", "least").join(nodes.select(F.col("node").alias("doc_id"), "rk"), ["doc_id", "rk"])
+    texts = texts.select(F.col("doc_id").cast("long").alias("node"), "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    postings = written(_postings(texts), "postings")
+    most = postings.agg(F.max("n")).first()[0] or 0
+    for low, high in zip((1, *rounds), (*rounds, None), strict=True):
+        if most > (low if high else min(low, tile_rows)):
+            found = written(_exact_candidates(postings, joined, similarity, low, high, tile_rows), "candidates")
+            joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(held(found)))
+
     spread = group_facts(once, ["same0", "same1"], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
     return spread.join(joined, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

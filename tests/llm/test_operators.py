@@ -207,6 +207,31 @@ def test_similar_groups_filler(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1}
 
 
+def edited(rng, n):
+    """Copies of texts, each with one contiguous edit: (original, appended, truncated, block replaced, block moved in)."""
+    out = []
+    for k in range(n):
+        base = [f"t{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        at, new = rng.randrange(20, 160), [f"n{k}x{i}" for i in range(60)]
+        for copy in (base + new[: rng.randint(20, 48)], base[: rng.randint(162, 180)], base[:at] + new[: rng.randint(8, 16)] + base[at + 16 :], base[:at] + new[: rng.randint(20, 45)] + base[at:], base + base[50:150]):
+            out += [(base, copy)]
+    return out
+
+
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_similar_groups_edits(spark):
+    """Contiguous edits change more bits than scattered ones: none may be missed."""
+    texts = [" ".join(t) for pair in edited(random.Random(3), 24) for t in pair]
+    sets = dict(enumerate(map(shingle_set, texts)))
+    want = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want and len(set(want.values())) < 40
+
+
 def test_similar_groups_odd(odd, none):
     got = simhash.similar_groups(odd).collect()
     assert simhash.similar_groups(none).collect() == []
