@@ -279,9 +279,9 @@ def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarit
 
 
 def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, fp, sketch parts, same0, same1, size, least): what similar_groups knows of a text.
+    """(doc_id, rk, fp, sketch parts, same0, same1, size, least, counts): what similar_groups knows of a text.
 
-    same is 128 bits of its shingle set, size the set's, least its prefix.
+    same is 128 bits of its shingle set, size the set's, least its prefix, counts how many hashes end in each byte (255: or more).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     common = _common(rows, words)
@@ -289,7 +289,7 @@ def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], similarity:
 
     def run(batches):
         for b in batches:
-            found, least = [], []
+            found, least, counts = [], [], []
             for t in b["text"]:
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 chunks = list(_chunks(text, words))
@@ -297,9 +297,10 @@ def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], similarity:
                 same = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), SEED), dtype=np.int64)
                 found.append((*_simhash(_chunks(text, PAIR), 1), *_simhash(chunks, len(sketch)), *same.tolist(), len(hashes)))
                 least.append(_prefix(hashes, common, similarity).view(np.int64))
-            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))], pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "rk", *names, "least"])
+                counts.append(np.minimum(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))], pa.array(least, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "rk", *names, "least", "counts"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names) + ", least array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names) + ", least array<long>, counts binary")
 
 
 def _candidates(similarity: float, low: int, high: int | None):
@@ -374,6 +375,21 @@ def _exact_candidates(postings: DataFrame, comps: DataFrame, similarity: float,
     return tiles.mapInArrow(_candidates(similarity, low, high), "a long, b long").distinct()
 
 
+def _reachable(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can reach that similarity by counts (node, size, counts): differing counts bound what is in common from above."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                left, right = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for c in ("x", "y"))
+                sizes = np.asarray(b["m"]) + np.asarray(b["n"])
+                most = (sizes - np.abs(left - right).sum(axis=1, dtype=np.int64)) // 2
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(most >= np.ceil(similarity / (1 + similarity) * sizes - 1e-9)))
+
+    both = pairs.join(counts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("counts").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("counts").alias("y")), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """doc_id and component_id: documents linked, directly or over others, at a Jaccard similarity of word shingles.
 
@@ -381,7 +397,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     do, are indexed by byte positions, and a sketch of SimHashes of the shingles sets most candidates
     aside. That finds most links cheaply, but not all. The rest comes from an exact index: two texts
     of the similarity share a shingle of their prefixes (the first 1 - similarity of their shingles,
-    common ones last), so all pairs of a posting that sizes and places allow are candidates unless one
+    common ones last), so all pairs of a posting that sizes, places and counts of hashes allow are candidates unless one
     component has both by now. A posting's close rows are compared first (rounds: distances in order of
     size), then all of its tiles, so that a group of near copies is one component before all its pairs
     would be. Every candidate is held against the shingle sets themselves, and only links that hold
@@ -415,13 +431,14 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     limit = int(64 * SKETCH * apart + 3 * np.sqrt(64 * SKETCH * apart * (1 - apart)))
     joined = components(held(written(links(nodes.select("node", "fp", *sketch), SURE_BITS, max_bits=MAX_BITS, sketch=sketch, max_apart=limit, tile_rows=tile_rows), "links")))
 
-    texts = rows.select("doc_id", "rk", "size", "least").join(nodes.select(F.col("node").alias("doc_id"), "rk"), ["doc_id", "rk"])
-    texts = texts.select(F.col("doc_id").cast("long").alias("node"), "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    texts = rows.select("doc_id", "rk", "size", "least", "counts").join(nodes.select(F.col("node").alias("doc_id"), "rk"), ["doc_id", "rk"]).withColumn("node", F.col("doc_id").cast("long"))
+    counts = written(texts.groupBy("node").agg(F.first("size").alias("size"), F.first("counts").alias("counts")), "counts")
+    texts = texts.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     postings = written(_postings(texts), "postings")
     most = postings.agg(F.max("n")).first()[0] or 0
     for low, high in zip((1, *rounds), (*rounds, None), strict=True):
         if most > (low if high else min(low, tile_rows)):
-            found = written(_exact_candidates(postings, joined, similarity, low, high, tile_rows), "candidates")
+            found = written(_reachable(_exact_candidates(postings, joined, similarity, low, high, tile_rows), counts, similarity), "candidates")
             joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(held(found)))
 
     spread = group_facts(once, ["same0", "same1"], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
