@@ -7,6 +7,8 @@ piece carries what goes over the cuts.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,14 @@ DAY_US = 86_400_000_000
 FIRST = -(2**62)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder that the cluster names, or a local one where none is named."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="eventloom-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pieces(df: DataFrame, keys: Sequence[str], by: str, step: int) -> DataFrame:
     """df with _seq: the sequence and the piece of it that a row belongs to.
 

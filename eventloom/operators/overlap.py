@@ -4,34 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.levels import loudest
-from .ordered import neighbour, running_sum
+from .ordered import DAY_US, _over_cuts, pieces, written
 
 
-def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[str] = ("exp", "file_num"), onset: str = "onset_us", ties: Sequence[str] = ("call_id",)) -> DataFrame:
+def _follow(window_us: int):
+    """Rows sorted by (_seq, onset), each with its anchor, whether it starts a group, and the groups started in its piece so far."""
+
+    def run(batches):
+        piece = anchor = None
+        no = 0
+        for b in batches:
+            out = []
+            for p, carried, t in zip(b["_seq"].to_pylist(), b["_carried"].to_pylist(), b["_o"].to_pylist(), strict=True):
+                if p != piece:
+                    piece, anchor, no = p, carried, 0
+                new = t is None or anchor is None or t - anchor > window_us
+                no += new
+                anchor = t if new and t is not None else anchor
+                out.append((anchor, int(new), no))
+            added = [pa.array([x[i] for x in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "_anchor", "_start", "_no"])
+
+    return run
+
+
+def _followed(rows: DataFrame, order: Sequence[str], window_us: int) -> DataFrame:
+    schema = StructType(list(rows.schema.fields))
+    for c in ("_anchor", "_start", "_no"):
+        schema = schema.add(c, "long")
+    return rows.repartition("_seq").sortWithinPartitions("_seq", *order).mapInArrow(_follow(window_us), schema)
+
+
+def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[str] = ("exp", "file_num"), onset: str = "onset_us", ties: Sequence[str] = ("call_id",), step: int = DAY_US) -> DataFrame:
     """calls with group_no: in onset order the first free row is an anchor and takes every later row within window_us.
 
-    Anchored, not chained. Calls more than window_us after their predecessor always start a group,
-    so the fold runs over such runs, not over whole files: a run is a burst of overlapping
-    detections, and its fold only needs the anchor and the group number.
+    Anchored, not chained. Sequences are cut into pieces of `step`; rows stream through a piece with the
+    anchor as only state. A table with a row a piece carries the last anchor into the next piece, until
+    it no longer changes: anchors seldom depend on those of more than a piece before.
     """
-    rows = neighbour(calls, keys, (onset, *ties), [onset], after=False)
-    rows = rows.withColumn("_new", F.when(F.col(onset) - F.col(f"_prev.{onset}") <= window_us, 0).otherwise(1)).drop("_prev")
-    runs = running_sum(rows, keys, (onset, *ties), {"_run": F.col("_new")}).drop("_new")
-    rest = [c for c in calls.columns if c not in keys]
-    row = F.struct(F.col(onset).alias("_o"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)], F.struct(*rest).alias("_row"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("groups")),
-        lambda a, x: F.when(x["_o"] - a["anchor"] <= window_us, F.struct(a["anchor"].alias("anchor"), a["n"].alias("n"), F.array_append(a["groups"], a["n"]).alias("groups"))).otherwise(F.struct(x["_o"].cast("long").alias("anchor"), (a["n"] + 1).alias("n"), F.array_append(a["groups"], a["n"] + 1).alias("groups"))),
-    )
-    grouped = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(row)).alias("_rows"), folded["groups"].alias("_groups"))
-    grouped = running_sum(grouped, keys, ["_run"], {"_upto": F.array_max("_groups")}, step=1_000_000)
-    flat = grouped.select(*keys, (F.col("_upto") - F.array_max("_groups")).alias("_before"), F.explode(F.arrays_zip("_rows", "_groups")).alias("z"))
-    return flat.select(*keys, "z._rows._row.*", (F.col("_before") + F.col("z._groups")).alias("group_no"))
+    cut = pieces(calls, keys, onset, step).withColumn("_o", F.col(onset).cast("long"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_piece")
+    carry, state = None, None
+    while True:
+        narrow = cut.select("_seq", "_o")
+        narrow = narrow.withColumn("_carried", F.lit(None).cast("long")) if carry is None else narrow.join(carry.select("_seq", "_carried"), "_seq", "left")
+        ends = _followed(narrow, ["_o"], window_us).groupBy("_seq").agg(F.max("_anchor").alias("_last"), F.sum("_start").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        carry = written(_over_cuts(ends, keys, {"_carried": F.lag("_last").over(w), "_before": before}), "anchors")
+        now = tuple(carry.agg(F.count("*"), F.sum(F.xxhash64("_seq", "_carried").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    rows = _followed(cut.join(carry, "_seq", "left"), [onset, *ties], window_us)
+    return rows.select(*calls.columns, (F.col("_before") + F.col("_no")).alias("group_no"))
 
 
 def choose_loudest(grouped: DataFrame, levels: Sequence[str], *, keys: Sequence[str] = ("exp", "file_num"), order: Sequence[str] = ("onset_us", "call_id"), compat: bool = False) -> DataFrame:

@@ -119,6 +119,23 @@ def test_greedy_overlap(spark):
     assert [r["group_no"] for r in overlap.overlap_groups(df).orderBy("call_id").collect()] == want
 
 
+def test_greedy_overlap_dense(spark):
+    """One run without a gap, over many pieces: anchors go over cuts, and no group is collected into a row."""
+    rng = random.Random(2)
+    data = [(i, k, 1, None if i % 97 == 5 else rng.randint(0, 400_000)) for k in (1, 2) for i in range(k * 1000, k * 1000 + 300)]
+    want = {}
+    for k in (1, 2):
+        anchor, g = None, 0
+        for i, _, _, t in sorted((r for r in data if r[1] == k), key=lambda r: (r[3] is not None, r[3] or 0, r[0])):
+            if t is None or anchor is None or t - anchor > 15_000:
+                anchor, g = t, g + 1
+            want[i] = g
+    df = spark.createDataFrame(data, "call_id long, exp int, file_num int, onset_us long")
+    for got in (overlap.overlap_groups(df), overlap.overlap_groups(df, step=20_000)):
+        assert {r["call_id"]: r["group_no"] for r in got.collect()} == want
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_choose_loudest(spark):
     data = [(1, 1, -10.0, -20.0), (2, 1, -20.0, -10.0), (3, 2, None, None), (4, 3, None, None), (5, 3, -5.0, None)]
     df = spark.createDataFrame([(i, 1, 1, i, g, a, b) for i, g, a, b in data], "call_id long, exp int, file_num int, onset_us long, group_no long, RMS_a double, RMS_b double")
