@@ -232,6 +232,28 @@ def test_similar_groups_edits(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want and len(set(want.values())) < 40
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_similar_groups_thinned(spark, monkeypatch, batch):
+    """Pairs around 0.8 in large postings: a candidate that fails must not take away those that hold, whatever sizes of postings, tiles and batches."""
+    rng, texts = random.Random(7), []
+    for k in range(8):
+        base = [f"t{k}w{i}" for i in range(300)]
+        for j in range(24):
+            w = list(base)
+            for i in rng.sample(range(300), rng.randint(4, 8)):
+                w[i] = f"n{k}x{j}y{i}"
+            texts.append(" ".join(w))
+    want = linked(dict(enumerate(map(shingle_set, texts))), lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "SMALL", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, tile_rows=8, rounds=(2, 4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(set(want.values())) > 8
+
+
 def test_similar_groups_odd(odd, none):
     got = simhash.similar_groups(odd).collect()
     assert simhash.similar_groups(none).collect() == []
