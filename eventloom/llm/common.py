@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +17,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Paths that scratch() has named and that are not deleted yet.
+_NAMED: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; a local folder only where none is named."""
+    """A new path in the shared folder that the cluster names; a local folder only on one machine where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _NAMED:
+        _NAMED.remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() from which nothing is read any more."""
+    _delete(table.sparkSession, table.scratch_path)
+
+
+def keep(table: DataFrame) -> None:
+    """Keeps a table of written() beyond the end of disposable()."""
+    _NAMED.remove(table.scratch_path)
+
+
+@contextmanager
+def disposable(spark: SparkSession):
+    """Deletes at its end what scratch() has named within: for steps whose results are written elsewhere by then."""
+    before = set(_NAMED)
+    yield
+    for path in [p for p in _NAMED if p not in before]:
+        _delete(spark, path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,8 +78,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """text without SPACE at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """text without SPACE at both ends. By trimming, which is linear in runs of white space and knows no other line ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def row_key(*columns: Column) -> Column:

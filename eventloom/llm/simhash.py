@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_facts, row_key, written
+from .common import discard, group_facts, row_key, written
 
 SEED = 42
 BYTES = 8
@@ -35,43 +35,29 @@ def _chunks(text: bytes, words: int):
         yield [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other 64 bits from the same hashes; k = 0: the hashes themselves."""
-    if not k:
-        return hashes
-    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(2 * (0x5851F42D4C957F2D + 0x14057B7EF767814F * k) % 2**64 | 1)
-    return x ^ (x >> np.uint64(29))
-
-
-def _simhash(chunks, n: int) -> tuple[int, ...]:
-    total, bits = 0, np.zeros((n, 64), dtype=np.int64)
+def _simhash(chunks) -> int:
+    total, bits = 0, np.zeros(64, dtype=np.int64)
     for some in chunks:
         hashes = np.array(some, dtype=np.uint64)
         total += len(hashes)
-        for k in range(n):
-            bits[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * bits > total, axis=1).view(np.int64).ravel().tolist())
+        bits += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > total).view(np.int64)[0])
 
 
-def fingerprint(text: str | None, words: int = 3, n: int = 1) -> tuple[int, ...]:
-    """n 64-bit SimHashes: a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
-    return _simhash(_chunks((text or "").encode("utf-8", "surrogatepass"), words), n)
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash (signed): a bit is 1 if set in over half the shingles' hashes; 0 without any word."""
+    return _simhash(_chunks((text or "").encode("utf-8", "surrogatepass"), words))
 
 
-def fingerprints(docs: DataFrame, kinds: dict[str, tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, and a long column for each fingerprint): kinds gives for a name the words of a shingle and the number of 64-bit parts.
-
-    rk tells rows of one id apart. Parts are named name, name1, name2, ...
-    """
-    names = [f"{name}{k or ''}" for name, (_, n) in kinds.items() for k in range(n)]
+def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, fp): rk tells rows of one id apart."""
 
     def run(batches):
         for b in batches:
-            fps = [sum((fingerprint(t.as_py(), words, n) for words, n in kinds.values()), ()) for t in b["text"]]
-            yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in fps], pa.int64()) for i in range(len(names))]], names=["doc_id", "rk", *names])
+            yield pa.record_batch([b["doc_id"], b["rk"], pa.array([fingerprint(t.as_py(), words) for t in b["text"]], pa.int64())], names=["doc_id", "rk", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, fp long")
 
 
 def positions(max_bits: int) -> list[tuple[int, ...]]:
@@ -89,39 +75,39 @@ def positions(max_bits: int) -> list[tuple[int, ...]]:
     return [c for group in groups for c in combinations(group, size)]
 
 
-def _forest(rows: np.ndarray, max_bits: int, shared: int, max_apart: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the rows (node, fp, sketch parts) of a posting: a spanning forest.
+def _forest(rows: np.ndarray, max_bits: int, shared: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the rows (node, fp) of a posting: a spanning forest.
 
-    Count filter first: pairs must share `shared` bytes of fp at their positions; then bits are
-    compared, those of fp and those of the sketch. A row is linked to the nearest of those that reach it first.
+    Count filter first: the shared bytes of a pair are tallied over all positions, and only pairs that
+    reach `shared`, the guaranteed minimum, are verified bit by bit. A row is linked to the nearest of
+    those that reach it first.
     """
     rest, links, fps = np.arange(len(rows)), [], rows[:, 1]
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            least = np.full(len(rest), 1 << 20)
+            least = np.full(len(rest), 65)
             by = np.zeros(len(rest), dtype=np.int64)
             step = max(1, 1_000_000 // len(rest))
             for at in range(0, len(front), step):
                 some = front[at : at + step]
                 apart = fps[some, None] ^ fps[rest][None, :]
-                ok = (apart.view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=2) >= shared
-                far = np.full(apart.shape, 1 << 20)
-                x, y = np.nonzero(ok)
+                tally = (apart.view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=2)
+                far = np.full(apart.shape, 65)
+                x, y = np.nonzero(tally >= shared)
                 bits = np.bitwise_count(apart[x, y]).astype(np.int64)
-                sketch = np.bitwise_count(rows[some[x], 2:] ^ rows[rest[y], 2:]).sum(axis=1, dtype=np.int64)
-                far[x, y] = np.where((bits <= max_bits) & (sketch <= max_apart), 64 * sketch + bits, 1 << 20)
+                far[x, y] = np.where(bits <= max_bits, bits, 65)
                 best = far.argmin(axis=0)
                 value = far[best, np.arange(len(rest))]
                 better = value < least
                 by[better], least[better] = some[best[better]], value[better]
-            near = least < 1 << 20
+            near = least < 65
             links += zip(rows[by[near], 0].tolist(), rows[rest[near], 0].tolist(), strict=True)
             front, rest = rest[near], rest[~near]
     return links
 
 
-def _small_links(rows: np.ndarray, run: np.ndarray, small: np.ndarray, max_bits: int, shared: int, max_apart: int) -> np.ndarray:
+def _small_links(rows: np.ndarray, run: np.ndarray, small: np.ndarray, max_bits: int, shared: int) -> np.ndarray:
     """Links of all postings of up to SMALL rows in a batch, compared at one distance in the batch after the other."""
     found = [np.empty((0, 2), dtype=np.uint64)]
     for d in range(1, SMALL):
@@ -129,14 +115,14 @@ def _small_links(rows: np.ndarray, run: np.ndarray, small: np.ndarray, max_bits:
         if not len(i):
             break
         apart = rows[i, 1] ^ rows[i + d, 1]
-        ok = ((apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= shared) & (np.bitwise_count(apart) <= max_bits)
-        i = i[ok]
-        i = i[np.bitwise_count(rows[i, 2:] ^ rows[i + d, 2:]).sum(axis=1, dtype=np.int64) <= max_apart]
+        tally = (apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+        i, apart = i[tally >= shared], apart[tally >= shared]
+        i = i[np.bitwise_count(apart) <= max_bits]
         found.append(np.stack([rows[i, 0], rows[i + d, 0]], axis=1))
     return np.concatenate(found)
 
 
-def _linker(columns: list[str], *limits: int):
+def _linker(*limits: int):
     def run(batches):
         key, held = None, []
 
@@ -148,7 +134,7 @@ def _linker(columns: list[str], *limits: int):
             if not b.num_rows:
                 continue
             keys = np.stack([np.asarray(b[c]) for c in ("slot", "bytes", "i", "j")], axis=1)
-            rows = np.stack([np.asarray(b[c]) for c in columns], axis=1).view(np.uint64)
+            rows = np.stack([np.asarray(b[c]) for c in ("node", "fp")], axis=1).view(np.uint64)
             starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
             sizes = np.diff(np.append(starts, len(rows)))
             # the first posting may go on from the batch before, the last one into the next
@@ -169,27 +155,24 @@ def _linker(columns: list[str], *limits: int):
     return run
 
 
-def links(nodes: DataFrame, sure_bits: int, *, max_bits: int | None = None, sketch: tuple[str, ...] = (), max_apart: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (a, b) between nodes (node, fp, sketch columns) that connect all within sure_bits of fp.
+def links(nodes: DataFrame, max_bits: int, *, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) that connect all within max_bits of fp.
 
     Postings list the nodes that share the bytes at one set of positions. A posting of n rows is
     dealt into ceil(n / tile_rows) blocks and linked block against block, so that no task holds a hot
     posting; each tile returns a spanning forest, at most as many links as it has rows, and a posting
-    of up to SMALL rows all its links. Pairs
-    beyond sure_bits but within max_bits are linked too where they share as many bytes. With a
-    sketch, its parts may differ in max_apart bits at most.
+    of up to SMALL rows all its links.
     """
-    columns = ["node", "fp", *sketch]
-    slots = positions(sure_bits)
+    slots = positions(max_bits)
     parts = [F.struct(F.lit(k).alias("slot"), sum((F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)), 8 * i) for i, p in enumerate(slot)), F.lit(0).cast("long")).alias("bytes")) for k, slot in enumerate(slots)]
-    postings = nodes.select(*columns, F.explode(F.array(*parts)).alias("k")).select("k.slot", "k.bytes", *columns)
+    postings = nodes.select("node", "fp", F.explode(F.array(*parts)).alias("k")).select("k.slot", "k.bytes", "node", "fp")
     counts = postings.groupBy("slot", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / tile_rows).cast("int")
     dealt = postings.join(counts, ["slot", "bytes"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("slot", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+    tiles = tiles.select("slot", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
     tiles = tiles.repartition("slot", "bytes", "i", "j").sortWithinPartitions("slot", "bytes", "i", "j", "node")
-    return tiles.mapInArrow(_linker(columns, sure_bits if max_bits is None else max_bits, BYTES - sure_bits, max_apart), "a long, b long").distinct()
+    return tiles.mapInArrow(_linker(max_bits, BYTES - max_bits), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        stars = written(small.filter("u <> v").distinct(), "edges")
+        before, stars = stars, written(small.filter("u <> v").distinct(), "edges")
+        discard(before)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -223,7 +207,7 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
     component id unless all of a component's ids are null. Repeated rows come out as often as they
     went in. An empty table gives no rows. Other columns are ignored; join on (doc_id, rk) for them.
     """
-    rows = written(fingerprints(docs, {"fp": (words, 1)}, id_col, text_col), "fingerprints")
+    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits))
     found = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -235,9 +219,8 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
     return out.select("doc_id", "rk", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "own").alias("component_id"))
 
 
-#: Fingerprints of similar_groups: of pairs of words, indexed, and a sketch of SKETCH * 64 bits of whole shingles.
-PAIR, SKETCH = 2, 4
-SURE_BITS, MAX_BITS = 6, 9
+#: Differing bits of the fingerprints of first candidates.
+FIRST_BITS = 3
 #: One text in SAMPLE is read for the common shingles, of which at most COMMON are ordered last; distances within postings at which rounds end.
 SAMPLE, COMMON, ROUNDS = 16, 16_384, (16, 256)
 
@@ -278,24 +261,23 @@ def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarit
     return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
-def _profiles(docs: DataFrame, words: int, sketch: tuple[str, ...], similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, fp, sketch parts, same0, same1, size, least, counts): what similar_groups knows of a text.
+def _profiles(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, fp, same0, same1, size, least, counts): what similar_groups knows of a text.
 
     same is 128 bits of its shingle set, size the set's, least its prefix, counts how many hashes end in each byte (255: or more).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     common = _common(rows, words)
-    names = ["fp", *sketch, "same0", "same1", "size"]
+    names = ["fp", "same0", "same1", "size"]
 
     def run(batches):
         for b in batches:
             found, least, counts = [], [], []
             for t in b["text"]:
-                text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                chunks = list(_chunks(text, words))
+                chunks = list(_chunks((t.as_py() or "").encode("utf-8", "surrogatepass"), words))
                 hashes = _distinct(chunks)
                 same = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), SEED), dtype=np.int64)
-                found.append((*_simhash(_chunks(text, PAIR), 1), *_simhash(chunks, len(sketch)), *same.tolist(), len(hashes)))
+                found.append((_simhash(chunks), *same.tolist(), len(hashes)))
                 least.append(_prefix(hashes, common, similarity).view(np.int64))
                 counts.append(np.minimum(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
             yield pa.record_batch([b["doc_id"], b["rk"], *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))], pa.array(least, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "rk", *names, "least", "counts"])
@@ -357,10 +339,9 @@ def _candidates(similarity: float, low: int, high: int | None):
 
 def _postings(texts: DataFrame) -> DataFrame:
     """(h, node, size, pos, n) of texts (node, comp, size, least): the shingles that nodes of different components share in their prefixes."""
-    w = Window.partitionBy("h")
     rows = texts.select("node", "comp", "size", F.posexplode("least").alias("pos", "h"))
-    rows = rows.withColumns({"_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w), "n": F.count("*").over(w)})
-    return rows.filter("_lo <> _hi").select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), "n")
+    shared = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n")).filter("_lo <> _hi")
+    return rows.join(shared, "h").select("h", "node", "size", F.col("pos").cast("long").alias("pos"), "n")
 
 
 def _exact_candidates(postings: DataFrame, comps: DataFrame, similarity: float, low: int, high: int | None, tile_rows: int) -> DataFrame:
@@ -391,55 +372,69 @@ def _reachable(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFr
 
 
 def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
-    """doc_id and component_id: documents linked, directly or over others, at a Jaccard similarity of word shingles.
-
-    First candidates come from SimHash: fingerprints of word pairs, which change little where few words
-    do, are indexed by byte positions, and a sketch of SimHashes of the shingles sets most candidates
-    aside. That finds most links cheaply, but not all. The rest comes from an exact index: two texts
-    of the similarity share a shingle of their prefixes (the first 1 - similarity of their shingles,
-    common ones last), so all pairs of a posting that sizes, places and counts of hashes allow are candidates unless one
-    component has both by now. A posting's close rows are compared first (rounds: distances in order of
-    size), then all of its tiles, so that a group of near copies is one component before all its pairs
-    would be. Every candidate is held against the shingle sets themselves, and only links that hold
-    join. Texts with equal shingle sets (128 bits of the sorted distinct hashes) are one node.
-
-    Texts of fewer words are one shingle; null, empty and blank ones are equal. Rows that share an
-    id are one document, and the smallest row key speaks for it; rows of null id stay alone
-    (component_id null). An empty table gives no rows; other columns are ignored.
+    """doc_id, rk, component_id, stays: documents linked, directly or over others, at a Jaccard similarity of word shingles.
+
+    First candidates come from SimHash: fingerprints of the shingles, indexed by byte positions, that
+    differ in FIRST_BITS or less. That finds the closest copies cheaply, but not all links. The rest comes from an
+    exact index: two texts of the similarity share a shingle of their prefixes (the first
+    1 - similarity of their shingles, common ones last), so all pairs of a posting that sizes, places
+    and counts of hashes allow are candidates unless one component has both by now. A posting's close
+    rows are compared first (rounds: distances in order of size), then all of its tiles, so that a
+    group of near copies is one component before all its pairs would be. Every candidate is held
+    against the shingle sets themselves, and only links that hold join. Texts with equal shingle sets
+    (128 bits of the sorted distinct hashes) are one node.
+
+    A row is known by its id and rk, the hash of id and text: rows that agree in both are one
+    document, texts of their own under one id are documents of their own, and null ids are ids like any other, behind
+    all others. component_id is the smallest id of the group; `stays` marks the rows of its first document (by id,
+    then rk). Ids may be of any type that has an order. Texts of fewer words are one
+    shingle; null, empty and blank ones are equal. An empty table gives no rows; other columns are ignored.
     """
-    sketch = tuple(f"s{k or ''}" for k in range(SKETCH))
-    rows = written(_profiles(docs, words, sketch, similarity, id_col, text_col), "fingerprints")
-    once = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rk", "fp", *sketch, "same0", "same1")).alias("f")).select("doc_id", "f.*")
-    nodes = once.groupBy("same0", "same1").agg(F.min(F.struct("doc_id", "rk", "fp", *sketch)).alias("d")).select(F.col("d.doc_id").cast("long").alias("node"), "d.rk", "d.fp", *[f"d.{c}" for c in sketch])
-    nodes = written(nodes, "nodes")
+    rows = written(_profiles(docs, words, similarity, id_col, text_col), "fingerprints")
+    me = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("rk"))
+    # a set's first document by salted steps, as a third of all rows may share a set
+    salted = rows.select("doc_id", "rk", "same0", "same1", F.pmod(F.xxhash64("doc_id", "rk"), F.lit(64)).cast("int").alias("_salt"))
+    some = salted.groupBy("same0", "same1", "_salt").agg(F.min(me).alias("m"))
+    firsts = some.groupBy("same0", "same1").agg(F.min("m").alias("first"))
+    # numbered as written: the table is read from here on, so that the numbers stay
+    nodes = written(firsts.select("first.doc_id", "first.rk", "same0", "same1").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    asked = nodes.select("node", F.col("doc_id").alias("_d"), F.col("rk").alias("_k"))
+
+    def of_nodes(table: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The rows (doc_id, rk, ...) of table that stand for the wanted nodes."""
+        return table.join(wanted, (table["rk"] == wanted["_k"]) & table["doc_id"].eqNullSafe(wanted["_d"])).drop("doc_id", "rk", "_d", "_k")
+
+    once = of_nodes(rows.select("doc_id", "rk", "fp", "size", "least", "counts"), asked)
+    once = written(once.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "least", "counts")]), "texts")
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
 
     def held(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingle sets are as similar."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = nodes.select("node", "rk").join(ends, "node")
-        texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-        texts = texts.join(asked, (texts["_id"] == asked["node"]) & (texts["rk"] == asked["rk"])).select("node", "text")
-        sets = written(_shingle_sets(texts, words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
+        sets = written(_shingle_sets(of_nodes(texts, asked.join(ends, "node")), words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
         # every b has a few links, an a may have very many: b's set goes along to where a's is
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "set"), "a")
         common = F.size(F.array_intersect("set", "t"))
-        return both.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b")
-
-    # two texts of that similarity share 2 s / (1 + s) of their shingles; an angle of this cosine, and three deviations
-    cosine = 2 * similarity / (1 + similarity)
-    apart = np.arccos(cosine) / np.pi
-    limit = int(64 * SKETCH * apart + 3 * np.sqrt(64 * SKETCH * apart * (1 - apart)))
-    joined = components(held(written(links(nodes.select("node", "fp", *sketch), SURE_BITS, max_bits=MAX_BITS, sketch=sketch, max_apart=limit, tile_rows=tile_rows), "links")))
-
-    texts = rows.select("doc_id", "rk", "size", "least", "counts").join(nodes.select(F.col("node").alias("doc_id"), "rk"), ["doc_id", "rk"]).withColumn("node", F.col("doc_id").cast("long"))
-    counts = written(texts.groupBy("node").agg(F.first("size").alias("size"), F.first("counts").alias("counts")), "counts")
-    texts = texts.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    postings = written(_postings(texts), "postings")
+        found = written(both.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b"), "held")
+        discard(sets)
+        return found
+
+    first = written(links(once.select("node", "fp"), FIRST_BITS, tile_rows=tile_rows), "links")
+    joined = components(held(first))
+    discard(first)
+    counts = once.select("node", "size", "counts")
+    postings = written(_postings(once.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))), "postings")
     most = postings.agg(F.max("n")).first()[0] or 0
     for low, high in zip((1, *rounds), (*rounds, None), strict=True):
         if most > (low if high else min(low, tile_rows)):
             found = written(_reachable(_exact_candidates(postings, joined, similarity, low, high, tile_rows), counts, similarity), "candidates")
-            joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(held(found)))
-
-    spread = group_facts(once, ["same0", "same1"], [F.col("doc_id")], [F.min("doc_id").alias("m")], [F.min("m").alias("node")]).select("doc_id", F.col("node").cast("long").alias("node"))
-    return spread.join(joined, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+            true = held(found)
+            discard(found)
+            if not true.isEmpty():
+                joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true))
+    discard(postings)
+
+    placed = nodes.join(joined, "node", "left").select(me.alias("me"), "same0", "same1", F.coalesce("root", "node").alias("root"))
+    best = group_facts(placed, ["root"], [F.col("me")], [F.min("me").alias("m")], [F.min("m").alias("best")]).select("same0", "same1", "best")
+    out = salted.join(some.drop("m").join(best, ["same0", "same1"]), ["same0", "same1", "_salt"])
+    return out.select("doc_id", "rk", F.col("best.doc_id").alias("component_id"), (me == F.col("best")).alias("stays"))

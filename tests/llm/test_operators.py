@@ -200,11 +200,35 @@ def test_similar_groups_brute(spark, sf):
 
 
 def test_similar_groups_filler(spark):
-    """A shingle that makes up over half of a text sets its whole fingerprint and sketch, whatever the rest says."""
+    """A shingle that makes up over half of a text sets its whole fingerprint, whatever the rest says."""
     texts = [" ".join(["."] * 310 + [f"{side}{i}" for i in range(200)]) for side in "ab"]
-    assert len({simhash.fingerprint(t, 5, 4) + simhash.fingerprint(t, 2) for t in texts}) == 1
+    texts += [" ".join(["one two three four five"] * 500 + [f"{side}{i}" for i in range(40)]) for side in "cd"]
+    assert len({simhash.fingerprint(t, 5) for t in texts[:2]}) == 1
     got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1}
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_similar_groups_families(spark):
+    """Families of texts of 300 words with some words changed: every pair at 0.8 or more ends in one group."""
+    rng, texts = random.Random(11), []
+    for k in range(8):
+        base = [f"f{k}w{i}" for i in range(300)]
+        for j in range(40):
+            w = list(base)
+            for i in rng.sample(range(300), rng.randint(0, 12)):
+                w[i] = f"n{k}x{j}y{i}"
+            texts.append(" ".join(w))
+    want = linked(dict(enumerate(map(shingle_set, texts))), lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_similar_groups_string_ids(spark):
+    """Different texts of one id are documents of their own; ids may be strings; null ids come last."""
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [("b", long), ("a", "another text of its own words"), ("a", long + " more"), (None, long), (None, "this text has no id but words"), ("b", long)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(((r["doc_id"], r["component_id"], r["stays"]) for r in got.collect()), key=str) == sorted([("b", "a", False), ("b", "a", False), ("a", "a", True), ("a", "a", True), (None, "a", False), (None, None, True)], key=str)
 
 
 def edited(rng, n):
@@ -257,6 +281,7 @@ def test_similar_groups_thinned(spark, monkeypatch, batch):
 def test_similar_groups_odd(odd, none):
     got = simhash.similar_groups(odd).collect()
     assert simhash.similar_groups(none).collect() == []
+    assert len(got) == len(ODD)
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (1, 2, 3, 4, 5, 8)} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 8}
 
 
