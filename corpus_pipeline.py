@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, langid, lines, mixing, simhash
-from eventloom.llm.common import written
+from eventloom.llm.common import discard, disposable, keep, row_key, written
 from eventloom.llm.queries import tokenizer_path
 from eventloom.session import ship
 
@@ -36,11 +36,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows that share an id stay or go together."""
+    """One document, the first by id, of each group of near duplicates; rows that agree in id and text are one document, null ids come last.
+
+    Null, empty and blank texts are one group. An empty table gives no rows; all columns stay.
+    """
     ship(spark)
     groups = simhash.similar_groups(docs, words=SHINGLE, similarity=SIMILARITY)
-    stay = groups.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").alias("_d"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_d"]), "left_semi")
+    gone = groups.filter("not stays").select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct()
+    return docs.join(gone, (row_key(docs["doc_id"], docs["text"]) == gone["_k"]) & docs["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again, its own scratch tables deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage-" + name.replace(" ", "-").lower())
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with disposable(spark):
+            before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+            keep(docs)
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
