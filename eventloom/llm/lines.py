@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, group_facts, stripped, written
+from .common import ascii_lower, row_key, stripped, written
 
 WORD_BITS = 64
 
@@ -16,8 +16,8 @@ def line_key(line: Column) -> Column:
 
 
 def _id(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    # 32 bits are enough to tell texts of one id apart
-    return [F.col(id_col).alias("_doc"), F.hash(F.col(id_col), F.col(text_col)).alias("_rk")]
+    # 64 bits, as all rows without an id share one
+    return [F.col(id_col).alias("_doc"), row_key(F.col(id_col), F.col(text_col)).alias("_rk")]
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -44,9 +44,10 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     from word number to 64 bits, without the words that drop nothing.
     """
     found = written(occurrences(docs, id_col, text_col, min_chars), "occurrences")
-    first = F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))
-    counted = group_facts(found, ["h1", "h2"], [F.col("_doc"), F.col("_rk")], [F.count("*").alias("n"), F.min(first).alias("first")], [F.sum("n").alias("n"), F.min("first").alias("first")], F.col("n") >= min_docs)
-    lost = counted.filter("n is not null")
+    # a range's rows are reduced to one per key before the shuffle, so that only the ends of ranges meet in it
+    facts = [F.count("*").alias("n"), *([F.min(F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))).alias("first")] if keep_first else [])]
+    common = found.groupBy("h1", "h2").agg(*facts).filter(F.col("n") >= min_docs)
+    lost = found.join(common, ["h1", "h2"])
     if keep_first:
         is_first = F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_rk") == F.col("first._rk"))
         lost = lost.withColumn("at", F.when(is_first, F.filter("at", lambda p: p != F.col("first.pos"))).otherwise(F.col("at")))

@@ -357,6 +357,22 @@ def test_lines_brute(spark):
     assert sorted(got, key=str) == brute_lines(rows)
 
 
+def test_lines_ends(spark):
+    """Only the six characters are stripped, at the true ends, whatever Java takes for a line's end; long white space is no trouble."""
+    rows = [(i, t) for t in ("abc \u0085", "abc", "abc \u2028", "abc \u2029", "abc\u2029 ", "\u00a0abc", "a" + " " * 3_000_000 + "b", " " * 3_000_000 + "c\r") for i in range(len(t), len(t) + 10)]
+    got = [tuple(r) for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).select("doc_id", "n_lines", "n_dropped", "kept").collect()]
+    assert sorted(got, key=str) == brute_lines(rows)
+    near = spark.createDataFrame([(0, "abc"), (1, "abc \u0085"), (2, "abc \u2028"), (3, "abc \u2029")], "doc_id long, text string")
+    assert sum(r["n_dropped"] for r in lines.drop_lines(near, min_docs=2).collect()) == 0
+
+
+def test_lines_many_null_ids(spark):
+    """Texts without an id are told apart by 64 bits of their text."""
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), F.lit("\nshared\nown "), F.col("id").cast("string")).alias("text"))
+    got = lines.drop_lines(df).agg(F.sum("n_dropped"), F.min("n_dropped"), F.max("n_dropped"), F.count("*")).first()
+    assert tuple(got) == (100_000, 1, 1, 100_000)
+
+
 def test_lines_keep_first(spark):
     df = spark.createDataFrame([(2, "a\nb\na"), (1, "b\na\na"), (3, "c")], "doc_id long, text string")
     got = {r["doc_id"]: r["kept"] for r in lines.drop_lines(df, min_docs=2, keep_first=True).collect()}
