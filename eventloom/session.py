@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: texts are long, so that batches of Spark's usual number of rows would take much of a worker's memory.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors of a session, once: its functions run inside their tasks."""
+    """Sends this package to the executors of a session, once: its functions run inside their tasks. Bounds Arrow batches by bytes, unless the session does."""
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF))) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
