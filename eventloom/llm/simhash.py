@@ -392,20 +392,16 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     """
     rows = written(_profiles(docs, words, similarity, id_col, text_col), "fingerprints")
     me = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("rk"))
-    # a set's first document by salted steps, as a third of all rows may share a set
-    salted = rows.select("doc_id", "rk", "same0", "same1", F.pmod(F.xxhash64("doc_id", "rk"), F.lit(64)).cast("int").alias("_salt"))
-    some = salted.groupBy("same0", "same1", "_salt").agg(F.min(me).alias("m"))
-    firsts = some.groupBy("same0", "same1").agg(F.min("m").alias("first"))
-    # numbered as written: the table is read from here on, so that the numbers stay
-    nodes = written(firsts.select("first.doc_id", "first.rk", "same0", "same1").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # a row a set and task before the shuffle, as a third of all rows may share a set; numbered as written, so that the numbers stay
+    same = ["same0", "same1"]
+    once = rows.groupBy(*same).agg(F.min(me).alias("first"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "least", "counts")])
+    nodes = written(once.select(*same, "first.doc_id", "first.rk", "fp", "size", "least", "counts").withColumn("node", F.monotonically_increasing_id()), "nodes")
     asked = nodes.select("node", F.col("doc_id").alias("_d"), F.col("rk").alias("_k"))
 
     def of_nodes(table: DataFrame, wanted: DataFrame) -> DataFrame:
         """The rows (doc_id, rk, ...) of table that stand for the wanted nodes."""
         return table.join(wanted, (table["rk"] == wanted["_k"]) & table["doc_id"].eqNullSafe(wanted["_d"])).drop("doc_id", "rk", "_d", "_k")
 
-    once = of_nodes(rows.select("doc_id", "rk", "fp", "size", "least", "counts"), asked)
-    once = written(once.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "least", "counts")]), "texts")
     texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
 
     def held(pairs: DataFrame) -> DataFrame:
@@ -419,11 +415,11 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         discard(sets)
         return found
 
-    first = written(links(once.select("node", "fp"), FIRST_BITS, tile_rows=tile_rows), "links")
+    first = written(links(nodes.select("node", "fp"), FIRST_BITS, tile_rows=tile_rows), "links")
     joined = components(held(first))
     discard(first)
-    counts = once.select("node", "size", "counts")
-    postings = written(_postings(once.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))), "postings")
+    counts = nodes.select("node", "size", "counts")
+    postings = written(_postings(nodes.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))), "postings")
     most = postings.agg(F.max("n")).first()[0] or 0
     for low, high in zip((1, *rounds), (*rounds, None), strict=True):
         if most > (low if high else min(low, tile_rows)):
@@ -434,7 +430,9 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
                 joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true))
     discard(postings)
 
-    placed = nodes.join(joined, "node", "left").select(me.alias("me"), "same0", "same1", F.coalesce("root", "node").alias("root"))
-    best = group_facts(placed, ["root"], [F.col("me")], [F.min("me").alias("m")], [F.min("m").alias("best")]).select("same0", "same1", "best")
-    out = salted.join(some.drop("m").join(best, ["same0", "same1"]), ["same0", "same1", "_salt"])
+    placed = nodes.join(joined, "node", "left").select(me.alias("me"), *same, F.coalesce("root", "node").alias("root"))
+    best = group_facts(placed, ["root"], [F.col("me")], [F.min("me").alias("m")], [F.min("m").alias("best")]).select(*same, "best")
+    # to the rows of a set by salted steps
+    salted = rows.select("doc_id", "rk", *same, F.pmod(F.xxhash64("doc_id", "rk"), F.lit(64)).cast("int").alias("_salt"))
+    out = salted.join(salted.select(*same, "_salt").distinct().join(best, same), [*same, "_salt"])
     return out.select("doc_id", "rk", F.col("best.doc_id").alias("component_id"), (me == F.col("best")).alias("stays"))
