@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,59 +35,89 @@ def targets(sizes: dict, weights: dict, total_share: float, ceiling: int) -> dic
     return {s: float(min(caps[s], level * weights[s])) for s in sizes}
 
 
+def _place(name) -> tuple:
+    return name is None, name or ""
+
+
 def route(patterns: dict, quotas: dict, ceiling: int) -> dict:
     """Min-cost flow of words from patterns to sources: {(pattern, source): words}.
 
     The r-th copy of a pattern's words costs r: repetition costs are convex, so words are read once
-    before any is read again. Paths of least cost are augmented one after the other.
+    before any is read again. Only these edges cost anything, so a cost level is a maximum flow over
+    what the levels before it left: for each copy, shortest augmenting paths are blocked a whole
+    distance at a time. Patterns are taken in the order of their sources, so that reruns agree.
     """
-    names = [("p", p) for p in patterns] + [("s", s) for s in quotas]
-    at = {n: i + 2 for i, n in enumerate(names)}
-    to: list[int] = []
-    room: list[int] = []
-    cost: list[int] = []
-    out: dict[int, list[int]] = defaultdict(list)
-
-    def edge(a: int, b: int, most: int, price: int) -> int:
-        for x, y, n, c in ((a, b, most, price), (b, a, 0, -price)):
-            out[x].append(len(to))
-            to.append(y)
-            room.append(n)
-            cost.append(c)
-        return len(to) - 2
-
-    links = {}
-    for p, words in patterns.items():
-        for copy in range(ceiling):
-            edge(0, at["p", p], words, copy)
-        for s in p:
-            if s in quotas:
-                links[p, s] = edge(at["p", p], at["s", s], ceiling * words, 0)
-    for s, quota in quotas.items():
-        edge(at["s", s], 1, quota, 0)
-    potential: dict[int, int] = defaultdict(int)
-    while True:
-        best, via, heap = {0: 0}, {}, [(0, 0)]
-        while heap:
-            d, a = heappop(heap)
-            if d > best[a]:
-                continue
-            for e in out[a]:
-                n = d + cost[e] + potential[a] - potential[to[e]]
-                if room[e] and n < best.get(to[e], n + 1):
-                    best[to[e]], via[to[e]] = n, e
-                    heappush(heap, (n, to[e]))
-        if 1 not in best:
-            return {k: room[e + 1] for k, e in links.items()}
-        for x, d in best.items():
-            potential[x] += d
-        path, x = [], 1
-        while x:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        most = min(room[e] for e in path)
-        for e in path:
-            room[e], room[e ^ 1] = room[e] - most, room[e ^ 1] + most
+    order = sorted(patterns, key=lambda p: [_place(s) for s in p])
+    names = list(quotas)
+    at = {s: i for i, s in enumerate(names)}
+    to = [[at[s] for s in p if s in at] for p in order]
+    flow = [[0] * len(t) for t in to]
+    back: list[list[tuple[int, int]]] = [[] for _ in names]
+    for i, t in enumerate(to):
+        for k, s in enumerate(t):
+            back[s].append((i, k))
+    left, due = [0] * len(order), [quotas[s] for s in names]
+
+    def distances() -> tuple[list[int], list[int]] | None:
+        """Steps from patterns with words left to patterns and to sources; None if no source with room is reached."""
+        of_p, of_s = [-1 if not n else 0 for n in left], [-1] * len(names)
+        front = [i for i, n in enumerate(left) if n]
+        step = 0
+        while front:
+            reached = []
+            for i in front:
+                for s in to[i]:
+                    if of_s[s] < 0:
+                        of_s[s] = step + 1
+                        reached.append(s)
+            if any(due[s] for s in reached):
+                return of_p, of_s
+            front, step = [], step + 2
+            for s in reached:
+                for i, k in back[s]:
+                    if of_p[i] < 0 and flow[i][k]:
+                        of_p[i] = step
+                        front.append(i)
+        return None
+
+    def block(of_p: list[int], of_s: list[int]) -> None:
+        """Fills shortest paths until none of their length is left; every edge is given up once."""
+        edge, turn = [0] * len(order), [0] * len(names)
+        for root in range(len(order)):
+            path = [(root, 0)]
+            while left[root] and path:
+                i, _ = path[-1]
+                while edge[i] < len(to[i]):
+                    s = to[i][edge[i]]
+                    if of_s[s] == of_p[i] + 1:
+                        if due[s]:
+                            most = min([left[root], due[s], *[flow[x][k] for x, k in path[1:]]])
+                            for n, (x, k) in enumerate(path):
+                                flow[x][edge[x]] += most
+                                flow[x][k] -= most if n else 0
+                            left[root], due[s] = left[root] - most, due[s] - most
+                            path = [(root, 0)]
+                            break
+                        while turn[s] < len(back[s]):
+                            x, k = back[s][turn[s]]
+                            if flow[x][k] and of_p[x] == of_s[s] + 1:
+                                break
+                            turn[s] += 1
+                        if turn[s] < len(back[s]):
+                            path.append(back[s][turn[s]])
+                            break
+                    edge[i] += 1
+                else:
+                    path.pop()
+                    if path:
+                        turn[to[path[-1][0]][edge[path[-1][0]]]] += 1
+
+    for _ in range(ceiling):
+        for i, p in enumerate(order):
+            left[i] += patterns[p]
+        while any(due) and (found := distances()):
+            block(*found)
+    return {(p, names[s]): flow[i][k] for i, p in enumerate(order) for k, s in enumerate(to[i])}
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, ceiling: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,7 +152,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), total_share:
     for p, n in patterns.items():
         for s in p:
             sizes[s] += n
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    order = sorted(sizes, key=_place)
     due = targets({s: sizes[s] for s in order}, {s: weights[i % len(weights)] for i, s in enumerate(order)}, total_share, ceiling)
     flow = route(patterns, {s: int(t) for s, t in due.items()}, ceiling)
     routed: dict = defaultdict(int)
