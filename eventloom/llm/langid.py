@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened, written
+from .common import discard, widened, written
 
-#: Slots of the filter (a power of two), probes per n-gram, languages at most (bits of a slot).
-SLOTS, PROBES, LANGUAGES = 1 << 18, 3, 63
+#: Slots of the filter (a power of two), probes per n-gram, languages of a word of a slot, and words of a slot at most.
+SLOTS, PROBES, LANGUAGES, WORDS = 1 << 18, 3, 63, 16
 #: A trigram is put into a language's filter if its rate there is at least this share of its highest rate ...
 SHARE = 0.3
 #: ... and if it makes up at least this part of the language's trigrams.
@@ -84,30 +84,38 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
     All texts with a language count. A trigram enters the filters of the languages for which it is
     characteristic (SHARE, LEAST): in each of its PROBES slots the bits of these languages are set.
-    The driver gets the filter only, SLOTS longs at most, whatever the corpus.
+    A slot has a word for each LANGUAGES languages, up to WORDS of them (more languages raise an
+    error). The driver gets the filter only, SLOTS longs a word, whatever the corpus.
     """
     counts = written(gram_counts(docs, text_col, lang_col), "trigrams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(totals) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(WORDS * LANGUAGES + 1).collect()}
+    if len(totals) > WORDS * LANGUAGES:
+        raise ValueError(f"more than {WORDS * LANGUAGES} languages")
     names = sorted(totals)
-    filter_ = np.zeros(SLOTS, dtype=np.int64)
+    words = max(1, -(-len(names) // LANGUAGES))
+    filter_ = np.zeros((words, SLOTS), dtype=np.int64)
     if names:
         spark = docs.sparkSession
-        known = spark.createDataFrame([(n, i, float(totals[n])) for i, n in enumerate(names)], "lang string, bit int, total double")
+        known = spark.createDataFrame([(n, i // LANGUAGES, i % LANGUAGES, float(totals[n])) for i, n in enumerate(names)], "lang string, word int, bit int, total double")
         rates = counts.join(F.broadcast(known), "lang").withColumn("rate", F.col("n") / F.col("total")).filter(F.col("rate") >= LEAST)
         # a trigram has one row a language; the largest rates go first
-        grams = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "bit")).alias("of"))
-        masked = grams.select("gram", F.aggregate(F.filter("of", lambda x: x["rate"] >= SHARE * F.col("top")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"]))).alias("mask"))
+        grams = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "word", "bit")).alias("of"))
+
+        def mask(word: int) -> Column:
+            own = F.filter("of", lambda x: (x["rate"] >= SHARE * F.col("top")) & (x["word"] == word))
+            return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])))
+
+        masked = grams.select("gram", F.posexplode(F.array(*[mask(w) for w in range(words)])).alias("word", "mask")).filter("mask <> 0")
 
         def spread(batches):
             for b in batches:
                 at = slots(np.asarray(b["gram"]))
-                yield pa.record_batch([pa.array(at.ravel()), pa.array(np.tile(np.asarray(b["mask"]), PROBES))], names=["slot", "mask"])
+                yield pa.record_batch([pa.array(at.ravel()), pa.array(np.tile(np.asarray(b["word"]), PROBES)), pa.array(np.tile(np.asarray(b["mask"]), PROBES))], names=["slot", "word", "mask"])
 
-        bits = masked.mapInArrow(spread, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        filter_[np.asarray(bits["slot"].combine_chunks())] = np.asarray(bits["mask"].combine_chunks())
-    fill = [float(((filter_ >> i) & 1).mean()) for i in range(len(names))]
+        bits = masked.mapInArrow(spread, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        filter_[np.asarray(bits["word"].combine_chunks()), np.asarray(bits["slot"].combine_chunks())] = np.asarray(bits["mask"].combine_chunks())
+    discard(counts)
+    fill = [float(((filter_[i // LANGUAGES] >> (i % LANGUAGES)) & 1).mean()) for i in range(len(names))]
     return {"names": names, "filter": filter_, "false": np.array([f**PROBES for f in fill]), "common": max(totals, key=lambda n: (totals[n], n)) if totals else UND}
 
 
@@ -119,8 +127,10 @@ def decide(text: str | None, model: dict) -> tuple[str, float]:
         total += len(codes)
         if len(codes) and len(counts):
             probes = slots(codes)
-            masks = model["filter"][probes[0]] & model["filter"][probes[1]] & model["filter"][probes[2]]
-            counts += [np.count_nonzero(masks & (1 << i)) for i in range(len(counts))]
+            for w, own in enumerate(model["filter"]):
+                masks = own[probes[0]] & own[probes[1]] & own[probes[2]]
+                some = range(w * LANGUAGES, min(len(counts), (w + 1) * LANGUAGES))
+                counts[some] += [np.count_nonzero(masks & (1 << (i % LANGUAGES))) for i in some]
     if not total or not len(counts):
         return UND, 0.0
     fair = np.clip((counts - total * model["false"]) / np.maximum(1e-9, 1 - model["false"]), 0, total)
@@ -147,6 +157,18 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     return rows.mapInArrow(run, widened(rows, lang_pred="string", score="double"))
 
 
+def usual_scores(docs: DataFrame, model: dict, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """The median score of each language's documents that the model gives their own language.
+
+    Of documents that the model was not trained on, these tell which scores a language's texts have,
+    whatever the size of the corpus and however many trigrams the language has. Documents without text
+    or language don't count; a language without any is left out. The driver gets a number a language.
+    """
+    found = identify(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), model)
+    right = found.filter(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("usual"))
+    return {r["lang"]: r["usual"] for r in right.collect()}
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 2 modulo 4."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
