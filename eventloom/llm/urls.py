@@ -2,40 +2,143 @@
 
 from __future__ import annotations
 
+import json
 from math import exp
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of hashed n-grams, and the lengths of n-grams.
-BUCKETS, GRAMS = 2048, (3, 4)
+#: Buckets of hashed n-grams of a host, and as many of a path, and the lengths of n-grams.
+BUCKETS, GRAMS = 1 << 14, (3, 4)
 #: Training: passes of gradient descent, step and ridge; labelled rows at most (a bound on the driver).
 PASSES, STEP, RIDGE, MOST_ROWS = 60, 0.5, 1e-4, 10_000
 
+#: Probability from which a URL is blocked: of hosts held out from the labelled table, under 3 in 100 good ones reach it.
+LIMIT = 0.6
+
 #: The rules of the registered query, (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Words of which the small labelled table is made.
-BAD_WORDS = ("spam", "farm", "cheap", "pills", "casino", "win", "adult", "free", "bets", "ads", "track", "loans")
-GOOD_WORDS = ("library", "weather", "nation", "theatre", "history", "science", "garden", "station", "author", "brother", "thread", "recipes", "heather", "motion", "other", "theory", "council", "reading", "ration", "thinner")
-PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}?page=2", "/articles/{}", "/{}#top")
+#: Names of hosts and a path of each, of which the small labelled table is made. They are invented, of the kinds that lists of each sort hold.
+BAD = """
+cheap-meds-online /buy/viagra-no-prescription
+best-pills4u /order/discount-pills.html
+rx-pharmacy-deals /cheap/cialis
+canadian-pills-store /offer?id=91
+diet-pills-review /slim-fast-now.html
+casino-bonus-888 /free-spins
+royal-casino-slots /win/jackpot.html
+lucky-poker-online /bonus/deposit
+win-big-lotto /claim-prize
+slots-free-spins /play/now
+sport-bets-tips /bets/today
+free-bets-online /betting/odds
+best-betting-sites /bonus-code
+adult-cams-live /xxx/girls
+xxx-hot-videos /porn/free
+sexy-adult-dating /meet/hot-singles
+free-porn-tube /adult/video
+escort-girls-city /xxx/gallery
+payday-loans-fast /apply/no-credit-check
+easy-cash-loans /loan/instant-approval
+debt-relief-quick /get-cash-now
+bad-credit-loans24 /loans/today
+make-money-home /earn/cash-fast
+crypto-doubler-invest /profit/guaranteed
+free-iphone-winner /claim/prize
+you-won-giftcard /free/gift
+survey-rewards-free /win-iphone
+replica-watches-cheap /rolex/sale
+cheap-handbags-outlet /discount/louis
+wholesale-cheap-jerseys /cheap/sale
+seo-backlinks-farm /buy-links
+link-farm-directory /links/submit
+spam-mailer-pro /bulk-email
+article-spinner-spam /autoblog/post
+content-farm-daily /top-10-tricks
+click-ads-network /banner/track?x=1
+ad-tracker-server /pixel.gif
+popunder-ads-serve /adserver/click
+track-clicks-ads /redirect/out
+banner-exchange-ads /ads/show
+free-download-crack /serial/keygen.exe
+warez-full-torrent /crack/download
+cracked-software-free /keygen/patch
+movie-stream-free-hd /watch/full
+mp3-download-free /top-hits.zip
+account-verify-login /secure/update-password
+paypa1-security-alert /signin/confirm
+bank-login-update /verify/account
+appleid-unlock-support /login/verify
+ray-ban-sale-cheap /outlet/90-off
+"""
+GOOD = """
+citylibrary /catalogue/new-books
+archive.statemuseum /exhibits/2019/maps
+riverside-university /departments/history
+physics.northcollege /courses/optics.html
+news.dailyherald /world/2021/03/elections
+morningpost /politics/budget-report
+weather.metservice /forecast/week
+parliament /bills/committee-report
+health.county /clinics/opening-hours
+townhall /services/recycling
+gardening-notes /2020/05/planting-tomatoes
+homecooking /recipes/lentil-soup
+bread-and-butter /baking/sourdough-guide
+hiking-trails /routes/coast-path
+travel.oldharbour /guides/lisbon
+docs.opensource-db /manual/install.html
+pythonic-tools /docs/tutorial
+wiki.linuxhelp /kernel/modules
+forum.woodworkers /threads/oak-table
+stack.codequestions /questions/1423/sorting
+chess-club /games/annotated
+theatre-royal /programme/autumn
+symphony /concerts/season
+gallery.modernart /collection/prints
+birdwatch /species/heron
+astronomy-society /observing/moon
+rail-travel /timetables/north
+transit-authority /maps/metro
+sports.gazette /football/results
+cyclingclub /events/spring-ride
+village-school /parents/calendar
+teachers-resource /lessons/fractions
+journal.medicine-review /articles/asthma
+childrens-hospital /visit/parking
+economics-institute /papers/trade
+bookreviews /fiction/the-lighthouse
+poems.literature /authors/keats
+furniture-maker /chairs/oak
+shop.bicycleparts /product/brake-cable
+localbakery /menu/breads
+theriver-inn /rooms/garden-view
+history.nation-archive /letters/1914
+weatherstation /rain/monthly
+languages-online /grammar/verbs
+en.encyclopedia /wiki/thermodynamics
+photography-notes /lenses/macro
+patent-office /search/results
+geology.survey /maps/sandstone
+farmers-market /stalls/saturday
+mathematics /proofs/induction
+lake-district /walks/easy
+station-cafe /lunch
+museum.railways /engines/steam
+orchestra-youth /auditions
+translation-notes /french/idioms
+"""
+SUBDOMAINS, DOMAINS = ("", "www.", "m.", "blog."), (".com", ".net", ".org", ".info")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for bad).
-
-    Bad hosts are pairs of neighbouring bad words, good hosts single words and pairs joined without a
-    hyphen; both get the same subdomains, domains and paths, so that hosts tell them apart.
-    """
-    n = len(GOOD_WORDS)
-    bad = [f"{w}-{BAD_WORDS[(i + step) % len(BAD_WORDS)]}" for step in (1, 5) for i, w in enumerate(BAD_WORDS)]
-    good = [*GOOD_WORDS, *[w + GOOD_WORDS[(i + 7) % n] for i, w in enumerate(GOOD_WORDS)]]
+    """The small labelled table (url, 1 for bad): each name and path under all subdomains, so that these tell nothing."""
     out = []
-    for label, hosts in ((1, bad), (0, good)):
-        for i, host in enumerate(hosts):
-            for j, path in enumerate(PATHS):
-                sub, domain = ("www.", "", "m.", "blog.")[(i + j) % 4], ("com", "net", "org")[(i + 2 * j) % 3]
-                out.append((f"http{'s' * (j % 2)}://{sub}{host}.example.{domain}{path.format(37 * i + j)}", label))
+    for label, table in ((1, BAD), (0, GOOD)):
+        for i, line in enumerate(table.strip().split("\n")):
+            name, path = line.split(" ")
+            out += [(f"http://{sub}{name}{DOMAINS[(i + j) % len(DOMAINS)]}{path}", label) for j, sub in enumerate(SUBDOMAINS)]
     return out
 
 
@@ -60,14 +163,14 @@ def longest_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def buckets(host: Column, path: Column) -> Column:
-    """Hashed n-grams of ^host$ and ^path$: an array of bucket numbers, repeats included."""
+    """Hashed n-grams of ^host$ and of ^path$, each in buckets of its own: an array of bucket numbers, repeats included."""
 
-    def grams(text: Column, n: int) -> Column:
+    def grams(text: Column, n: int, first: int) -> Column:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
         starts = F.when(F.char_length(framed) >= n, F.sequence(F.lit(1), F.char_length(framed) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int") + first)
 
-    return F.concat(*[grams(t, n) for t in (host, path) for n in GRAMS])
+    return F.concat(*[grams(t, n, first) for t, first in ((host, 0), (path, BUCKETS)) for n in GRAMS])
 
 
 def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "bad") -> tuple[list[float], float]:
@@ -81,7 +184,7 @@ def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "bad")
     if len(rows) > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} labelled urls")
     data = sorted((tuple(r["f"]), r["y"]) for r in rows if r["f"])
-    weights, bias = [0.0] * BUCKETS, 0.0
+    weights, bias = [0.0] * (2 * BUCKETS), 0.0
     for _ in range(PASSES):
         for f, y in data:
             z = bias + sum(weights[b] for b in f) / len(f)
@@ -95,7 +198,7 @@ def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "bad")
 def score(features: Column, model: tuple[list[float], float]) -> Column:
     """Probability of bad."""
     weights, bias = model
-    table = F.array(*[F.lit(w) for w in weights])
+    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one literal, folded before it runs
     z = F.lit(bias) + F.aggregate(features, F.lit(0.0), lambda a, b: a + F.element_at(table, b + 1)) / F.greatest(F.size(features), F.lit(1))
     return 1 / (1 + F.exp(-z))
 
@@ -104,7 +207,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(labelled_urls(), "url string, bad int")
 
 
-def filter_urls(pages: DataFrame, model: tuple[list[float], float], *, rules=RULES, limit: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, model: tuple[list[float], float], *, rules=RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, bad: allow or block for every url.
 
     The longest fitting rule decides; without one, the model does: block where the probability `bad`
