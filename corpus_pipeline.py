@@ -14,21 +14,36 @@ from eventloom.llm.common import discard, disposable, keep, row_key, written
 from eventloom.llm.queries import tokenizer_path
 from eventloom.session import ship
 
-#: A document is rejected by language ID if no language is found in it, or in under this part of its trigrams.
-LEAST_SCORE = 0.3
+#: A document is rejected by language ID if no language is found in it, or if its score is under this part of what its language's documents usually have.
+LEAST_SHARE = 0.3
 #: Near duplicates: word shingles, and the least share of them in common.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; und and such of a score under LEAST_SCORE go. The model is trained on docs' own labels."""
+    """Documents in a known language; und and such of a score under LEAST_SHARE of the language's usual one go.
+
+    The model is trained on docs' own labels. What scores are usual is told by a quarter of docs, judged
+    by a model of the other three, so that it doesn't depend on what a model has seen.
+    Null and empty texts are und; documents without a label are judged like any other; an empty table
+    gives no rows; all columns stay.
+    """
     ship(spark)
     model = langid.train(docs)
-    return langid.identify(docs, model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    seen = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    usual = langid.usual_scores(docs.filter(langid.held_out(F.col("doc_id"))), seen)
+    least = F.lit(LEAST_SHARE)
+    for name, score in usual.items():
+        least = F.when(F.col("lang_pred") == name, F.lit(LEAST_SHARE * score)).otherwise(least)
+    return langid.identify(docs, model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that ten documents or more share, the first occurrence stays; documents of which nothing but white space is left go."""
+    """Of lines that ten documents or more share, the first occurrence stays; documents of which nothing but white space is left go.
+
+    Documents that lose no line stay as they are, null and empty texts too; rows that agree in id and
+    text lose the same lines; an empty table gives no rows; all columns stay, n_chars is brought up to date.
+    """
     ship(spark)
     kept = lines.drop_lines(docs, min_docs=10, min_chars=1, keep_first=True)
     rest = kept.filter((F.col("n_dropped") == 0) | F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
@@ -47,7 +62,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as the mix reads it, rounded to whole documents."""
+    """Sources at their target weights: a document comes as often as the mix reads it, rounded to whole documents.
+
+    Documents without words stay once; a null source is a source; repeated rows are documents of their
+    own; an empty table gives no rows; all columns stay, whatever their names.
+    """
     rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
     taken = mixing.mix(rows, keep=("_row",))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
@@ -55,7 +74,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the encoded and decoded texts, a row a document as mixed."""
+    """Digests of the encoded and decoded texts, a row a document as mixed; null texts are empty, an empty table gives no rows."""
     ship(spark)
     return bpe.digests(docs, tokenizer_path())
 
