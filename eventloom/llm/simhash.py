@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import discard, group_facts, row_key, written
 
@@ -219,8 +220,8 @@ def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: s
     return out.select("doc_id", "rk", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "own").alias("component_id"))
 
 
-#: Differing bits of the fingerprints of first candidates.
-FIRST_BITS = 3
+#: Differing bits of the fingerprints of first candidates; keys (a numeric id, two longs) that are broadcast at most.
+FIRST_BITS, BROADCAST_ROWS = 3, 100_000
 #: One text in SAMPLE is read for the common shingles, of which at most COMMON are ordered last; distances within postings at which rounds end.
 SAMPLE, COMMON, ROUNDS = 16, 16_384, (16, 256)
 
@@ -338,17 +339,21 @@ def _candidates(similarity: float, low: int, high: int | None):
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    """(h, node, size, pos, n) of texts (node, comp, size, least): the shingles that nodes of different components share in their prefixes."""
+    """(h, node, comp, size, pos, n) of texts (node, comp, size, least): the shingles that nodes of different components share in their prefixes."""
     rows = texts.select("node", "comp", "size", F.posexplode("least").alias("pos", "h"))
     shared = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n")).filter("_lo <> _hi")
-    return rows.join(shared, "h").select("h", "node", "size", F.col("pos").cast("long").alias("pos"), "n")
+    return rows.join(shared, "h").select("h", "node", "comp", "size", F.col("pos").cast("long").alias("pos"), "n")
 
 
-def _exact_candidates(postings: DataFrame, comps: DataFrame, similarity: float, low: int, high: int | None, tile_rows: int) -> DataFrame:
-    """Pairs (a, b) of a round over postings (h, node, size, pos, n), without those in one component of comps (node, root) by now."""
-    rows = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+def _left_open(postings: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+    """Postings of more than `least` nodes with the components of comps (node, root), where these are still several."""
+    rows = postings.filter(F.col("n") > least).drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     open_ = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("h")
-    rows = rows.filter(F.col("n") > (low if high else min(low, tile_rows))).join(open_, "h")
+    return rows.join(open_, "h")
+
+
+def _exact_candidates(rows: DataFrame, similarity: float, low: int, high: int | None, tile_rows: int) -> DataFrame:
+    """Pairs (a, b) of a round over postings (h, node, comp, size, pos, n)."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
     other = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1) if high is None else F.array("own")
     tiles = rows.withColumn("other", F.explode(other)).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "pos")
@@ -390,12 +395,14 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     then rk). Ids may be of any type that has an order. Texts of fewer words are one
     shingle; null, empty and blank ones are equal. An empty table gives no rows; other columns are ignored.
     """
-    rows = written(_profiles(docs, words, similarity, id_col, text_col), "fingerprints")
+    profiles = written(_profiles(docs, words, similarity, id_col, text_col), "fingerprints")
     me = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("rk"))
     # a row a set and task before the shuffle, as a third of all rows may share a set; numbered as written, so that the numbers stay
     same = ["same0", "same1"]
-    once = rows.groupBy(*same).agg(F.min(me).alias("first"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "least", "counts")])
+    once = profiles.groupBy(*same).agg(F.min(me).alias("first"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "least", "counts")])
     nodes = written(once.select(*same, "first.doc_id", "first.rk", "fp", "size", "least", "counts").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    known = written(profiles.select("doc_id", "rk", *same), "sets")
+    discard(profiles)
     asked = nodes.select("node", F.col("doc_id").alias("_d"), F.col("rk").alias("_k"))
 
     def of_nodes(table: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -407,12 +414,17 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     def held(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingle sets are as similar."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(_shingle_sets(of_nodes(texts, asked.join(ends, "node")), words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
+        wanted = written(asked.join(ends, "node"), "wanted")
+        # few keys go to the texts, instead of all texts to the keys
+        small = isinstance(wanted.schema["_d"].dataType, NumericType) and wanted.count() <= BROADCAST_ROWS
+        few = F.broadcast(wanted) if small else wanted
+        sets = written(_shingle_sets(of_nodes(texts, few), words).groupBy("node").agg(F.first("set").alias("set")), "shingles")
         # every b has a few links, an a may have very many: b's set goes along to where a's is
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "set"), "a")
         common = F.size(F.array_intersect("set", "t"))
         found = written(both.filter(common >= F.lit(similarity) * (F.size("set") + F.size("t") - common)).select("a", "b"), "held")
         discard(sets)
+        discard(wanted)
         return found
 
     first = written(links(nodes.select("node", "fp"), FIRST_BITS, tile_rows=tile_rows), "links")
@@ -423,7 +435,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     most = postings.agg(F.max("n")).first()[0] or 0
     for low, high in zip((1, *rounds), (*rounds, None), strict=True):
         if most > (low if high else min(low, tile_rows)):
-            found = written(_reachable(_exact_candidates(postings, joined, similarity, low, high, tile_rows), counts, similarity), "candidates")
+            rows = postings if low == 1 else _left_open(postings, joined, low if high else min(low, tile_rows))
+            found = written(_reachable(_exact_candidates(rows, similarity, low, high, tile_rows), counts, similarity), "candidates")
             true = held(found)
             discard(found)
             if not true.isEmpty():
@@ -433,6 +446,6 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     placed = nodes.join(joined, "node", "left").select(me.alias("me"), *same, F.coalesce("root", "node").alias("root"))
     best = group_facts(placed, ["root"], [F.col("me")], [F.min("me").alias("m")], [F.min("m").alias("best")]).select(*same, "best")
     # to the rows of a set by salted steps
-    salted = rows.select("doc_id", "rk", *same, F.pmod(F.xxhash64("doc_id", "rk"), F.lit(64)).cast("int").alias("_salt"))
+    salted = known.select("doc_id", "rk", *same, F.pmod(F.xxhash64("doc_id", "rk"), F.lit(64)).cast("int").alias("_salt"))
     out = salted.join(salted.select(*same, "_salt").distinct().join(best, same), [*same, "_salt"])
     return out.select("doc_id", "rk", F.col("best.doc_id").alias("component_id"), (me == F.col("best")).alias("stays"))
