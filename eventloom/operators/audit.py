@@ -62,9 +62,14 @@ def experiment_times(experiments: DataFrame, sync: DataFrame, chunks: DataFrame)
     return rows.withColumn("hours", (F.col("end_us") - F.col("start_us")) / 3.6e9).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
 
 
-def month_roll_up(times: DataFrame, months: DataFrame) -> DataFrame:
-    """(month, n_exp, n_with_times) of experiments; months: exp, month."""
-    return times.join(months, "exp").groupBy("month").agg(F.countDistinct("exp").alias("n_exp"), F.count("start_us").alias("n_with_times"))
+def month_roll_up(times: DataFrame, months: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(month, n_exp, n_with_times) of experiments; months: exp, month. With log lines (exp, source_log_file): n_rows and n_log_files too."""
+    out = times.join(months, "exp").groupBy("month").agg(F.countDistinct("exp").alias("n_exp"), F.count("start_us").alias("n_with_times"))
+    if lines is None:
+        return out
+    logs = lines.join(months.distinct(), "exp").groupBy("month").agg(F.count("*").alias("n_rows"), F.countDistinct("source_log_file").alias("n_log_files"))
+    zero = F.lit(0).cast("long")
+    return out.join(logs, "month", "left").withColumns({c: F.coalesce(c, zero) for c in ("n_rows", "n_log_files")})
 
 
 def failures(items: DataFrame, *checks: tuple[str, object]) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +81,15 @@ def failures(items: DataFrame, *checks: tuple[str, object]) -> tuple[DataFrame,
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def single_run(manifest: DataFrame) -> DataFrame:
-    """(exp, run_id, reason): the only result folder of each experiment, or why there is none."""
+def single_run(manifest: DataFrame, configured: str | None = None) -> DataFrame:
+    """(exp, run_id, reason): the result folder of each experiment, or why there is none.
+
+    manifest: exp, run_id, null where an experiment has no result folder. The only folder counts, or the configured one, which then must be there.
+    """
     runs = manifest.groupBy("exp").agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+    if configured is not None:
+        there = F.array_contains("runs", configured)
+        return runs.select("exp", F.when(there, configured).alias("run_id"), F.when(~there, "configured folder not found").alias("reason"))
     return runs.select("exp", F.when(F.size("runs") == 1, F.col("runs")[0]).alias("run_id"), F.when(F.size("runs") == 0, "not found").when(F.size("runs") > 1, F.concat(F.lit("several: "), F.array_join("runs", ", "))).alias("reason"))
 
 

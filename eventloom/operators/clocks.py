@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import small
+
 #: Fixed value: the playback channel of experiments that aren't listed.
 PLAYBACK_DEFAULT = 6
 
@@ -36,6 +38,14 @@ def missing_files(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     return calls.join(chunks, ["exp", "file_num"], "left_anti").groupBy("exp", "file_num").agg(F.count("*").alias("n_calls"))
 
 
+def align_some(calls: DataFrame, chunks: DataFrame, **columns: str) -> DataFrame:
+    """align, but an error where there are calls and all of them are dropped."""
+    out = align(calls, chunks, **columns)
+    if out.isEmpty() and not calls.isEmpty():
+        raise ValueError("no call's file is in the sync table")
+    return out
+
+
 def by_position(sync: DataFrame, order: str = "row_pos") -> DataFrame:
     """sync with file_num replaced by its 0-based place within the experiment."""
     return sync.withColumn("file_num", (F.row_number().over(Window.partitionBy("exp").orderBy(order)) - 1).cast("long"))
@@ -44,9 +54,9 @@ def by_position(sync: DataFrame, order: str = "row_pos") -> DataFrame:
 def in_range(rows: DataFrame, ranges: DataFrame, id_col: str = "exp") -> tuple[DataFrame, DataFrame]:
     """rows with the columns of the range (lo, hi inclusive) that holds their id, and the rows that are in none.
 
-    ranges is a configuration table of a few rows and is broadcast.
+    ranges is a configuration table; one of over 10,000 rows is an error.
     """
-    r = F.broadcast(ranges)
+    r = small(ranges)
     inside = F.col(id_col).between(F.col("lo"), F.col("hi"))
     return rows.join(r, inside).drop("lo", "hi"), rows.join(r, inside, "left_anti")
 
@@ -54,7 +64,7 @@ def in_range(rows: DataFrame, ranges: DataFrame, id_col: str = "exp") -> tuple[D
 def without_skipped(rows: DataFrame, skip: Sequence[int], id_col: str = "exp") -> DataFrame:
     """rows whose id isn't on the skip list."""
     listed = rows.sparkSession.createDataFrame([(int(i),) for i in skip], f"{id_col} long")
-    return rows.join(F.broadcast(listed), id_col, "left_anti")
+    return rows.join(listed, id_col, "left_anti")
 
 
 def expanded(selection: DataFrame, column: str = "sel") -> DataFrame:
@@ -65,7 +75,7 @@ def expanded(selection: DataFrame, column: str = "sel") -> DataFrame:
 
 def playback_channel(rows: DataFrame, table: DataFrame, default: int = PLAYBACK_DEFAULT) -> DataFrame:
     """rows with the playback channel of their experiment, or the default."""
-    return rows.join(F.broadcast(table.select("exp", F.col("channel").alias("_c"))), "exp", "left").withColumn("playback_channel", F.coalesce("_c", F.lit(default))).drop("_c")
+    return rows.join(table.select("exp", F.col("channel").alias("_c")), "exp", "left").withColumn("playback_channel", F.coalesce("_c", F.lit(default))).drop("_c")
 
 
 def with_channel(calls: DataFrame) -> DataFrame:

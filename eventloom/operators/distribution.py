@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
+#: Ranks of tied values that are spread at once.
+RANKS = 10_000
+
 
 def log_edges(low: float, high: float, n: int) -> list[float]:
     """n edges from low to high, evenly spaced by ratio."""
@@ -39,11 +44,22 @@ def full_range(values: DataFrame, column: str) -> tuple[float, float]:
     return (1e-3, 1e3) if low is None else (max(1e-3, low), min(high, 1e3))
 
 
-def empirical_cdf(values: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """i / n over the sorted positive values; ties have ranks of their own."""
-    rows = values.filter(F.col(column) > 0)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(column))
-    return rows.select(*by, column, (place / F.count("*").over(Window.partitionBy(*by))).alias("cdf"))
+def empirical_cdf(values: DataFrame, column: str, by: Sequence[str], parts: int = 64) -> DataFrame:
+    """i / n over the sorted positive values; ties have ranks of their own.
+
+    Equal values are counted first; sums then run within pieces between `parts` quantiles of all values,
+    so that neither a hot key nor a hot value is one task.
+    """
+    counts = values.filter(F.col(column) > 0).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    cuts = counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    summed = running_sum(counts.withColumn("_cut", piece), list(by), ["_cut", column], {"_upto": F.col("_n")}, step=1)
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    rows = summed.join(total, list(by)) if by else summed.crossJoin(total)
+    first = F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"), F.lit(RANKS)))
+    rows = rows.select(*by, column, "_all", "_upto", first.alias("_first"))
+    rows = rows.select(*by, column, "_all", F.explode(F.sequence("_first", F.least("_upto", F.col("_first") + RANKS - 1))).alias("_rank"))
+    return rows.select(*by, column, (F.col("_rank") / F.col("_all")).alias("cdf"))
 
 
 def threshold_fractions(values: DataFrame, column: str, thresholds: Sequence[float], cap: float, by: Sequence[str] = ()) -> DataFrame:

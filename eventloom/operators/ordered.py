@@ -7,11 +7,12 @@ piece carries what goes over the cuts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -19,14 +20,41 @@ DAY_US = 86_400_000_000
 FIRST = -(2**62)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names, or in a local one on one machine where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder that the cluster names, or a local one where none is named."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="eventloom-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """A configuration table, marked for broadcast; more than `most` rows are an error."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"a configuration table of more than {most} rows")
+    return F.broadcast(table)
+
+
+def overlapping(df: DataFrame, by: str, before: int, behind: int, step: int) -> DataFrame:
+    """df cut into pieces (_piece) of step values of by; rows near a cut also go to the other side (_own: false there)."""
+    if max(before, behind) > step:
+        raise ValueError("a window wider than a piece")
+    piece = F.floor(F.col(by) / step).cast("long")
+    place = F.pmod(F.col(by), F.lit(step))
+    copies = F.array_compact(F.array(piece, F.when(place < behind, piece - 1), F.when(place >= step - before, piece + 1)))
+    return df.select("*", F.explode(copies).alias("_piece")).withColumn("_own", F.col("_piece") == piece)
+
+
 def pieces(df: DataFrame, keys: Sequence[str], by: str, step: int) -> DataFrame:
     """df with _seq: the sequence and the piece of it that a row belongs to.
 

@@ -26,9 +26,22 @@ def drop_noise(calls: DataFrame, label: str = "noise") -> DataFrame:
     return calls.filter(F.col("event_type") != label)
 
 
-def in_domain(calls: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Calls of the listed types only."""
-    return calls.filter(F.col("event_type").isin(list(order)))
+def in_domain(calls: DataFrame, order: Sequence[str], *, some: bool = False) -> DataFrame:
+    """Calls of the listed types only; with `some`, none at all is an error."""
+    out = calls.filter(F.col("event_type").isin(list(order)))
+    if some and out.isEmpty():
+        raise ValueError("no calls of the listed types")
+    return out
+
+
+def complete(calls: DataFrame, columns: Sequence[str] = ("event_type", "start_us", "stop_us")) -> DataFrame:
+    """Calls without a null in the columns."""
+    return calls.na.drop(subset=list(columns))
+
+
+def pooled(gaps_: DataFrame) -> DataFrame:
+    """Gaps of all variants as one: each counts once for every variant that it is in."""
+    return gaps_.drop("variant")
 
 
 def gaps(calls: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:

@@ -7,16 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.levels import db, level_db, pair_mean, slice_bounds
+from ..functions.levels import db, pair_mean
+from .ordered import neighbour, overlapping, running_sum
 
 RATE = 125_000
+#: Samples of a piece of a long signal.
+STEP = 1_000_000
 
 
-def rolling_mean(samples: DataFrame, width: int, *, centred: bool, keys: Sequence[str] = ("file",), value: str = "value", out: str = "mean") -> DataFrame:
-    """Mean over a window of width samples, null where the window isn't full. A centred even window has one sample fewer behind."""
-    w = Window.partitionBy(*keys).orderBy("idx")
+def rolling_mean(samples: DataFrame, width: int, *, centred: bool, keys: Sequence[str] = ("file",), value: str = "value", out: str = "mean", step: int = STEP) -> DataFrame:
+    """Mean over a window of width samples, null where the window isn't full. A centred even window has one sample fewer behind.
+
+    idx counts a key's samples without gaps: windows run in pieces of step samples that overlap by width.
+    """
+    cut = overlapping(samples, "idx", width, width, step)
+    w = Window.partitionBy(*keys, "_piece").orderBy("idx")
     w = w.rowsBetween(-(width // 2), width - width // 2 - 1) if centred else w.rowsBetween(-(width - 1), 0)
-    return samples.withColumn(out, F.when(F.count("idx").over(w) == width, F.when(F.count(value).over(w) == width, F.avg(value).over(w))))
+    mean = F.when(F.count("idx").over(w) == width, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    return cut.withColumn(out, mean).filter("_own").drop("_own", "_piece")
 
 
 def activated(samples: DataFrame, *, level: float = 1.5, keys: Sequence[str] = ("file",), mean: str = "mean", compat: bool = False) -> DataFrame:
@@ -24,31 +32,31 @@ def activated(samples: DataFrame, *, level: float = 1.5, keys: Sequence[str] = (
 
     idx stays the file's; with compat it restarts at 0 from the activation.
     """
-    first = F.min(F.when(F.col(mean) > level, F.col("idx"))).over(Window.partitionBy(*keys))
-    rows = samples.withColumn("_first", first).filter("idx >= _first")
-    return (rows.withColumn("idx", F.col("idx") - F.col("_first")) if compat else rows).drop("_first")
+    first = samples.filter(F.col(mean) > level).groupBy(*keys).agg(F.min("idx").alias("_first"))
+    rows = samples.join(first, list(keys)).filter("idx >= _first")
+    return (rows.withColumn("idx", F.col("idx") - F.col("_first")) if compat else rows).select(*samples.columns)
 
 
-def dips(samples: DataFrame, *, low: float = 0.5, least_samples: int = 1, gate: float = 1.0, keys: Sequence[str] = ("file",), value: str = "value") -> DataFrame:
+def dips(samples: DataFrame, *, low: float = 0.5, least_samples: int = 1, gate: float = 1.0, keys: Sequence[str] = ("file",), value: str = "value", step: int = STEP) -> DataFrame:
     """(keys, start_idx, end_idx, n) of stretches below low of least_samples or more, in keys whose maximum reaches gate.
 
     A dip starts at its last high sample and ends at its last low one; a stretch already low at the
     start and one that never rises again are left out. Null values count as high.
     """
-    w = Window.partitionBy(*keys).orderBy("idx")
-    is_low = F.coalesce(F.col(value) < low, F.lit(False))
-    edges = samples.withColumn("_low", is_low).withColumn("_top", F.max(value).over(Window.partitionBy(*keys))).filter(F.col("_top") >= gate)
-    edges = edges.withColumn("_was", F.lag("_low").over(w)).withColumn("_before", F.lag("idx").over(w)).filter(F.col("_was").isNotNull() & (F.col("_was") != F.col("_low")))
-    paired = edges.withColumn("end_idx", F.lead("_before").over(w)).filter(F.col("_low") & F.col("end_idx").isNotNull())
-    return paired.select(*keys, F.col("_before").alias("start_idx"), "end_idx", (F.col("end_idx") - F.col("_before")).alias("n")).filter(F.col("n") >= least_samples)
+    loud = samples.groupBy(*keys).agg(F.max(value).alias("_top")).filter(F.col("_top") >= gate).select(*keys)
+    flagged = samples.select(*keys, "idx", F.coalesce(F.col(value) < low, F.lit(False)).alias("_low")).join(loud, list(keys))
+    edges = neighbour(flagged, keys, ["idx"], ["idx", "_low"], after=False, step=step).filter(F.col("_prev").isNotNull() & (F.col("_prev._low") != F.col("_low")))
+    edges = edges.select(*keys, "idx", "_low", F.col("_prev.idx").alias("_before"))
+    paired = neighbour(edges, keys, ["idx"], ["idx", "_before"], step=step).select(*keys, "_low", F.col("_before").alias("start_idx"), F.col("_next._before").alias("end_idx"))
+    return paired.filter("_low and end_idx is not null").select(*keys, "start_idx", "end_idx", (F.col("end_idx") - F.col("start_idx")).alias("n")).filter(F.col("n") >= least_samples)
 
 
-def runs(samples: DataFrame, flag: Column, keys: Sequence[str] = ("file",)) -> DataFrame:
+def runs(samples: DataFrame, flag: Column, keys: Sequence[str] = ("file",), step: int = STEP) -> DataFrame:
     """(keys, run, is_on, first_idx, n): run-length encoding of a Boolean column."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    rows = samples.withColumn("is_on", flag)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("is_on") == F.lag("is_on").over(w), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "run").agg(F.first("is_on").alias("is_on"), F.min("idx").alias("first_idx"), F.count("*").alias("n"))
+    rows = neighbour(samples.select(*keys, "idx", flag.alias("is_on")), keys, ["idx"], ["idx", "is_on"], after=False, step=step)
+    rows = rows.select(*keys, "idx", "is_on", F.when(F.col("is_on") == F.col("_prev.is_on"), 0).otherwise(1).alias("_new"))
+    rows = running_sum(rows, keys, ["idx"], {"run": F.col("_new")}, step=step)
+    return rows.groupBy(*keys, "run").agg(F.bool_or("is_on").alias("is_on"), F.min("idx").alias("first_idx"), F.count("*").alias("n"))
 
 
 def first_run_code(runs_: DataFrame, rate: int, keys: Sequence[str] = ("file",)) -> DataFrame:
@@ -58,35 +66,61 @@ def first_run_code(runs_: DataFrame, rate: int, keys: Sequence[str] = ("file",))
     return runs_.withColumn("code", code).groupBy(*keys).agg(F.min_by("code", "run").alias("code"))
 
 
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """chunks with block and first_idx, 0 where files are one row each."""
+    for c, kind in (("block", "int"), ("first_idx", "long")):
+        if c not in chunks.columns:
+            chunks = chunks.withColumn(c, F.lit(0).cast(kind))
+    return chunks.filter("samples is not null")
+
+
 def pair_average(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(exp, virtual_ch, file_num, outcome, rate, samples): mean of two microphones' samples per virtual channel.
+    """(exp, virtual_ch, file_num, outcome, rate, block, first_idx, samples): mean of two microphones' samples per virtual channel.
 
     Outcomes are looked for in this order: missing, rate (rates differ), shape (lengths differ), saved.
+    They are those of whole files, whose blocks are then averaged one by one; another outcome is a row
+    without samples.
     """
-    c = chunks.select("exp", "channel", "file_num", "rate", "samples")
-    wanted = c.select("exp", "file_num").distinct().join(F.broadcast(pairs), "exp")
-    side = lambda n: c.select("exp", "file_num", F.col("channel").alias(f"ch{n}"), F.col("rate").alias(f"r{n}"), F.col("samples").alias(f"s{n}"))
+    c = _blocks(chunks).select("exp", "channel", "file_num", "rate", "block", "first_idx", "samples")
+    files = c.groupBy("exp", "channel", "file_num").agg(F.first("rate").alias("r"), F.sum(F.size("samples")).alias("n"))
+    wanted = files.select("exp", "file_num").distinct().join(pairs, "exp")
+    side = lambda k: files.select("exp", "file_num", F.col("channel").alias(f"ch{k}"), F.col("r").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
     both = wanted.join(side(1), ["exp", "file_num", "ch1"], "left").join(side(2), ["exp", "file_num", "ch2"], "left")
-    outcome = F.when(F.col("s1").isNull() | F.col("s2").isNull(), "missing").when(F.col("r1") != F.col("r2"), "rate").when(F.size("s1") != F.size("s2"), "shape").otherwise("saved")
-    rows = both.withColumn("outcome", outcome)
-    return rows.select("exp", "virtual_ch", "file_num", "outcome", F.when(F.col("outcome") == "saved", F.col("r1")).alias("rate"), F.when(F.col("outcome") == "saved", pair_mean(F.col("s1"), F.col("s2"))).alias("samples"))
+    outcome = F.when(F.col("n1").isNull() | F.col("n2").isNull(), "missing").when(F.col("r1") != F.col("r2"), "rate").when(F.col("n1") != F.col("n2"), "shape").otherwise("saved")
+    rows = both.select("exp", "virtual_ch", "file_num", "ch1", "ch2", outcome.alias("outcome"), "r1")
+    saved = rows.filter("outcome = 'saved'")
+    of = lambda k: saved.select("exp", "virtual_ch", "file_num", F.col(f"ch{k}").alias("channel")).join(c, ["exp", "file_num", "channel"]).select("exp", "virtual_ch", "file_num", "block", "first_idx", F.col("samples").alias(f"s{k}"))
+    keys = ["exp", "virtual_ch", "file_num"]
+    means = of(1).join(of(2), [*keys, "block", "first_idx"]).select(*keys, "block", "first_idx", pair_mean(F.col("s1"), F.col("s2")).alias("samples"))
+    out = rows.join(means, keys, "left")
+    return out.select(*keys, "outcome", F.when(F.col("outcome") == "saved", F.col("r1")).alias("rate"), "block", "first_idx", "samples")
 
 
 def outcome_counts(paired: DataFrame) -> DataFrame:
-    return paired.groupBy("exp").agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("saved", "missing", "rate", "shape")])
+    """(exp, n_saved, n_missing, n_rate, n_shape): files of each outcome."""
+    return paired.filter("coalesce(block, 0) = 0").groupBy("exp").agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("saved", "missing", "rate", "shape")])
 
 
 def call_levels(calls: DataFrame, chunks: DataFrame, rate: int | None = None) -> DataFrame:
-    """calls with level_db of their slice of each channel of the same file: (call columns, channel, level_db).
+    """calls with level_db of their slice of each channel of the same file: (call columns, source_channel, level_db).
 
-    An empty slice, and with `rate` a chunk of another rate, has a null level.
+    An empty slice, and with `rate` a chunk of another rate, has a null level. Every block of a file adds
+    what it holds of the slice to a sum and a count, so a call may lie across blocks, and samples don't leave their task.
     """
-    c = chunks.select("exp", "file_num", F.col("channel").alias("source_channel"), "rate", "samples")
-    a, b = slice_bounds(F.col("onset_s"), F.col("offset_s"), F.col("rate"), F.size("samples"))
-    level = level_db(F.slice("samples", a + 1, b - a))
+    c = _blocks(chunks).select("exp", "file_num", F.col("channel").alias("source_channel"), F.col("rate").alias("_rate"), "first_idx", "samples")
+    once = calls.groupBy(*calls.columns).agg(F.count("*").alias("_copies"))
+    a = F.greatest(F.lit(0).cast("long"), F.floor(F.col("onset_s") * F.col("_rate"))) - F.col("first_idx")
+    b = F.floor(F.col("offset_s") * F.col("_rate")) - F.col("first_idx")
+    within = lambda x: F.least(F.greatest(x, F.lit(0).cast("long")), F.size("samples").cast("long")).cast("int")
+    parts = once.join(c, ["exp", "file_num"]).withColumns({"_a": within(a), "_b": within(b)})
+    power = F.aggregate(F.slice("samples", F.col("_a") + 1, F.col("_b") - F.col("_a")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    held = F.col("_b") > F.col("_a")
+    parts = parts.select(*calls.columns, "source_channel", "_rate", "_copies", F.when(held, power).alias("_power"), F.when(held, F.col("_b") - F.col("_a")).otherwise(0).alias("_n"))
+    sums = parts.groupBy(*calls.columns, "source_channel", "_rate", "_copies").agg(F.sum("_power").alias("_power"), F.sum("_n").alias("_n"))
+    level = db(F.try_divide(F.col("_power"), F.col("_n")))
     if rate is not None:
-        level = F.when(F.col("rate") == rate, level)
-    return calls.join(c, ["exp", "file_num"]).withColumn("level_db", level).drop("samples", "rate")
+        level = F.when(F.col("_rate") == rate, level)
+    return sums.select(*calls.columns, "source_channel", level.alias("level_db"), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_i")).drop("_i")
 
 
 def long_levels(segments: DataFrame, samples: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:

@@ -86,18 +86,54 @@ def zero_crossings(samples: DataFrame, keys: Sequence[str] = ("seg_id",)) -> Dat
     return rows.groupBy(*keys).agg(F.avg("_x").alias("zcr"))
 
 
+def frame_zcr(segments: DataFrame, *, width: int = 2048, hop: int = 512) -> DataFrame:
+    """(seg_id, frame, zcr) of segments (seg_id, samples): crossings of zero in width samples around each hop, over width.
+
+    Values within 1e-10 of zero count as positive; beyond a segment's ends its last values go on.
+    """
+    n, half = F.size("samples"), width // 2
+    negative = F.transform("samples", lambda x: x < -1e-10)
+    flips = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(F.col("_neg"), i + 1) != F.element_at(F.col("_neg"), i))).otherwise(F.array().cast("array<int>"))
+    known = segments.filter("samples is not null and size(samples) > 0").select("seg_id", n.alias("_n"), negative.alias("_neg"), F.floor(n / hop).cast("int").alias("_last"))
+    frames = known.select("seg_id", F.explode(F.sequence(F.lit(0), "_last")).alias("frame"))
+    at = known.withColumn("samples", F.col("_neg")).select("seg_id", "_last", F.explode(flips).alias("i"))
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - half + 1) / hop).cast("int")), F.least(F.col("_last"), F.floor((F.col("i") + half - 1) / hop).cast("int"))
+    counts = at.select("seg_id", F.explode(F.when(first <= last, F.sequence(first, last))).alias("frame")).groupBy("seg_id", "frame").agg(F.count("*").alias("_c"))
+    return frames.join(counts, ["seg_id", "frame"], "left").select("seg_id", "frame", (F.coalesce("_c", F.lit(0)) / width).alias("zcr"))
+
+
+def _decibels(power: Column, floor: float = 80.0) -> Column:
+    """dB of a power, at least 1e-10, and not more than floor under the segment's highest."""
+    of = 10 * F.log10(F.greatest(power, F.lit(1e-10)))
+    return F.greatest(of, F.max(of).over(Window.partitionBy("seg_id")) - floor)
+
+
 def contrast(frames: DataFrame, bands: int = 6, lowest: float = 200.0, part: float = 0.02) -> DataFrame:
-    """(seg_id, frame, band, contrast): dB between the top and bottom quantile of octave bands' magnitudes."""
-    edge = F.greatest(F.lit(0.0), F.floor(F.log2(F.greatest(F.col("freq_hz"), F.lit(1.0)) / lowest)) + 1)
-    rows = frames.withColumn("band", F.least(edge, F.lit(float(bands))).cast("int"))
-    q = F.percentile("mag", F.array(F.lit(part), F.lit(1 - part)))
-    return rows.groupBy("seg_id", "frame", "band").agg(q.alias("_q")).select("seg_id", "frame", "band", (20 * F.log10((F.col("_q")[1] + EPS) / (F.col("_q")[0] + EPS))).alias("contrast"))
+    """(seg_id, frame, band, contrast): dB between the mean top and mean bottom part of the magnitudes of octave bands.
+
+    Band 0 reaches up to lowest, each next one an octave on, the last to the end; bands above the first
+    begin one bin early, and all but the last leave out their highest bin. A band without bins has no row.
+    """
+    rows = frames.groupBy("seg_id", "frame").agg(F.array_sort(F.collect_list(F.struct("bin", "freq_hz", "mag"))).alias("_s"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(bands))).alias("band"))
+    high = lowest * F.pow(F.lit(2.0), F.col("band"))
+    low = F.when(F.col("band") == 0, 0.0).otherwise(high / 2)
+    below = F.size(F.filter("_s", lambda x: x["freq_hz"] < F.col("_low")))
+    upto = F.when(F.col("band") == bands, F.size("_s")).otherwise(F.size(F.filter("_s", lambda x: x["freq_hz"] <= F.col("_high"))))
+    rows = rows.withColumns({"_low": low, "_high": high}).withColumns({"_from": below, "_to": upto}).filter("_to > _from")
+    start = F.when(F.col("band") == 0, F.col("_from")).otherwise(F.greatest(F.col("_from") - 1, F.lit(0)))
+    rows = rows.withColumn("_start", start).withColumn("_n", F.col("_to") - F.col("_start"))
+    own = F.slice("_s", F.col("_start") + 1, F.col("_n") - F.when(F.col("band") == bands, 0).otherwise(1))
+    rows = rows.withColumns({"_m": F.array_sort(F.transform(own, lambda x: x["mag"])), "_k": F.greatest(F.lit(1), F.rint(part * F.col("_n")).cast("int"))}).filter("size(_m) > 0")
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    ends = rows.select("seg_id", "frame", "band", mean(F.slice("_m", F.lit(1), F.col("_k"))).alias("_valley"), mean(F.slice("_m", -F.least("_k", F.size("_m")), F.col("_k"))).alias("_peak"))
+    return ends.select("seg_id", "frame", "band", (_decibels(F.col("_peak")) - _decibels(F.col("_valley"))).alias("contrast"))
 
 
 def cepstrum(frames: DataFrame, n: int = 5) -> DataFrame:
     """(seg_id, frame, k, coefficient): the first n orthonormal cosine coefficients of the dB spectrum."""
     size = F.count("*").over(Window.partitionBy("seg_id", "frame"))
-    rows = frames.withColumn("_n", size).withColumn("_db", 20 * F.log10(F.col("mag") + EPS))
+    rows = frames.withColumn("_n", size).withColumn("_db", _decibels(F.col("mag") * F.col("mag") + 1e-12))
     each = rows.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(n)])))
     term = F.col("_db") * F.cos(F.lit(np.pi) * F.col("k") * (F.col("bin") + 0.5) / F.col("_n"))
     scale = F.sqrt(F.when(F.col("k") == 0, 1.0).otherwise(2.0) / F.first("_n"))
@@ -119,12 +155,25 @@ def series_summary(rows: DataFrame, column: str, by: Sequence[str], prefix: str)
     return out.select(*by, f"{prefix}_mean", f"{prefix}_std", F.col("_q")[1].alias(f"{prefix}_median"), (F.col("_q")[2] - F.col("_q")[0]).alias(f"{prefix}_iqr"))
 
 
-def features(frames: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row a segment: meta (seg_id, ...) and summaries of entropy, flatness, centroid, bandwidth, rolloff and rms."""
-    out = meta
+def _by_index(table: DataFrame, column: str, index: str, n: int, prefix: str, first: int = 0) -> DataFrame:
+    """(seg_id, summaries of each index 0 to n - 1): prefix and number in names, which begin at `first`."""
+    long = series_summary(table, column, ["seg_id", index], "v")
+    return long.groupBy("seg_id").agg(*[F.max(F.when(F.col(index) == k, F.col(f"v_{x}"))).alias(f"{prefix}{k + first}_{x}") for k in range(n) for x in ("mean", "std", "median", "iqr")])
+
+
+def features(frames: DataFrame, meta: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """One row a segment: meta (seg_id, ...) and summaries of entropy, flatness, centroid, bandwidth, rolloff and rms,
+    of the contrast of seven bands (contrast_b0 to contrast_b6) and five cepstral coefficients (mfcc1 to mfcc5), and with
+    segments (seg_id, samples) of the rate of zero crossings (zcr)."""
     shape = frame_shape(frames)
-    for table, column in ((frame_entropy(frames), "entropy"), (frame_flatness(frames), "flatness"), (shape, "centroid"), (shape, "bandwidth"), (shape, "rolloff"), (frame_power(frames), "rms")):
-        out = out.join(series_summary(table, column, ["seg_id"], column), "seg_id", "left")
+    tables = [(frame_entropy(frames), "entropy"), (frame_flatness(frames), "flatness"), (shape, "centroid"), (shape, "bandwidth"), (shape, "rolloff"), (frame_power(frames), "rms")]
+    if segments is not None:
+        tables.append((frame_zcr(segments), "zcr"))
+    parts = [series_summary(table, column, ["seg_id"], column) for table, column in tables]
+    parts += [_by_index(contrast(frames), "contrast", "band", 7, "contrast_b"), _by_index(cepstrum(frames), "coefficient", "k", 5, "mfcc", 1)]
+    out = meta
+    for part in parts:
+        out = out.join(part, "seg_id", "left")
     return out
 
 
@@ -187,7 +236,11 @@ def valid_tracks(track: DataFrame, value: str, least: float = 0.05, keys: Sequen
     return track.withColumn(value, F.when(share >= least, F.col(value)))
 
 
-def call_summaries(tracks: DataFrame, meta: DataFrame) -> DataFrame:
-    """(label, audio, median_khz, range_khz, duration_ms) of finite rows; tracks as in track_summary, meta: seg_id, label, audio, duration_sec."""
-    rows = meta.join(tracks, "seg_id").select("label", "audio", (F.col("median") / 1000).alias("median_khz"), (F.col("range") / 1000).alias("range_khz"), (F.col("duration_sec") * 1000).alias("duration_ms"))
-    return finite(rows, ["median_khz", "range_khz", "duration_ms"])
+def call_summaries(tracks: DataFrame, meta: DataFrame, third: tuple[str, float, str] = ("duration_sec", 1000.0, "duration_ms")) -> DataFrame:
+    """(label, audio, median_khz, range_khz, duration_ms) of finite rows; tracks as in track_summary, meta: seg_id, label, audio, duration_sec.
+
+    third: a column of meta, a factor and the name of the result, such as ("entropy_mean", 1.0, "entropy") instead of the duration.
+    """
+    column, factor, name = third
+    rows = meta.join(tracks, "seg_id").select("label", "audio", (F.col("median") / 1000).alias("median_khz"), (F.col("range") / 1000).alias("range_khz"), (F.col(column) * factor).alias(name))
+    return finite(rows, ["median_khz", "range_khz", name])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, labels, levels
 from ..operators import audit, clocks, daynight, distribution, overlap, rates, sequence, sessions, signal, spectral
+from ..operators.ordered import shared_path
 from ..sources import tables
 from .views import BANDS, FOLDERS, LIGHT, ORDER, PLACES, calls, chunks, file_calls, frames, samples, sync, table
 
@@ -40,11 +41,11 @@ CTE = {
         bo AS (SELECT call_id, exp, channel, start_us, stop_us,
                  CASE WHEN size >= 3 THEN CAST(sum(CASE WHEN size >= 3 AND pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY exp ORDER BY start_us, stop_us, call_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS bout_id,
                  CASE WHEN size >= 3 THEN pos END AS position_in_bout FROM e2)""",
-    "fc": "fc AS (SELECT l_orderkey % 10 AS exp, l_orderkey AS file_num, l_linenumber, l_partkey, l_linenumber * 1000000 AS start_file_us, l_linenumber * 1000000 + CAST(round(l_quantity * 1e6) AS BIGINT) AS stop_file_us FROM lineitem)",
-    "ch": "ch AS (SELECT *, start_us - min(start_us) OVER (PARTITION BY exp) AS offset_us FROM sy WHERE file_num % 5 <> 0)",
+    "fc": "fc AS (SELECT l_orderkey % 10 AS exp, CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS file_num, l_linenumber, l_partkey, l_linenumber * 1000000 AS start_file_us, l_linenumber * 1000000 + CAST(round(l_quantity * 1e6) AS BIGINT) AS stop_file_us FROM lineitem)",
+    "ch": "ch AS (SELECT *, start_us - min(start_us) OVER (PARTITION BY exp) AS offset_us FROM sy)",
     "sa": "sa AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events)",
     "fr": "fr AS (SELECT CAST(label AS VARCHAR) AS seg_id, vec_id AS frame, i - 1 AS bin, (i - 1) * 100.0::DOUBLE AS freq_hz, abs(CAST(embedding[i] AS DOUBLE)) AS mag FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings))",
-    "ck": "ck AS (SELECT * FROM (SELECT (vec_id // 2) % 5 AS exp, vec_id % 2 + 1 AS channel, vec_id // 2 AS file_num, CASE WHEN vec_id % 11 = 0 THEN 100 ELSE 64 END AS rate, embedding AS samples FROM embeddings) WHERE file_num % 17 <> 3 OR channel = 1)",
+    "ck": "ck AS (SELECT (vec_id // 2) % 5 AS exp, CASE WHEN (vec_id // 2) % 17 = 3 THEN 2 * (vec_id % 2) + 1 ELSE vec_id % 2 + 1 END AS channel, vec_id // 2 AS file_num, CASE WHEN vec_id % 11 = 0 THEN 100 ELSE 64 END AS rate, embedding AS samples FROM embeddings)",
 }
 
 
@@ -282,7 +283,7 @@ def loudest_source(spark, d) -> DataFrame:
 
 
 def _chunk_starts(spark, d):
-    return clocks.chunk_starts(sync(spark, d).filter("file_num % 5 <> 0"))
+    return clocks.chunk_starts(sync(spark, d))
 
 
 @query("sy fc ch", "SELECT fc.exp, fc.file_num, l_linenumber, l_partkey, offset_us + start_file_us AS start_exp_us, offset_us + stop_file_us AS stop_exp_us, start_us + start_file_us AS start_us, start_us + stop_file_us AS stop_us FROM fc JOIN ch ON fc.exp = ch.exp AND fc.file_num = ch.file_num")
@@ -374,12 +375,12 @@ def log_presence(spark, d) -> DataFrame:
     return audit.log_presence(table(spark, d, "customer").select(F.col("c_custkey").alias("exp")), o, o.filter("o_orderstatus = 'F'"))
 
 
-@query("", """WITH m AS (SELECT l_suppkey AS exp, CASE WHEN l_partkey % 2 = 0 THEN 'modern' ELSE 'legacy' END AS scheme, l_linenumber AS f FROM lineitem WHERE l_suppkey % 3 <> 0 OR l_partkey % 2 = l_suppkey % 2),
+@query("", """WITH m AS (SELECT l_suppkey AS exp, CASE WHEN (CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey // 3 ELSE l_partkey END) % 2 = 0 THEN 'modern' ELSE 'legacy' END AS scheme, l_linenumber AS f FROM lineitem),
     s AS (SELECT exp, coalesce(list_sort(list(DISTINCT f) FILTER (WHERE scheme = 'modern')), []) AS mo, coalesce(list_sort(list(DISTINCT f) FILTER (WHERE scheme = 'legacy')), []) AS le FROM m GROUP BY exp)
     SELECT exp, CASE WHEN len(mo) > 0 AND (len(le) = 0 OR mo = le) THEN 'modern' WHEN len(le) > 0 AND len(mo) = 0 THEN 'legacy' END AS scheme, CASE WHEN len(mo) > 0 AND len(le) > 0 AND mo <> le THEN 'schemes differ' WHEN len(mo) = 0 AND len(le) = 0 THEN 'no chunks' END AS reason FROM s""")
 def naming_schemes(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_suppkey % 3 <> 0 or l_partkey % 2 = l_suppkey % 2")
-    return audit.naming_schemes(rows.select(F.col("l_suppkey").alias("exp"), F.when(F.col("l_partkey") % 2 == 0, "modern").otherwise("legacy").alias("scheme"), F.col("l_linenumber").alias("file_num")))
+    rows = table(spark, d, "lineitem").withColumn("_of", F.when(F.col("l_suppkey") % 3 == 0, F.floor(F.col("l_suppkey") / 3)).otherwise(F.col("l_partkey")))
+    return audit.naming_schemes(rows.select(F.col("l_suppkey").alias("exp"), F.when(F.col("_of") % 2 == 0, "modern").otherwise("legacy").alias("scheme"), F.col("l_linenumber").alias("file_num")))
 
 
 @query("sy", "SELECT c_custkey AS exp, arg_min(start_us, row_pos) AS start_us, arg_max(end_us, row_pos) AS end_us, round((arg_max(end_us, row_pos) - arg_min(start_us, row_pos)) / 3.6e9, 6) AS hours, count(DISTINCT file_num) AS n_chunks FROM customer LEFT JOIN sy ON c_custkey = exp GROUP BY c_custkey")
@@ -513,16 +514,33 @@ def frame_power(spark, d) -> DataFrame:
     return spectral.frame_power(frames(spark, d)).withColumn("rms", r("rms"))
 
 
-@query("fr", ", x AS (SELECT *, CAST(least(greatest(0, floor(log2(greatest(freq_hz, 1.0) / 200.0)) + 1), 6) AS INTEGER) AS band FROM fr) SELECT seg_id, frame, band, round(20 * log10((quantile_cont(mag, 0.98) + 1e-12) / (quantile_cont(mag, 0.02) + 1e-12)), 4) AS contrast FROM x GROUP BY seg_id, frame, band")
+_CONTRAST = """, s AS (SELECT seg_id, frame, list(mag ORDER BY bin) AS m, list(freq_hz ORDER BY bin) AS f FROM fr GROUP BY ALL),
+    k AS (SELECT *, 200.0::DOUBLE * pow(2, band) AS hi, CASE WHEN band = 0 THEN 0.0 ELSE 100.0 * pow(2, band) END AS lo FROM (SELECT *, unnest(range(0, 7)) AS band FROM s)),
+    e AS (SELECT *, len(list_filter(f, lambda x: x < lo)) AS a, CASE WHEN band = 6 THEN len(f) ELSE len(list_filter(f, lambda x: x <= hi)) END AS z FROM k),
+    g AS (SELECT *, CASE WHEN band = 0 THEN a ELSE greatest(a - 1, 0) END AS st FROM e WHERE z > a),
+    h AS (SELECT seg_id, frame, band, list_sort(m[st + 1 : z - CASE WHEN band = 6 THEN 0 ELSE 1 END]) AS m, CAST(greatest(1, round_even(0.02 * (z - st), 0)) AS INTEGER) AS n FROM g),
+    v AS (SELECT seg_id, frame, band, 10 * log10(greatest(1e-10, list_avg(m[len(m) - n + 1 :]))) AS p, 10 * log10(greatest(1e-10, list_avg(m[1 : n]))) AS q FROM h WHERE len(m) > 0)
+    SELECT seg_id, frame, CAST(band AS INTEGER) AS band, round(greatest(p, max(p) OVER w - 80) - greatest(q, max(q) OVER w - 80), 4) + 0.0 AS contrast FROM v WINDOW w AS (PARTITION BY seg_id)"""
+
+
+@query("fr", _CONTRAST)
 def spectral_contrast(spark, d) -> DataFrame:
-    return spectral.contrast(frames(spark, d)).withColumn("contrast", r("contrast", 4))
+    return spectral.contrast(frames(spark, d)).withColumn("contrast", r("contrast", 4) + F.lit(0.0))
 
 
-@query("fr", "SELECT seg_id, frame, k, round(sum(20 * log10(mag + 1e-12) * cos(pi() * k * (bin + 0.5) / 64)) * sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / 64), 4) + 0.0 AS coefficient FROM fr, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY seg_id, frame, k")
+@query("fr", ", x AS (SELECT *, 10 * log10(greatest(1e-10, mag * mag + 1e-12)) AS db0 FROM fr), y AS (SELECT *, greatest(db0, max(db0) OVER (PARTITION BY seg_id) - 80) AS db FROM x) SELECT seg_id, frame, k, round(sum(db * cos(pi() * k * (bin + 0.5) / 64)) * sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / 64), 4) + 0.0 AS coefficient FROM y, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY seg_id, frame, k")
 def cepstrum(spark, d) -> DataFrame:
     return spectral.cepstrum(frames(spark, d)).withColumn("coefficient", r("coefficient", 4) + F.lit(0.0))
 
 
+@query("", """WITH v AS (SELECT vec_id AS seg_id, i, (embedding[i] < -1e-10) <> (embedding[i - 1] < -1e-10) AS flip FROM (SELECT *, unnest(range(2, 65)) AS i FROM embeddings)),
+    f AS (SELECT vec_id AS seg_id, unnest(range(0, 9)) AS frame FROM embeddings)
+    SELECT f.seg_id, CAST(f.frame AS INTEGER) AS frame, round(count(*) FILTER (WHERE v.flip AND v.i - 1 BETWEEN f.frame * 8 - 15 AND f.frame * 8 + 15) / 32.0, 6) AS zcr FROM f JOIN v ON f.seg_id = v.seg_id GROUP BY f.seg_id, f.frame""")
+def frame_crossings(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("seg_id"), F.col("embedding").alias("samples"))
+    return spectral.frame_zcr(rows, width=32, hop=8).withColumn("zcr", r("zcr"))
+
+
 @query("fr", "SELECT seg_id, round(avg(mag), 6) AS mag_mean, round(stddev_pop(mag), 6) AS mag_std, round(quantile_cont(mag, 0.5), 6) AS mag_median, round(quantile_cont(mag, 0.75) - quantile_cont(mag, 0.25), 6) AS mag_iqr FROM fr GROUP BY seg_id")
 def series_summary(spark, d) -> DataFrame:
     out = spectral.series_summary(frames(spark, d), "mag", ["seg_id"], "mag")
@@ -600,7 +618,102 @@ def spectrogram(spark, d) -> DataFrame:
 @query()
 def spectral_features(spark, d) -> DataFrame:
     seg = _segments(spark, d)
-    return spectral.features(spectral.spectrogram(seg), seg.select("seg_id", (F.size("samples") / F.col("rate")).alias("duration_sec")))
+    return spectral.features(spectral.spectrogram(seg), seg.select("seg_id", (F.size("samples") / F.col("rate")).alias("duration_sec")), seg.select("seg_id", "samples"))
+
+
+_SUMS = ", t AS (SELECT file AS seg_id, idx AS frame, CASE WHEN value < 60 THEN value END AS y FROM sa), u AS (SELECT seg_id, 'l' || (seg_id % 5) AS label, 'a' || seg_id AS audio, quantile_cont(y, 0.5) / 1000 AS median_khz, (max(y) - min(y)) / 1000 AS range_khz, count(*) * 0.5 AS n, CASE WHEN count(y) > 1 THEN ln(count(y)) END AS h FROM t GROUP BY seg_id)"
+
+
+def _call_meta(spark, d):
+    t = _track(spark, d).groupBy("seg_id").agg(F.count("*").alias("n"), F.count("y").alias("k"))
+    text = F.col("seg_id").cast("string")
+    return t.select("seg_id", F.concat(F.lit("l"), (F.col("seg_id") % 5).cast("string")).alias("label"), F.concat(F.lit("a"), text).alias("audio"), (F.col("n") * 0.5).alias("duration_sec"), F.when(F.col("k") > 1, F.log("k")).alias("entropy_mean"))
+
+
+@query("sa", _SUMS + " SELECT label, audio, round(median_khz, 9) AS median_khz, round(range_khz, 9) AS range_khz, CAST(n * 1000 AS DOUBLE) AS duration_ms FROM u WHERE median_khz IS NOT NULL AND range_khz IS NOT NULL")
+def call_summaries(spark, d) -> DataFrame:
+    out = spectral.call_summaries(spectral.track_summary(_track(spark, d), "y", "frame"), _call_meta(spark, d))
+    return out.withColumns({c: r(c, 9) for c in ("median_khz", "range_khz")})
+
+
+@query("sa", _SUMS + " SELECT label, audio, round(median_khz, 9) AS median_khz, round(range_khz, 9) AS range_khz, round(h, 9) AS entropy FROM u WHERE median_khz IS NOT NULL AND range_khz IS NOT NULL AND h IS NOT NULL")
+def call_entropies(spark, d) -> DataFrame:
+    out = spectral.call_summaries(spectral.track_summary(_track(spark, d), "y", "frame"), _call_meta(spark, d), ("entropy_mean", 1.0, "entropy"))
+    return out.withColumns({c: r(c, 9) for c in ("median_khz", "range_khz", "entropy")})
+
+
+@query("c v", "SELECT 'all' AS pool, round(sum(gap_us) / 1e6, 3) AS seconds, count(*) AS n FROM (SELECT *, lead(start_us) OVER (PARTITION BY variant, exp, channel ORDER BY start_us, stop_us, event_type, call_id) - stop_us AS gap_us FROM v) WHERE gap_us >= 0")
+def pooled_gaps(spark, d) -> DataFrame:
+    rows = sequence.pooled(sequence.gaps(_variants(spark, d), ("variant", *sequence.SEQUENCE)))
+    return rows.agg(F.lit("all").alias("pool"), F.round(F.sum("gap_us") / 1e6, 3).alias("seconds"), F.count("*").alias("n"))
+
+
+@query("", "SELECT conv_id, turn, role FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL")
+def complete_rows(spark, d) -> DataFrame:
+    return sequence.complete(table(spark, d, "conversations"), ["role", "text"]).select("conv_id", "turn", "role")
+
+
+@query("", "SELECT o_orderkey, CASE WHEN o_totalprice <= 1000 THEN 'too cheap' WHEN o_orderstatus = 'P' THEN 'not final' END AS reason FROM orders")
+def failure_report(spark, d) -> DataFrame:
+    good, bad = audit.failures(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ("too cheap", F.col("o_totalprice") > 1000), ("not final", F.col("o_orderstatus") != "P"))
+    return tables.union_by_name([good.select("o_orderkey"), bad.select("o_orderkey", "reason")])
+
+
+@query("", "SELECT c_custkey AS exp, CASE WHEN n = 1 THEN lo END AS run_id, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'several: ' || names END AS reason FROM (SELECT c_custkey, count(DISTINCT o_orderstatus) AS n, min(o_orderstatus) AS lo, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS names FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def result_folders(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("exp"), F.col("o_orderstatus").alias("run_id"))
+    return audit.single_run(table(spark, d, "customer").select(F.col("c_custkey").alias("exp")).join(o, "exp", "left"))
+
+
+@query("", "SELECT c_custkey AS exp, CASE WHEN ok THEN 'F' END AS run_id, CASE WHEN NOT ok THEN 'configured folder not found' END AS reason FROM (SELECT c_custkey, coalesce(bool_or(o_orderstatus = 'F'), false) AS ok FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def configured_folders(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("exp"), F.col("o_orderstatus").alias("run_id"))
+    return audit.single_run(table(spark, d, "customer").select(F.col("c_custkey").alias("exp")).join(o, "exp", "left"), "F")
+
+
+def _csv_folder(spark, rows: DataFrame, name: str) -> str:
+    """rows as headered CSV files under the shared folder, named by Spark."""
+    path = shared_path(spark, name)
+    tables.write_csv(rows, path)
+    return path
+
+
+@query("", "SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS day, l_quantity, CAST(NULL AS VARCHAR) AS missing FROM lineitem")
+def csv_by_name(spark, d) -> DataFrame:
+    """lineitem written as CSV with its columns in another order and read by name."""
+    x = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_quantity", F.lit("a, b").alias("unread"), "l_linenumber", "l_orderkey")
+    return tables.csv_table(spark, _csv_folder(spark, x, "csv"), "l_orderkey long, l_linenumber int, day string, l_quantity double, missing string")
+
+
+@query("c", "SELECT event_type, count(*) AS n, sum(call_id)::BIGINT AS ids, round(sum(CASE WHEN call_id % 2 = 0 THEN value END), 4) AS meanprob_a FROM c GROUP BY event_type")
+def gathered_files(spark, d) -> DataFrame:
+    """Calls written as two sets of feature files of different columns and gathered as one table."""
+    rows, path = calls(spark, d), shared_path(spark, "features")
+    tables.write_csv(rows.filter("call_id % 2 = 0").select("call_id", "event_type", F.col("value").alias("meanprob_a")), f"{path}/even")
+    tables.write_csv(rows.filter("call_id % 2 = 1").select("event_type", "call_id"), f"{path}/odd")
+    found = tables.gathered(spark, path, "call_id long, event_type string", others=(("meanprob_", "double"),))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("call_id").alias("ids"), F.round(F.sum("meanprob_a"), 4).alias("meanprob_a"))
+
+
+@query("c", "SELECT event_type, count(*) FILTER (WHERE value > 10 AND event_type IN ('click', 'view')) AS n_target, count(*) FILTER (WHERE stop_us > start_us AND value > 0) AS n_real FROM c GROUP BY event_type")
+def annotation_filters(spark, d) -> DataFrame:
+    rows = calls(spark, d).select(F.col("event_type").alias("name"), "channel", F.lit(1.0).alias("start_seconds"), (1 + F.col("value")).alias("stop_seconds"), F.when(F.col("value") > 10, F.col("value")).otherwise(0.0).alias("v"))
+    target = tables.target_annotations(rows.select("name", F.col("v").alias("start_seconds"), F.col("v").alias("stop_seconds")), ["click", "view"]).groupBy("name").agg(F.count("*").alias("n_target"))
+    real = tables.real_events(rows).groupBy("name").agg(F.count("*").alias("n_real"))
+    none = F.lit(0).cast("long")
+    return rows.select("name").distinct().join(target, "name", "left").join(real, "name", "left").select(F.col("name").alias("event_type"), F.coalesce("n_target", none).alias("n_target"), F.coalesce("n_real", none).alias("n_real"))
+
+
+@query("c", "SELECT call_id, -1 AS channel FROM c WHERE event_type = 'error'")
+def clean_annotations(spark, d) -> DataFrame:
+    return tables.clean_annotations(calls(spark, d).withColumnRenamed("event_type", "name"), "error").select("call_id", "channel")
+
+
+@query("", "SELECT 'm' || (c_custkey % 4) AS month, count(DISTINCT c_custkey) AS n_exp, count(DISTINCT CASE WHEN c_custkey < 10 THEN c_custkey END) AS n_with_times, count(o_orderkey) AS n_rows, count(DISTINCT o_orderpriority) AS n_log_files FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def month_log_roll_up(spark, d) -> DataFrame:
+    s, c = sync(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("exp"))
+    lines = table(spark, d, "orders").select(F.col("o_custkey").alias("exp"), F.col("o_orderpriority").alias("source_log_file"))
+    return audit.month_roll_up(audit.experiment_times(c, s, s), c.select("exp", F.concat(F.lit("m"), (F.col("exp") % 4).cast("string")).alias("month")), lines)
 
 
 @query("c", "SELECT event_type, call_id, value FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, call_id) <= 3")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import micros
+from ..operators.ordered import DAY_US, running_sum
 
 ORDER = ("click", "error", "purchase", "signup", "view")
 PLACES = {10: "arena", 20: "arena", 30: "underground"}
@@ -33,17 +34,17 @@ def sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as calls on a file clock: file = order, start = line number, length = quantity, in seconds."""
+    """lineitem as calls on a file clock: file = order (seventh lines: a file that isn't there), start = line number, length = quantity, in seconds."""
     x = table(spark, sf_dir, "lineitem")
     start = F.col("l_linenumber").cast("long") * 1_000_000
-    return x.select((F.col("l_orderkey") % 10).alias("exp"), F.col("l_orderkey").alias("file_num"), "l_linenumber", "l_partkey", start.alias("start_file_us"), (start + F.round(F.col("l_quantity") * 1e6).cast("long")).alias("stop_file_us"))
+    return x.select((F.col("l_orderkey") % 10).alias("exp"), F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("file_num"), "l_linenumber", "l_partkey", start.alias("start_file_us"), (start + F.round(F.col("l_quantity") * 1e6).cast("long")).alias("stop_file_us"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.value as one signal a user: (file, idx, value)."""
-    e = table(spark, sf_dir, "events")
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("file"), idx.cast("long").alias("idx"), "value")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), micros(F.col("ts")).alias("_t"), "event_id", "value")
+    rows = running_sum(e, ["file"], ["_t", "event_id"], {"_no": F.lit(1)}, step=30 * DAY_US)
+    return rows.select("file", (F.col("_no") - 1).alias("idx"), "value")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,6 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as audio chunks of two microphones: (exp, channel, file_num, rate, samples); every 11th is of another rate."""
+    """embeddings as audio chunks of two microphones: (exp, channel, file_num, rate, samples); every 11th is of another rate, every 17th second microphone has another number."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(((F.col("vec_id") / 2).cast("long") % 5).alias("exp"), (F.col("vec_id") % 2 + 1).cast("int").alias("channel"), (F.col("vec_id") / 2).cast("long").alias("file_num"), F.when(F.col("vec_id") % 11 == 0, 100).otherwise(64).alias("rate"), F.col("embedding").alias("samples")).filter("file_num % 17 <> 3 or channel = 1")
+    return e.select(((F.col("vec_id") / 2).cast("long") % 5).alias("exp"), F.when((F.col("vec_id") / 2).cast("long") % 17 != 3, F.col("vec_id") % 2 + 1).otherwise(2 * (F.col("vec_id") % 2) + 1).cast("int").alias("channel"), (F.col("vec_id") / 2).cast("long").alias("file_num"), F.when(F.col("vec_id") % 11 == 0, 100).otherwise(64).alias("rate"), F.col("embedding").alias("samples"))

@@ -35,6 +35,10 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     if form is None or data is None:
         raise ValueError("no format or no data")
     tag, channels, rate, _, _, bits = form
+    if (1 if tag == 0xFFFE else tag, bits) == (1, 24):
+        width = 3 * channels
+        first = np.frombuffer(data[: len(data) // width * width], dtype="u1").reshape(-1, width)[:, :3].astype(np.int32)
+        return rate, ((first[:, 0] << 8 | first[:, 1] << 16 | first[:, 2] << 24) >> 8)
     kind = {(3, 32): "<f4", (3, 64): "<f8", (1, 16): "<i2", (1, 32): "<i4", (1, 8): "u1"}.get((1 if tag == 0xFFFE else tag, bits))
     if kind is None:
         raise ValueError(f"unknown sample format {tag}, {bits} bits")
@@ -53,9 +57,10 @@ def decode_npz(content: bytes) -> tuple[int, np.ndarray]:
 
 
 def audio_chunks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(path, name, exp, channel, file_num, scheme, rate, block, samples, error) of .wav and .npz files under path.
+    """(path, name, exp, channel, file_num, scheme, rate, block, first_idx, samples, error) of .wav and .npz files under path.
 
-    A file is a row for each `block` samples; one that can't be decoded is a row with an error.
+    A file is a row for each `block` samples, the first of which is its first_idx; one that can't be
+    decoded is a row with an error. Spark reads files of up to 2 GB as a whole.
     """
 
     def run(batches):
@@ -72,7 +77,7 @@ def audio_chunks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{wav,npz}").load(path).select("path", "content")
     rows = files.mapInArrow(run, "path string, rate int, block int, samples array<float>, error string")
-    return rows.select("path", *manifest_columns(F.col("path")), "rate", "block", "samples", "error")
+    return rows.select("path", *manifest_columns(F.col("path")), "rate", "block", (F.col("block").cast("long") * block).alias("first_idx"), "samples", "error")
 
 
 def archive_audit(spark: SparkSession, path: str, required: str = "samplerate") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.clock import list_literal, parsed_micros, trailing_number
 
 SYNC = "timestamp string, video string"
-ANNOTATIONS = "name string, channel string, start_seconds string, stop_seconds string"
 #: File name patterns.
 ANNOTATION_NAME = r"^.*?_(\d+)_file_(\d+)_annotations\.csv$"
 MODERN_NAME, LEGACY_NAME = r"^channel_(\d+)_file_(\d+)\.\w+$", r"^channel_(\d+)_(\d+)\.\w+$"
@@ -21,16 +23,53 @@ def _name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def _named(schema: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema)]
+
+
+def csv_by_name(spark: SparkSession, path, schema: str, *, glob: str = "*.csv", required: Sequence[str] = (), names: str | None = None, others: Sequence[tuple[str, str]] | None = ()) -> DataFrame:
+    """Headered CSV files under path as one table: each file's columns go by its own header, in whatever order.
+
+    schema lists names and types; a column that a file lacks is null there, and so is a value that isn't
+    of the type. Files that lack a required column are left out whole, files of a name unlike the pattern
+    `names` too. others: (prefix, type) of further columns that headers may hold, '' for all. Empty
+    lines are skipped; a quoted value may hold commas, but no line end. _path and _file tell where a row
+    is from. The driver gets the distinct names of columns.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_path"), _name().alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    if names:
+        lines = lines.filter(F.rlike("_file", F.lit(names)))
+    heads = lines.filter("_block = 0").groupBy("_path").agg(F.min_by("value", "_at").alias("_head"))
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^\\ufeff", ""), '^\\s*"|"\\s*$', ""))
+    heads = heads.withColumn("_names", F.transform(F.split("_head", ","), plain))
+    for c in required:
+        heads = heads.filter(F.array_contains("_names", c))
+    known = _named(schema)
+    width = heads.agg(F.max(F.size("_names"))).first()[0] or 1
+    if others:
+        found = sorted(r["n"] for r in heads.select(F.explode("_names").alias("n")).distinct().collect())
+        known += [(n, next(t for p, t in others if n.startswith(p))) for n in found if n not in dict(known) and any(n.startswith(p) for p, _ in others)]
+    rows = lines.join(heads, "_path").filter((F.trim("value") != "") & (F.col("value") != F.col("_head")))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = rows.withColumn("_c", cells).withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(width)]))
+    cell = lambda n: F.try_element_at("_cells", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int"))
+    return rows.select(*[cell(n).try_cast(t).alias(n) for n, t in known], "_path", "_file")
+
+
 def csv_table(spark: SparkSession, path, schema: str, **options) -> DataFrame:
-    """A headered CSV table with an explicit schema; columns go by header name."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).options(**options).csv(path)
+    """A headered CSV table with the columns of schema, which go by header name."""
+    return csv_by_name(spark, path, schema, glob="*", **options).drop("_path", "_file")
+
 
+def detections(spark: SparkSession, folder: str, columns: str, suffix: str = "_accepted_calls.csv", others: Sequence[tuple[str, str]] = (("meanprob_", "double"),)) -> DataFrame:
+    """All detection files of a folder with channel and file_number, the 2nd and 4th _-part of a file's stem ('' if missing).
 
-def detections(spark: SparkSession, folder: str, columns: str, suffix: str = "_accepted_calls.csv") -> DataFrame:
-    """All detection files of a folder with channel and file_number, the 2nd and 4th _-part of a file's stem ('' if missing)."""
-    rows = spark.read.schema(columns).option("header", True).option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).csv(folder)
-    parts = F.split(F.regexp_replace(_name(), r"\.csv$", ""), "_")
-    return rows.select("*", F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("channel"), F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("file_number"))
+    The table has the union of all files' columns: those of `columns`, and others by prefix and type.
+    """
+    rows = csv_by_name(spark, folder, columns, glob=f"*{suffix}", others=others)
+    parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "_")
+    return rows.select(*[c for c in rows.columns if c not in ("_path", "_file")], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("channel"), F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("file_number"))
 
 
 def union_by_name(tables: list[DataFrame]) -> DataFrame:
@@ -42,11 +81,10 @@ def union_by_name(tables: list[DataFrame]) -> DataFrame:
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotation files named by channel and file; other names are skipped."""
-    rows = spark.read.schema(ANNOTATIONS).option("header", True).option("pathGlobFilter", "*_annotations.csv").option("recursiveFileLookup", True).csv(folder).withColumn("_file", _name())
-    rows = rows.filter(F.rlike("_file", F.lit(ANNOTATION_NAME)))
+    """Annotation files named by channel and file; other names, and files without name, start_seconds and stop_seconds, are skipped."""
+    rows = csv_by_name(spark, folder, "name string, start_seconds double, stop_seconds double", glob="*_annotations.csv", required=("name", "start_seconds", "stop_seconds"), names=ANNOTATION_NAME)
     num = lambda g: F.regexp_extract("_file", ANNOTATION_NAME, g).cast("long")
-    return rows.select("name", num(1).alias("channel"), num(2).alias("file_num"), F.col("start_seconds").try_cast("double").alias("start_seconds"), F.col("stop_seconds").try_cast("double").alias("stop_seconds"), F.col("_file").alias("source_file"))
+    return rows.select("name", num(1).alias("channel"), num(2).alias("file_num"), "start_seconds", "stop_seconds", F.col("_file").alias("source_file"))
 
 
 def target_annotations(rows: DataFrame, types: list[str]) -> DataFrame:
@@ -129,8 +167,9 @@ def experiments(manifest_: DataFrame) -> DataFrame:
     return manifest_.filter("exp is not null").select("exp").distinct().orderBy("exp")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Headered CSV under path; one_file: a single file, for results of a size for readers' eyes."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("variant", "exp")) -> None:
@@ -138,9 +177,9 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("variant"
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def gathered(spark: SparkSession, path: str, schema: str, glob: str = "*.csv") -> DataFrame:
-    """All feature files under a path as one table."""
-    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
+def gathered(spark: SparkSession, path: str, schema: str, glob: str = "*.csv", others: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """All feature files under a path as one table with the union of their columns, by name."""
+    return csv_by_name(spark, path, schema, glob=glob, others=others).drop("_path", "_file")
 
 
 def aligned(df: DataFrame, order: list[tuple[str, str]], rest: bool = True) -> DataFrame:

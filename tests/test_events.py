@@ -341,3 +341,46 @@ def test_analyses(spark):
     assert rows(s["calls"], "event_type", "start_time_file_sec", "assigned_channel") == [("a", 0.1, 20), ("b", 1.0, 20)] and s["log"].count() == 2
     b = analyses.bout_analysis(spark.createDataFrame([(i, 1, 10, "alarm", i * S, i * S) for i in range(6)] + [(9, 1, 10, "other", 0, 0)], CALL))
     assert b["calls"].count() == 7 and rows(b["bouts"], "n_calls") == [(6,)]
+
+
+@pytest.mark.parametrize("step", [3, 7, 1000])
+def test_signals_in_pieces(spark, step):
+    """Pieces give what whole sequences do."""
+    from itertools import groupby
+
+    rng = random.Random(step)
+    x = [None if rng.random() < 0.05 else rng.choice([0.0, 0.2, 0.9, 1.4]) for _ in range(60)]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(x)], "file string, idx long, value double").repartition(4)
+    got = [r["mean"] for r in signal.rolling_mean(df, 3, centred=False, step=step).orderBy("idx").collect()]
+    part = [x[max(0, i - 2) : i + 1] for i in range(60)]
+    assert got == [pytest.approx(sum(p) / 3) if len(p) == 3 and None not in p else None for p in part]
+    flags = [v is not None and v < 0.5 for v in x]
+    want, at = [], 0
+    for on, g in groupby(flags):
+        n = len(list(g))
+        if on and at and at + n < 60:
+            want.append((at - 1, at + n - 1, n))
+        at += n
+    assert set(rows(signal.dips(df, step=step), "start_idx", "end_idx", "n")) == set(want)
+    lengths = [(on, len(list(g))) for on, g in groupby(flags)]
+    assert [(r["is_on"], r["n"]) for r in signal.runs(df, F.coalesce(F.col("value") < 0.5, F.lit(False)), step=step).orderBy("run").collect()] == lengths
+
+
+def test_cdf_of_ties(spark):
+    rng = random.Random(1)
+    x = [("k", float(rng.choice([1, 1, 1, 2, 3, 50]))) for _ in range(500)] + [("l", -1.0), ("m", 4.0)]
+    df = spark.createDataFrame(x, "k string, x double")
+    got = [(r["x"], r["cdf"]) for r in distribution.empirical_cdf(df, "x", ["k"], parts=4).filter("k = 'k'").orderBy("cdf").collect()]
+    v = sorted(b for a, b in x if a == "k")
+    assert got == [(b, (i + 1) / len(v)) for i, b in enumerate(v)]
+
+
+def test_errors(spark):
+    calls = spark.createDataFrame([(1, 1, "a", 0, 1)], "exp int, file_num int, event_type string, start_file_us long, stop_file_us long")
+    none = spark.createDataFrame([], "exp int, file_num int, start_us long, offset_us long")
+    with pytest.raises(ValueError):
+        clocks.align_some(calls, none)
+    assert clocks.align_some(calls.limit(0), none).count() == 0
+    with pytest.raises(ValueError):
+        sequence.in_domain(calls, ["b"], some=True)
+    assert sequence.in_domain(calls, ["a"], some=True).count() == 1

@@ -34,6 +34,63 @@ def test_detections(spark, tmp_path):
     assert rows(got, "label", "channel", "file_number") == [("a", "10", "001"), ("b", "accepted", "")]
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    """Other orders, missing and further columns, quotes, empty lines; foreign files of the same name pattern are skipped."""
+    (tmp_path / "channel_10_file_001_accepted_calls.csv").write_text('onset_s,label,offset_s,meanprob_b\n0.5,"a, b",1,0.25\n\n')
+    (tmp_path / "channel_20_file_002_accepted_calls.csv").write_text('"label","offset_s","meanprob_a"\r\nb,x,0.75\r\n')
+    got = tables.detections(spark, f"file://{tmp_path}", "label string, onset_s double, offset_s double")
+    assert rows(got, "label", "onset_s", "offset_s", "meanprob_a", "meanprob_b", "channel") == [("a, b", 0.5, 1.0, None, 0.25, "10"), ("b", None, None, 0.75, None, "20")]
+    whole = tables.gathered(spark, f"file://{tmp_path}", "offset_s double, label string, none int", others=(("", "string"),))
+    assert set(whole.columns) == {"offset_s", "label", "none", "onset_s", "meanprob_a", "meanprob_b"} and whole.count() == 2
+    assert tables.csv_table(spark, f"file://{tmp_path}/channel_10_file_001_accepted_calls.csv", "offset_s double, label string").collect() == [(1.0, "a, b")]
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "channel_30_file_063_annotations.csv").write_text("stop_seconds,name,start_seconds\n2,vox,1\n")
+    (tmp_path / "n" / "channel_30_file_064_annotations.csv").write_text("a,b\n1,2\n")
+    assert rows(tables.annotations(spark, f"file://{tmp_path}/n"), "name", "start_seconds", "stop_seconds", "file_num") == [("vox", 1.0, 2.0, 63)]
+
+
+def test_single_file(spark, tmp_path):
+    tables.write_csv(spark.range(100).repartition(5), f"file://{tmp_path}/one", one_file=True)
+    assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
+
+
+def test_blocks(spark, tmp_path):
+    """Averages and levels of files that are several blocks, equal to those of whole signals, calls over block ends too."""
+    from eventloom.operators import signal
+
+    rng = np.random.default_rng(1)
+    whole = {c: rng.normal(size=25).astype(np.float32) for c in (1, 2)}
+    (tmp_path / "7").mkdir()
+    for c, x in whole.items():
+        (tmp_path / "7" / f"channel_{c}_1.wav").write_bytes(wav(10, x, 3, 32))
+    (tmp_path / "7" / "channel_3_1.wav").write_bytes(wav(10, whole[1][:20], 3, 32))
+    chunks = audio.audio_chunks(spark, f"file://{tmp_path}", block=6)
+    pairs = spark.createDataFrame([(7, "v", 1, 2), (7, "w", 1, 3), (7, "x", 1, 4)], "exp int, virtual_ch string, ch1 int, ch2 int")
+    paired = signal.pair_average(chunks, pairs)
+    mean = [x for r in paired.filter("virtual_ch = 'v'").orderBy("block").collect() for x in r["samples"]]
+    assert np.allclose(mean, (whole[1] + whole[2]) / 2)
+    assert rows(paired.filter("virtual_ch <> 'v'"), "virtual_ch", "outcome", "samples") == [("w", "shape", None), ("x", "missing", None)]
+    assert rows(signal.outcome_counts(paired), "n_saved", "n_missing", "n_rate", "n_shape") == [(1, 1, 0, 1)]
+    spans = [(0.0, 0.5), (0.4, 2.0), (1.2, 1.3), (2.3, 9.0), (1.0, 1.0), (-1.0, 0.7), (0.4, 2.0)]
+    calls = spark.createDataFrame([(7, 1, a, b) for a, b in spans], "exp int, file_num int, onset_s double, offset_s double")
+    got = signal.call_levels(calls, chunks.filter("channel < 3")).collect()
+    assert len(got) == 2 * len(spans)
+    for r in got:
+        x = whole[r["source_channel"]][max(0, int(r["onset_s"] * 10)) : max(0, int(r["offset_s"] * 10))].astype(float)
+        assert (r["level_db"] is None) == (len(x) == 0)
+        if len(x):
+            assert abs(r["level_db"] - 20 * np.log10(np.sqrt(np.mean(x * x)) + 1e-12)) < 1e-6
+
+
+def test_wide_samples(spark, tmp_path):
+    x = np.array([-(2**23), -1, 0, 1, 2**23 - 1])
+    data = b"".join(int(v).to_bytes(3, "little", signed=True) for v in x)
+    head = wav(8000, [0] * 5)
+    fmt = struct.pack("<HHIIHH", 1, 1, 8000, 24000, 3, 24)
+    (tmp_path / "channel_1_1.wav").write_bytes(head[:20] + fmt + b"data" + struct.pack("<I", len(data)) + data)
+    assert audio.audio_chunks(spark, f"file://{tmp_path}").first()["samples"] == x.tolist()
+
+
 def test_annotations(spark, tmp_path):
     (tmp_path / "exp_272_channel_30_file_063_annotations.csv").write_text("name,channel,start_seconds,stop_seconds\nvox,1,0.5,1\nvox,1,0,0\nalarm,1,NaN,2\nalarm,2,3,2\n")
     (tmp_path / "x_annotations.csv").write_text("name,channel,start_seconds,stop_seconds\nvox,1,1,2\n")
