@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.scratch_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files of finished steps deleted: Spark does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep(table: DataFrame) -> None:
     """Keeps a table of written() beyond the end of disposable()."""
     _NAMED.remove(table.scratch_path)

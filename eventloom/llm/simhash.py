@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import discard, group_facts, row_key, written
+from .common import discard, group_facts, release, row_key, written
 
 SEED = 42
 BYTES = 8
@@ -338,11 +338,16 @@ def _candidates(similarity: float, low: int, high: int | None):
     return run
 
 
-def _postings(texts: DataFrame) -> DataFrame:
-    """(h, node, comp, size, pos, n) of texts (node, comp, size, least): the shingles that nodes of different components share in their prefixes."""
-    rows = texts.select("node", "comp", "size", F.posexplode("least").alias("pos", "h"))
-    shared = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n")).filter("_lo <> _hi")
-    return rows.join(shared, "h").select("h", "node", "comp", "size", F.col("pos").cast("long").alias("pos"), "n")
+def _postings(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(h, node, comp, size, pos, n) of nodes (node, size, least): the shingles that several nodes share in their prefixes.
+
+    comps: (node, root) of what is linked by now.
+    """
+    rows = nodes.select("node", F.posexplode("least").alias("pos", "h"))
+    # most shingles are in one text only: counts and rows stay narrow until these are gone
+    shared = rows.select("h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(shared, "h").join(nodes.select("node", "size"), "node").join(comps, "node", "left")
+    return rows.select("h", "node", F.coalesce("root", "node").alias("comp"), "size", F.col("pos").cast("long").alias("pos"), "n")
 
 
 def _left_open(postings: DataFrame, comps: DataFrame, least: int) -> DataFrame:
@@ -403,6 +408,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     nodes = written(once.select(*same, "first.doc_id", "first.rk", "fp", "size", "least", "counts").withColumn("node", F.monotonically_increasing_id()), "nodes")
     known = written(profiles.select("doc_id", "rk", *same), "sets")
     discard(profiles)
+    release(docs.sparkSession)
     asked = nodes.select("node", F.col("doc_id").alias("_d"), F.col("rk").alias("_k"))
 
     def of_nodes(table: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -431,7 +437,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     joined = components(held(first))
     discard(first)
     counts = nodes.select("node", "size", "counts")
-    postings = written(_postings(nodes.select("node", "size", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))), "postings")
+    postings = written(_postings(nodes.select("node", "size", "least"), joined), "postings")
+    release(docs.sparkSession)
     most = postings.agg(F.max("n")).first()[0] or 0
     for low, high in zip((1, *rounds), (*rounds, None), strict=True):
         if most > (low if high else min(low, tile_rows)):
