@@ -181,9 +181,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a minimum per node (combined before the
     shuffle) joined back, until the edges no longer change; every step is written to the shared folder.
+    Edges that are stars already, such as single pairs, take one step.
     """
+
+    def state_of(table):
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    state = state_of(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -192,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         before, stars = stars, written(small.filter("u <> v").distinct(), "edges")
         discard(before)
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = state_of(stars)
         if now == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
