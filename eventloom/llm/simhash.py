@@ -17,7 +17,8 @@ SEED = 42
 BYTES = 8
 #: Rows of one tile side of a hot posting, rows of postings whose pairs are compared all at once, and shingles hashed at once.
 TILE_ROWS, SMALL, CHUNK = 2048, 16, 1 << 16
-ONE = np.uint64(1)
+#: Tables of edges are written in FILES files and one more for each FILE_ROWS edges, at most.
+FILES, FILE_ROWS = 8, 100_000
 
 
 def _chunks(text: bytes, words: int):
@@ -180,27 +181,40 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of undirected edges (a, b), the smallest node reachable.
 
     Alternates large-star and small-star steps, each a minimum per node (combined before the
-    shuffle) joined back, until the edges no longer change; every step is written to the shared folder.
-    Edges that are stars already, such as single pairs, take one step.
+    shuffle) joined back, until the edges are stars; every step is written to the shared folder, in
+    files of about FILE_ROWS edges. Edges that are stars already, such as single pairs, take no step.
     """
 
-    def state_of(table):
-        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = state_of(stars)
-    while True:
+    def state_of(table) -> tuple[bool, int]:
+        """Are these stars: no node under two others, and none above others under another? And a bound of the rows of the next step."""
+        under = F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("above")), F.struct(F.col("v").alias("n"), F.lit(None).cast("long").alias("above")))
+        places = table.select(F.explode(under).alias("e")).groupBy("e.n").agg(F.min("e.above").alias("lo"), F.max("e.above").alias("hi"), F.count("e.above").alias("under"), F.count("*").alias("all"))
+        bad, rows = places.agg(F.count_if(F.expr("lo <> hi or (under > 0 and under < all)")), F.coalesce(F.sum("all"), F.lit(0))).first()
+        return bad == 0, rows
+
+    stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    done, rows = state_of(stars)
+    if done:
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
+    while not done:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        before, stars = stars, written(small.filter("u <> v").distinct(), "edges")
+        before, stars = stars, written(small.filter("u <> v").distinct().coalesce(FILES + rows // FILE_ROWS), "edges")
         discard(before)
-        now = state_of(stars)
-        if now == state:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        done, rows = state_of(stars)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of comps (node, root) and the edges `more` (a, b): a step over roots only, so that what is joined by now takes no rounds again."""
+    of = comps.select("node", "root")
+    ends = more.join(of.toDF("a", "_a"), "a", "left").join(of.toDF("b", "_b"), "b", "left")
+    over = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = of.join(over.toDF("root", "_r"), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return written(moved.unionByName(over), "components")
 
 
 def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,7 +466,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
             true = held(found)
             discard(found)
             if not true.isEmpty():
-                joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true))
+                joined = _joined(joined, true)
     discard(postings)
 
     placed = nodes.join(joined, "node", "left").select(me.alias("me"), *same, F.coalesce("root", "node").alias("root"))

@@ -217,6 +217,23 @@ def test_components_chain(spark):
     assert got == {i: 0 for i in range(1, n + 1)} | {101: 100}
 
 
+@pytest.mark.parametrize("edges", [[(5, 2), (2, 5), (5, 2), (9, 7), (3, 3)], [(4, 1), (3, 1), (2, 1), (1, 4)], [(4, 1), (4, 2), (4, 2), (9, 4)], []])
+def test_components_of_repeated_edges(spark, edges):
+    rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted((r["node"], r["root"]) for r in rows) == sorted((n, r) for n, r in root.items() if n != r)
+
+
+def test_joined_components(spark):
+    comps = spark.createDataFrame([(4, 1), (6, 1), (9, 8)], "node long, root long")
+    more = spark.createDataFrame([(9, 6), (9, 4), (20, 8), (30, 31), (6, 4)], "a long, b long")
+    got = sorted((r["node"], r["root"]) for r in simhash._joined(comps, more).collect())
+    assert got == [(4, 1), (6, 1), (8, 1), (9, 1), (20, 1), (31, 30)]
+
+
 def test_simhash_odd(odd, none):
     got = simhash.near_groups(odd).collect()
     assert len(got) == len(ODD) and simhash.near_groups(none).collect() == []
