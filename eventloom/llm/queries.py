@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, lines, mixing, secrets, simhash, topk, urls, warc
+from . import bpe, exact, langid, lines, merkle, mixing, secrets, simhash, spelling, tokenfile, topk, urls, warc
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +78,45 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_simhash, op4_bpe, op5_lines, op6_langid, op7_exact, op8_warc, op9_urls, op10_secrets)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_digest([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    manifest = merkle.build(docs, fields=fields, group_col="lang", id_col="doc_id", keep={"doc_id": F.col("doc_id"), "tampered": F.when(chosen, F.unhex(tampered))})
+    folded = merkle.folded(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("proof"))
+    out = merkle.prove(manifest).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.stored(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=1)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), min_chars=5, min_count=3, corrupt_every=97)
+    return spelling.variants(words, ratio=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_simhash, op4_bpe, op5_lines, op6_langid, op7_exact, op8_warc, op9_urls, op10_secrets, op11_merkle, op12_tokenfile, op13_spelling)}
 
 _TRIM = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of Latin-1 characters as UTF-8."""
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END))"
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}::BIGINT[]), lambda c, b: {byte}), 4294967295)"
+
+
+def _hashed(n_chars: str) -> str:
+    parts = [f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
 ORACLES = {
     "op1_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings),
@@ -128,4 +162,46 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
         FROM m""",
+    "op11_merkle": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, {_hashed("n_chars")} AS leaf,
+                   CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_hashed("(n_chars + 1)")} ELSE {_hashed("n_chars")} END AS given
+            FROM documents),
+        g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS gid FROM (SELECT DISTINCT lang FROM d)),
+        p AS (SELECT d.doc_id, d.leaf, d.given, g.gid, row_number() OVER (PARTITION BY g.gid ORDER BY d.doc_id) - 1 AS pos FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+        t AS (SELECT gid, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY gid) AS n FROM p
+              UNION ALL SELECT gid, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY gid, level, pos // 2),
+        s AS (SELECT gid, h AS subroot, level FROM t WHERE n = 1),
+        u AS (SELECT 0 AS level, gid AS pos, subroot AS h, count(*) OVER () AS n FROM s
+              UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2),
+        w AS (SELECT h AS root, level FROM u WHERE n = 1),
+        f AS (SELECT p.doc_id, p.gid, p.pos, s.level AS inner_levels, s.level + w.level AS levels, 0 AS step, p.given AS h, '' AS proof
+              FROM p JOIN s USING (gid) CROSS JOIN w
+              UNION ALL
+              SELECT doc_id, gid, pos, inner_levels, levels, step + 1,
+                     sha256(CASE WHEN sibling IS NULL THEN h WHEN place % 2 = 0 THEN h || sibling ELSE sibling || h END), proof || coalesce(sibling, '')
+              FROM (SELECT f.*, CASE WHEN f.step < inner_levels THEN f.pos >> f.step ELSE f.gid >> (f.step - inner_levels) END AS place, coalesce(a.h, b.h) AS sibling
+                    FROM f LEFT JOIN t a ON f.step < inner_levels AND a.gid = f.gid AND a.level = f.step AND a.pos = xor(f.pos >> f.step, 1)
+                           LEFT JOIN u b ON f.step >= inner_levels AND b.level = f.step - inner_levels AND b.pos = xor(f.gid >> greatest(0, f.step - inner_levels), 1)
+                    WHERE f.step < levels))
+        SELECT f.doc_id, p.leaf, s.subroot, w.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = w.root AS verified
+        FROM f JOIN p USING (doc_id) JOIN s ON s.gid = f.gid CROSS JOIN w WHERE f.step = f.levels""",
+    "op13_spelling": rf"""
+        WITH RECURSIVE r AS (
+            SELECT doc_id, translate(run, {_LOWER}) AS run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        h AS (SELECT run, k, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc("CAST(doc_id AS VARCHAR) || ':' || run")} END AS h FROM r WHERE length(run) >= 5),
+        c AS (SELECT CASE WHEN doc.h % 97 = 0 THEN substr(run, 1, CAST(doc.h % length(run) AS INTEGER)) || substr(run, CAST(doc.h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM h doc),
+        w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        e AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM w)),
+        near AS (
+            SELECT DISTINCT a.word AS a, b.word AS b FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT DISTINCT e.word, w.word FROM e JOIN w ON e.rest = w.word
+            UNION SELECT DISTINCT w.word, e.word FROM e JOIN w ON e.rest = w.word),
+        m AS (SELECT a AS word, count(*) AS n_near, max(n) AS top, arg_min(b, (-n, b)) AS best FROM near JOIN w ON w.word = near.b GROUP BY a),
+        f AS (SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.top >= 2 * w.n THEN m.best END AS form, CASE WHEN m.top >= 2 * w.n THEN m.top END AS form_n
+              FROM w LEFT JOIN m USING (word)),
+        way AS (SELECT word, word AS cur FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.cur WHERE f.form IS NOT NULL),
+        ends AS (SELECT way.word, way.cur AS root FROM way JOIN f ON f.word = way.cur WHERE f.form IS NULL)
+        SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n FROM f JOIN ends USING (word)""",
 }
