@@ -6,7 +6,7 @@ the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, langid, lines, mixing, simhash
@@ -20,6 +20,17 @@ LEAST_SHARE = 0.3
 SHINGLE, SIMILARITY = 5, 0.8
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and lang of docs, and all other columns in one, _rest: no stage meets names that it uses itself."""
+    own = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own]).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of docs, in order, of rows that came from packed(); new ones of some."""
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) if c in ("doc_id", "text", "lang") else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; und and such of a score under LEAST_SHARE of the language's usual one go.
 
@@ -35,7 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = F.lit(LEAST_SHARE)
     for name, score in usual.items():
         least = F.when(F.col("lang_pred") == name, F.lit(LEAST_SHARE * score)).otherwise(least)
-    return langid.identify(docs, model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= least)).select(*docs.columns)
+    return unpacked(langid.identify(packed(docs), model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= least)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +56,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text lose the same lines; an empty table gives no rows; all columns stay, n_chars is brought up to date.
     """
     ship(spark)
-    kept = lines.drop_lines(docs, min_docs=10, min_chars=1, keep_first=True)
+    kept = lines.drop_lines(packed(docs), min_docs=10, min_chars=1, keep_first=True)
     rest = kept.filter((F.col("n_dropped") == 0) | F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
-    return rest.select(*[F.col("kept").alias("text") if c == "text" else F.char_length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return unpacked(rest, docs.columns, text=F.col("kept"), n_chars=F.char_length("kept").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +67,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are one group. An empty table gives no rows; all columns stay.
     """
     ship(spark)
-    groups = simhash.similar_groups(docs, words=SHINGLE, similarity=SIMILARITY)
+    groups = simhash.similar_groups(docs.select("doc_id", "text"), words=SHINGLE, similarity=SIMILARITY)
     gone = groups.filter("not stays").select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct()
-    return docs.join(gone, (row_key(docs["doc_id"], docs["text"]) == gone["_k"]) & docs["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
+    rows = packed(docs)
+    return unpacked(rows.join(gone, (row_key(rows["doc_id"], rows["text"]) == gone["_k"]) & rows["doc_id"].eqNullSafe(gone["_d"]), "left_anti"), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +79,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay once; a null source is a source; repeated rows are documents of their
     own; an empty table gives no rows; all columns stay, whatever their names.
     """
-    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    # names that differ by case only would be ambiguous as fields
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
     taken = mixing.mix(rows, keep=("_row",))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    return taken.select("_row", copies.alias("n")).filter("n > 0").select(F.explode(F.array_repeat("_row", F.col("n"))).alias("_row")).select("_row.*")
+    return taken.select("_row", copies.alias("n")).filter("n > 0").select(F.explode(F.array_repeat("_row", F.col("n"))).alias("_row")).select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,26 @@ def test_odd_rows(spark):
         assert out.count() >= 0 and stage(spark, docs.limit(0), "").count() == 0
         if name != "BPE":
             assert out.columns == docs.columns
+
+
+#: Names that operators add or use themselves, of another type than theirs.
+OWN_NAMES = (
+    "kept n_lines n_dropped score lang_pred _doc _rk _d _k _rest _row rk dropped size taken target source_size pattern stays keep_id fp fingerprint component_id ids n_tokens decoded n h1 h2 at pos line key word bits first "
+    "held_out c0 c1 _ n_copies copies rank id row"
+).split()
+
+
+def test_columns_of_clashing_names_stay(spark, sf):
+    """Every value of every other column comes out as it went in, with its type and place."""
+    from pyspark.sql import functions as F
+
+    from eventloom.llm.common import written
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.lit(":"), "doc_id") for c in OWN_NAMES})
+    docs = docs.select(*OWN_NAMES[:9], "text", "doc_id", *OWN_NAMES[9:], "n_chars", "source", "lang")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, sf), "test")
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in OWN_NAMES)
+        docs = out
