@@ -250,6 +250,29 @@ def encoded(docs: DataFrame, vocab_path: str, *, end_id: int | None = None, id_c
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, ids binary")
 
 
+def _write(rows: DataFrame, ids_of, path: str, limit: int) -> None:
+    """Files of rows (id, key, value) in order; ids_of returns the ids of some rows' values."""
+
+    def run(batches):
+        part, seq, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                for name, ids in zip(some["id"].to_pylist(), ids_of(some["value"]), strict=True):
+                    names.append(name)
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= limit:
+                        yield pa.record_batch([pa.array([packed_file(part, seq, names, held)], pa.binary())], names=["file"])
+                        seq, names, held, size = seq + 1, [], [], 0
+        if held:
+            yield pa.record_batch([pa.array([packed_file(part, seq, names, held)], pa.binary())], names=["file"])
+
+    dealt = rows.repartitionByRange("id", "key").sortWithinPartitions("id", "key", "value")
+    files = dealt.select(F.col("id").cast("string").alias("id"), "value").mapInArrow(run, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_files(tokens: DataFrame, path: str, *, limit: int = FILE_IDS) -> None:
     """Writes the ids of (id, key, ids) under path, documents by ascending id, nulls first.
 
@@ -258,24 +281,17 @@ def write_files(tokens: DataFrame, path: str, *, limit: int = FILE_IDS) -> None:
     has a file of its own. Rows of one id go by key, repeated rows follow one another. Files go through
     Spark's text writer, hence its commit protocol and any file system. An empty table writes no file.
     """
+    _write(tokens.select("id", "key", F.col("ids").alias("value")), lambda values: [np.frombuffer(v.as_buffer(), "<u4") for v in values], path, limit)
 
-    def run(batches):
-        part, seq, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for b in batches:
-            for name, raw in zip(b["id"].to_pylist(), b["ids"], strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
-                names.append(name)
-                held.append(ids)
-                size += len(ids)
-                if size >= limit:
-                    yield pa.record_batch([pa.array([packed_file(part, seq, names, held)], pa.binary())], names=["file"])
-                    seq, names, held, size = seq + 1, [], [], 0
-        if held:
-            yield pa.record_batch([pa.array([packed_file(part, seq, names, held)], pa.binary())], names=["file"])
 
-    dealt = tokens.repartitionByRange("id", "key").sortWithinPartitions("id", "key", "ids")
-    files = dealt.select(F.col("id").cast("string").alias("id"), "ids").mapInArrow(run, "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+def write_texts(docs: DataFrame, path: str, vocab_path: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = FILE_IDS) -> None:
+    """write_files of the ids of docs' texts. Texts are dealt, which take less room than ids, and encoded where they are written."""
+    end = np.array([] if end_id is None else [end_id], "<u4")
+
+    def ids_of(values):
+        return [np.concatenate([i, end]) for i in encoder(vocab_path).encode([t or "" for t in values.to_pylist()])]
+
+    _write(docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("value")), ids_of, path, limit)
 
 
 def read_files(spark: SparkSession, path: str, id_type: str = "long", *, with_ids: bool = True) -> DataFrame:
@@ -333,7 +349,6 @@ def stored(docs: DataFrame, vocab_path: str, *, end_id: int | None = None, id_co
     """
     spark = docs.sparkSession
     path = scratch(spark, "token-files")
-    # written, so that texts are encoded once: ranges are sampled before rows are dealt
-    write_files(written(encoded(docs, vocab_path, end_id=end_id, id_col=id_col, text_col=text_col), "tokens"), path, limit=limit)
+    write_texts(docs, path, vocab_path, end_id=end_id, id_col=id_col, text_col=text_col, limit=limit)
     rows = written(read_files(spark, path, docs.schema[id_col].dataType.simpleString(), with_ids=False), "token-rows")
     return with_starts(rows).select(F.col("doc_id").alias(id_col), "start", "n_tokens", "ids_crc32")
