@@ -15,6 +15,7 @@ exceptions: places and high bits of the differences that need more. Parts of a f
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from .bpe import byte_letters
 from .common import row_key, scratch, written
 
 MAGIC = b"PFORIDS1"
@@ -40,8 +42,8 @@ NULL = 0xFFFFFFFF
 FILE_IDS = 1 << 24
 #: Blocks that are packed or unpacked at once.
 CHUNK = 1 << 13
-#: Words and pieces of text whose ids a worker keeps, and the longest of them; when full they are forgotten.
-MEMO, LONGEST = 1_000_000, 64
+#: Words whose ids a worker keeps; when full they are forgotten and encoded again on demand.
+MEMO = 500_000
 #: Files up to which the table of their first ids is broadcast; they are counted before.
 BROADCAST_ROWS = 100_000
 
@@ -160,14 +162,19 @@ def packed_file(part: int, seq: int, names: list[str | None], ids: list[np.ndarr
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which gets each distinct word once while it is remembered."""
+    """Ids of texts by the tokenizers library, whose model gets each distinct word once while it is remembered.
 
-    #: Runs between which no token of this family's files lies: the split pattern of the file, over Latin-1. An apostrophe stays with the letters behind it.
-    PIECES = re.compile("'?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\\s]+")
-    #: The files for which that holds: fixed values of normalizer and pattern.
-    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    The library's normalizer and pre-tokenizer do nothing to Latin-1 words but to lower them and to write
+    bytes as letters; so texts of such words are cut here, by the file's own pattern, and go to the
+    library's model word by word. Other pieces of texts, between spaces, go through the whole library.
+    """
+
+    #: The normalizer and the pattern of the files for which that holds.
     FOLDED = ["NFC", "Replace", "Lowercase"]
-    #: Beyond Latin-1, or white space that only one of the two pattern languages knows: such pieces, and those that hold a special token in any case, go to the library as they are.
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    #: The letters and numbers of Latin-1 in lower case, for the same pattern.
+    LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    #: Beyond Latin-1, or white space that only one of the two pattern languages knows.
     FOREIGN = "[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]"
 
     def __init__(self, path: str):
@@ -177,50 +184,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(f"{self.FOREIGN}|(?i:{'|'.join(special)})" if special else self.FOREIGN)
+        self.odd = re.compile(f"{self.FOREIGN}|(?i:{'|'.join(special)})" if special else self.FOREIGN).search
+        own = self.SPLIT.replace("\\p{L}", self.LETTERS).replace("\\p{N}", self.NUMBERS)
+        self.words = re.compile(own).findall
         self.by_words = self._splits(path)
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.memo: dict[str, bytes] = {}
 
     @classmethod
     def _splits(cls, path: str) -> bool:
-        """Whether the file cuts texts at white space and between PIECES; other files' texts go to the library whole."""
-        import json
-
+        """Whether the file normalizes and cuts texts so; other files' texts go to the library whole."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         folds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cuts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kept = [c.get("pattern", {}).get("Regex") for c in cuts] == [cls.SPLIT, None] and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
-        return folds == cls.FOLDED and cuts[:1] == [cls.SPLIT] and plain and not spec.get("post_processor")
+        return folds == cls.FOLDED and kept and plain and not spec.get("post_processor")
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces without spaces and line ends: from their words, where these stand alone."""
-        memo, odd, find = self.memo, self.odd.search, self.PIECES.findall
-        cut = [(p, [p] if odd(p) else find(p.lower() if p.isascii() else p)) for p in pieces]
-        new = list({w for _, ws in cut for w in ws if w not in memo})
-        memo.update(zip(new, self.library(new), strict=True))
-        memo.update([(p, memo[ws[0]] if len(ws) == 1 else b"".join([memo[w] for w in ws])) for p, ws in cut])
+    def learn(self, words: set[str]) -> None:
+        """Ids of words in lower case."""
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        for w in [w for w in words if w not in self.memo]:
+            raw = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
+            ids = [t.id for t in self.model.tokenize(raw)]
+            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _joined(self, words: list[str]) -> bytes:
+        parts = []
+        for at in range(0, len(words), MEMO // 2):
+            some = words[at : at + MEMO // 2]
+            try:
+                parts.append(b"".join(map(self.memo.__getitem__, some)))
+            except KeyError:
+                self.learn(set(some))
+                parts.append(b"".join(map(self.memo.__getitem__, some)))
+        return b"".join(parts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as the library gives them without special tokens around."""
         if not self.by_words:
             return [np.frombuffer(i, "<u4") for i in self.library(texts)]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set().union(*cut) - self.memo.keys()
-        long = {p for p in new if len(p) > LONGEST}
-        self.learn(new - long)
-        memo = self.memo
-        if not long:
-            return [np.frombuffer(b"".join(map(memo.__getitem__, c)), "<u4") for c in cut]
-        ordered = list(long)
-        rest = dict(zip(ordered, self.library(ordered), strict=True))
-        return [np.frombuffer(b"".join([memo[p] if p in memo else rest[p] for p in c]), "<u4") for c in cut]
+        out = []
+        for text in texts:
+            if not self.odd(text):
+                out.append(np.frombuffer(self._joined(self.words(text.lower())), "<u4"))
+                continue
+            parts, plain = [], []
+            for piece in text.replace("\n", " ").split(" "):
+                if self.odd(piece):
+                    parts += [self._joined(self.words(" ".join(plain).lower())), *self.library([piece])]
+                    plain = []
+                else:
+                    plain.append(piece)
+            out.append(np.frombuffer(b"".join([*parts, self._joined(self.words(" ".join(plain).lower()))]), "<u4"))
+        return out
 
 
 @lru_cache(maxsize=2)
