@@ -23,11 +23,13 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 OTHERS = 6
 DIMENSIONS = 1 + 26 + OTHERS
 #: Words that a cell of the upper tree is meant to hold; a cell of over twice as many is searched in blocks of this size.
-CELL = 4096
+CELL = 8192
 #: Words that the upper tree's cuts are fitted on. Every word is indexed.
 SAMPLE = 20_000
 #: Words of a leaf of a cell's own tree.
-LEAF = 24
+LEAF = 32
+#: What a row sent to a cell is there: one of its words, or a query for words of the same length from another cell, one longer, of the same length from this cell.
+WORD, SAME, LONGER, OWN = 0, 1, 2, 3
 #: Elements of arrays that are compared at once.
 SPAN = 1 << 22
 
@@ -164,17 +166,21 @@ class Words:
         self.tree = Tree(self.points[:, 1:], LEAF)
         # search() takes coordinates with the length first
         self.tree.nodes = [(d + 1, *rest) for d, *rest in self.tree.nodes]
+        # sums of differences stay within the two words' lengths
+        self.kind = np.int8 if self.codes.shape[1] <= 60 else np.int32
+        self.boxes = [np.ascontiguousarray(self.points[rows, 1:].T, dtype=self.kind) for rows in self.tree.leaves]
 
     def near(self, queries: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query rows, word rows) of pairs one edit apart; queries are of one length, this one or one less."""
         longer = self.codes.shape[1] - len(queries[0])
         points, codes = vectors(queries), _codes(queries, len(queries[0]))
+        counts = np.ascontiguousarray(points[:, 1:].T, dtype=self.kind)
         for leaf, rows in self.tree.search(points, longer):
             mine = self.tree.leaves[leaf]
             step = max(1, SPAN // (len(mine) * max(DIMENSIONS, codes.shape[1])))
             for at in range(0, len(rows), step):
                 some = rows[at : at + step]
-                apart = np.abs(points[some, None, 1:] - self.points[None, mine, 1:]).sum(axis=2)
+                apart = np.abs(counts[:, some, None] - self.boxes[leaf][:, None, :]).sum(axis=0, dtype=self.kind)
                 q, p = np.nonzero(apart <= 2 - longer)
                 q, p = some[q], mine[p]
                 for k in range(0, len(q), step):
@@ -202,7 +208,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     Words are dealt to the cells of an upper tree, whose cuts come from a bounded sample, and sent as
     queries to each cell that an edit can reach; cells that hold over twice CELL, as anagrams may, are
     cut into blocks that all their queries meet. In a task a cell's words come first and are put under a
-    tree for each length; queries stream past.
+    tree for each length; queries stream past. A pair of one length is found once: from the word of the
+    cell with the lower number or, within a cell, from the word that comes first.
     """
     tree = upper_tree(words)
 
@@ -217,35 +224,37 @@ def near_pairs(words: DataFrame) -> DataFrame:
     blocks = {r["cell"]: -(-r["k"] // CELL) for r in placed.groupBy("cell").agg(F.count("*").alias("k")).filter(F.col("k") > 2 * CELL).collect()}
 
     def sent(batches):
-        def lay(words, ns, cell, block, longer):
-            return pa.record_batch([words, ns, pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(longer, pa.int8())], names=["word", "n", "cell", "block", "longer"])
+        def lay(words, ns, cell, block, role):
+            return pa.record_batch([words, ns, pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(role, pa.int8())], names=["word", "n", "cell", "block", "role"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             cell, h = b["cell"].to_numpy(), b["h"].to_numpy()
             n_blocks = np.array([blocks.get(c, 1) for c in cell.tolist()])
-            yield lay(b["word"], b["n"], cell, h % n_blocks, np.full(len(cell), -1))
+            yield lay(b["word"], b["n"], cell, h % n_blocks, np.full(len(cell), WORD))
             points = vectors(b["word"].to_pylist())
             for longer in (0, 1):
                 for leaf, rows in tree.search(points, longer) if tree else [(0, np.arange(len(cell)))]:
-                    k, some = blocks.get(leaf, 1), pa.array(rows)
-                    for block in range(k):
-                        yield lay(b["word"].take(some), b["n"].take(some), np.full(len(rows), leaf), np.full(len(rows), block), np.full(len(rows), longer))
+                    rows = rows if longer else rows[cell[rows] <= leaf]
+                    role = np.where(cell[rows] == leaf, OWN, SAME) if not longer else np.full(len(rows), LONGER)
+                    some = pa.array(rows)
+                    for block in range(blocks.get(leaf, 1)):
+                        yield lay(b["word"].take(some), b["n"].take(some), np.full(len(rows), leaf), np.full(len(rows), block), role)
 
     def found(batches):
         key, held, own = None, [], None
         for b in batches:
             out = ([], [], [])
-            cell, block, longer = (b[c].to_numpy() for c in ("cell", "block", "longer"))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(longer) != 0)) + 1
+            cell, block, role = (b[c].to_numpy() for c in ("cell", "block", "role"))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                 if lo == hi:
                     continue
                 if (cell[lo], block[lo]) != key:
                     key, held, own = (cell[lo], block[lo]), [], None
                 words, ns = b["word"][lo:hi].to_pylist(), b["n"][lo:hi].to_numpy()
-                if longer[lo] < 0:
+                if role[lo] == WORD:
                     held += zip(words, ns.tolist(), strict=True)
                     continue
                 if own is None:
@@ -255,21 +264,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
                     own = {k: (Words([w for w, _ in ws]), np.array([n for _, n in ws])) for k, ws in by_length.items()}
                 sizes = np.array([len(w) for w in words])
                 for size in np.unique(sizes):
-                    there = own.get(int(size) + int(longer[lo]))
+                    there = own.get(int(size) + int(role[lo] == LONGER))
                     if there is None:
                         continue
                     rows = np.flatnonzero(sizes == size)
                     queries = [words[i] for i in rows]
                     for q, p in there[0].near(queries):
+                        if role[lo] == OWN:
+                            first = np.array([queries[i] < there[0].words[k] for i, k in zip(q, p, strict=True)])
+                            q, p = q[first], p[first]
                         a, a_n = [queries[i] for i in q], ns[rows[q]]
                         z, z_n = [there[0].words[i] for i in p], there[1][p]
-                        for column, more in zip(out, (a + z, z + a, [*z_n, *a_n]) if longer[lo] else (a, z, z_n), strict=True):
+                        for column, more in zip(out, (a + z, z + a, [*z_n, *a_n]), strict=True):
                             column.extend(more)
             if out[0]:
                 yield pa.record_batch([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.int64())], names=["word", "near", "near_n"])
 
-    queries = placed.select("word", "n", "cell", F.pmod(F.xxhash64("word"), F.lit(1 << 30)).alias("h")).mapInArrow(sent, "word string, n long, cell long, block long, longer byte")
-    dealt = queries.repartition("cell", "block").sortWithinPartitions("cell", "block", "longer")
+    queries = placed.select("word", "n", "cell", F.pmod(F.xxhash64("word"), F.lit(1 << 30)).alias("h")).mapInArrow(sent, "word string, n long, cell long, block long, role byte")
+    dealt = queries.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
     return dealt.mapInArrow(found, "word string, near string, near_n long")
 
 
