@@ -65,17 +65,17 @@ def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[
     return rows.select(*calls.columns, (F.col("_before") + F.col("_no")).alias("group_no"))
 
 
-def choose_loudest(grouped: DataFrame, levels: Sequence[str], *, keys: Sequence[str] = ("exp", "file_num"), order: Sequence[str] = ("onset_us", "call_id"), compat: bool = False) -> DataFrame:
+def choose_loudest(grouped: DataFrame, levels: Sequence[str], *, keys: Sequence[str] = ("exp", "file_num"), order: Sequence[str] = ("onset_us", "call_id"), compat: bool = False, keep: Column | None = None) -> DataFrame:
     """grouped with is_chosen: the row with the highest sum of levels of its group, the first on ties.
 
-    Groups whose levels are all null are dropped. A row without any level can't win; with
+    Groups whose levels are all null are dropped, but for rows for which keep holds. A row without any level can't win; with
     compat it counts as 0 and beats negative levels.
     """
     by = Window.partitionBy(*keys, "group_no")
     any_level = F.coalesce(*[F.col(c) for c in levels]).isNotNull()
     score = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in levels), F.lit(0.0))
     score = score if compat else F.when(any_level, score)
-    ranked = grouped.withColumn("_score", score).withColumn("_any", F.max(any_level.cast("int")).over(by)).filter("_any = 1")
+    ranked = grouped.withColumn("_score", score).withColumn("_any", F.max(any_level.cast("int")).over(by)).filter((F.col("_any") == 1) | F.coalesce(F.lit(False) if keep is None else keep, F.lit(False)))
     first = F.row_number().over(by.orderBy(F.col("_score").desc_nulls_last(), *order))
     return ranked.withColumn("is_chosen", first == 1).withColumn("group_size", F.count("*").over(by)).drop("_score", "_any")
 

@@ -67,33 +67,49 @@ def first_run_code(runs_: DataFrame, rate: int, keys: Sequence[str] = ("file",))
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
-    """chunks with block and first_idx, 0 where files are one row each."""
+    """Decodable chunks with block, first_idx and n_samples; files are one row, block 0, where they have no blocks."""
     for c, kind in (("block", "int"), ("first_idx", "long")):
         if c not in chunks.columns:
             chunks = chunks.withColumn(c, F.lit(0).cast(kind))
+    if "n_samples" not in chunks.columns:
+        chunks = chunks.withColumn("n_samples", F.size("samples").cast("long"))
     return chunks.filter("samples is not null")
 
 
+def _files(blocks: DataFrame) -> DataFrame:
+    """(exp, file_num, channel, rate, n, blocks, per_block) of the files: samples, blocks, samples of a block but the last. No samples are read if their numbers are stored."""
+    per = F.max(F.when(F.col("block") > 0, F.floor(F.col("first_idx") / F.col("block"))))
+    return blocks.groupBy("exp", "file_num", "channel").agg(F.first("rate").alias("rate"), F.sum("n_samples").alias("n"), (F.max("block") + 1).alias("blocks"), F.coalesce(per, F.sum("n_samples")).alias("per_block"))
+
+
+def save_blocks(chunks: DataFrame, name: str, buckets: int) -> DataFrame:
+    """chunks as a table bucketed by (exp, file_num, block): pairing microphones in it moves no samples."""
+    _blocks(chunks).write.mode("overwrite").bucketBy(buckets, "exp", "file_num", "block").saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
 def pair_average(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(exp, virtual_ch, file_num, outcome, rate, block, first_idx, samples): mean of two microphones' samples per virtual channel.
 
     Outcomes are looked for in this order: missing, rate (rates differ), shape (lengths differ), saved.
-    They are those of whole files, whose blocks are then averaged one by one; another outcome is a row
-    without samples.
+    They are those of whole files; another outcome than saved is a row without samples. The
+    microphones' arrays of a block are brought together once, by (exp, file_num, block), whatever number
+    of virtual channels they serve; over a table of save_blocks they stay where they are. Of a
+    microphone's repeated blocks one is used.
     """
-    c = _blocks(chunks).select("exp", "channel", "file_num", "rate", "block", "first_idx", "samples")
-    files = c.groupBy("exp", "channel", "file_num").agg(F.first("rate").alias("r"), F.sum(F.size("samples")).alias("n"))
+    c = _blocks(chunks)
+    files = _files(c)
     wanted = files.select("exp", "file_num").distinct().join(pairs, "exp")
-    side = lambda k: files.select("exp", "file_num", F.col("channel").alias(f"ch{k}"), F.col("r").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
+    side = lambda k: files.select("exp", "file_num", F.col("channel").alias(f"ch{k}"), F.col("rate").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("blocks").alias(f"b{k}"))
     both = wanted.join(side(1), ["exp", "file_num", "ch1"], "left").join(side(2), ["exp", "file_num", "ch2"], "left")
     outcome = F.when(F.col("n1").isNull() | F.col("n2").isNull(), "missing").when(F.col("r1") != F.col("r2"), "rate").when(F.col("n1") != F.col("n2"), "shape").otherwise("saved")
-    rows = both.select("exp", "virtual_ch", "file_num", "ch1", "ch2", outcome.alias("outcome"), "r1")
-    saved = rows.filter("outcome = 'saved'")
-    of = lambda k: saved.select("exp", "virtual_ch", "file_num", F.col(f"ch{k}").alias("channel")).join(c, ["exp", "file_num", "channel"]).select("exp", "virtual_ch", "file_num", "block", "first_idx", F.col("samples").alias(f"s{k}"))
-    keys = ["exp", "virtual_ch", "file_num"]
-    means = of(1).join(of(2), [*keys, "block", "first_idx"]).select(*keys, "block", "first_idx", pair_mean(F.col("s1"), F.col("s2")).alias("samples"))
-    out = rows.join(means, keys, "left")
-    return out.select(*keys, "outcome", F.when(F.col("outcome") == "saved", F.col("r1")).alias("rate"), "block", "first_idx", "samples")
+    rows = both.withColumn("outcome", outcome)
+    numbers = F.when(F.col("outcome") == "saved", F.sequence(F.lit(0), F.col("b1") - 1))
+    rows = rows.select("exp", "virtual_ch", "file_num", "ch1", "ch2", "outcome", F.when(F.col("outcome") == "saved", F.col("r1")).alias("rate"), F.explode_outer(numbers).alias("block"))
+    at = c.groupBy("exp", "file_num", "block").agg(F.first("first_idx").alias("first_idx"), F.collect_list(F.struct("channel", "samples")).alias("_mics"))
+    of = lambda k: F.try_element_at(F.filter("_mics", lambda m: m["channel"] == F.col(f"ch{k}")), F.lit(1))["samples"]
+    out = rows.join(at, ["exp", "file_num", "block"], "left")
+    return out.select("exp", "virtual_ch", "file_num", "outcome", "rate", "block", "first_idx", pair_mean(of(1), of(2)).alias("samples"))
 
 
 def outcome_counts(paired: DataFrame) -> DataFrame:
@@ -101,28 +117,54 @@ def outcome_counts(paired: DataFrame) -> DataFrame:
     return paired.filter("coalesce(block, 0) = 0").groupBy("exp").agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("saved", "missing", "rate", "shape")])
 
 
+def call_blocks(calls: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(met, all): rows (call columns, source_channel, _rate, _a, _b, block) of the blocks that each call meets; and a row for each call and channel of its file.
+
+    [_a, _b) is the call's slice in samples of the file. A call in a file without any decodable chunk has
+    a row in `all` with a null channel. Work grows with the blocks that calls meet: they follow from
+    rate and block length, which a table with a row a file holds.
+    """
+    files = _files(_blocks(chunks)).withColumnRenamed("channel", "source_channel").withColumnRenamed("rate", "_rate")
+    zero = F.lit(0).cast("long")
+    each = calls.join(files, ["exp", "file_num"], "left")
+    place = lambda t: F.when(F.col(t).isNotNull(), F.least(F.col("n"), F.greatest(zero, F.floor(F.col(t) * F.col("_rate")))))
+    each = each.withColumns({"_a": place("onset_s"), "_b": place("offset_s")})
+    held = each.filter("_b > _a").withColumn("block", F.explode(F.sequence(F.floor(F.col("_a") / F.col("per_block")).cast("int"), F.floor((F.col("_b") - 1) / F.col("per_block")).cast("int"))))
+    columns = [*calls.columns, "source_channel", "_rate"]
+    return held.select(*columns, "_a", "_b", "block"), each.select(*columns)
+
+
 def call_levels(calls: DataFrame, chunks: DataFrame, rate: int | None = None) -> DataFrame:
     """calls with level_db of their slice of each channel of the same file: (call columns, source_channel, level_db).
 
-    An empty slice, and with `rate` a chunk of another rate, has a null level. Every block of a file adds
-    what it holds of the slice to a sum and a count, so a call may lie across blocks, and samples don't leave their task.
+    An empty slice, a null onset or offset, and with `rate` a chunk of another rate, has a null level; a call in a file without a
+    decodable chunk has one row without channel and level. A call is met with the blocks it reaches, by
+    number; each adds what it holds of the slice to a sum and a count. Repeated calls stay. A file's
+    block k begins at sample k times the length of its blocks.
     """
-    c = _blocks(chunks).select("exp", "file_num", F.col("channel").alias("source_channel"), F.col("rate").alias("_rate"), "first_idx", "samples")
     once = calls.groupBy(*calls.columns).agg(F.count("*").alias("_copies"))
-    a = F.greatest(F.lit(0).cast("long"), F.floor(F.col("onset_s") * F.col("_rate"))) - F.col("first_idx")
-    b = F.floor(F.col("offset_s") * F.col("_rate")) - F.col("first_idx")
-    within = lambda x: F.least(F.greatest(x, F.lit(0).cast("long")), F.size("samples").cast("long")).cast("int")
-    parts = once.join(c, ["exp", "file_num"]).withColumns({"_a": within(a), "_b": within(b)})
+    met, every = call_blocks(once, chunks)
+    c = _blocks(chunks).select("exp", "file_num", F.col("channel").alias("source_channel"), "block", "first_idx", "samples")
+    parts = met.join(c, ["exp", "file_num", "source_channel", "block"])
+    within = lambda x: F.least(F.greatest(x - F.col("first_idx"), F.lit(0).cast("long")), F.size("samples").cast("long")).cast("int")
+    parts = parts.withColumns({"_a": within(F.col("_a")), "_b": within(F.col("_b"))})
     power = F.aggregate(F.slice("samples", F.col("_a") + 1, F.col("_b") - F.col("_a")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    held = F.col("_b") > F.col("_a")
-    parts = parts.select(*calls.columns, "source_channel", "_rate", "_copies", F.when(held, power).alias("_power"), F.when(held, F.col("_b") - F.col("_a")).otherwise(0).alias("_n"))
-    sums = parts.groupBy(*calls.columns, "source_channel", "_rate", "_copies").agg(F.sum("_power").alias("_power"), F.sum("_n").alias("_n"))
+    keys = [*calls.columns, "source_channel", "_rate", "_copies"]
+    parts = parts.select(*keys, power.alias("_power"), (F.col("_b") - F.col("_a")).alias("_n"))
+    none = every.select(*keys, F.lit(None).cast("double").alias("_power"), F.lit(0).alias("_n"))
+    sums = parts.unionByName(none).groupBy(*keys).agg(F.sum("_power").alias("_power"), F.sum("_n").alias("_n"))
     level = db(F.try_divide(F.col("_power"), F.col("_n")))
     if rate is not None:
         level = F.when(F.col("_rate") == rate, level)
     return sums.select(*calls.columns, "source_channel", level.alias("level_db"), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_i")).drop("_i")
 
 
+def silent_files(calls: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(exp, file_num, n_calls) of the files that calls name and that have no decodable chunk."""
+    heard = _blocks(chunks).select("exp", "file_num").distinct()
+    return calls.groupBy("exp", "file_num").agg(F.count("*").alias("n_calls")).join(heard, ["exp", "file_num"], "left_anti")
+
+
 def long_levels(segments: DataFrame, samples: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """Levels of (keys, call_id, start_idx, end_idx) over the long table: samples of [start_idx, end_idx)."""
     inside = (F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx"))

@@ -43,16 +43,20 @@ def rate_analysis(calls: DataFrame, sync: DataFrame, dims: DataFrame, folders: S
 
 def source_assignment(detections: DataFrame, chunks: DataFrame, sources: dict[str, int], places: dict[int, str], *, window_us: int = 15_000, rate: int | None = None) -> dict[str, DataFrame]:
     """Detections (exp, file_num, call_id, onset_s, offset_s, ...) to the call table: levels of every source, the
-    loudest of overlapping detections, its place. `log` has all members of groups of over one with is_chosen."""
+    loudest of overlapping detections, its place. `log` has all members of groups of over one with is_chosen.
+
+    Groups without any level in a file that has audio are left out. Detections in a file without a
+    decodable chunk stay, the first of each group, without place; `silent_files` lists these files."""
     wide = signal.call_levels(detections, chunks, rate)
     keys = ["exp", "file_num", "call_id"]
     of = wide.groupBy(*keys).agg(*[F.max(F.when(F.col("source_channel") == c, F.col("level_db"))).alias(f"RMS_{n}") for n, c in sources.items()])
-    rows = detections.join(of, keys).withColumn("onset_us", F.round(F.col("onset_s") * 1e6).cast("long"))
+    silent = signal.silent_files(detections, chunks)
+    rows = detections.join(of, keys, "left").join(silent.select("exp", "file_num", F.lit(True).alias("_silent")), ["exp", "file_num"], "left").withColumn("onset_us", F.round(F.col("onset_s") * 1e6).cast("long"))
     levels = [f"RMS_{n}" for n in sources]
-    chosen = overlap.choose_loudest(overlap.overlap_groups(rows, window_us=window_us), levels)
+    chosen = overlap.choose_loudest(overlap.overlap_groups(rows, window_us=window_us), levels, keep=F.col("_silent")).drop("_silent")
     kept = overlap.assign_location(chosen.filter("is_chosen"), dict(zip(sources, levels, strict=True)))
     numbered = kept.withColumn("file_number", F.col("file_num").cast("string"))
-    return {"calls": overlap.call_table(overlap.sort_calls(numbered), places), "log": chosen.filter("group_size > 1"), "levels": wide}
+    return {"calls": overlap.call_table(overlap.sort_calls(numbered), places), "log": chosen.filter("group_size > 1"), "levels": wide, "silent_files": silent}
 
 
 def bout_analysis(calls: DataFrame, alarm: str = "alarm", **options) -> dict[str, DataFrame]:

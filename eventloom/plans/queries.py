@@ -487,10 +487,11 @@ def pair_outcomes(spark, d) -> DataFrame:
     return signal.outcome_counts(_paired(spark, d))
 
 
-@query("ck", ", x AS (SELECT exp, file_num, channel AS source_channel, samples[5 + CAST(file_num % 3 AS INTEGER):24] AS s FROM ck WHERE rate = 64) SELECT k.exp, k.file_num, k.channel AS source_channel, CASE WHEN s IS NOT NULL THEN round(20 * log10(sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(s)) + 1e-12), 6) END AS level_db FROM ck k LEFT JOIN x ON k.exp = x.exp AND k.file_num = x.file_num AND k.channel = x.source_channel")
+@query("ck", ", x AS (SELECT exp, file_num, channel AS source_channel, samples[5 + CAST(file_num % 3 AS INTEGER):24] AS s FROM ck WHERE rate = 64) SELECT k.exp, k.file_num, k.channel AS source_channel, CASE WHEN s IS NOT NULL THEN round(20 * log10(sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(s)) + 1e-12), 6) END AS level_db FROM ck k LEFT JOIN x ON k.exp = x.exp AND k.file_num = x.file_num AND k.channel = x.source_channel UNION ALL SELECT DISTINCT exp, -file_num - 1, NULL, NULL FROM ck")
 def call_levels(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    calls_ = c.select("exp", "file_num").distinct().select("exp", "file_num", ((4 + F.col("file_num") % 3) / 64.0).alias("onset_s"), F.lit(24 / 64.0).alias("offset_s"))
+    there = c.select("exp", "file_num").distinct()
+    calls_ = there.unionByName(there.withColumn("file_num", -F.col("file_num") - 1)).select("exp", "file_num", ((4 + F.col("file_num") % 3) / 64.0).alias("onset_s"), F.lit(24 / 64.0).alias("offset_s"))
     return signal.call_levels(calls_, c, rate=64).select("exp", "file_num", "source_channel", r("level_db").alias("level_db"))
 
 

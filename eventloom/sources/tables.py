@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,34 +33,89 @@ def _named(schema: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema)]
 
 
-def csv_by_name(spark: SparkSession, path, schema: str, *, glob: str = "*.csv", required: Sequence[str] = (), names: str | None = None, others: Sequence[tuple[str, str]] | None = ()) -> DataFrame:
+#: Bytes of a CSV file that are first read for its header.
+HEAD_BYTES = 4096
+
+
+def _header(read, size: int) -> tuple[str, ...]:
+    """The names in the first record of a file; read(n) gives its first n bytes. Repeated names get .1, .2 behind them."""
+    n, record = min(HEAD_BYTES, size), []
+    while n:
+        text = read(n).decode("utf-8-sig", errors="replace")
+        records = csv.reader(io.StringIO(text, newline=""))
+        record = next((r for r in records if r), [])
+        # the record is whole if another one, or the end of the file, is behind it
+        if n == size or next(records, None) is not None:
+            break
+        n = min(16 * n, size)
+    names, seen = [], {}
+    for name in (x.strip() for x in record):
+        seen[name] = seen.get(name, -1) + 1
+        names.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return tuple(names)
+
+
+def headers(spark: SparkSession, path, glob: str = "*.csv", names: str | None = None) -> dict[tuple[str, ...], list[str]]:
+    """The files under path by the names in their headers.
+
+    As in listing, the driver does this: it opens each file by Spark's own file systems and reads its
+    first bytes, several files at a time; nothing else of a file is read.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).inputFiles()
+
+    def head(uri: str):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        system = at.getFileSystem(conf)
+
+        def read(n: int) -> bytes:
+            stream = system.open(at)
+            try:
+                return jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)
+            finally:
+                stream.close()
+
+        return at.toString(), _header(read, system.getFileStatus(at).getLen())
+
+    wanted = [u for u in found if names is None or re.search(names, unquote(u.rsplit("/", 1)[-1]))]
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:
+        for file, header in pool.map(head, sorted(wanted)):
+            if header:
+                out.setdefault(header, []).append(file)
+    return out
+
+
+def csv_by_name(spark: SparkSession, path, schema: str, *, glob: str = "*.csv", required: Sequence[str] = (), names: str | None = None, others: Sequence[tuple[str, str]] = (), multi_line: bool = True) -> DataFrame:
     """Headered CSV files under path as one table: each file's columns go by its own header, in whatever order.
 
     schema lists names and types; a column that a file lacks is null there, and so is a value that isn't
-    of the type. Files that lack a required column are left out whole, files of a name unlike the pattern
-    `names` too. others: (prefix, type) of further columns that headers may hold, '' for all. Empty
-    lines are skipped; a quoted value may hold commas, but no line end. _path and _file tell where a row
-    is from. The driver gets the distinct names of columns.
+    of the type, an empty one, and NaN. Files that lack a required column are left out whole, files of a name unlike
+    the pattern `names` and empty ones too. others: (prefix, type) of further columns that headers may
+    hold, '' for all. Records are those of RFC 4180: quoted values may hold commas, line ends and
+    doubled quotes. Empty lines are skipped. Files of one header are one scan. A file with line ends in
+    values can't be split, so a file is one task; multi_line=False splits files without such values.
+    _path and _file tell where a row is from.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("_path"), _name().alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    if names:
-        lines = lines.filter(F.rlike("_file", F.lit(names)))
-    heads = lines.filter("_block = 0").groupBy("_path").agg(F.min_by("value", "_at").alias("_head"))
-    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^\\ufeff", ""), '^\\s*"|"\\s*$', ""))
-    heads = heads.withColumn("_names", F.transform(F.split("_head", ","), plain))
-    for c in required:
-        heads = heads.filter(F.array_contains("_names", c))
+    groups = {h: files for h, files in headers(spark, path, glob, names).items() if set(required) <= set(h)}
     known = _named(schema)
-    width = heads.agg(F.max(F.size("_names"))).first()[0] or 1
-    if others:
-        found = sorted(r["n"] for r in heads.select(F.explode("_names").alias("n")).distinct().collect())
-        known += [(n, next(t for p, t in others if n.startswith(p))) for n in found if n not in dict(known) and any(n.startswith(p) for p, _ in others)]
-    rows = lines.join(heads, "_path").filter((F.trim("value") != "") & (F.col("value") != F.col("_head")))
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    rows = rows.withColumn("_c", cells).withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(width)]))
-    cell = lambda n: F.try_element_at("_cells", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int"))
-    return rows.select(*[cell(n).try_cast(t).alias(n) for n, t in known], "_path", "_file")
+    further = sorted({n for h in groups for n in h} - set(dict(known)))
+    known += [(n, next(t for p, t in others if n.startswith(p))) for n in further if any(n.startswith(p) for p, _ in others)]
+    out = spark.createDataFrame([], StructType().add("_path", "string").add("_file", "string")).select(*[F.lit(None).cast(t).alias(n) for n, t in known], "_path", "_file")
+    for header, files in groups.items():
+        place = {n: i for i, n in enumerate(header)}
+        scan = spark.read.schema(", ".join(f"c{i} string" for i in range(len(header)))).options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="")
+        rows = scan.csv([re.sub(r"([\\{}\[\]*?])", r"\\\1", f) for f in files])
+
+        def cell(n: str, t: str) -> Column:
+            if n not in place:
+                return F.lit(None).cast(t)
+            value = F.nullif(F.col(f"c{place[n]}"), F.lit("")).try_cast(t)
+            return F.nanvl(value, F.lit(None).cast(t)) if t in ("double", "float") else value
+
+        out = out.unionByName(rows.select(*[cell(n, t).alias(n) for n, t in known], F.col("_metadata.file_path").alias("_path"), _name().alias("_file")))
+    return out
 
 
 def csv_table(spark: SparkSession, path, schema: str, **options) -> DataFrame:
@@ -62,14 +123,14 @@ def csv_table(spark: SparkSession, path, schema: str, **options) -> DataFrame:
     return csv_by_name(spark, path, schema, glob="*", **options).drop("_path", "_file")
 
 
-def detections(spark: SparkSession, folder: str, columns: str, suffix: str = "_accepted_calls.csv", others: Sequence[tuple[str, str]] = (("meanprob_", "double"),)) -> DataFrame:
+def detections(spark: SparkSession, folder: str, columns: str, suffix: str = "_accepted_calls.csv", others: Sequence[tuple[str, str]] = (("meanprob_", "double"), ("mean_entropy", "double"), ("", "string"))) -> DataFrame:
     """All detection files of a folder with channel and file_number, the 2nd and 4th _-part of a file's stem ('' if missing).
 
-    The table has the union of all files' columns: those of `columns`, and others by prefix and type.
+    The table has the union of all files' columns: those of `columns`, and others by prefix and type; all others are strings.
     """
     rows = csv_by_name(spark, folder, columns, glob=f"*{suffix}", others=others)
     parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "_")
-    return rows.select(*[c for c in rows.columns if c not in ("_path", "_file")], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("channel"), F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("file_number"))
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_path", "_file", "channel", "file_number")], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("channel"), F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("file_number"))
 
 
 def union_by_name(tables: list[DataFrame]) -> DataFrame:
@@ -168,8 +229,44 @@ def experiments(manifest_: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Headered CSV under path; one_file: a single file, for results of a size for readers' eyes."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+    """Headered CSV under path, quotes doubled; one_file: a single file in that folder.
+
+    Its parts are written in parallel beside the folder, then joined behind one header by the file
+    system, in the order of the rows, and moved to their place: a write that fails leaves the old file.
+    """
+    options = {"quote": '"', "escape": '"', "quoteAll": False}
+    if not one_file:
+        df.write.mode("overwrite").options(header=True, **options).csv(path)
+        return
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    target = place(path)
+    system = target.getFileSystem(conf)
+    parts, new, old = (place(f"{path.rstrip('/')}.{kind}-{mark}") for kind in ("parts", "new", "old"))
+    try:
+        df.write.options(header=False, **options).csv(parts.toString())
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(df.columns)
+        out = system.create(place(new, "part-00000.csv"))
+        try:
+            out.write(bytearray(head.getvalue().encode()))
+            for name in sorted(s.getPath().getName() for s in system.listStatus(parts) if s.getPath().getName().startswith("part-")):
+                piece = system.open(place(parts, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+                finally:
+                    piece.close()
+        finally:
+            out.close()
+        if system.exists(target):
+            system.rename(target, old)
+        if not system.rename(new, target):
+            system.rename(old, target)
+            raise OSError(f"{path} couldn't be replaced")
+    finally:
+        for leftover in (parts, new, old):
+            system.delete(leftover, True)
 
 
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("variant", "exp")) -> None:

@@ -6,6 +6,7 @@ import io
 import struct
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from eventloom.sources import audio, tables
 
@@ -13,7 +14,7 @@ from test_events import rows
 
 
 def wav(rate, x, tag=1, bits=16):
-    data = np.asarray(x).astype({(1, 16): "<i2", (3, 32): "<f4"}[tag, bits])
+    data = np.asarray(x).astype({(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}[tag, bits])
     channels = 1 if data.ndim == 1 else data.shape[1]
     body = data.tobytes()
     fmt = struct.pack("<HHIIHH", tag, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
@@ -50,8 +51,48 @@ def test_columns_go_by_name(spark, tmp_path):
 
 
 def test_single_file(spark, tmp_path):
-    tables.write_csv(spark.range(100).repartition(5), f"file://{tmp_path}/one", one_file=True)
-    assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
+    """Parts are written in parallel and joined behind one header; a failed write leaves the old file."""
+    import pytest
+
+    at = f"file://{tmp_path}/one"
+    df = spark.range(100).repartition(5).select("id", F.concat(F.lit('a "q",\nb '), "id").alias("some, text"))
+    tables.write_csv(df, at, one_file=True)
+    (file,) = (tmp_path / "one").glob("part-*.csv")
+    first = file.read_text()
+    assert first.startswith('id,"some, text"\n') and first.count("some, text") == 1
+    back = tables.csv_table(spark, at, "id long, `some, text` string")
+    assert sorted(back.collect()) == [(i, f'a "q",\nb {i}') for i in range(100)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        tables.write_csv(spark.range(9).select((1 / (F.col("id") - 5)).alias("x")), at, one_file=True)
+    assert file.read_text() == first
+    tables.write_csv(spark.range(3), at, one_file=True)
+    (file,) = (tmp_path / "one").glob("part-*.csv")
+    assert sorted(file.read_text().split()) == ["0", "1", "2", "id"] and [p.name for p in tmp_path.iterdir()] == ["one"]
+    tables.write_csv(spark.range(0), at, one_file=True)
+    assert next((tmp_path / "one").glob("part-*.csv")).read_text() == "id\n"
+
+
+def test_quoted_records(spark, tmp_path):
+    """Doubled quotes, line ends and commas in fields and headers, rows like the header, repeated names, a byte order mark, empty files; all columns come."""
+    (tmp_path / "channel_10_file_001_accepted_calls.csv").write_text('label,onset_s,offset_s,"note, long"\n"two\nlines",1,2,"x ""q"" y"\nlabel,3,4,label\nlabel,onset_s,offset_s,"note, long"\n"",5,nan,plain\n')
+    (tmp_path / "channel_20_file_002_accepted_calls.csv").write_bytes(b"\xef\xbb\xbfoffset_s,label,label\r\n2,a,b\r\n")
+    (tmp_path / "channel_20_file_003_accepted_calls.csv").write_text("")
+    (tmp_path / "channel_20_file_004_accepted_calls.csv").write_text('"a head\nof two lines",label\n1,c\n')
+    (tmp_path / "channel_20_file_005_accepted_calls.csv").write_text('"' + "long " * 20_000 + '",label\n1,d\n')
+    got = tables.detections(spark, f"file://{tmp_path}", "label string, onset_s double, offset_s double")
+    assert set(got.columns) == {"label", "onset_s", "offset_s", "note, long", "label.1", "a head\nof two lines", ("long " * 20_000).strip(), "channel", "file_number"}
+    assert set(rows(got, "label", "onset_s", "offset_s", "note, long", "label.1", "file_number")) == {
+        ("two\nlines", 1.0, 2.0, 'x "q" y', None, "001"), ("label", 3.0, 4.0, "label", None, "001"), ("label", None, None, "note, long", None, "001"), (None, 5.0, None, "plain", None, "001"),
+        ("a", None, 2.0, None, "b", "002"), ("c", None, None, None, None, "004"), ("d", None, None, None, None, "005"),
+    }
+    none = tables.detections(spark, f"file://{tmp_path}", "label string", suffix="_nothing.csv")
+    assert none.count() == 0 and none.columns == ["label", "channel", "file_number"]
+    # files of one header are one scan, and nothing is joined
+    for i in range(6, 30):
+        (tmp_path / f"channel_20_file_{i:03d}_accepted_calls.csv").write_text("label,onset_s,offset_s\ne,1,2\n")
+    more = tables.detections(spark, f"file://{tmp_path}", "label string, onset_s double, offset_s double")
+    plan = more._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan csv") == 5 and more.count() == 31
 
 
 def test_blocks(spark, tmp_path):
@@ -91,6 +132,64 @@ def test_wide_samples(spark, tmp_path):
     assert audio.audio_chunks(spark, f"file://{tmp_path}").first()["samples"] == x.tolist()
 
 
+def extensible(rate, x, tag, bits):
+    """A WAV file whose format is of the extensible kind, with the code in its sub-format."""
+    plain = wav(rate, x, tag, bits)
+    fmt = struct.pack("<H", 0xFFFE) + plain[22:36] + struct.pack("<HHIH", 22, bits, 0, tag) + bytes.fromhex("000000001000800000AA00389B71")
+    return plain[:16] + struct.pack("<I", len(fmt)) + fmt + plain[36:]
+
+
+def test_extensible_formats(spark, tmp_path):
+    """The sub-format tells float from integer samples; without one it's an error."""
+    x = np.array([0.5, -0.25, 1.0])
+    (tmp_path / "channel_1_1.wav").write_bytes(extensible(8000, x, 3, 32))
+    (tmp_path / "channel_1_2.wav").write_bytes(extensible(8000, x, 3, 64))
+    (tmp_path / "channel_1_3.wav").write_bytes(extensible(8000, np.array([5, -6, 7]), 1, 32))
+    (tmp_path / "channel_1_4.wav").write_bytes(extensible(8000, np.array([5, 6, 7]), 1, 8))
+    (tmp_path / "channel_1_5.wav").write_bytes(wav(8000, [1, 2], 1)[:20] + struct.pack("<H", 0xFFFE) + wav(8000, [1, 2], 1)[22:])
+    (tmp_path / "channel_1_6.wav").write_bytes(extensible(8000, x, 3, 32).replace(bytes.fromhex("030000000000"), bytes.fromhex("070000000000")))
+    got = {r["file_num"]: (r["samples"], r["error"]) for r in audio.audio_chunks(spark, f"file://{tmp_path}").collect()}
+    assert got[1] == got[2] == ([0.5, -0.25, 1.0], None) and got[3] == ([5.0, -6.0, 7.0], None) and got[4] == ([5.0, 6.0, 7.0], None)
+    assert got[5][0] is None and "code" in got[5][1] and got[6][0] is None and "format 7" in got[6][1]
+
+
+def test_ranges_of_files(spark, tmp_path):
+    """Blocks are the same however a file is split, with odd chunks before the data, a cut file and a damaged one."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-9000, 9000, (1001, 2))
+    one = wav(10, x)
+    junk = b"LIST" + struct.pack("<I", 301) + bytes(302)
+    (tmp_path / "channel_1_1.wav").write_bytes(one[:12] + junk + one[12:] + b"LIST" + struct.pack("<I", 4) + bytes(4))
+    (tmp_path / "channel_1_2.wav").write_bytes(one[: 44 + 403])
+    (tmp_path / "channel_1_3.wav").write_bytes(b"RIFF" + bytes(700))
+    (tmp_path / "channel_1_4.wav").write_bytes(wav(10, x[:0]))
+    (tmp_path / "channel_1_5.wav").write_bytes(one[:40] + struct.pack("<I", 0xFFFFFFFF) + one[44:])
+    for split in (1, 64, 100, 333, 1 << 20):
+        chunks = audio.audio_chunks(spark, f"file://{tmp_path}", block=37, split=split) if split > 1 else audio.audio_chunks(spark, str(tmp_path), block=400, split=200)
+        rows_ = chunks.orderBy("file_num", "block").collect()
+        of = {n: [r for r in rows_ if r["file_num"] == n] for n in range(1, 6)}
+        for n, want in ((1, x[:, 0]), (2, x[:100, 0]), (5, x[:, 0])):
+            assert [v for r in of[n] for v in r["samples"]] == want.tolist() and [r["block"] for r in of[n]] == list(range(len(of[n])))
+        assert len(of[3]) == 1 and of[3][0]["error"] and [r["samples"] for r in of[4]] == [[]]
+
+
+def test_file_of_three_gigabytes(spark, tmp_path):
+    """A sparse file beyond what Spark reads as a whole: several tasks, a task reads its range only."""
+    size, rate, marks = 3 << 30, 125_000, {0: 1, 700_000_001: -2, 1_610_000_000: 3}
+    with (tmp_path / "channel_1_1.wav").open("wb") as f:
+        f.write(wav(rate, [])[:40] + struct.pack("<I", size))
+        f.truncate(44 + size)
+        for i, v in marks.items():
+            f.seek(44 + 2 * i)
+            f.write(struct.pack("<h", v))
+    chunks = audio.audio_chunks(spark, f"file://{tmp_path}", block=4_000_000, split=256 << 20)
+    found = chunks.select("first_idx", "n_samples", F.array_max("samples").alias("top"), F.array_min("samples").alias("low"), "samples", F.spark_partition_id().alias("task"))
+    value = F.when(F.col("top") > 0, F.col("top")).otherwise(F.col("low"))
+    got = found.select("n_samples", "task", value.alias("v"), F.when(value != 0, F.col("first_idx") + F.array_position("samples", value) - 1).alias("idx")).collect()
+    assert {r["idx"]: r["v"] for r in got if r["v"]} == {i: float(v) for i, v in marks.items()}
+    assert len({r["task"] for r in got}) == 12 and sum(r["n_samples"] for r in got) == size // 2
+
+
 def test_annotations(spark, tmp_path):
     (tmp_path / "exp_272_channel_30_file_063_annotations.csv").write_text("name,channel,start_seconds,stop_seconds\nvox,1,0.5,1\nvox,1,0,0\nalarm,1,NaN,2\nalarm,2,3,2\n")
     (tmp_path / "x_annotations.csv").write_text("name,channel,start_seconds,stop_seconds\nvox,1,1,2\n")
@@ -144,3 +243,81 @@ def test_sinks(spark, tmp_path):
     assert tables.aligned(df, [("x", "double"), ("new", "int")]).columns == ["x", "new", "variant", "exp"]
     assert tables.union_by_name([df.select("exp"), df.select("x")]).count() == 4
     assert tables.numeric_columns(df, least=2) == ["exp", "x"]
+
+
+def test_levels_over_blocks(spark, tmp_path):
+    """Calls meet only the blocks they reach; calls without audio, with broken files and null times stay, with null levels."""
+    from eventloom.operators import signal
+
+    rng = np.random.default_rng(3)
+    whole = {(f, c): rng.normal(size=40 + 7 * f).astype(np.float32) for f in (1, 2) for c in (1, 2)}
+    (tmp_path / "7").mkdir()
+    for (f, c), x in whole.items():
+        (tmp_path / "7" / f"channel_{c}_{f}.wav").write_bytes(wav(10, x, 3, 32))
+    (tmp_path / "7" / "channel_1_3.wav").write_bytes(b"broken")
+    (tmp_path / "7" / "channel_3_2.wav").write_bytes(b"broken")
+    spans = [(f, float(a), float(b)) for f in (1, 2) for a, b in rng.uniform(-0.5, 6, (12, 2))] + [(1, 0.6, 1.2), (1, 0.6, 1.2), (1, 0.5999, 1.2001), (3, 0.0, 1.0), (4, 0.0, 1.0), (1, None, 1.0), (None, 0.0, 1.0)]
+    calls = spark.createDataFrame([(7, f, a, b) for f, a, b in spans], "exp int, file_num int, onset_s double, offset_s double")
+    for block in (6, 1000):
+        chunks = audio.audio_chunks(spark, f"file://{tmp_path}", block=block)
+        got = signal.call_levels(calls, chunks).collect()
+        assert len(got) == 2 * sum(f in (1, 2) for f, *_ in spans) + 3
+        for r in got:
+            if r["file_num"] not in (1, 2):
+                assert r["source_channel"] is None and r["level_db"] is None
+                continue
+            x = whole[r["file_num"], r["source_channel"]]
+            a, b = (None if t is None else max(0, int(np.floor(t * 10))) for t in (r["onset_s"], r["offset_s"]))
+            x = x[:0] if a is None else x[a:b].astype(float)
+            assert (r["level_db"] is None) == (len(x) == 0)
+            if len(x):
+                assert abs(r["level_db"] - 20 * np.log10(np.sqrt(np.mean(x * x)) + 1e-12)) < 1e-6
+        met, every = signal.call_blocks(calls, chunks)
+        due = 0
+        for f, a, b in spans:
+            if f in (1, 2) and a is not None:
+                a, b = (min(40 + 7 * f, max(0, int(np.floor(t * 10)))) for t in (a, b))
+                due += 2 * ((b - 1) // block - a // block + 1) if b > a else 0
+        assert met.count() == due and every.count() == len(got)
+    assert set(rows(signal.silent_files(calls, chunks), "file_num", "n_calls")) == {(None, 1), (3, 1), (4, 1)}
+
+
+def test_calls_without_audio_are_reported(spark):
+    from eventloom.plans import analyses
+
+    chunks = spark.createDataFrame([(1, 10, 1, 10, [1.0] * 20)], "exp int, channel int, file_num int, rate int, samples array<float>")
+    det = spark.createDataFrame([(1, 1, 1, "a", 0.1, 0.5), (1, 2, 2, "b", 0.1, 0.5), (1, 2, 3, "c", 0.11, 0.5), (1, 1, 4, "d", 9.0, 9.5)], "exp int, file_num int, call_id int, label string, onset_s double, offset_s double")
+    out = analyses.source_assignment(det, chunks, {"arena_1": 10}, {10: "arena_1"})
+    assert rows(out["calls"], "event_type", "assigned_location") == [("a", "arena_1"), ("b", None)]
+    assert rows(out["silent_files"], "exp", "file_num", "n_calls") == [(1, 2, 2)]
+
+
+def _array_exchanges(df):
+    """Shuffles of a plan that move arrays."""
+    import re
+
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [b for b in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text) if re.search("samples|_mics|buf", b)]
+
+
+def test_pairing_moves_samples_once(spark, tmp_path):
+    """One exchange of arrays, none over a bucketed table, with the same result."""
+    from eventloom.operators import signal
+
+    data = [(e, c, f, 10, b, 5 * b, [float(c + i) for i in range(5)]) for e in (1, 2) for c in (1, 2, 3) for f in (1, 2) for b in range(3)]
+    chunks = spark.createDataFrame(data, "exp int, channel int, file_num int, rate int, block int, first_idx long, samples array<float>")
+    pairs = spark.createDataFrame([(1, "v", 1, 2), (1, "w", 1, 3), (2, "v", 2, 3), (2, "x", 2, 9)], "exp int, virtual_ch string, ch1 int, ch2 int")
+    plain = signal.pair_average(chunks, pairs)
+    spark.sql("DROP TABLE IF EXISTS blocks_of_test")
+    try:
+        stored = signal.pair_average(signal.save_blocks(chunks, "blocks_of_test", 4), pairs)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert len(_array_exchanges(plain)) == 1 and len(_array_exchanges(stored)) == 0
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        got = sorted(map(tuple, plain.collect()), key=repr)
+        assert got == sorted(map(tuple, stored.collect()), key=repr) and len(got) == 3 * 2 * 3 + 2
+    finally:
+        spark.sql("DROP TABLE IF EXISTS blocks_of_test")
