@@ -53,10 +53,9 @@ BROADCAST_ROWS = 100_000
 
 def widths(diffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits that each difference needs, width of each block) of rows of differences."""
-    need = np.zeros(diffs.shape, np.uint8)
-    for bit in range(32):
-        need += diffs >= np.uint32(1 << bit)
-    return need, np.partition(need, int(np.ceil(PERCENTILE * BLOCK)) - 1, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
+    need = np.frexp(diffs.astype(np.float64))[1].astype(np.uint8)
+    last = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    return need, np.partition(need, last, axis=1)[:, last]
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -79,8 +78,8 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         for w in np.unique(width):
             if w:
                 rows = np.flatnonzero(width == w)
-                bits = (diffs[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-                packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+                bits = np.unpackbits(diffs[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)[:, :, : -(-int(w) // 8)], axis=2, count=int(w), bitorder="little")
+                packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
                 out[begin[rows][:, None] + 6 + np.arange(packed.shape[1])] = packed
         row, place = np.nonzero(over)
         if len(row):
@@ -107,8 +106,10 @@ def unpack(blocks: np.ndarray, starts: np.ndarray) -> np.ndarray:
             if w:
                 rows = np.flatnonzero(width == w)
                 bits = np.unpackbits(blocks[begin[rows][:, None] + 6 + np.arange(w * BLOCK // 8)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-                for k in range(w):
-                    diffs[rows] |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+                whole = np.packbits(bits, axis=2, bitorder="little")
+                wide = np.zeros((len(rows), BLOCK, 4), np.uint8)
+                wide[:, :, : whole.shape[2]] = whole
+                diffs[rows] = wide.view("<u4")[:, :, 0]
         row = np.repeat(np.arange(len(begin)), n_over)
         if len(row):
             order = np.arange(len(row)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -341,7 +342,7 @@ def read_files(spark: SparkSession, path: str, id_type: str = "long", *, with_id
                     for i in range(first, last):
                         at, n = int(f.firsts[i]), int(f.lengths[i])
                         ids = some[at - low : at - low + n]
-                        rows.append((f.names[i], f.part, f.seq, at, n, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int64)))
+                        rows.append((f.names[i], f.part, f.seq, at, n, zlib.crc32(ids.astype("<u4", copy=False)), ids.astype(np.int64) if with_ids else None))
                         size += n if with_ids else 1
                         if size > 1 << 18:
                             yield batch(rows)
