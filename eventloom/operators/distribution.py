@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sum
-
 #: Ranks of tied values that are spread at once.
 RANKS = 10_000
 
@@ -44,22 +42,48 @@ def full_range(values: DataFrame, column: str) -> tuple[float, float]:
     return (1e-3, 1e3) if low is None else (max(1e-3, low), min(high, 1e3))
 
 
-def empirical_cdf(values: DataFrame, column: str, by: Sequence[str], parts: int = 64) -> DataFrame:
-    """i / n over the sorted positive values; ties have ranks of their own.
+def ranks(values: DataFrame, column: str, by: Sequence[str], parts: int = 64) -> DataFrame:
+    """(by, column, n, first_rank, last_rank, total): the places, from 1, of each distinct non-null value in its group.
 
-    Equal values are counted first; sums then run within pieces between `parts` quantiles of all values,
-    so that neither a hot key nor a hot value is one task.
+    Equal values are counted first. Counts are then summed within pieces between `parts` quantiles of
+    all distinct values; a table with a row a group and piece carries sums over the cuts. So neither a hot
+    group nor a hot value is one task, and what is shuffled twice is counts.
     """
-    counts = values.filter(F.col(column) > 0).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    cuts = counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column))) if cuts else F.lit(0)
-    summed = running_sum(counts.withColumn("_cut", piece), list(by), ["_cut", column], {"_upto": F.col("_n")}, step=1)
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    rows = summed.join(total, list(by)) if by else summed.crossJoin(total)
-    first = F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"), F.lit(RANKS)))
-    rows = rows.select(*by, column, "_all", "_upto", first.alias("_first"))
-    rows = rows.select(*by, column, "_all", F.explode(F.sequence("_first", F.least("_upto", F.col("_first") + RANKS - 1))).alias("_rank"))
-    return rows.select(*by, column, (F.col("_rank") / F.col("_all")).alias("cdf"))
+    counts = values.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    # n is named so that all three readers of the counts share one exchange
+    cuts = counts.agg(F.percentile_approx(F.when(F.col("n") > 0, F.col(column)), [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(column))), F.lit(0))
+    cut = counts.crossJoin(F.broadcast(cuts)).withColumn("_seq", F.struct(*by, place.alias("_piece"))).drop("_cuts")
+    inner = cut.withColumn("_in", F.sum("n").over(Window.partitionBy("_seq").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = cut.groupBy("_seq").agg(F.sum("n").alias("_n")).select("*", *[F.col(f"_seq.{k}").alias(f"_k{i}") for i, k in enumerate(by)])
+    over = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(over.orderBy("_seq._piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_seq", before.alias("_before"), F.sum("_n").over(over).alias("total"))
+    last = F.col("_before") + F.col("_in")
+    return inner.join(sums, "_seq").select(*by, column, "n", (last - F.col("n") + 1).alias("first_rank"), last.alias("last_rank"), "total")
+
+
+def quantiles(values: DataFrame, column: str, by: Sequence[str], shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """(by, a column for each share): exact quantiles, linear between neighbours, of the non-null values; by ranks, so that no group is held in one buffer."""
+    rows = ranks(values, column, by, parts)
+    x = F.col(column).cast("double")
+    found = {}
+    for name, share in shares.items():
+        at = share * (F.col("total") - 1) + 1
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found[f"_{name}_{side}"] = F.max(F.when(rank.between(F.col("first_rank"), F.col("last_rank")), x))
+        found[f"_{name}_part"] = F.max(at - F.floor(at))
+    sums = rows.groupBy(*by).agg(*[c.alias(n) for n, c in found.items()])
+    return sums.select(*by, *[((1 - F.col(f"_{n}_part")) * F.col(f"_{n}_lo") + F.col(f"_{n}_part") * F.col(f"_{n}_hi")).alias(n) for n in shares])
+
+
+def empirical_cdf(values: DataFrame, column: str, by: Sequence[str], parts: int = 64) -> DataFrame:
+    """i / n over the sorted positive values; ties have ranks of their own. ranks() has the compact form, a row a value."""
+    rows = ranks(values.filter(F.col(column) > 0), column, by, parts)
+    first = F.explode(F.sequence("first_rank", "last_rank", F.lit(RANKS)))
+    rows = rows.select(*by, column, "total", "last_rank", first.alias("_first"))
+    rows = rows.select(*by, column, "total", F.explode(F.sequence("_first", F.least("last_rank", F.col("_first") + RANKS - 1))).alias("_rank"))
+    return rows.select(*by, column, (F.col("_rank") / F.col("total")).alias("cdf"))
 
 
 def threshold_fractions(values: DataFrame, column: str, thresholds: Sequence[float], cap: float, by: Sequence[str] = ()) -> DataFrame:

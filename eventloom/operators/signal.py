@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import db, pair_mean
-from .ordered import neighbour, overlapping, running_sum
+from .ordered import overlapping, pieces
 
 RATE = 125_000
 #: Samples of a piece of a long signal.
@@ -37,26 +37,48 @@ def activated(samples: DataFrame, *, level: float = 1.5, keys: Sequence[str] = (
     return (rows.withColumn("idx", F.col("idx") - F.col("_first")) if compat else rows).select(*samples.columns)
 
 
+def _runs(samples: DataFrame, flag: Column, top: Column, keys: Sequence[str], step: int) -> DataFrame:
+    """(keys, run, is_on, first_idx, last_idx, before, n, runs, top): stretches of equal flags in order of idx.
+
+    before is the idx of the sample before the first one, runs and top are the key's number of runs and
+    its highest value of top. Samples are shuffled and sorted once, by piece; a piece's runs leave it as a
+    compact table. Of these, pieces are summed up by first run, last run and number of runs, which tells
+    where a run goes on over a cut and how many are before; runs that go on are then added up.
+    """
+    rows = pieces(samples.select(*keys, "idx", flag.alias("is_on"), top.alias("_top")), keys, "idx", step)
+    w = Window.partitionBy("_seq").orderBy("idx")
+    rows = rows.withColumn("_last", F.lag(F.struct("idx", "is_on")).over(w))
+    rows = rows.withColumn("_new", F.when(F.col("_last").isNotNull() & F.col("_last.is_on").eqNullSafe(F.col("is_on")), 0).otherwise(1))
+    rows = rows.withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    some = rows.groupBy("_seq", "_no").agg(F.first("is_on").alias("is_on"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min(F.when(F.col("_new") == 1, F.col("_last.idx"))).alias("before"), F.count("*").alias("n"), F.max("_top").alias("top"))
+    # both the summaries and the runs read this exchange, whose keys aren't _seq itself so that Spark keeps it
+    some = some.select("_seq", F.struct("_no", "is_on", "first_idx", "last_idx", "before", "n", "top").alias("r")).repartition(*[F.col(f"_seq.{k}") for k in (*keys, "_piece")])
+    # inline keeps r whole in both, as one exchange serves only readers of the same columns
+    each = some.select("_seq", "r", F.inline(F.array("r")))
+    ends = each.groupBy("_seq").agg(F.min("r").alias("_first"), F.max("r").alias("_last"), F.max("top").alias("_top"))
+    over = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    ends = ends.select("*", *[F.col(f"_seq.{k}").alias(f"_k{i}") for i, k in enumerate(keys)]).withColumn("_prev", F.lag("_last").over(over.orderBy("_seq._piece")))
+    ends = ends.withColumn("_on", (F.col("_prev").isNotNull() & F.col("_prev.is_on").eqNullSafe(F.col("_first.is_on"))).cast("int")).withColumn("_own", F.col("_last._no") - F.col("_on"))
+    before = F.coalesce(F.sum("_own").over(over.orderBy("_seq._piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("_seq", (before - F.col("_on")).alias("_before"), F.col("_prev.last_idx").alias("_last_idx"), F.sum("_own").over(over).alias("runs"), F.max("_top").over(over).alias("top"))
+    each = each.drop("r", "top").join(ends, "_seq", "left")
+    each = each.select(*[F.col(f"_seq.{k}").alias(k) for k in keys], (F.col("_no") + F.col("_before")).alias("run"), "is_on", "first_idx", "last_idx", F.coalesce("before", "_last_idx").alias("before"), "n", "runs", "top")
+    return each.groupBy(*keys, "run").agg(F.bool_or("is_on").alias("is_on"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), F.min_by("before", "first_idx").alias("before"), F.sum("n").alias("n"), F.max("runs").alias("runs"), F.max("top").alias("top"))
+
+
 def dips(samples: DataFrame, *, low: float = 0.5, least_samples: int = 1, gate: float = 1.0, keys: Sequence[str] = ("file",), value: str = "value", step: int = STEP) -> DataFrame:
     """(keys, start_idx, end_idx, n) of stretches below low of least_samples or more, in keys whose maximum reaches gate.
 
     A dip starts at its last high sample and ends at its last low one; a stretch already low at the
     start and one that never rises again are left out. Null values count as high.
     """
-    loud = samples.groupBy(*keys).agg(F.max(value).alias("_top")).filter(F.col("_top") >= gate).select(*keys)
-    flagged = samples.select(*keys, "idx", F.coalesce(F.col(value) < low, F.lit(False)).alias("_low")).join(loud, list(keys))
-    edges = neighbour(flagged, keys, ["idx"], ["idx", "_low"], after=False, step=step).filter(F.col("_prev").isNotNull() & (F.col("_prev._low") != F.col("_low")))
-    edges = edges.select(*keys, "idx", "_low", F.col("_prev.idx").alias("_before"))
-    paired = neighbour(edges, keys, ["idx"], ["idx", "_before"], step=step).select(*keys, "_low", F.col("_before").alias("start_idx"), F.col("_next._before").alias("end_idx"))
-    return paired.filter("_low and end_idx is not null").select(*keys, "start_idx", "end_idx", (F.col("end_idx") - F.col("start_idx")).alias("n")).filter(F.col("n") >= least_samples)
+    found = _runs(samples, F.coalesce(F.col(value) < low, F.lit(False)), F.col(value), keys, step).filter((F.col("top") >= gate) & F.col("is_on") & (F.col("run") > 1) & (F.col("run") < F.col("runs")))
+    return found.select(*keys, F.col("before").alias("start_idx"), F.col("last_idx").alias("end_idx"), (F.col("last_idx") - F.col("before")).alias("n")).filter(F.col("n") >= least_samples)
 
 
 def runs(samples: DataFrame, flag: Column, keys: Sequence[str] = ("file",), step: int = STEP) -> DataFrame:
     """(keys, run, is_on, first_idx, n): run-length encoding of a Boolean column."""
-    rows = neighbour(samples.select(*keys, "idx", flag.alias("is_on")), keys, ["idx"], ["idx", "is_on"], after=False, step=step)
-    rows = rows.select(*keys, "idx", "is_on", F.when(F.col("is_on") == F.col("_prev.is_on"), 0).otherwise(1).alias("_new"))
-    rows = running_sum(rows, keys, ["idx"], {"run": F.col("_new")}, step=step)
-    return rows.groupBy(*keys, "run").agg(F.bool_or("is_on").alias("is_on"), F.min("idx").alias("first_idx"), F.count("*").alias("n"))
+    return _runs(samples, flag, F.lit(None).cast("double"), keys, step).select(*keys, "run", "is_on", "first_idx", "n")
 
 
 def first_run_code(runs_: DataFrame, rate: int, keys: Sequence[str] = ("file",)) -> DataFrame:

@@ -375,6 +375,48 @@ def test_cdf_of_ties(spark):
     assert got == [(b, (i + 1) / len(v)) for i, b in enumerate(v)]
 
 
+def final_plan(df):
+    """The plan that adaptive execution ended with."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[: text.index("== Initial Plan")] if "== Initial Plan" in text else text
+
+
+def test_samples_are_sorted_once(spark):
+    """Summaries of pieces and runs read one exchange; a long key is as many groups as it has pieces; gaps in idx are no cuts."""
+    df = spark.createDataFrame([("f", 3 * i, float(i // 4 % 2)) for i in range(400)] + [("g", 0, None)], "file string, idx long, value double").repartition(3)
+    found = signal.runs(df, F.col("value") > 0.5, step=50)
+    plan = final_plan(found)
+    assert len([x for x in plan.split("\n") if "Sort [_seq" in x and "idx" in x]) == 1 and "ReusedExchange" in plan
+    got = sorted((r["run"], r["is_on"], r["first_idx"], r["n"]) for r in found.filter("file = 'f'").collect())
+    assert got == [(k + 1, k % 2 == 1, 12 * k, 4) for k in range(100)] and found.filter("file = 'g'").count() == 1
+    dips = signal.dips(df, step=50).filter("file = 'f'").collect()
+    assert sorted((r["start_idx"], r["end_idx"], r["n"]) for r in dips) == [(12 * k - 3, 12 * k + 9, 12) for k in range(2, 100, 2)]
+
+
+def test_ranks_and_quantiles(spark):
+    import numpy as np
+
+    from eventloom.operators import distribution
+
+    rng = random.Random(4)
+    x = [("k", float(rng.choice([1, 1, 1, 2, 3, 50, -7]))) for _ in range(300)] + [("k", rng.random()) for _ in range(300)] + [("l", -1.0), ("m", None)]
+    df = spark.createDataFrame(x, "k string, x double")
+    v = sorted(b for a, b in x if a == "k")
+    got = {r["x"]: (r["n"], r["first_rank"], r["last_rank"], r["total"]) for r in distribution.ranks(df, "x", ["k"], parts=5).filter("k = 'k'").collect()}
+    assert got == {b: (v.count(b), v.index(b) + 1, v.index(b) + v.count(b), len(v)) for b in set(v)}
+    q = {r["k"]: (r["a"], r["b"], r["c"]) for r in distribution.quantiles(df, "x", ["k"], {"a": 0.25, "b": 0.5, "c": 0.9}).collect()}
+    assert q["k"] == pytest.approx(np.percentile(v, [25, 50, 90])) and q["l"] == (-1.0, -1.0, -1.0) and "m" not in q
+    assert distribution.quantiles(df, "x", [], {"a": 0.5}).first()["a"] == pytest.approx(np.median([b for _, b in x if b is not None]))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        distribution.empirical_cdf(df, "x", ["k"])
+        assert not jobs.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_errors(spark):
     calls = spark.createDataFrame([(1, 1, "a", 0, 1)], "exp int, file_num int, event_type string, start_file_us long, stop_file_us long")
     none = spark.createDataFrame([], "exp int, file_num int, start_us long, offset_us long")
