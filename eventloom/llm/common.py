@@ -72,11 +72,13 @@ def keep(table: DataFrame) -> None:
 
 @contextmanager
 def disposable(spark: SparkSession):
-    """Deletes at its end what scratch() has named within: for steps whose results are written elsewhere by then."""
+    """Deletes at its end, an early one too, what scratch() has named within: for steps whose results are written elsewhere by then."""
     before = set(_NAMED)
-    yield
-    for path in [p for p in _NAMED if p not in before]:
-        _delete(spark, path)
+    try:
+        yield
+    finally:
+        for path in [p for p in _NAMED if p not in before]:
+            _delete(spark, path)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, row_key, stripped, written
 
 WORD_BITS = 64
+#: Common line keys up to which their table is broadcast; they are counted before.
+BROADCAST_ROWS = 100_000
+#: Beyond that, keys with more than this part of all occurrences are broadcast: there are fewer than its inverse.
+HOT_PART = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -36,6 +40,17 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return ranged.groupBy("h1", "h2", "_doc", "_rk").agg(F.array_sort(F.collect_list("pos")).alias("at"))
 
 
+def _occurrences_of(found: DataFrame, common: DataFrame) -> DataFrame:
+    """found with the facts of its key, for the common keys only, wherever a key's rows are: a hot key isn't brought to one task.
+
+    Few keys go to every task. Of many, only those that are hot do, the others are joined by key.
+    """
+    if common.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(common), ["h1", "h2"])
+    hot = F.col("n") > found.count() // HOT_PART
+    return found.join(F.broadcast(common.filter(hot)), ["h1", "h2"]).unionByName(found.join(common.filter(~hot), ["h1", "h2"]))
+
+
 def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_doc, _rk, dropped): a bitmap of the lines that each document loses; only documents that lose any.
 
@@ -46,8 +61,8 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     found = written(occurrences(docs, id_col, text_col, min_chars), "occurrences")
     # a range's rows are reduced to one per key before the shuffle, so that only the ends of ranges meet in it
     facts = [F.count("*").alias("n"), *([F.min(F.struct("_doc", "_rk", F.col("at")[0].alias("pos"))).alias("first")] if keep_first else [])]
-    common = found.groupBy("h1", "h2").agg(*facts).filter(F.col("n") >= min_docs)
-    lost = found.join(common, ["h1", "h2"])
+    common = written(found.groupBy("h1", "h2").agg(*facts).filter(F.col("n") >= min_docs), "common-lines")
+    lost = _occurrences_of(found, common)
     if keep_first:
         is_first = F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_rk") == F.col("first._rk"))
         lost = lost.withColumn("at", F.when(is_first, F.filter("at", lambda p: p != F.col("first.pos"))).otherwise(F.col("at")))

@@ -447,6 +447,27 @@ def test_lines_plan_is_native(odd):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_hot_line(spark, monkeypatch, few):
+    """A line in a third of all documents and many others in ten or more: the same result by either join, no task with a hot key's rows."""
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(lines, "HOT_PART", 20)
+    rng = random.Random(8)
+    texts = {i: "\n".join((["Hot line"] if i % 3 == 0 else []) + [f"line {rng.randrange(40)}" for _ in range(4)] + [f"own {i}"]) for i in range(300)}
+    of = Counter(k for t in texts.values() for k in {x.lower() for x in t.split("\n")})
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for first in (False, True):
+        seen, want = set(), {}
+        for i, t in texts.items():
+            kept = []
+            for x in t.split("\n"):
+                if of[x.lower()] < 10 or (first and x.lower() not in seen):
+                    kept.append(x)
+                seen.add(x.lower())
+            want[i] = "\n".join(kept)
+        assert {r["doc_id"]: r["kept"] for r in lines.drop_lines(docs, keep_first=first).collect()} == want
+
+
 # --- 6
 
 
