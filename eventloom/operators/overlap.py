@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.levels import loudest
-from .ordered import DAY_US, _over_cuts, pieces, written
+from .ordered import DAY_US, pieces
 
 
 def _follow(window_us: int):
@@ -41,26 +43,109 @@ def _followed(rows: DataFrame, order: Sequence[str], window_us: int) -> DataFram
     return rows.repartition("_seq").sortWithinPartitions("_seq", *order).mapInArrow(_follow(window_us), schema)
 
 
+class Steps:
+    """What a piece does to the anchor that is carried into it: a step function, built while onsets stream by in order.
+
+    An anchor before the piece is passed by the first onset more than the window behind it, so all
+    anchors between two such bounds go one way. Ways that meet in one anchor go on as one; each member
+    keeps what its own count of groups differs by. An anchor that no onset passes stays. Bounds are
+    as many as onsets lie within a window of the piece's first one.
+    """
+
+    def __init__(self, window_us: int):
+        self.window, self.bounds, self.nulls, self.first = window_us, [], 0, None
+        #: [anchor, groups, [(member, difference)]] of ways, by anchor
+        self.ways: deque[list] = deque()
+
+    def add(self, t: int | None) -> None:
+        if t is None:
+            self.nulls += 1
+            return
+        self.first = t if self.first is None else self.first
+        moved, bound = [], t - self.window
+        while self.ways and self.ways[0][0] < bound:
+            moved.append(self.ways.popleft())
+            moved[-1][1] += 1
+        if not self.bounds or self.bounds[-1] < bound and self.bounds[-1] <= self.first:
+            moved.append([t, 1, [(len(self.bounds), 0)]])
+            self.bounds.append(bound)
+        if moved:
+            whole = max(moved, key=lambda way: len(way[2]))
+            for way in moved:
+                if way is not whole:
+                    whole[2].extend((m, d + way[1] - whole[1]) for m, d in way[2])
+            whole[0] = t
+            self.ways.append(whole)
+
+    def table(self) -> tuple[list[int], list[int], list[int], int]:
+        """(bounds, last anchors, groups, nulls): the way of an anchor below the first bound, between bounds, and so on."""
+        anchors, groups = [0] * len(self.bounds), [0] * len(self.bounds)
+        for anchor, n, members in self.ways:
+            for m, d in members:
+                anchors[m], groups[m] = anchor, n + d + self.nulls
+        keep = [i for i in range(len(anchors)) if i + 1 == len(anchors) or (anchors[i], groups[i]) != (anchors[i + 1], groups[i + 1])]
+        return [self.bounds[i] for i in keep], [anchors[i] for i in keep], [groups[i] for i in keep], self.nulls
+
+
+def _steps(window_us: int):
+    """(_seq, bounds, anchors, groups, nulls) of each piece of rows sorted by (_seq, onset)."""
+
+    def run(batches):
+        def row(piece, steps, kind):
+            values = (piece, *steps.table())
+            kinds = (kind, *[pa.list_(pa.int64())] * 3, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["_seq", "_bounds", "_anchors", "_groups", "_nulls"])
+
+        piece = steps = kind = None
+        for b in batches:
+            kind = b.schema.field("_seq").type
+            for p, t in zip(b["_seq"].to_pylist(), b["_o"].to_pylist(), strict=True):
+                if p != piece:
+                    if steps:
+                        yield row(piece, steps, kind)
+                    piece, steps = p, Steps(window_us)
+                steps.add(t)
+        if steps:
+            yield row(piece, steps, kind)
+
+    return run
+
+
+def _fold(keys: Sequence[str]):
+    """(_seq, _carried, _before): the anchor carried into each piece and the groups before it, of step functions sorted by (keys, piece)."""
+
+    def run(batches):
+        key, anchor, before = None, None, 0
+        for b in batches:
+            out = []
+            for p, bounds, anchors, groups, nulls in zip(*(b[c].to_pylist() for c in ("_seq", "_bounds", "_anchors", "_groups", "_nulls")), strict=True):
+                own = tuple(p[k] for k in keys)
+                if own != key:
+                    key, anchor, before = own, None, 0
+                out.append((anchor, before))
+                at = 0 if anchor is None else bisect_right(bounds, anchor)
+                if at < len(bounds):
+                    anchor, nulls = anchors[at], groups[at]
+                before += nulls
+            yield pa.RecordBatch.from_arrays([b["_seq"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["_seq", "_carried", "_before"])
+
+    return run
+
+
 def overlap_groups(calls: DataFrame, *, window_us: int = 15_000, keys: Sequence[str] = ("exp", "file_num"), onset: str = "onset_us", ties: Sequence[str] = ("call_id",), step: int = DAY_US) -> DataFrame:
     """calls with group_no: in onset order the first free row is an anchor and takes every later row within window_us.
 
-    Anchored, not chained. Sequences are cut into pieces of `step`; rows stream through a piece with the
-    anchor as only state. A table with a row a piece carries the last anchor into the next piece, until
-    it no longer changes: anchors seldom depend on those of more than a piece before.
+    Anchored, not chained. Sequences are cut into pieces of `step`. A first pass over the onsets makes
+    of each piece a step function from the anchor carried in to the one carried out; these, a row a
+    piece, are applied one after the other; a second pass streams rows through their piece with the
+    anchor as only state. So an anchor may depend on all rows before it, and no pass is repeated.
     """
     cut = pieces(calls, keys, onset, step).withColumn("_o", F.col(onset).cast("long"))
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_piece")
-    carry, state = None, None
-    while True:
-        narrow = cut.select("_seq", "_o")
-        narrow = narrow.withColumn("_carried", F.lit(None).cast("long")) if carry is None else narrow.join(carry.select("_seq", "_carried"), "_seq", "left")
-        ends = _followed(narrow, ["_o"], window_us).groupBy("_seq").agg(F.max("_anchor").alias("_last"), F.sum("_start").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-        carry = written(_over_cuts(ends, keys, {"_carried": F.lag("_last").over(w), "_before": before}), "anchors")
-        now = tuple(carry.agg(F.count("*"), F.sum(F.xxhash64("_seq", "_carried").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+    seq = StructType().add("_seq", cut.schema["_seq"].dataType)
+    narrow = cut.select("_seq", "_o").repartition("_seq").sortWithinPartitions("_seq", "_o")
+    ways = narrow.mapInArrow(_steps(window_us), StructType([*seq.fields, *[StructField(c, ArrayType(LongType())) for c in ("_bounds", "_anchors", "_groups")], StructField("_nulls", LongType())]))
+    ways = ways.repartition(*[F.col(f"_seq.{k}") for k in keys]).sortWithinPartitions("_seq")
+    carry = ways.mapInArrow(_fold(keys), StructType(list(seq.fields)).add("_carried", "long").add("_before", "long"))
     rows = _followed(cut.join(carry, "_seq", "left"), [onset, *ties], window_us)
     return rows.select(*calls.columns, (F.col("_before") + F.col("_no")).alias("group_no"))
 

@@ -8,10 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .ordered import overlapping, pieces, running_sum
 
 #: Samples of a window and from one window to the next; taper of the window at both ends.
 WIDTH, HOP, TAPER = 512, 256, 0.25
 EPS = 1e-12
+#: Frames of a piece of a long track.
+FRAMES = 200_000
 
 
 def taper(n: int, alpha: float = TAPER) -> np.ndarray:
@@ -205,21 +210,59 @@ def centre_track(pixels: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumn("_w", w).groupBy("seg_id", "frame").agg((F.sum(F.col("_w") * F.col("freq_hz")) / F.sum("_w")).alias("centre_hz"))
 
 
-def interpolated(track: DataFrame, value: str, keys: Sequence[str] = ("seg_id",), at: str = "frame") -> DataFrame:
-    """track with missing values filled: linear between neighbours, flat beyond the ends; unchanged below 2 values."""
-    w = Window.partitionBy(*keys)
-    back, ahead = w.orderBy(at).rowsBetween(Window.unboundedPreceding, 0), w.orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+def interpolated(track: DataFrame, value: str, keys: Sequence[str] = ("seg_id",), at: str = "frame", step: int = FRAMES) -> DataFrame:
+    """track with missing values filled: linear between neighbours, flat beyond the ends; unchanged below 2 values.
+
+    Windows run in pieces of `step` frames; a table with a row a piece carries the last known value
+    behind each cut and the next one ahead of it.
+    """
+    rows = pieces(track, keys, at, step)
+    w = Window.partitionBy("_seq").orderBy(at)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
-    rows = track.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead)).withColumn("_n", F.count(value).over(w))
+    ends = rows.groupBy("_seq").agg(F.min(known).alias("_first"), F.max(known).alias("_last"), F.count(value).alias("_c")).select("*", *[F.col(f"_seq.{k}").alias(f"_k{i}") for i, k in enumerate(keys)])
+    over = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    along = over.orderBy("_seq._piece")
+    ends = ends.select("_seq", F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_behind"), F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"), F.sum("_c").over(over).alias("_n"))
+    rows = rows.withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.join(ends, "_seq", "left").withColumns({"_a": F.coalesce("_a", "_behind"), "_b": F.coalesce("_b", "_ahead")})
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(at) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     filled = F.when(F.col(value).isNotNull() | (F.col("_n") < 2), F.col(value)).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(line)
-    return rows.withColumn(value, filled).drop("_a", "_b", "_n")
+    return rows.select(*[filled.alias(c) if c == value else c for c in track.columns])
 
 
-def running_median(track: DataFrame, value: str, width: int, out: str, keys: Sequence[str] = ("seg_id",), at: str = "frame") -> DataFrame:
-    """Median of the known values in a centred window, which shrinks at the ends; an even width counts one more."""
+def running_median(track: DataFrame, value: str, width: int, out: str, keys: Sequence[str] = ("seg_id",), at: str = "frame", step: int = FRAMES) -> DataFrame:
+    """Median of the known values in a centred window of rows, which shrinks at the ends; an even width counts one more.
+
+    Rows are numbered and cut into pieces of `step` rows that overlap by half a window; a piece is one
+    pass with a window that keeps its values in order, so a row takes the logarithm of the width.
+    Infinite values and NaN count as missing.
+    """
     r = (width + (width % 2 == 0)) // 2
-    return track.withColumn(out, F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(-r, r)))
+    rows = overlapping(running_sum(track.drop(out), keys, [at], {"_place": F.lit(1)}, step=step), "_place", r, r, max(step, r))
+    own = [c for c in track.columns if c != out]
+
+    def medians(piece: pa.Table) -> pa.Table:
+        x = piece[value].cast(pa.float64()).to_pandas().rolling(2 * r + 1, center=True, min_periods=1).median()
+        return piece.select(own).append_column(out, pa.Array.from_pandas(x, type=pa.float64())).filter(piece["_own"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            at = list(zip(*(b[c].to_pylist() for c in (*keys, "_piece")), strict=True))
+            cuts = [0, *[i for i in range(1, len(at)) if at[i] != at[i - 1]], len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if at[lo] != key and held:
+                    yield from medians(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                key = at[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from medians(pa.Table.from_batches(held)).to_batches()
+
+    dealt = rows.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "_place")
+    return dealt.mapInArrow(run, StructType([f for f in track.schema.fields if f.name != out]).add(out, "double")).select(*[c for c in track.columns if c != out], out)
 
 
 def track_summary(track: DataFrame, value: str, time: str, by: Sequence[str] = ("seg_id",)) -> DataFrame:

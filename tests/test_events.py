@@ -417,6 +417,84 @@ def test_ranks_and_quantiles(spark):
         spark.sparkContext._jsc.clearJobGroup()
 
 
+def follow(onsets, anchor, w):
+    """The last anchor and the number of groups begun."""
+    n = 0
+    for t in onsets:
+        if anchor is None or t - anchor > w:
+            anchor, n = t, n + 1
+    return anchor, n
+
+
+def test_steps_are_what_pieces_do():
+    """Step functions of random, dense and even onsets, against following each carried anchor."""
+    from bisect import bisect_right
+
+    rng = random.Random(9)
+    for case in range(400):
+        w = rng.choice([1, 5, 40])
+        onsets = sorted(rng.randrange(rng.choice([10, 60, 300])) for _ in range(rng.randrange(1, 60))) if case % 3 else list(range(0, 120, rng.choice([1, 2, 3])))
+        steps = overlap.Steps(w)
+        for t in onsets:
+            steps.add(t)
+        bounds, anchors, groups, _ = steps.table()
+        assert bounds == sorted(set(bounds)) and len(bounds) <= len({t for t in onsets if t <= onsets[0] + w}) + 1
+        for a in (None, *range(-3 * w - 3, onsets[0] + 1)):
+            at = 0 if a is None else bisect_right(bounds, a)
+            got = (anchors[at], groups[at]) if at < len(bounds) else (a, 0)
+            assert got == follow(onsets, a, w)
+
+
+@pytest.mark.parametrize("step", [7, 50, 1000])
+def test_dense_chains(spark, step):
+    """Anchors that depend on all rows before them, over many pieces, in one plan without jobs of its own."""
+    rng = random.Random(step)
+    rows_ = [(1, i, 3 * i) for i in range(150)] + [(2, i, t) for i, t in enumerate(sorted(rng.randrange(700) for _ in range(150)))] + [(3, 0, None), (3, 1, None), (3, 2, 5), (None, 0, 1)]
+    df = spark.createDataFrame(rows_, "exp int, call_id int, onset_us long").repartition(4)
+    spark.sparkContext.setJobGroup("grouping", "")
+    try:
+        found = overlap.overlap_groups(df, window_us=10, keys=("exp",), step=step)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("grouping")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    got = {(r["exp"], r["call_id"]): r["group_no"] for r in found.collect()}
+    for exp in (1, 2):
+        anchor, n = None, 0
+        for e, i, t in rows_:
+            if e == exp:
+                if anchor is None or t - anchor > 10:
+                    anchor, n = t, n + 1
+                assert got[e, i] == n
+    assert sorted(got[3, i] for i in range(3)) == [1, 2, 3] and got[3, 2] == 3 and got[None, 0] == 1
+
+
+@pytest.mark.parametrize("step", [6, 25, 10_000])
+def test_tracks_in_pieces(spark, step):
+    """Running medians and filled gaps are those of whole tracks, whatever the pieces; other columns stay."""
+    import statistics
+
+    rng = random.Random(step)
+    tracks = {k: [None if rng.random() < part else float(rng.randrange(50)) for _ in range(120)] for k, part in (("a", 0.3), ("b", 0.9), ("c", 1.0), ("d", 0.0))} | {"e": [None] * 60 + [4.0] + [None] * 59}
+    df = spark.createDataFrame([(k, 5 * i, v, f"{k}{i}") for k, vs in tracks.items() for i, v in enumerate(vs)], "seg_id string, frame int, y double, note string").repartition(4)
+    for width in (1, 4, 9):
+        r = (width + (width % 2 == 0)) // 2
+        got = spectral.running_median(df, "y", width, "m", step=step).collect()
+        assert len(got) == len({(x["seg_id"], x["frame"]) for x in got}) == 600
+        for x in got:
+            i, vs = x["frame"] // 5, tracks[x["seg_id"]]
+            known = [v for v in vs[max(0, i - r) : i + r + 1] if v is not None]
+            assert x["m"] == (statistics.median(known) if known else None) and x["y"] == vs[i] and x["note"] == f"{x['seg_id']}{i}"
+    for x in spectral.interpolated(df, "y", step=5 * step).collect():
+        i, vs = x["frame"] // 5, tracks[x["seg_id"]]
+        at = [k for k, v in enumerate(vs) if v is not None]
+        if vs[i] is not None or len(at) < 2:
+            want = vs[i]
+        else:
+            a, b = max((k for k in at if k < i), default=None), min((k for k in at if k > i), default=None)
+            want = vs[b] if a is None else vs[a] if b is None else vs[a] + (vs[b] - vs[a]) * (i - a) / (b - a)
+        assert x["y"] == (None if want is None else pytest.approx(want)) and x["note"] == f"{x['seg_id']}{i}"
+
+
 def test_errors(spark):
     calls = spark.createDataFrame([(1, 1, "a", 0, 1)], "exp int, file_num int, event_type string, start_file_us long, stop_file_us long")
     none = spark.createDataFrame([], "exp int, file_num int, start_us long, offset_us long")
