@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .distribution import quantiles
 from .ordered import overlapping, pieces, running_sum
 
 #: Samples of a window and from one window to the next; taper of the window at both ends.
@@ -152,34 +153,45 @@ def finite(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows
 
 
-def series_summary(rows: DataFrame, column: str, by: Sequence[str], prefix: str) -> DataFrame:
-    """Mean, population deviation, median and interquartile range of the finite values; nulls if there are none."""
-    x = F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.avg(x).alias(f"{prefix}_mean"), F.stddev_pop(x).alias(f"{prefix}_std"), q.alias("_q"))
-    return out.select(*by, f"{prefix}_mean", f"{prefix}_std", F.col("_q")[1].alias(f"{prefix}_median"), (F.col("_q")[2] - F.col("_q")[0]).alias(f"{prefix}_iqr"))
+def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """left with the columns of right, a row a group, of the same group; null keys are groups too."""
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(by)], *[c for c in right.columns if c not in by])
+    if not by:
+        return left.crossJoin(other)
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(other, same, "left").drop(*[f"_r{i}" for i in range(len(by))])
+
 
+def series_summary(rows: DataFrame, column: str, by: Sequence[str], prefix: str) -> DataFrame:
+    """Mean, population deviation, median and interquartile range of the finite values; nulls if there are none.
 
-def _by_index(table: DataFrame, column: str, index: str, n: int, prefix: str, first: int = 0) -> DataFrame:
-    """(seg_id, summaries of each index 0 to n - 1): prefix and number in names, which begin at `first`."""
-    long = series_summary(table, column, ["seg_id", index], "v")
-    return long.groupBy("seg_id").agg(*[F.max(F.when(F.col(index) == k, F.col(f"v_{x}"))).alias(f"{prefix}{k + first}_{x}") for k in range(n) for x in ("mean", "std", "median", "iqr")])
+    Quantiles are exact, by ranks over pieces of the values: a group with most of the rows is many tasks.
+    """
+    x = rows.select(*by, F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column)).alias("_x"))
+    out = x.groupBy(*by).agg(F.avg("_x").alias(f"{prefix}_mean"), F.stddev_pop("_x").alias(f"{prefix}_std"))
+    out = _joined(out, quantiles(x, "_x", by, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), by)
+    return out.select(*by, f"{prefix}_mean", f"{prefix}_std", F.col("q2").alias(f"{prefix}_median"), (F.col("q3") - F.col("q1")).alias(f"{prefix}_iqr"))
 
 
 def features(frames: DataFrame, meta: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """One row a segment: meta (seg_id, ...) and summaries of entropy, flatness, centroid, bandwidth, rolloff and rms,
     of the contrast of seven bands (contrast_b0 to contrast_b6) and five cepstral coefficients (mfcc1 to mfcc5), and with
-    segments (seg_id, samples) of the rate of zero crossings (zcr)."""
+    segments (seg_id, samples) of the rate of zero crossings (zcr). All series are one table (seg_id, name, value), summed up once."""
     shape = frame_shape(frames)
-    tables = [(frame_entropy(frames), "entropy"), (frame_flatness(frames), "flatness"), (shape, "centroid"), (shape, "bandwidth"), (shape, "rolloff"), (frame_power(frames), "rms")]
-    if segments is not None:
-        tables.append((frame_zcr(segments), "zcr"))
-    parts = [series_summary(table, column, ["seg_id"], column) for table, column in tables]
-    parts += [_by_index(contrast(frames), "contrast", "band", 7, "contrast_b"), _by_index(cepstrum(frames), "coefficient", "k", 5, "mfcc", 1)]
-    out = meta
-    for part in parts:
-        out = out.join(part, "seg_id", "left")
-    return out
+    series = [(frame_entropy(frames), "entropy"), (frame_flatness(frames), "flatness"), (frame_power(frames), "rms"), *([(frame_zcr(segments), "zcr")] if segments is not None else [])]
+    tables = [t.select("seg_id", F.lit(c).alias("name"), F.col(c).alias("value")) for t, c in series]
+    tables.append(shape.select("seg_id", F.stack(F.lit(3), *[x for c in ("centroid", "bandwidth", "rolloff") for x in (F.lit(c), F.col(c))]).alias("name", "value")))
+    tables.append(contrast(frames).select("seg_id", F.concat(F.lit("contrast_b"), F.col("band").cast("string")).alias("name"), F.col("contrast").alias("value")))
+    tables.append(cepstrum(frames).select("seg_id", F.concat(F.lit("mfcc"), (F.col("k") + 1).cast("string")).alias("name"), F.col("coefficient").alias("value")))
+    long = tables[0]
+    for t in tables[1:]:
+        long = long.unionByName(t)
+    summed = series_summary(long, "value", ["seg_id", "name"], "v")
+    names = ["entropy", "flatness", "centroid", "bandwidth", "rolloff", "rms", *(["zcr"] if segments is not None else []), *[f"contrast_b{k}" for k in range(7)], *[f"mfcc{k}" for k in range(1, 6)]]
+    wide = summed.groupBy("seg_id").agg(*[F.max(F.when(F.col("name") == n, F.col(f"v_{x}"))).alias(f"{n}_{x}") for n in names for x in ("mean", "std", "median", "iqr")])
+    return meta.join(wide, "seg_id", "left")
 
 
 def band_normalised(frames: DataFrame, low: float = 500.0, high: float = 30_000.0, value: str = "mag") -> DataFrame:
@@ -266,11 +278,12 @@ def running_median(track: DataFrame, value: str, width: int, out: str, keys: Seq
 
 
 def track_summary(track: DataFrame, value: str, time: str, by: Sequence[str] = ("seg_id",)) -> DataFrame:
-    """Median, min, max, range and least-squares slope over time; no slope below 2 points or without a time span."""
+    """Median, min, max, range and least-squares slope over time; no slope below 2 points or without a time span. The median as in series_summary."""
     ok = F.col(value).isNotNull()
     t = F.when(ok, F.col(time))
     slope = F.when((F.count(value) >= 2) & (F.max(t) > F.min(t)), F.regr_slope(F.col(value), F.col(time)))
-    return track.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), (F.max(value) - F.min(value)).alias("range"), slope.alias("slope"))
+    out = track.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), (F.max(value) - F.min(value)).alias("range"), slope.alias("slope"))
+    return _joined(out, quantiles(track, value, by, {"median": 0.5}), by).select(*by, "median", "min", "max", "range", "slope")
 
 
 def valid_tracks(track: DataFrame, value: str, least: float = 0.05, keys: Sequence[str] = ("seg_id",)) -> DataFrame:

@@ -14,13 +14,17 @@ from ..operators import audit, clocks, daynight, overlap, rates, sequence, sessi
 def transition_analysis(calls: DataFrame, sync: DataFrame, *, order: Sequence[str], places: dict[int, str], bands=sequence.BANDS, light=(8, 20), variants=daynight.VARIANTS, groups: dict[str, str] | None = None, aliases=labels.ALIASES) -> dict[str, DataFrame]:
     """Calls on file clocks to matrices by variant, band and place, gaps, type counts, hours and missing files.
 
-    Labels are cleaned and filtered before events become neighbours. Results share one scan of the calls.
+    Labels are cleaned and filtered before events become neighbours. Each result reads the calls when it
+    is used; persist calls and sync to read them once. Calls of which none is in the sync table, or none
+    of a listed type, are an error. missing_files lists the files without sync, failed the experiments
+    that have calls but none with sync.
     """
     chunks = clocks.chunk_starts(sync)
-    timed = clocks.align(clocks.with_channel(calls), chunks).filter("event_type is not null and start_us is not null")
+    aligned = clocks.align_some(clocks.with_channel(calls), chunks)
+    timed = aligned.filter("event_type is not null and start_us is not null")
     order = labels.effective_order(order, groups or {})
     clean = timed.withColumn("event_type", labels.grouped(labels.canonical(F.col("event_type"), aliases), groups or {}))
-    clean = daynight.with_variants(sequence.in_domain(sequence.drop_noise(clean), order), light, variants)
+    clean = daynight.with_variants(sequence.in_domain(sequence.drop_noise(clean), order, some=True), light, variants)
     counts = sequence.transition_counts(clean, order=order, places=places, bands=bands, variants=variants)
     return {
         "transitions": sequence.joint_probabilities(sequence.row_probabilities(counts)),
@@ -29,6 +33,7 @@ def transition_analysis(calls: DataFrame, sync: DataFrame, *, order: Sequence[st
         "self_gaps": sequence.gaps(clean, ("variant", *sequence.SEQUENCE, "event_type")),
         "hours": daynight.hours_in_window(daynight.spans(timed), light),
         "missing_files": clocks.missing_files(calls, chunks),
+        "failed": calls.select("exp").distinct().join(aligned.select("exp").distinct(), "exp", "left_anti").withColumn("reason", F.lit("no call's file is in the sync table")),
     }
 
 

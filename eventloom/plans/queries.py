@@ -417,6 +417,14 @@ def log_parse(spark, d) -> DataFrame:
     return rows.groupBy("conv_id", "turn", "parse_status").agg(F.count("*").alias("n"), F.count("log_us").alias("n_timed"), F.min("log_us").alias("first_us"))
 
 
+@query("", f"WITH v AS (SELECT conv_id, turn, string_split(CASE turn % 4 WHEN 0 THEN '2025-07-0' || (conv_id % 12) || '_12-00-05>' || coalesce(text, '') WHEN 1 THEN '2025-07-01_10-00-00>x_' || role ELSE coalesce(text, '') END, chr(10)) AS ls FROM conversations), o AS (SELECT conv_id, turn, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_number FROM v) SELECT conv_id, turn, line_number, {_STAMP} AS log_us, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, {_STAMP} NULLS LAST, line_number) AS BIGINT) AS place FROM o WHERE trim(line) <> ''")
+def log_order(spark, d) -> DataFrame:
+    """The place of each line in its conversation's log."""
+    rows = tables.log_lines(_log_text(spark, d), keep=("conv_id", "turn"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(*tables.log_order("turn"))).cast("long")
+    return rows.select("conv_id", "turn", "line_number", "log_us", place.alias("place"))
+
+
 @query("", f"WITH {_LINES} SELECT * FROM (SELECT conv_id, turn, {_STAMP} AS start_us, 'log' AS event_type, trim(regexp_extract(line, '^([^>]+)>(.*)$', 2)) AS note FROM l WHERE contains(line, '>') AND contains(line, '_')) WHERE start_us IS NOT NULL")
 def log_events(spark, d) -> DataFrame:
     return tables.log_events(_log_text(spark, d).select("conv_id", "turn", F.explode(F.split("value", "\n", -1)).alias("line")))
@@ -679,17 +687,17 @@ def _csv_folder(spark, rows: DataFrame, name: str) -> str:
     return path
 
 
-@query("", "SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS day, l_quantity, CAST(NULL AS VARCHAR) AS missing FROM lineitem")
+@query("", "SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS day, l_quantity, CAST(NULL AS VARCHAR) AS missing, 'line ' || l_linenumber || chr(10) || '\"of\", ' || l_orderkey AS \"two, words\" FROM lineitem")
 def csv_by_name(spark, d) -> DataFrame:
-    """lineitem written as CSV with its columns in another order and read by name."""
-    x = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_quantity", F.lit("a, b").alias("unread"), "l_linenumber", "l_orderkey")
-    return tables.csv_table(spark, _csv_folder(spark, x, "csv"), "l_orderkey long, l_linenumber int, day string, l_quantity double, missing string")
+    """lineitem written as CSV with its columns in another order, with line ends and quotes in values and a comma in a header, and read by name."""
+    x = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_quantity", F.lit("a, b").alias("unread"), F.concat(F.lit("line "), "l_linenumber", F.lit('\n"of", '), "l_orderkey").alias("two, words"), "l_linenumber", "l_orderkey")
+    return tables.csv_table(spark, _csv_folder(spark, x, "csv"), "l_orderkey long, l_linenumber int, day string, l_quantity double, missing string, `two, words` string")
 
 
-@query("c", "SELECT event_type, count(*) AS n, sum(call_id)::BIGINT AS ids, round(sum(CASE WHEN call_id % 2 = 0 THEN value END), 4) AS meanprob_a FROM c GROUP BY event_type")
+@query("c", "SELECT event_type || chr(10) || '\"new\", line' AS event_type, count(*) AS n, sum(call_id)::BIGINT AS ids, round(sum(CASE WHEN call_id % 2 = 0 THEN value END), 4) AS meanprob_a FROM c GROUP BY ALL")
 def gathered_files(spark, d) -> DataFrame:
-    """Calls written as two sets of feature files of different columns and gathered as one table."""
-    rows, path = calls(spark, d), shared_path(spark, "features")
+    """Calls written as two sets of feature files of different columns, labels of two lines, and gathered as one table."""
+    rows, path = calls(spark, d).withColumn("event_type", F.concat("event_type", F.lit('\n"new", line'))), shared_path(spark, "features")
     tables.write_csv(rows.filter("call_id % 2 = 0").select("call_id", "event_type", F.col("value").alias("meanprob_a")), f"{path}/even")
     tables.write_csv(rows.filter("call_id % 2 = 1").select("event_type", "call_id"), f"{path}/odd")
     found = tables.gathered(spark, path, "call_id long, event_type string", others=(("meanprob_", "double"),))
@@ -763,3 +771,48 @@ def sorted_calls(spark, d) -> DataFrame:
 @query("c", "SELECT call_id, printf('%02d:%02d:%02d.%03d', (value * 100000)::BIGINT // 3600000, ((value * 100000)::BIGINT // 60000) % 60, ((value * 100000)::BIGINT // 1000) % 60, (value * 100000)::BIGINT % 1000) AS duration FROM c")
 def duration_text(spark, d) -> DataFrame:
     return calls(spark, d).select("call_id", clock.duration_text(F.round(F.col("value") * 100000).cast("long") / 1000).alias("duration"))
+
+
+@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) END AS start_us, epoch_us(o_orderdate) + 600000000 AS end_us, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 1000 END AS BIGINT) AS file_num FROM orders")
+def sync_literals(spark, d) -> DataFrame:
+    """Chunk clocks of sync rows: list and tuple literals of times and videos, of which some don't parse."""
+    at = clock.micros(F.col("o_orderdate"))
+    text = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
+    times = F.concat(F.lit("['"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("unknown")).otherwise(text(at)), F.lit("', '"), text(at + 600_000_000), F.lit("']"))
+    videos = F.concat(F.lit("('first', 'top_"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("none")).otherwise((F.col("o_orderkey") % 1000).cast("string")), F.lit("', 'top_x')"))
+    return table(spark, d, "orders").select("o_orderkey", *tables.sync_columns(times, videos))
+
+
+def _paths(spark, d):
+    """Paths of files of either naming scheme, and of others, under folders named by experiment or otherwise."""
+    number = F.col("o_orderkey").cast("string")
+    folder = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).otherwise((F.col("o_custkey") % 100).cast("string"))
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("channel_02_file_"), number, F.lit(".wav"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("channel_2_"), number, F.lit(".wav"))).otherwise(F.concat(F.lit("notes_"), number, F.lit(".txt")))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("file:///data/"), folder, F.lit("/raw/"), name).alias("path"))
+
+
+@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey % 100 AS INTEGER) END AS exp, CASE WHEN o_orderkey % 3 < 2 THEN 2 END AS channel, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey AS INTEGER) END AS file_num, CASE o_orderkey % 3 WHEN 0 THEN 'modern' WHEN 1 THEN 'legacy' END AS scheme FROM orders")
+def file_listing(spark, d) -> DataFrame:
+    return _paths(spark, d).select("o_orderkey", *tables.manifest_columns(F.col("path"))).drop("name")
+
+
+@query("", "SELECT DISTINCT CAST(o_custkey % 100 AS INTEGER) AS exp FROM orders WHERE o_orderkey % 4 <> 0")
+def experiment_ids(spark, d) -> DataFrame:
+    return tables.experiments(_paths(spark, d).select(*tables.manifest_columns(F.col("path"))))
+
+
+@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS INTEGER) END AS exp, CASE WHEN o_orderkey % 3 = 0 THEN epoch_us(o_orderdate) END AS experiment_start_us FROM orders")
+def log_names(spark, d) -> DataFrame:
+    """Experiment and start time from names of log files."""
+    name = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.lit("experiment_")).otherwise(F.lit("run_")), F.col("o_custkey").cast("string"), F.lit("_log_"), F.date_format("o_orderdate", "yyyy-MM-dd_HH-mm-ss"), F.lit(".txt"))
+    return table(spark, d, "orders").select("o_orderkey", *tables.log_name_columns(name))
+
+
+@query("", "SELECT 'c_' || c_custkey || '_annotations.csv' AS name, '/audio/c_' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.wav' ELSE '.npz' END AS audio_path FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def audio_match(spark, d) -> DataFrame:
+    """Annotation files with the audio of their stem, .wav before .npz."""
+    stem = F.concat(F.lit("c_"), F.col("c_custkey").cast("string"))
+    c = table(spark, d, "customer").select("c_custkey", stem.alias("s"))
+    audio = c.filter("c_custkey % 2 = 0").select(F.concat("s", F.lit(".wav")).alias("name")).unionByName(c.filter("c_custkey % 3 = 0").select(F.concat("s", F.lit(".npz")).alias("name")))
+    audio = audio.unionByName(c.select(F.concat("s", F.lit(".mp3")).alias("name"))).withColumn("path", F.concat(F.lit("/audio/"), "name"))
+    return tables.match_audio(c.select(F.concat("s", F.lit("_annotations.csv")).alias("name")), audio).select("name", "audio_path")

@@ -194,13 +194,23 @@ def log_lines(text: DataFrame, text_col: str = "value", keep: tuple[str, ...] =
     return each.select(*keep, (F.col("_i") + 1).cast("long").alias("line_number"), at.alias("log_us"), said.alias("log_text"), status.alias("parse_status"))
 
 
+def log_name_columns(name: Column) -> list[Column]:
+    """exp and experiment_start_us of a log file's name; null for other names."""
+    ok = F.rlike(name, F.lit(LOG_NAME))
+    return [F.when(ok, F.regexp_extract(name, LOG_NAME, 1)).try_cast("int").alias("exp"), parsed_micros(F.when(ok, F.regexp_extract(name, LOG_NAME, 2)), LOG_TIME).alias("experiment_start_us")]
+
+
+def log_order(*begin: str) -> list[Column]:
+    """Order of log lines: by the columns that tell their file, by time with unknown times last, by line."""
+    return [*[F.col(c) for c in begin], F.col("log_us").asc_nulls_last(), F.col("line_number")]
+
+
 def log_files(spark: SparkSession, path: str) -> DataFrame:
     """log_lines of all log files of a month folder, with exp and the start time of their names."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).withColumn("source_log_file", _name())
     files = files.filter(F.rlike("source_log_file", F.lit(LOG_NAME)))
     rows = log_lines(files, keep=("source_log_file",))
-    named = rows.withColumn("exp", F.regexp_extract("source_log_file", LOG_NAME, 1).cast("int")).withColumn("experiment_start_us", parsed_micros(F.regexp_extract("source_log_file", LOG_NAME, 2), LOG_TIME))
-    return named.orderBy("exp", "experiment_start_us", F.col("log_us").asc_nulls_last(), "line_number")
+    return rows.select("*", *log_name_columns(F.col("source_log_file"))).orderBy(*log_order("exp", "experiment_start_us"))
 
 
 def log_events(lines: DataFrame, line: str = "line") -> DataFrame:
