@@ -27,28 +27,56 @@ def taper(n: int, alpha: float = TAPER) -> np.ndarray:
     return np.where(edge < 1, 0.5 * (1 - np.cos(np.pi * np.minimum(edge, 1))), 1.0)
 
 
+def _in_blocks(segments: DataFrame) -> DataFrame:
+    """segments with block and first_idx, 0 where a segment is one row; rows without samples are left out."""
+    for c, kind in (("block", "int"), ("first_idx", "long")):
+        if c not in segments.columns:
+            segments = segments.withColumn(c, F.lit(0).cast(kind))
+    return segments.filter("samples is not null and size(samples) > 0")
+
+
 def spectrogram(segments: DataFrame, *, width: int = WIDTH, hop: int = HOP) -> DataFrame:
     """(seg_id, frame, bin, freq_hz, mag) of segments (seg_id, rate, samples).
 
     Magnitudes of the spectrum of each window less its mean, scaled by the window's sum. Short input is
-    padded with zeros to one window; a null or empty one has no frames.
+    padded with zeros to one window; a null or empty one has no frames. A long recording is rows of
+    (seg_id, rate, block, first_idx, samples), as audio_chunks has them: a block gets the first
+    width - 1 samples of the next one and has the frames that begin in it, so frames are those of the
+    whole signal and no row holds more than a block. All blocks but a segment's last have width - 1
+    samples or more; shorter ones are an error.
     """
+    blocks = _in_blocks(segments).select(F.col("seg_id").cast("string").alias("seg_id"), F.col("rate").cast("double").alias("rate"), "block", "first_idx", F.col("samples").cast("array<double>").alias("samples"))
+    if "block" in segments.columns:
+        heads = blocks.select("seg_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, width - 1).alias("head"))
+        blocks = blocks.join(heads, ["seg_id", "block"], "left")
+    else:
+        blocks = blocks.withColumn("head", F.lit(None).cast("array<double>"))
 
     def run(batches):
         window = taper(width)
         for b in batches:
-            for seg, rate, x in zip(b["seg_id"].to_pylist(), b["rate"].to_pylist(), b["samples"], strict=True):
-                if not x.is_valid or not len(x.values):
+            for seg, rate, first, own, head in zip(b["seg_id"].to_pylist(), b["rate"].to_pylist(), b["first_idx"].to_pylist(), b["samples"], b["head"], strict=True):
+                y = np.asarray(own.values, dtype=np.float64)
+                n = len(y)
+                if head.is_valid:
+                    if n < width - 1:
+                        raise ValueError(f"a block of {n} samples that isn't its segment's last, {width - 1} are needed")
+                    y = np.concatenate([y, np.asarray(head.values, dtype=np.float64)])
+                elif not first:
+                    y = np.pad(y, (0, max(0, width - n)))
+                begin = -first % hop
+                if begin >= n or len(y) - begin < width:
                     continue
-                y = np.asarray(x.values, dtype=np.float64)
-                y = np.pad(y, (0, max(0, width - len(y))))
-                for at in range(0, (len(y) - width) // hop + 1, 256):
-                    part = np.lib.stride_tricks.sliding_window_view(y, width)[at * hop :: hop][:256]
+                # windows that begin in the block's own samples
+                views = np.lib.stride_tricks.sliding_window_view(y[begin:], width)[: n - begin : hop]
+                for at in range(0, len(views), 256):
+                    part = views[at : at + 256]
                     mag = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * window, axis=1)) / window.sum()
                     frames, bins = mag.shape
-                    yield pa.record_batch([pa.array([seg] * mag.size), pa.array(np.repeat(np.arange(at, at + frames, dtype=np.int32), bins)), pa.array(np.tile(np.arange(bins, dtype=np.int32), frames)), pa.array(np.tile(np.arange(bins) * rate / width, frames)), pa.array(mag.ravel())], names=["seg_id", "frame", "bin", "freq_hz", "mag"])
+                    numbers = np.arange(frames, dtype=np.int32) + (first + begin) // hop + at
+                    yield pa.record_batch([pa.array([seg] * mag.size), pa.array(np.repeat(numbers, bins).astype(np.int32)), pa.array(np.tile(np.arange(bins, dtype=np.int32), frames)), pa.array(np.tile(np.arange(bins) * rate / width, frames)), pa.array(mag.ravel())], names=["seg_id", "frame", "bin", "freq_hz", "mag"])
 
-    return segments.select(F.col("seg_id").cast("string"), F.col("rate").cast("double"), F.col("samples").cast("array<double>")).mapInArrow(run, "seg_id string, frame int, bin int, freq_hz double, mag double")
+    return blocks.select("seg_id", "rate", "first_idx", "samples", "head").mapInArrow(run, "seg_id string, frame int, bin int, freq_hz double, mag double")
 
 
 def display(mag: Column) -> Column:
@@ -95,14 +123,18 @@ def zero_crossings(samples: DataFrame, keys: Sequence[str] = ("seg_id",)) -> Dat
 def frame_zcr(segments: DataFrame, *, width: int = 2048, hop: int = 512) -> DataFrame:
     """(seg_id, frame, zcr) of segments (seg_id, samples): crossings of zero in width samples around each hop, over width.
 
-    Values within 1e-10 of zero count as positive; beyond a segment's ends its last values go on.
+    Values within 1e-10 of zero count as positive; beyond a segment's ends its last values go on. Long
+    recordings are rows of (seg_id, block, first_idx, samples); signs at the ends of blocks are compared
+    in a table with a row a block.
     """
-    n, half = F.size("samples"), width // 2
-    negative = F.transform("samples", lambda x: x < -1e-10)
-    flips = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(F.col("_neg"), i + 1) != F.element_at(F.col("_neg"), i))).otherwise(F.array().cast("array<int>"))
-    known = segments.filter("samples is not null and size(samples) > 0").select("seg_id", n.alias("_n"), negative.alias("_neg"), F.floor(n / hop).cast("int").alias("_last"))
-    frames = known.select("seg_id", F.explode(F.sequence(F.lit(0), "_last")).alias("frame"))
-    at = known.withColumn("samples", F.col("_neg")).select("seg_id", "_last", F.explode(flips).alias("i"))
+    half = width // 2
+    known = _in_blocks(segments).select("seg_id", "block", F.col("first_idx").cast("long").alias("first_idx"), F.size("samples").alias("_n"), F.transform("samples", lambda x: x < -1e-10).alias("_neg"))
+    lengths = known.groupBy("seg_id").agg(F.floor(F.sum("_n") / hop).cast("int").alias("_last"))
+    frames = lengths.select("seg_id", F.explode(F.sequence(F.lit(0), "_last")).alias("frame"))
+    flips = F.when(F.col("_n") > 1, F.filter(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.element_at("_neg", i + 1) != F.element_at("_neg", i))).otherwise(F.array().cast("array<int>"))
+    inner = known.select("seg_id", "first_idx", F.explode(flips).alias("i")).select("seg_id", (F.col("first_idx") + F.col("i")).alias("i"))
+    ends = known.select("seg_id", "first_idx", F.element_at("_neg", 1).alias("_a"), F.lag(F.element_at("_neg", -1)).over(Window.partitionBy("seg_id").orderBy("block")).alias("_b"))
+    at = inner.unionByName(ends.filter("_a <> _b").select("seg_id", F.col("first_idx").alias("i"))).join(lengths, "seg_id")
     first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - half + 1) / hop).cast("int")), F.least(F.col("_last"), F.floor((F.col("i") + half - 1) / hop).cast("int"))
     counts = at.select("seg_id", F.explode(F.when(first <= last, F.sequence(first, last))).alias("frame")).groupBy("seg_id", "frame").agg(F.count("*").alias("_c"))
     return frames.join(counts, ["seg_id", "frame"], "left").select("seg_id", "frame", (F.coalesce("_c", F.lit(0)) / width).alias("zcr"))

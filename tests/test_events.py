@@ -495,6 +495,31 @@ def test_tracks_in_pieces(spark, step):
         assert x["y"] == (None if want is None else pytest.approx(want)) and x["note"] == f"{x['seg_id']}{i}"
 
 
+def _cut(spark, signals, block):
+    rows_ = [(k, 1000, i // block, i, x[i : i + block]) for k, x in signals.items() for i in range(0, max(1, len(x)), block)]
+    return spark.createDataFrame(rows_, "seg_id string, rate int, block int, first_idx long, samples array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("block", [15, 16, 17, 40, 1000])
+def test_frames_over_blocks(spark, block):
+    """Spectra and crossings of a recording in blocks are those of the whole signal."""
+    rng = random.Random(block)
+    signals = {k: [rng.gauss(0, 1) for _ in range(n)] for k, n in (("a", 200), ("b", 16), ("c", 9), ("d", 0), ("e", block), ("f", block + 1), ("g", 3 * block))}
+    whole = spark.createDataFrame([(k, 1000, x) for k, x in signals.items()], "seg_id string, rate int, samples array<double>")
+    for hop in (4, 16, 23):
+        key = lambda r: (r["seg_id"], r["frame"], r["bin"])
+        want = {key(r): (r["freq_hz"], r["mag"]) for r in spectral.spectrogram(whole, width=16, hop=hop).collect()}
+        got = spectral.spectrogram(_cut(spark, signals, block), width=16, hop=hop).collect()
+        assert len(got) == len(want) and all(want[key(r)] == pytest.approx((r["freq_hz"], r["mag"])) for r in got)
+    want = rows(spectral.frame_zcr(whole, width=16, hop=4), "seg_id", "frame", "zcr")
+    assert rows(spectral.frame_zcr(_cut(spark, signals, block), width=16, hop=4), "seg_id", "frame", "zcr") == want
+
+
+def test_blocks_too_short_for_frames(spark):
+    with pytest.raises(Exception, match="isn't its segment's last"):
+        spectral.spectrogram(_cut(spark, {"a": [0.0] * 40}, 5), width=16, hop=4).count()
+
+
 def test_errors(spark):
     calls = spark.createDataFrame([(1, 1, "a", 0, 1)], "exp int, file_num int, event_type string, start_file_us long, stop_file_us long")
     none = spark.createDataFrame([], "exp int, file_num int, start_us long, offset_us long")
