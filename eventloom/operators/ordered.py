@@ -31,13 +31,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(table: DataFrame, most: int = 10_000) -> DataFrame:
     """A configuration table, marked for broadcast; more than `most` rows are an error."""
     if table.limit(most + 1).count() > most:
