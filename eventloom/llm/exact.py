@@ -101,13 +101,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Texts are equal when they are once all white space (space, \\t to \\r) is deleted; null counts as
     empty, so null, empty and blank texts are one group. Of a group the row with the most code
     points stays, then the smallest id (a null id only in a group that has no other). Rows
-    that repeat the id of the kept row and its length are kept too and counted each. An empty table gives no
+    that repeat the id of the kept row and its length are kept too and counted each. Ids are of any type that has an order. An empty table gives no
     rows; other columns are ignored.
     """
     meta, done = identities(docs, id_col=id_col, text_col=text_col, block=block)
     same = meta["doc_id"].eqNullSafe(done["doc_id"]) & (meta["rk"] == done["rk"])
     rows = meta.join(done, same).select(meta["doc_id"], meta["rk"], "chars", meta["blocks"], "name", "text_sha256")
-    best = F.struct("chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))
-    out = group_facts(rows, ["blocks", "name"], [F.col("doc_id"), F.col("rk")], [F.count("*").alias("n"), F.max(best).alias("best")], [F.sum("n").alias("group_size"), F.max("best").alias("best")])
-    keep = -F.col("best.minus")
-    return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(keep) & (F.col("chars") == F.col("best.chars"))).alias("kept"), "text_sha256")
+    best = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))
+    out = group_facts(rows, ["blocks", "name"], [F.col("doc_id"), F.col("rk")], [F.count("*").alias("n"), F.min(best).alias("best")], [F.sum("n").alias("group_size"), F.min("best").alias("best")])
+    keep = F.col("best.id")
+    return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(keep) & (F.col("chars") == -F.col("best.less"))).alias("kept"), "text_sha256")

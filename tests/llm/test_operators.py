@@ -591,6 +591,12 @@ def test_exact_hot_group_over_partitions(spark):
     assert Counter(r["group_size"] for r in got) == {2700: 2700, 1: 300}
 
 
+def test_exact_groups_of_text_ids(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("c", "x  y"), (None, "x  y"), ("d", None), (None, " "), ("B", "q"), ("A", "q")]
+    got = {(r["doc_id"], r["kept"]): (r["keep_id"], r["group_size"]) for r in exact.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", False): ("c", 4), ("a", False): ("c", 4), ("c", True): ("c", 4), (None, False): ("c", 4), ("d", False): (None, 2), (None, True): (None, 2), ("B", False): ("A", 2), ("A", True): ("A", 2)}
+
+
 # --- 8
 
 
