@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from math import exp
+import re
+import zlib
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ BUCKETS, GRAMS = 1 << 14, (3, 4)
 #: Training: passes of gradient descent, step and ridge; labelled rows at most (a bound on the driver).
 PASSES, STEP, RIDGE, MOST_ROWS = 60, 0.5, 1e-4, 10_000
 
-#: Probability from which a URL is blocked: of hosts held out from the labelled table, under 3 in 100 good ones reach it.
+#: Probability from which a URL is blocked: of hosts held out from the labelled table, under 3 in 100 good ones reach it and 9 in 10 bad ones.
 LIMIT = 0.6
 
 #: The rules of the registered query, (verdict, host, path).
@@ -130,15 +133,39 @@ orchestra-youth /auditions
 translation-notes /french/idioms
 """
 SUBDOMAINS, DOMAINS = ("", "www.", "m.", "blog."), (".com", ".net", ".org", ".info")
+#: Parts of names and paths that sites of both sorts have.
+PLAIN = "river north maple stone hill lake city blue green old new first my all pro plus hub zone world web site line point place house east family daily open smart".split()
+PLAIN_PATHS = ("/", "/index.html", "/about", "/en/12", "/page/3", "/contact")
+#: Hosts that are made of a word of each line's sort and plain parts, for each line.
+MADE = 5
+
+
+def _hosts(word: str, plain: str, other: str) -> tuple[str, ...]:
+    """Names made of a word that tells the sort and of parts that don't; the last one tells nothing."""
+    return f"{word}-{plain}", f"{plain}-{word}", f"{word}{plain}", f"{plain}{word}24", f"{other}-{plain}{word}", f"{plain}-{other}"
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for bad): each name and path under all subdomains, so that these tell nothing."""
+    """The small labelled table (url, 1 for bad), several hundred hosts.
+
+    Each line gives its own host and MADE further ones, of a word of the sort and plain parts. A host that tells has one of
+    the sort's paths or a plain one, a host of plain parts only always one of the sort's. Subdomains and
+    domains go round, so that they tell nothing.
+    """
     out = []
     for label, table in ((1, BAD), (0, GOOD)):
-        for i, line in enumerate(table.strip().split("\n")):
-            name, path = line.split(" ")
-            out += [(f"http://{sub}{name}{DOMAINS[(i + j) % len(DOMAINS)]}{path}", label) for j, sub in enumerate(SUBDOMAINS)]
+        lines = [line.split(" ") for line in table.strip().split("\n")]
+        words = sorted({w for name, _ in lines for w in re.split(r"[-.0-9]", name) if len(w) > 3 and w not in PLAIN})
+        for i, (name, path) in enumerate(lines):
+            made = [(name, path)]
+            for k in range(MADE):
+                n = i * MADE + k
+                plain, other = PLAIN[n * 7 % len(PLAIN)], PLAIN[(n * 11 + 3) % len(PLAIN)]
+                hosts = _hosts(words[n % len(words)], plain, other)
+                form = (i + k) % len(hosts)
+                own = lines[(i * 3 + k) % len(lines)][1]
+                made.append((hosts[form], PLAIN_PATHS[n % len(PLAIN_PATHS)] if form < 5 and n % 3 == 0 else own))
+            out += [(f"http://{SUBDOMAINS[(i + j) % 4]}{host}{DOMAINS[(i + 2 * j) % 4]}{p}", label) for j, (host, p) in enumerate(made)]
     return out
 
 
@@ -183,16 +210,17 @@ def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "bad")
     rows = labelled.filter(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(buckets(host, path).alias("f"), F.col(label_col).cast("int").alias("y")).limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} labelled urls")
-    data = sorted((tuple(r["f"]), r["y"]) for r in rows if r["f"])
-    weights, bias = [0.0] * (2 * BUCKETS), 0.0
+    # in an order that isn't the labels'
+    data = sorted(((zlib.crc32(repr(r["f"]).encode()), r["f"], r["y"]) for r in rows if r["f"]), key=lambda x: x[:2])
+    data = [(*np.unique(np.array(f), return_counts=True), len(f), y) for _, f, y in data]
+    weights, bias = np.zeros(2 * BUCKETS), 0.0
     for _ in range(PASSES):
-        for f, y in data:
-            z = bias + sum(weights[b] for b in f) / len(f)
-            off = STEP * (y - 1 / (1 + exp(-max(-30.0, min(30.0, z)))))
-            bias += off * 0.1
-            for b in f:
-                weights[b] += off - RIDGE * weights[b]
-    return weights, bias
+        for f, times, n, y in data:
+            z = bias + float(weights[f] @ times) / n
+            off = STEP * (y - 1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            bias += float(off) * 0.1
+            weights[f] += times * (off - RIDGE * weights[f])
+    return weights.tolist(), bias
 
 
 def score(features: Column, model: tuple[list[float], float]) -> Column:
