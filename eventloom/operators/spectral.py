@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .distribution import quantiles
-from .ordered import overlapping, pieces, running_sum
+from .ordered import neighbour, overlapping, pieces, running_sum
 
 #: Samples of a window and from one window to the next; taper of the window at both ends.
 WIDTH, HOP, TAPER = 512, 256, 0.25
@@ -113,11 +113,11 @@ def frame_power(frames: DataFrame) -> DataFrame:
     return frames.groupBy("seg_id", "frame").agg(F.sqrt(F.avg(F.pow("mag", F.lit(2.0)))).alias("rms"))
 
 
-def zero_crossings(samples: DataFrame, keys: Sequence[str] = ("seg_id",)) -> DataFrame:
-    """(keys, zcr): share of samples whose sign bit differs from the one before."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    rows = samples.withColumn("_x", F.coalesce(((F.col("value") < 0) != (F.lag("value").over(w) < 0)).cast("int"), F.lit(0)))
-    return rows.groupBy(*keys).agg(F.avg("_x").alias("zcr"))
+def zero_crossings(samples: DataFrame, keys: Sequence[str] = ("seg_id",), step: int = 1_000_000) -> DataFrame:
+    """(keys, zcr): share of samples whose sign bit differs from the one before; in pieces of step samples."""
+    rows = neighbour(samples.select(*keys, "idx", "value"), keys, ["idx"], ["idx", "value"], after=False, step=step)
+    crossed = F.coalesce(((F.col("value") < 0) != (F.col("_prev.value") < 0)).cast("int"), F.lit(0))
+    return rows.groupBy(*keys).agg(F.avg(crossed).alias("zcr"))
 
 
 def frame_zcr(segments: DataFrame, *, width: int = 2048, hop: int = 512) -> DataFrame:
@@ -140,10 +140,11 @@ def frame_zcr(segments: DataFrame, *, width: int = 2048, hop: int = 512) -> Data
     return frames.join(counts, ["seg_id", "frame"], "left").select("seg_id", "frame", (F.coalesce("_c", F.lit(0)) / width).alias("zcr"))
 
 
-def _decibels(power: Column, floor: float = 80.0) -> Column:
-    """dB of a power, at least 1e-10, and not more than floor under the segment's highest."""
-    of = 10 * F.log10(F.greatest(power, F.lit(1e-10)))
-    return F.greatest(of, F.max(of).over(Window.partitionBy("seg_id")) - floor)
+def _decibels(rows: DataFrame, powers: dict[str, Column], floor: float = 80.0) -> DataFrame:
+    """rows with dB of powers by name, at least 1e-10, and not more than floor under the segment's highest, which a table with a row a segment holds."""
+    rows = rows.withColumns({n: 10 * F.log10(F.greatest(p, F.lit(1e-10))) for n, p in powers.items()})
+    tops = rows.groupBy("seg_id").agg(*[F.max(n).alias(f"_top{n}") for n in powers])
+    return _joined(rows, tops, ["seg_id"]).withColumns({n: F.greatest(F.col(n), F.col(f"_top{n}") - floor) for n in powers}).drop(*[f"_top{n}" for n in powers])
 
 
 def contrast(frames: DataFrame, bands: int = 6, lowest: float = 200.0, part: float = 0.02) -> DataFrame:
@@ -165,13 +166,14 @@ def contrast(frames: DataFrame, bands: int = 6, lowest: float = 200.0, part: flo
     rows = rows.withColumns({"_m": F.array_sort(F.transform(own, lambda x: x["mag"])), "_k": F.greatest(F.lit(1), F.rint(part * F.col("_n")).cast("int"))}).filter("size(_m) > 0")
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
     ends = rows.select("seg_id", "frame", "band", mean(F.slice("_m", F.lit(1), F.col("_k"))).alias("_valley"), mean(F.slice("_m", -F.least("_k", F.size("_m")), F.col("_k"))).alias("_peak"))
-    return ends.select("seg_id", "frame", "band", (_decibels(F.col("_peak")) - _decibels(F.col("_valley"))).alias("contrast"))
+    ends = _decibels(ends, {"_p": F.col("_peak"), "_v": F.col("_valley")})
+    return ends.select("seg_id", "frame", "band", (F.col("_p") - F.col("_v")).alias("contrast"))
 
 
 def cepstrum(frames: DataFrame, n: int = 5) -> DataFrame:
     """(seg_id, frame, k, coefficient): the first n orthonormal cosine coefficients of the dB spectrum."""
     size = F.count("*").over(Window.partitionBy("seg_id", "frame"))
-    rows = frames.withColumn("_n", size).withColumn("_db", _decibels(F.col("mag") * F.col("mag") + 1e-12))
+    rows = _decibels(frames.withColumn("_n", size), {"_db": F.col("mag") * F.col("mag") + 1e-12})
     each = rows.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(n)])))
     term = F.col("_db") * F.cos(F.lit(np.pi) * F.col("k") * (F.col("bin") + 0.5) / F.col("_n"))
     scale = F.sqrt(F.when(F.col("k") == 0, 1.0).otherwise(2.0) / F.first("_n"))
@@ -320,8 +322,9 @@ def track_summary(track: DataFrame, value: str, time: str, by: Sequence[str] = (
 
 def valid_tracks(track: DataFrame, value: str, least: float = 0.05, keys: Sequence[str] = ("seg_id",)) -> DataFrame:
     """track whose values are null where under `least` of the key's frames have one."""
-    share = F.avg(F.col(value).isNotNull().cast("int")).over(Window.partitionBy(*keys))
-    return track.withColumn(value, F.when(share >= least, F.col(value)))
+    shares = track.groupBy(*keys).agg(F.avg(F.col(value).isNotNull().cast("int")).alias("_share"))
+    rows = _joined(track, shares, keys)
+    return rows.select(*[F.when(F.col("_share") >= least, F.col(value)).alias(c) if c == value else c for c in track.columns])
 
 
 def call_summaries(tracks: DataFrame, meta: DataFrame, third: tuple[str, float, str] = ("duration_sec", 1000.0, "duration_ms")) -> DataFrame:
