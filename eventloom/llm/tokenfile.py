@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +45,8 @@ FILE_IDS = 1 << 24
 CHUNK = 1 << 13
 #: Words whose ids a worker keeps; when full they are forgotten and encoded again on demand.
 MEMO = 500_000
+#: Characters of a text that are cut into words at once.
+SPAN = 1 << 21
 #: Files up to which the table of their first ids is broadcast; they are counted before.
 BROADCAST_ROWS = 100_000
 
@@ -188,8 +191,9 @@ class Encoder:
         self.model = self.tokenizer.model
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(f"{self.FOREIGN}|(?i:{'|'.join(special)})" if special else self.FOREIGN).search
-        own = self.SPLIT.replace("\\p{L}", self.LETTERS).replace("\\p{N}", self.NUMBERS)
-        self.words = re.compile(own).findall
+        # letters are tried first: of the alternatives only those from an apostrophe and the last one may begin alike
+        short, letters, number, other = self.SPLIT.replace("\\p{L}", self.LETTERS).replace("\\p{N}", self.NUMBERS).rsplit("|", 3)
+        self.words = re.compile("|".join([letters, number, short, other])).findall
         self.by_words = self._splits(path)
         self.letters = {b: c for c, b in byte_letters().items()}
         self.memo: dict[str, bytes] = {}
@@ -212,7 +216,7 @@ class Encoder:
         """Ids of words in lower case."""
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
-        for w in [w for w in words if w not in self.memo]:
+        for w in words.difference(self.memo):
             raw = w if w.isascii() and w.isprintable() else "".join(map(self.letters.__getitem__, w.encode()))
             ids = [t.id for t in self.model.tokenize(raw)]
             self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
@@ -221,31 +225,40 @@ class Encoder:
         parts = []
         for at in range(0, len(words), MEMO // 2):
             some = words[at : at + MEMO // 2]
-            try:
-                parts.append(b"".join(map(self.memo.__getitem__, some)))
-            except KeyError:
-                self.learn(set(some))
-                parts.append(b"".join(map(self.memo.__getitem__, some)))
+            new = set(some).difference(self.memo)
+            if new:
+                self.learn(set(some) if len(self.memo) + len(new) > MEMO else new)
+            parts.append(b"".join(map(self.memo.__getitem__, some)))
         return b"".join(parts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as the library gives them without special tokens around."""
         if not self.by_words:
             return [np.frombuffer(i, "<u4") for i in self.library(texts)]
-        out = []
-        for text in texts:
-            if not self.odd(text):
-                out.append(np.frombuffer(self._joined(self.words(text.lower())), "<u4"))
-                continue
-            parts, plain = [], []
-            for piece in text.replace("\n", " ").split(" "):
-                if self.odd(piece):
-                    parts += [self._joined(self.words(" ".join(plain).lower())), *self.library([piece])]
-                    plain = []
-                else:
-                    plain.append(piece)
-            out.append(np.frombuffer(b"".join([*parts, self._joined(self.words(" ".join(plain).lower()))]), "<u4"))
-        return out
+        return [np.frombuffer(b"".join(part for span in _spans(text) for part in self._parts(span)), "<u4") for text in texts]
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        if not self.odd(text):
+            yield self._joined(self.words(text.lower()))
+            return
+        plain: list[str] = []
+        for piece in text.replace("\n", " ").split(" "):
+            if self.odd(piece):
+                yield self._joined(self.words(" ".join(plain).lower()))
+                yield from self.library([piece])
+                plain = []
+            else:
+                plain.append(piece)
+        yield self._joined(self.words(" ".join(plain).lower()))
+
+
+def _spans(text: str) -> Iterator[str]:
+    """A text in parts of about SPAN characters, cut before spaces, over which no token reaches."""
+    at = 0
+    while len(text) - at > SPAN and (cut := text.find(" ", at + SPAN)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 @lru_cache(maxsize=2)

@@ -177,6 +177,15 @@ def test_encoder_is_the_library():
     assert not plain.by_words and [i.tolist() for i in plain.encode(texts[:200])] == [want(t) for t in texts[:200]]
 
 
+def test_long_texts_are_encoded_in_spans(monkeypatch):
+    path = queries.tokenizer_path(queries.WORD_TOKENIZER)
+    own, want = tokenfile.Encoder(path), library(path)
+    monkeypatch.setattr(tokenfile, "SPAN", 7)
+    monkeypatch.setattr(tokenfile, "MEMO", 9)
+    texts = ["don't stop  the words\nof café 日本 it's <|endoftext|> 'sab 12 34 " * 5, " " * 30, "x" * 40, "a b c d e f g h i j k l m n o p", ""]
+    assert [i.tolist() for i in own.encode(texts)] == [want(t) for t in texts]
+
+
 def brute_tokens(rows, path):
     encode, at, out = library(path), 0, []
     for r in rows:
