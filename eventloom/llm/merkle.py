@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -179,6 +179,21 @@ def build(docs: DataFrame, *, fields: Sequence[str | Column], group_col: str = "
     return Manifest(leaves, rounds, top, height)
 
 
+def save(manifest: Manifest, path: str) -> None:
+    """Writes a manifest's tables under path; nothing may be there yet."""
+    tables = {"leaves": manifest.leaves} | {f"round-{i}": t for i, t in enumerate(manifest.rounds)} | {f"top-{i}": t for i, t in enumerate(manifest.top)}
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+    facts = manifest.leaves.sparkSession.createDataFrame([(manifest.height, len(manifest.rounds), len(manifest.top))], "height int, rounds int, top int")
+    facts.coalesce(1).write.json(f"{path}/facts")  # one row, written last: with it the manifest is whole
+
+
+def load(spark: SparkSession, path: str) -> Manifest:
+    """A manifest that save() has written."""
+    height, rounds, top = spark.read.schema("height int, rounds int, top int").json(f"{path}/facts").first()
+    return Manifest(spark.read.parquet(f"{path}/leaves"), [spark.read.parquet(f"{path}/round-{i}") for i in range(rounds)], [spark.read.parquet(f"{path}/top-{i}") for i in range(top)], height)
+
+
 def subroots(rounds: Sequence[DataFrame], height: int) -> DataFrame:
     """(gid, subroot) of the groups whose trees these blocks are."""
     done = [b.filter(F.col("n") <= 1 << height).select("gid", F.col("root").alias("subroot")) for b in rounds]

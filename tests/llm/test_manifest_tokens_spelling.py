@@ -130,6 +130,16 @@ def test_manifest_of_one_and_none(spark, none, monkeypatch):
     assert run_manifest(spark, spark.createDataFrame(ODD[3:4], DOCS), monkeypatch) == brute_manifest(ODD[3:4])
 
 
+def test_manifest_is_kept(spark, odd, tmp_path):
+    """A saved manifest proves what the built one does."""
+    built = merkle.build(odd, fields=["doc_id", "text"], height=2)
+    merkle.save(built, str(tmp_path / "m"))
+    back = merkle.load(spark, str(tmp_path / "m"))
+    got = sorted(map(repr, merkle.prove(back).collect()))
+    assert got == sorted(map(repr, merkle.prove(built).collect())) and len(got) == len(ODD)
+    assert merkle.prove(back).filter(merkle.folded(F.col("leaf"), F.col("proof")) != F.col("root")).count() == 0
+
+
 # --- 12
 
 
