@@ -56,7 +56,8 @@ def source_assignment(detections: DataFrame, chunks: DataFrame, sources: dict[st
     keys = ["exp", "file_num", "call_id"]
     of = wide.groupBy(*keys).agg(*[F.max(F.when(F.col("source_channel") == c, F.col("level_db"))).alias(f"RMS_{n}") for n, c in sources.items()])
     silent = signal.silent_files(detections, chunks)
-    rows = detections.join(of, keys, "left").join(silent.select("exp", "file_num", F.lit(True).alias("_silent")), ["exp", "file_num"], "left").withColumn("onset_us", F.round(F.col("onset_s") * 1e6).cast("long"))
+    mark = silent.select(F.col("exp").alias("_e"), F.col("file_num").alias("_f"), F.lit(True).alias("_silent"))
+    rows = detections.join(of, keys, "left").join(mark, F.col("exp").eqNullSafe(F.col("_e")) & F.col("file_num").eqNullSafe(F.col("_f")), "left").drop("_e", "_f").withColumn("onset_us", F.round(F.col("onset_s") * 1e6).cast("long"))
     levels = [f"RMS_{n}" for n in sources]
     chosen = overlap.choose_loudest(overlap.overlap_groups(rows, window_us=window_us), levels, keep=F.col("_silent")).drop("_silent")
     kept = overlap.assign_location(chosen.filter("is_chosen"), dict(zip(sources, levels, strict=True)))
