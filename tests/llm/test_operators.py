@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 from collections import Counter, defaultdict
 
@@ -765,6 +766,19 @@ def test_trigram_queries():
     assert secrets.trigram_query(secrets.Rule("x", "a+b")) is None and secrets.trigram_query(secrets.Rule("x", "abc|x")) is None
 
 
+def test_candidates_are_the_postings(spark):
+    """Candidates hold all trigrams of a clause, texts with a match are among them, and no text is shuffled."""
+    texts = ["", "to ken oke tok", "tok oke", "pas ssw swd ass", "AKIA", "xox xa- oxa", "xox xa-", "-----BEGIN EC PRIVATE KEY-----", "a b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for rule in secrets.RULES:
+        clauses = secrets.trigram_query(rule)
+        want = [i for i, t in enumerate(texts) if clauses is None or any(all(g in low(t) for g in c) for c in clauses)]
+        assert [r["doc_id"] for r in df.filter(secrets.candidate(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), rule)).collect()] == want
+        assert {i for i, t in enumerate(texts) if any(k == rule.kind for _, _, k, _ in brute_spans(t))} <= set(want)
+    plan = secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join|Exchange[^\n]*(_text|_low)", plan)
+
+
 @pytest.mark.parametrize("name", ["op5_lines", "op9_urls", "op10_secrets"])
 def test_native_queries_have_no_python(spark, sf, name):
     assert not re.search("Python|Arrow|Pandas", queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
