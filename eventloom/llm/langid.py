@@ -35,13 +35,15 @@ def folding() -> np.ndarray:
     return table
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the text's trigrams: 21 bits a character; runs of letters with one gap (0) before and after.
+def trigrams(text: str, at: int = 0, end: int | None = None) -> np.ndarray:
+    """Codes of the trigrams around the text's letters from place at to before end: 21 bits a character.
 
-    Trigrams across a gap between words aren't formed; empty if the text has no letter.
+    Runs of letters have one gap (0) before and after, so trigrams across a gap between words aren't
+    formed; empty if there is no letter. Spans that cut a text give the trigrams of the whole, each once.
     """
-    chars = folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    chars = np.concatenate([[0], chars, [0]])
+    end = len(text) if end is None else min(end, len(text))
+    chars = folding()[np.frombuffer(text[max(0, at - 1) : end + 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    chars = np.concatenate([[0] * (at == 0), chars, [0] * (end == len(text))]).astype(np.int64)
     codes = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
     return codes[chars[1:-1] != 0]
 
@@ -68,7 +70,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 s = text.as_py()
                 for at in range(0, len(s), SPAN):
-                    held.setdefault(lang.as_py(), []).append(trigrams(s[max(0, at - 1) : at + SPAN]))
+                    held.setdefault(lang.as_py(), []).append(trigrams(s, at, at + SPAN))
                     room -= SPAN if len(s) > SPAN else len(s)
                     if room < 0:
                         yield from counted(held)
@@ -123,7 +125,7 @@ def decide(text: str | None, model: dict) -> tuple[str, float]:
     """(language, score): the most popcounts after correction; score: the corrected part of trigrams found."""
     counts, total = np.zeros(len(model["names"])), 0
     for at in range(0, len(text or ""), SPAN):
-        codes = trigrams(text[max(0, at - 1) : at + SPAN])
+        codes = trigrams(text, at, at + SPAN)
         total += len(codes)
         if len(codes) and len(counts):
             probes = slots(codes)

@@ -545,6 +545,18 @@ def test_langid_brute(spark, sf):
         assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=1e-9), i
 
 
+@pytest.mark.parametrize("text", ["", "a", "abcdefg", "ab cd  efg 1h", " \u00e9\U0001f600x\u0130y "])
+def test_langid_spans_are_the_whole(text, monkeypatch):
+    """Trigrams of spans are those of the whole text, without one twice or a gap within words."""
+    whole = list(langid.trigrams(text))
+    for n in range(1, 9):
+        assert [c for at in range(0, len(text), n) for c in langid.trigrams(text, at, at + n)] == whole
+    model = {"names": ["x"], "filter": np.full((1, langid.SLOTS), 1, dtype=np.int64), "false": np.zeros(1), "common": "x"}
+    want = langid.decide(text, model)
+    monkeypatch.setattr(langid, "SPAN", 2)
+    assert langid.decide(text, model) == want == (("x", 1.0) if whole else ("und", 0.0))
+
+
 def test_langid_many_languages(spark):
     """More languages than a word of a slot has bits: every one is found again."""
     alphabet = [chr(0x4E00 + i) for i in range(600)]
