@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, labels, levels
 from ..operators import audit, clocks, daynight, distribution, overlap, rates, sequence, sessions, signal, spectral
 from ..operators.ordered import shared_path
-from ..sources import tables
+from ..sources import audio, tables
 from .views import BANDS, FOLDERS, LIGHT, ORDER, PLACES, calls, chunks, file_calls, frames, samples, sync, table
 
 QUERIES: dict[str, Callable] = {}
@@ -816,3 +816,82 @@ def audio_match(spark, d) -> DataFrame:
     audio = c.filter("c_custkey % 2 = 0").select(F.concat("s", F.lit(".wav")).alias("name")).unionByName(c.filter("c_custkey % 3 = 0").select(F.concat("s", F.lit(".npz")).alias("name")))
     audio = audio.unionByName(c.select(F.concat("s", F.lit(".mp3")).alias("name"))).withColumn("path", F.concat(F.lit("/audio/"), "name"))
     return tables.match_audio(c.select(F.concat("s", F.lit("_annotations.csv")).alias("name")), audio).select("name", "audio_path")
+
+
+@query("c", """SELECT call_id, event_type AS label, value AS onset_s, CAST(channel AS VARCHAR) AS channel, lpad(CAST(exp AS VARCHAR), 3, '0') AS file_number,
+    CASE WHEN exp % 2 = 0 THEN value END AS meanprob_a, CASE WHEN exp % 2 = 1 THEN event_type || ', "new"' END AS note FROM c""")
+def detection_files(spark, d) -> DataFrame:
+    """Calls as detection files named by channel and file, of two sets of columns, and read back as one table."""
+    path, name = shared_path(spark, "detections"), F.concat(F.lit("channel_"), "channel", F.lit("_file_"), F.lpad(F.col("exp").cast("string"), 3, "0"), F.lit("_accepted_calls"))
+    rows = calls(spark, d).select("call_id", "exp", F.col("event_type").alias("label"), F.col("value").alias("onset_s"), name.alias("name"))
+    tables.write_named(rows.filter("exp % 2 = 0").withColumn("meanprob_a", F.col("onset_s")).drop("exp"), path, "name")
+    tables.write_named(rows.filter("exp % 2 = 1").select(F.concat("label", F.lit(', "new"')).alias("note"), "label", "onset_s", "call_id", "name"), path, "name")
+    return tables.detections(spark, path, "call_id long, label string, onset_s double")
+
+
+@query("c", "SELECT event_type AS name, channel, exp AS file_num, value AS start_seconds, value + 1 AS stop_seconds, 'exp_' || exp || '_channel_' || channel || '_file_' || lpad(CAST(exp AS VARCHAR), 3, '0') || '_annotations.csv' AS source_file FROM c WHERE exp NOT IN (3, 4)")
+def annotation_files(spark, d) -> DataFrame:
+    """Calls as annotation files; those of one experiment have names of another kind and those of one lack a column, so both are skipped."""
+    path = shared_path(spark, "annotations")
+    number = F.lpad(F.col("exp").cast("string"), 3, "0")
+    file = F.when(F.col("exp") == 3, F.concat(F.lit("exp_3_channel_"), "channel", F.lit("_annotations"))).otherwise(F.concat(F.lit("exp_"), "exp", F.lit("_channel_"), "channel", F.lit("_file_"), number, F.lit("_annotations")))
+    rows = calls(spark, d).select("exp", F.col("event_type").alias("name"), F.col("value").alias("start_seconds"), (F.col("value") + 1).alias("stop_seconds"), file.alias("file"))
+    tables.write_named(rows.filter("exp <> 4").drop("exp"), path, "file")
+    tables.write_named(rows.filter("exp = 4").drop("exp", "stop_seconds"), path, "file")
+    return tables.annotations(spark, path)
+
+
+@query("", "SELECT CAST(o_orderkey % 10 AS INTEGER) AS exp, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS row_pos, epoch_us(o_orderdate) AS start_us, epoch_us(o_orderdate) + 600000000 AS end_us, o_orderkey AS file_num FROM orders")
+def sync_files(spark, d) -> DataFrame:
+    """Chunk clocks as sync files, one an experiment's folder, and read back."""
+    path, at = shared_path(spark, "sync"), clock.micros(F.col("o_orderdate"))
+    text = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
+    times = F.concat(F.lit("['"), text(at), F.lit("', '"), text(at + 600_000_000), F.lit("']"))
+    videos = F.concat(F.lit("['first', 'top_"), F.col("o_orderkey").cast("string"), F.lit("']"))
+    rows = table(spark, d, "orders").select("o_orderkey", times.alias("timestamp"), videos.alias("video"), F.concat((F.col("o_orderkey") % 10).cast("string"), F.lit("/sync")).alias("name"))
+    tables.write_named(rows.select("timestamp", "video", "o_orderkey", "name"), path, "name", order=["o_orderkey"])
+    return tables.sync(spark, path)
+
+
+@query("", "SELECT CAST(label AS INTEGER) AS exp, 1 AS channel, CAST(label AS INTEGER) AS file_num, 125000 AS rate, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS block, len(embedding) AS n_samples, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def wav_files(spark, d) -> DataFrame:
+    """embeddings as WAV files, one a label, of a block a vector, written by a task a file and read by ranges of bytes."""
+    path = shared_path(spark, "wav")
+    e = table(spark, d, "embeddings")
+    audio.write_wav(e.select(F.col("label").alias("exp"), F.lit(1).alias("channel"), F.col("label").alias("file_num"), F.lit(125_000).alias("rate"), F.col("vec_id").alias("block"), F.col("embedding").alias("samples")), path)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return audio.audio_chunks(spark, path, block=64, split=1 << 20).select("exp", "channel", "file_num", "rate", "block", "n_samples", r(total, 5).alias("total"))
+
+
+@query("c v", "SELECT variant, exp, count(*) AS n, sum(call_id)::BIGINT AS ids FROM v GROUP BY ALL")
+def partitioned_inputs(spark, d) -> DataFrame:
+    """Calls by variant and experiment in folders of their own; what an earlier run left there goes."""
+    path, rows = shared_path(spark, "inputs"), _variants(spark, d).select("variant", "exp", "call_id")
+    tables.write_partitioned(rows.filter("exp = 1").withColumn("variant", F.lit("old")), path)
+    tables.write_partitioned(rows, path)
+    return spark.read.schema("call_id long, variant string, exp long").parquet(path).groupBy("variant", "exp").agg(F.count("*").alias("n"), F.sum("call_id").alias("ids"))
+
+
+@query("c", "SELECT call_id, channel FROM c")
+def assigned_channels(spark, d) -> DataFrame:
+    """Channels of calls that have assigned ones only, and of calls that have both."""
+    rows = calls(spark, d).select("call_id", "channel")
+    assigned = clocks.with_channel(rows.filter("call_id % 2 = 0").withColumnRenamed("channel", "assigned_channel"))
+    return assigned.unionByName(clocks.with_channel(rows.filter("call_id % 2 = 1").withColumn("assigned_channel", F.lit(-1))).drop("assigned_channel"))
+
+
+@query("c", "SELECT call_id, value FROM c WHERE call_id % 7 <> 0 AND call_id % 11 <> 0 AND call_id % 13 <> 0 AND call_id % 17 <> 0")
+def finite_rows(spark, d) -> DataFrame:
+    """Calls whose value is a finite number, of some that are infinite, no number or null."""
+    odd = F.when(F.col("call_id") % 7 == 0, F.lit(float("inf"))).when(F.col("call_id") % 11 == 0, F.lit(float("nan"))).when(F.col("call_id") % 13 == 0, F.lit(float("-inf"))).when(F.col("call_id") % 17 == 0, F.lit(None).cast("double"))
+    rows = calls(spark, d).select("call_id", odd.alias("odd"), "value")
+    return spectral.finite(rows.select("call_id", F.when((F.col("call_id") % 7 == 0) | (F.col("call_id") % 11 == 0) | (F.col("call_id") % 13 == 0) | (F.col("call_id") % 17 == 0), F.col("odd")).otherwise(F.col("value")).alias("value")), ["call_id", "value"])
+
+
+@query("", "SELECT column_name, count(v) AS n, round(sum(v), 2) AS total FROM (SELECT unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_partkey', 'l_quantity', 'l_suppkey', 'l_tax']) AS column_name, unnest([l_discount, l_extendedprice, l_linenumber, l_partkey, l_quantity, l_suppkey, l_tax]::DOUBLE[]) AS v FROM lineitem) GROUP BY ALL")
+def numeric_totals(spark, d) -> DataFrame:
+    """Sums of the numeric columns that are found in a table, but for its key."""
+    x = table(spark, d, "lineitem")
+    found = tables.numeric_columns(x, without=("l_orderkey",))
+    sums = x.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.round(F.sum(F.col(c).cast("double")), 2).alias("total")).alias(c) for c in found])
+    return sums.select(F.inline(F.array(*found)))

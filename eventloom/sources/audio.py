@@ -6,6 +6,7 @@ import io
 import os
 import re
 import struct
+import uuid
 import zipfile
 
 import numpy as np
@@ -207,6 +208,50 @@ def audio_chunks(spark: SparkSession, path: str, block: int = BLOCK, split: int
     return rows.select("path", *manifest_columns(F.col("path")), "rate", "block", (F.col("block").cast("long") * block).alias("first_idx"), F.size("samples").cast("long").alias("n_samples"), "samples", "error")
 
 
+def write_wav(chunks: DataFrame, folder: str) -> int:
+    """Writes (exp, channel, file_num, rate, block, samples) as 32-bit float WAV files, one a file_num; returns how many.
+
+    A file is <exp>/channel_<channel>_file_<file_num>.wav under folder and holds its blocks one after the
+    other. Samples move once, to the task that writes their file, which holds one block at a time. It
+    writes under another name and moves the file at its end, so a lost task leaves no half file and its
+    repetition writes the same. Rows of null rate or samples are left out; several rates in a file, and
+    4 GiB or more, are errors.
+    """
+    keys = ["exp", "channel", "file_num"]
+    whole = chunks.filter("rate is not null and samples is not null")
+    sizes = whole.groupBy(*keys).agg(F.sum(F.size("samples").cast("long")).alias("n"), F.min("rate").alias("low"), F.max("rate").alias("high"))
+    rows = whole.select(*keys, "block", F.col("samples").cast("array<float>").alias("samples")).repartition(*keys)
+    name = F.format_string("%s/channel_%02d_file_%03d.wav", F.col("exp").cast("string"), F.col("channel").cast("long"), F.col("file_num").cast("long"))
+    known = rows.join(sizes, keys).select(name.alias("name"), "n", "low", "high", "block", "samples")
+
+    def run(batches):
+        system, top = file_system(folder)
+        done, name, out, temporary = 0, None, None, None
+
+        def finish():
+            out.close()
+            system.move(temporary, f"{top}/{name}")
+
+        for b in batches:
+            for i, own in enumerate(b["name"].to_pylist()):
+                if own != name:
+                    if out:
+                        finish()
+                    n, low, high = (b[c][i].as_py() for c in ("n", "low", "high"))
+                    if low != high or 4 * n + 36 >= 1 << 32:
+                        raise ValueError(f"{own}: several rates, or too long for a WAV file")
+                    name, temporary, done = own, f"{top}/{own}.{uuid.uuid4().hex}", done + 1
+                    system.create_dir(os.path.dirname(temporary), recursive=True)
+                    out = system.open_output_stream(temporary)
+                    out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 4 * n + 36, b"WAVE", b"fmt ", 16, FLOAT, 1, low, 4 * low, 4, 32, b"data", 4 * n))
+                out.write(np.asarray(b["samples"][i].values, dtype="<f4").tobytes())
+        if out:
+            finish()
+        yield pa.record_batch([pa.array([done], pa.int64())], names=["files"])
+
+    return known.sortWithinPartitions("name", "block").mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def archive_audit(spark: SparkSession, path: str, required: str = "samplerate") -> DataFrame:
     """(path, ok, reason, keys, has_key) of every .npz under path; all members are read to find damage."""
 

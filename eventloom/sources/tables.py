@@ -279,6 +279,31 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
             system.delete(leftover, True)
 
 
+def write_named(df: DataFrame, folder: str, name: str, order: Sequence[str] = ()) -> None:
+    """A headered CSV file for each value of the column `name`, at <value>.csv under folder; a value may hold folders.
+
+    The files are written in parallel, each by one task in the given order of rows, beside the folder,
+    and then moved to their places, where files of their names are replaced; other files stay. Rows
+    without a name are left out. The driver renames the files one by one, as it lists them.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    parts = place(f"{folder.rstrip('/')}.parts-{uuid.uuid4().hex}")
+    system = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = df.filter(F.col(name).isNotNull()).repartition(name).sortWithinPartitions(name, *order)
+    try:
+        rows.withColumnRenamed(name, "_name").write.partitionBy("_name").options(header=True, quote='"', escape='"').csv(parts.toString())
+        for value in system.listStatus(parts):
+            if value.isDirectory():
+                target = place(place(folder), unquote(value.getPath().getName().removeprefix("_name=")) + ".csv")
+                system.mkdirs(target.getParent())
+                system.delete(target, False)
+                system.rename(next(f.getPath() for f in system.listStatus(value.getPath())), target)
+    finally:
+        system.delete(parts, True)
+
+
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("variant", "exp")) -> None:
     """Parquet by partition columns; earlier contents go."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -6,6 +6,7 @@ import io
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.sources import audio, tables
@@ -245,6 +246,32 @@ def test_sinks(spark, tmp_path):
     assert tables.numeric_columns(df, least=2) == ["exp", "x"]
 
 
+def test_named_files(spark, tmp_path):
+    """A file a value, rows in order, values with folders; files of the name are replaced, others stay, nothing else is left."""
+    top = tmp_path / "n"
+    df = spark.createDataFrame([("a/x", 2, 'q "v"'), ("a/x", 1, None), ("b=c", 3, "two\nlines"), (None, 4, "lost")], "name string, i int, v string")
+    tables.write_named(df.repartition(3), f"file://{top}", "name", order=["i"])
+    assert (top / "a" / "x.csv").read_text() == 'i,v\n1,\n2,"q ""v"""\n' and (top / "b=c.csv").exists()
+    tables.write_named(df.filter("i = 1"), f"file://{top}", "name")
+    assert (top / "a" / "x.csv").read_text() == "i,v\n1,\n" and (top / "b=c.csv").exists()
+    tables.write_named(df.filter("i > 9"), f"file://{top}", "name")
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["n"]
+
+
+def test_wav_round_trip(spark, tmp_path):
+    """Blocks in any order come back as one file; null samples are left out, two rates are an error."""
+    given = [(7, 1, 2, 1000, 1, [0.5, 0.25]), (7, 1, 2, 1000, 0, [1.0, -1.0, 2.0]), (7, 2, 2, 500, 0, []), (8, 12, 1234, 500, 0, [3.0]), (8, 3, 1, None, 0, [1.0]), (8, 3, 1, 500, 0, None)]
+    df = spark.createDataFrame(given, "exp int, channel int, file_num int, rate int, block int, samples array<double>")
+    assert audio.write_wav(df.repartition(4), f"file://{tmp_path}") == 3
+    assert sorted(str(x.relative_to(tmp_path)) for x in tmp_path.rglob("*.*")) == ["7/channel_01_file_002.wav", "7/channel_02_file_002.wav", "8/channel_12_file_1234.wav"]
+    got = audio.audio_chunks(spark, f"file://{tmp_path}")
+    assert rows(got.select("exp", "channel", "file_num", "rate", "samples"), "exp", "channel", "file_num", "rate", "samples") == [(7, 1, 2, 1000, [1.0, -1.0, 2.0, 0.5, 0.25]), (7, 2, 2, 500, []), (8, 12, 1234, 500, [3.0])]
+    assert audio.decode_wav((tmp_path / "7" / "channel_01_file_002.wav").read_bytes())[1].tolist() == [1.0, -1.0, 2.0, 0.5, 0.25]
+    assert audio.write_wav(df.filter("exp > 8"), f"file://{tmp_path}") == 0
+    with pytest.raises(Exception, match="several rates"):
+        audio.write_wav(df.filter("exp = 7").withColumn("rate", df["block"] + 1), f"file://{tmp_path}")
+
+
 def test_levels_over_blocks(spark, tmp_path):
     """Calls meet only the blocks they reach; calls without audio, with broken files and null times stay, with null levels."""
     from eventloom.operators import signal
