@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened
+from .common import lean, widened
 
 #: How byte-level BPE splits a text into words before merging (the public pattern of this family).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, vocab_path: str, *, text_col: str = "text", ids_col:
     column named like ids_col is replaced, all others are kept.
     """
 
+    @lean("bpe", vocabulary.cache_clear)
     def run(batches):
         vocab = vocabulary(vocab_path)
         for b in batches:
@@ -217,6 +218,7 @@ def encode(docs: DataFrame, vocab_path: str, *, text_col: str = "text", ids_col:
 def decode(tokens: DataFrame, vocab_path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """tokens with the text of each row's ids (null: an empty text). Inverse of encode; other columns are kept."""
 
+    @lean("bpe", vocabulary.cache_clear)
     def run(batches):
         vocab = vocabulary(vocab_path)
         for b in batches:
@@ -234,6 +236,7 @@ def digests(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_co
     only: ids of a large corpus needn't leave the worker.
     """
 
+    @lean("bpe", vocabulary.cache_clear)
     def run(batches):
         vocab = vocabulary(vocab_path)
         for b in batches:

@@ -1,13 +1,17 @@
-"""What several operators of this subpackage share: scratch folders, row keys, skew-safe group facts."""
+"""What several operators of this subpackage share: scratch folders, row keys, skew-safe group facts, lean Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -81,6 +85,44 @@ def disposable(spark: SparkSession):
             _delete(spark, path)
 
 
+#: In a Python worker: what empties the caches that an operator's tasks have left there, by operator.
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def enter(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """A task of an operator begins in this worker: caches of other operators go, its own stay."""
+    others = [k for k in _LEFT if k != operator]
+    for k in others:
+        _LEFT.pop(k)()
+    if others:
+        trim()
+    if forget:
+        _LEFT[operator] = forget
+
+
+def lean(operator: str, forget: Callable[[], None] | None = None):
+    """For functions of mapInArrow. Spark reuses Python workers, so what one step leaves there would add to every later step's memory, in native ones too."""
+
+    def wrap(run):
+        @wraps(run)
+        def task(batches):
+            enter(operator, forget)
+            yield from run(batches)
+            trim()
+
+        return task
+
+    return wrap
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

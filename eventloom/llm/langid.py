@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, widened, written
+from .common import discard, lean, widened, written
 
 #: Slots of the filter (a power of two), probes per n-gram, languages of a word of a slot, and words of a slot at most.
 SLOTS, PROBES, LANGUAGES, WORDS = 1 << 18, 3, 63, 16
@@ -57,15 +57,28 @@ def slots(codes: np.ndarray, n: int = SLOTS) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, gram, n) over all docs; each task counts a span of text before anything is shuffled."""
+    """(lang, gram, n) over all docs; each task counts its text before anything is shuffled, a span at a time."""
 
+    @lean("langid", folding.cache_clear)
     def run(batches):
-        def counted(held):
+        sums, held, room = {}, {}, SPAN
+
+        def count():
+            """Moves the trigrams held into the sums, so that a worker holds a span and distinct trigrams only."""
             for lang, parts in held.items():
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in sums:
+                    grams, at = np.unique(np.concatenate([sums[lang][0], grams]), return_inverse=True)
+                    both, n = np.concatenate([sums[lang][1], n]), np.zeros(len(grams), dtype=np.int64)
+                    np.add.at(n, at, both)
+                sums[lang] = grams, n
+            held.clear()
+
+        def counted():
+            for lang, (grams, n) in sums.items():
                 yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            sums.clear()
 
-        held, room = {}, 4 * SPAN
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 s = text.as_py()
@@ -73,9 +86,12 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     held.setdefault(lang.as_py(), []).append(trigrams(s, at, at + SPAN))
                     room -= SPAN if len(s) > SPAN else len(s)
                     if room < 0:
-                        yield from counted(held)
-                        held, room = {}, 4 * SPAN
-        yield from counted(held)
+                        count()
+                        room = SPAN
+                        if sum(len(g) for g, _ in sums.values()) > SPAN:
+                            yield from counted()
+        count()
+        yield from counted()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -109,6 +125,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
         masked = grams.select("gram", F.posexplode(F.array(*[mask(w) for w in range(words)])).alias("word", "mask")).filter("mask <> 0")
 
+        @lean("langid", folding.cache_clear)
         def spread(batches):
             for b in batches:
                 at = slots(np.asarray(b["gram"]))
@@ -150,6 +167,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     rows = docs.drop("lang_pred", "score")
 
+    @lean("langid", folding.cache_clear)
     def run(batches):
         own = pickle.loads(shared.value)
         for b in batches:

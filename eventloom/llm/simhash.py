@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import discard, group_facts, release, row_key, written
+from .common import discard, group_facts, lean, release, row_key, written
 
 SEED = 42
 BYTES = 8
@@ -54,6 +54,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, rk, fp): rk tells rows of one id apart."""
 
+    @lean("simhash")
     def run(batches):
         for b in batches:
             yield pa.record_batch([b["doc_id"], b["rk"], pa.array([fingerprint(t.as_py(), words) for t in b["text"]], pa.int64())], names=["doc_id", "rk", "fp"])
@@ -125,6 +126,7 @@ def _small_links(rows: np.ndarray, run: np.ndarray, small: np.ndarray, max_bits:
 
 
 def _linker(*limits: int):
+    @lean("simhash")
     def run(batches):
         key, held = None, []
 
@@ -253,6 +255,7 @@ def _distinct(chunks: list) -> np.ndarray:
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, set): sorted distinct shingle hashes of docs (node, text)."""
 
+    @lean("simhash")
     def run(batches):
         for b in batches:
             sets = [_distinct(list(_chunks((t.as_py() or "").encode("utf-8", "surrogatepass"), words))).view(np.int64) for t in b["text"]]
@@ -290,6 +293,7 @@ def _profiles(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     common = _common(rows, words)
     names = ["fp", "same0", "same1", "size"]
 
+    @lean("simhash")
     def run(batches):
         for b in batches:
             found, least, counts = [], [], []
@@ -341,6 +345,7 @@ def _candidates(similarity: float, low: int, high: int | None):
         u = np.unique(np.concatenate(found), axis=0)
         return pa.record_batch([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
 
+    @lean("simhash")
     def run(batches):
         held = np.empty((0, 8), dtype=np.int64)
         for b in batches:
@@ -388,6 +393,7 @@ def _exact_candidates(rows: DataFrame, similarity: float, low: int, high: int |
 def _reachable(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that can reach that similarity by counts (node, size, counts): differing counts bound what is in common from above."""
 
+    @lean("simhash")
     def run(batches):
         for b in batches:
             if b.num_rows:

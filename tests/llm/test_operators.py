@@ -11,6 +11,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -770,6 +771,35 @@ def test_secrets_brute(spark, odd, none):
     assert [s["start"] for s in secrets.scan(long).first()["spans"]] == [300_001]
 
 
+def test_workers_are_lean(spark, sf):
+    """A worker that goes from one operator's tasks to another's keeps no caches of the first; its own stay."""
+
+    def left(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([bpe.vocabulary.cache_info().currsize] * b.num_rows, pa.int64())], names=["n"])
+
+    def vocabularies() -> int:
+        return sum(r["n"] for r in spark.range(64).repartition(16).mapInArrow(left, "n long").collect())
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bpe.digests(docs.repartition(8), queries.tokenizer_path()).collect()
+    assert vocabularies() > 0
+    simhash.fingerprints(docs.repartition(64), 3, "doc_id", "text").collect()
+    assert vocabularies() == 0
+
+
+def test_trigram_counts_over_spans(spark):
+    """Counts of several spans and languages in one task are added up."""
+    rng = random.Random(4)
+    texts = [("".join(rng.choices("abcdef \u00e9", k=n)), lang) for n, lang in ((langid.SPAN + 9, "x"), (langid.SPAN // 2, "y"), (langid.SPAN // 2 + 7, "x"), (50, "y"), (0, "z"))]
+    want = Counter()
+    for text, lang in texts:
+        grams, n = np.unique(langid.trigrams(text), return_counts=True)
+        want.update({(lang, g): k for g, k in zip(grams.tolist(), n.tolist(), strict=True)})
+    rows = langid.gram_counts(spark.createDataFrame(texts, "text string, lang string").coalesce(1), "text", "lang").collect()
+    assert {(r["lang"], r["gram"]): r["n"] for r in rows} == dict(want) and len(rows) == len(want)
+
+
 def test_trigram_queries():
     by = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
     assert by["hex"] is None and frozenset({"aki", "kia"}) in by["access"]
