@@ -12,7 +12,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, discard, row_key, written
 
 #: Alternatives of a rule beyond which its query is given up (the rule then scans all documents).
 MOST_CLAUSES = 64
@@ -102,12 +102,9 @@ def _rarest(gram: str) -> tuple[int, str]:
 
 
 def candidate(low: Column, rule: Rule) -> Column:
-    """Whether a text (low: with A-Z in lower case) is in the rule's postings; true for rules that scan fully.
+    """Whether a single text (low: with A-Z in lower case) fits the rule's query, told without an index; true for rules that scan fully.
 
-    The index is evaluated where a text is read, so texts never move to meet their postings: a
-    trigram's posting list is the texts that hold it, a clause is the intersection of its trigrams'
-    lists, a query the union of its clauses. What all clauses share is intersected first, and lists go
-    from rare letters to frequent ones: a list is asked only about texts that all before it hold.
+    For texts in hand, and to hold candidates() against; scan() goes by the index.
     """
     query = trigram_query(rule)
     if query is None:
@@ -120,6 +117,52 @@ def candidate(low: Column, rule: Rule) -> Column:
     return intersected(shared) & reduce(Column.__or__, [intersected(c - shared) for c in query])
 
 
+def index(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """The inverted index of rows (_doc, _rk, _low): a posting (gram, _doc, _rk) for each row that holds grams[gram].
+
+    Written to the shared folder; each file is a segment, in which a trigram's list is in one piece,
+    so that readers of a few lists skip the rest. Texts aren't moved.
+    """
+    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
+    return written(rows.select(F.explode(held).alias("gram"), "_doc", "_rk").sortWithinPartitions("gram"), "postings")
+
+
+def rarest_first(clauses: list[frozenset[str]], sizes: dict[str, int]) -> list[list[str]]:
+    """Each clause's trigrams by the lengths of their lists, shortest first; a clause with an empty list has no candidates and goes."""
+    return [sorted(c, key=lambda g: (sizes[g], g)) for c in clauses if all(sizes.get(g) for g in c)]
+
+
+def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]] | None:
+    """(_doc, _rk, tried) of the rows (_doc, _rk, _low) in some rule's postings, and the trigrams whose lists were read first.
+
+    tried lists the rules (places) with such a clause: a clause is the intersection of its trigrams'
+    posting lists, a query the union of its clauses. Lists are met rarest first, by their lengths: the
+    shortest list of each clause says which rows can be candidates at all, and of all other lists
+    only these rows' postings are read on and intersected. None: no rule is indexed, or no row can be a
+    candidate. The driver gets the lists' lengths, a number a trigram of the rules.
+    """
+    queries = [(i, c) for i, r in enumerate(rules) for c in trigram_query(r) or ()]
+    grams = sorted({g for _, c in queries for g in c})
+    if not grams:
+        return None
+    postings = index(rows, grams)
+    sizes = {grams[r["gram"]]: r["count"] for r in postings.groupBy("gram").count().collect()}
+    place = {g: i for i, g in enumerate(grams)}
+    left = [(i, c[0]) for i, q in queries for c in [rarest_first([q], sizes)] if c]
+    if not left:
+        discard(postings)
+        return None
+    first = sorted({c[0] for _, c in left})
+    seeds = postings.filter(F.col("gram").isin([place[g] for g in first])).select(F.col("_doc").alias("_d"), F.col("_rk").alias("_k")).distinct()
+    rest = postings.filter(F.col("gram").isin(sorted({place[g] for _, c in left for g in c})))
+    # repeated rows have repeated postings
+    met = rest.join(seeds, (rest["_rk"] == seeds["_k"]) & rest["_doc"].eqNullSafe(seeds["_d"]), "left_semi").groupBy("_doc", "_rk").agg(F.collect_set("gram").alias("held"))
+    whole = [F.when(F.size(F.array_except(F.array(*[F.lit(place[g]) for g in c]), "held")) == 0, F.lit(i)) for i, c in left]
+    few = written(met.select("_doc", "_rk", F.array_distinct(F.array_compact(F.array(*whole))).alias("tried")).filter(F.size("tried") > 0), "candidates")
+    discard(postings)
+    return few, first
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """Lengths of the gap before, of the whole and of the judged group of all leftmost non-overlapping matches."""
     pattern = java_pattern(rule)
@@ -127,21 +170,33 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.arrays_zip(*[F.transform(x, F.char_length) for x in found]).cast("array<struct<gap:int,hit:int,part:int>>")
 
 
+def _tries(rules: tuple[Rule, ...], due) -> Column:
+    """(rank, found) of each rule that is due for a row."""
+    return F.array_compact(F.array(*[F.when(due(i, r), F.struct(F.lit(i).alias("rank"), matches(F.col("_text"), r).alias("found"))) for i, r in enumerate(rules)]))
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans of each row: an array of (start, rank, kind, end, base), in this order.
 
     start and end count code points, end exclusive; rank is the rule's place. Rules whose query has
-    mandatory trigrams are tried in their candidates only, others in all documents. Null and empty
+    mandatory trigrams are tried in the candidates of the index only (index and candidates are written as scan is
+    called), others in all documents. Of texts, only those in a clause's rarest list go to where their
+    candidates are, and none if there are so few candidates that Spark broadcasts them. Null and empty
     texts have no spans. Repeated rows have the same spans each; an empty table gives no rows; other
     columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_doc"), row_key(F.col(id_col), F.col(text_col)).alias("_rk"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_low", ascii_lower(F.col("_text")))
-    tries = []
-    for i, r in enumerate(rules):
-        due = F.rlike("_text", F.lit(java_pattern(r))) if trigram_query(r) is None else candidate(F.col("_low"), r)
-        tries.append(F.when(due, F.struct(F.lit(i).alias("rank"), matches(F.col("_text"), r).alias("found"))))
-    some = rows.select("_doc", "_rk", F.explode_outer(F.array_compact(F.array(*tries))).alias("t"))
+    full = [trigram_query(r) is None for r in rules]
+    some = rows.select("_doc", "_rk", F.explode_outer(_tries(rules, lambda i, r: F.rlike("_text", F.lit(java_pattern(r))) if full[i] else F.lit(False))).alias("t"))
+    if found := candidates(rows, rules):
+        few, first = found
+        texts = rows.filter(reduce(Column.__or__, [F.contains("_low", F.lit(g)) for g in first])).drop("_low")
+        few = few.select(F.col("_doc").alias("_d"), F.col("_rk").alias("_k"), "tried")
+        both = texts.join(few, (texts["_rk"] == few["_k"]) & texts["_doc"].eqNullSafe(few["_d"]))
+        tries = _tries(rules, lambda i, r: F.lit(False) if full[i] else F.array_contains("tried", i))
+        some = some.unionByName(written(both.select("_doc", "_rk", F.explode(tries).alias("t")), "tries"))
+        discard(found[0])
     # rows that agree in id and text are one from here on, and n again at the end
     once = some.repartition("_doc", "_rk").groupBy("_doc", "_rk", "t.rank").agg(F.count("*").alias("n"), F.first("t.found").alias("found"))
     each = once.select("_doc", "_rk", "n", "rank", F.posexplode_outer("found").alias("i", "m"))

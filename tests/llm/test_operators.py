@@ -821,6 +821,39 @@ def test_candidates_are_the_postings(spark):
     assert not re.search(r"Join|Exchange[^\n]*(_text|_low)", plan)
 
 
+def test_posting_lists(spark, odd, monkeypatch):
+    """scan goes by an index: lists of all trigrams, met rarest first by their lengths, hold the same candidates as the texts themselves."""
+    rng = random.Random(7)
+    parts = ["token", "tok", "oke", "ken", "secret", "sec", "ret", "cre", "password", "pass", "word", "AKIA", "akia", "xoxb-", "ghp_", "eyJ", ".eyJ", " = abcdefghijklmnop", "-----BEGIN ", "PRIVATE KEY-----", " ", "x", "\u00e9"]
+    texts = [(i if i % 50 else None, "".join(rng.choices(parts, k=rng.randint(0, 9)))) for i in range(400)] + [(1, "token = abcdefghijklmnop")] * 3 + [(1, None), (2, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    rows = df.select(F.col("doc_id").alias("_doc"), secrets.row_key(F.col("doc_id"), F.col("text")).alias("_rk"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = rows.withColumn("_low", F.translate("_text", string.ascii_uppercase, string.ascii_lowercase))
+    grams = sorted({g for r in secrets.RULES for c in secrets.trigram_query(r) or () for g in c})
+    lists = defaultdict(list)
+    for r in secrets.index(rows, grams).collect():
+        lists[grams[r["gram"]]].append(r["_rk"])
+    all_rows = rows.collect()
+    assert {g: sorted(v) for g, v in lists.items()} == {g: sorted(ks) for g in grams if (ks := [r["_rk"] for r in all_rows if g in r["_low"]])}
+    few, first = secrets.candidates(rows, secrets.RULES)
+    want = defaultdict(set)
+    for i, rule in enumerate(secrets.RULES):
+        for c in secrets.trigram_query(rule) or ():
+            for r in all_rows:
+                if all(g in r["_low"] for g in c):
+                    want[r["_doc"], r["_rk"]].add(i)
+    got = {(r["_doc"], r["_rk"]): set(r["tried"]) for r in few.collect()}
+    assert got == dict(want) and len(got) == few.count()
+    sizes = {g: len(v) for g, v in lists.items()}
+    assert set(first) == {min(c, key=lambda g: (sizes[g], g)) for r in secrets.RULES for c in secrets.trigram_query(r) or () if all(g in sizes for g in c)}
+    assert secrets.rarest_first([frozenset({"aaa", "bbb"}), frozenset({"aaa", "ccc"})], {"aaa": 3, "bbb": 1}) == [["bbb", "aaa"]]
+    spans = sorted(((r["doc_id"] is None, r["doc_id"] or 0, [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"]]) for r in secrets.scan(df).collect()))
+    assert spans == sorted((i is None, i or 0, brute_spans(t)) for i, t in texts)
+    # what the index doesn't list isn't tried
+    monkeypatch.setattr(secrets, "candidates", lambda *_: None)
+    assert not any(s["kind"] != "hex" for r in secrets.scan(df).collect() for s in r["spans"])
+
+
 @pytest.mark.parametrize("name", ["op5_lines", "op9_urls", "op10_secrets"])
 def test_native_queries_have_no_python(spark, sf, name):
     assert not re.search("Python|Arrow|Pandas", queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
