@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import group_facts, scratch
+from .common import group_facts, lean, scratch
 
 #: Magic numbers of skippable frames: of the leading one that holds the dictionary, and of fillers.
 DICTIONARY_MAGIC, FILLER_MAGIC = 0x184D2A5D, 0x184D2A50
@@ -145,6 +145,10 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 1000, limit: int
     a value is one archive and a file of its own, and ends with the header of a one-byte skippable
     frame, whose byte is the line end that this writer adds. The dictionary of an archive is trained
     on its own first SAMPLE_BYTES of records, which the join has brought into hash order.
+
+    Small partitions are written together, by as many tasks as SAMPLE_BYTES (or limit) goes into all
+    payloads, and no fewer than run at once: else each would be an archive whose dictionary outweighs
+    its records.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -153,6 +157,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 1000, limit: int
     other = ~F.col("page_id").eqNullSafe(F.col("newest.page_id"))
     out = out.withColumns({"refers_to": F.when(other, F.col("newest.page_id")), "refers_url": F.col("newest.url"), "is_newest": F.coalesce(~other & F.col("url").eqNullSafe(F.col("newest.url")), F.lit(False)) & F.col("newest").isNotNull()})
 
+    @lean("warc")
     def run(batches):
         task, seen = TaskContext.get().partitionId(), set()
 
@@ -171,7 +176,8 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 1000, limit: int
         for archive in archives(each(), limit):
             yield pa.record_batch([pa.array([archive], pa.binary())], names=["archive"])
 
-    out = out.select("page_id", "url", "payload", "digest", "refers_to", "refers_url", "length", "is_newest").mapInArrow(run, "archive binary")
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, (rows.agg(F.sum("length")).first()[0] or 0) // min(limit, SAMPLE_BYTES))
+    out = out.select("page_id", "url", "payload", "digest", "refers_to", "refers_url", "length", "is_newest").coalesce(tasks).mapInArrow(run, "archive binary")
     out.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -182,6 +188,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     the full payload.
     """
 
+    @lean("warc")
     def run(batches):
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]

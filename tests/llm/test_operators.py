@@ -672,6 +672,28 @@ def test_warc_rolls(spark, tmp_path):
     assert {(r["page_id"], r["refers_to"]) for r in back if r["record_type"] == "revisit"} == {(i, i + 150) for i in range(50)}
 
 
+def test_warc_small_partitions(spark, tmp_path):
+    """A small table in many partitions becomes few archives, not one each with a dictionary that outweighs its records; a hot payload in most rows stays right."""
+    html = lambda i: "hot " * 400 if i % 3 else "".join(random.Random(i).choices("abcdefgh <p>", k=1200))
+    rows = [(i, f"http://h/{i}", html(i)) for i in range(3000)]
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(16), f"file://{tmp_path}/a")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = list((tmp_path / "a").glob("part-*"))
+    assert 1 < len(files) <= spark.sparkContext.defaultParallelism
+    back = {r["page_id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert len(back) == len(rows)
+    for i, _, text in rows:
+        revisit = i % 3 and i != 2999
+        assert (back[i]["payload_digest"], back[i]["refers_to"]) == (hashlib.sha1(text.encode()).hexdigest(), 2999 if revisit else None)
+
+
 def test_warc_empty(spark):
     assert warc.archived(spark.createDataFrame([], PAGES)).collect() == []
     one = spark.createDataFrame([(None, None, None)], PAGES)
